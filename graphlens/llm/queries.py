@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, minhash_forest, packing, token_store
+from . import bpe, exact_dedup, licenses, minhash_forest, packing, suffix_dedup, token_store
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -29,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_store.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2, width="<u2")
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
