@@ -197,7 +197,7 @@ def _contexts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return bodies.dropDuplicates(_KEY).join(places, _KEY).select(*_KEY, "text", "at").mapInArrow(run, schema)
+    return bodies.dropDuplicates(_KEY).join(places.hint("merge"), _KEY).select(*_KEY, "text", "at").mapInArrow(run, schema)
 
 
 def _counted(contexts: DataFrame, least: int) -> DataFrame:
@@ -229,9 +229,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT_CONTEXTS)
     rows = _identified(docs)
     found = staged(anchors(rows, least), "anchors")
     again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).filter("n > 1")
-    again = staged(found.join(again.select("fp", (F.col("one") == F.col("other")).alias("alike")), "fp"), "repeated")
+    again = staged(found.join(again.select("fp", (F.col("one") == F.col("other")).alias("alike")).hint("merge"), "fp"), "repeated")
     keys = again.select(*_KEY).distinct()
-    bodies = staged(rows.select(*_KEY, "text").join(keys, _KEY, "left_semi"), "bodies")
+    bodies = staged(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
 
     whole = F.col("before") + F.col("after") >= least
     span = [*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e")]
@@ -298,10 +298,10 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 sha.append(hashlib.sha256(without(raw, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*_KEY, "n_removed", "n_spans", "cut_sha"])
 
-    cut = bodies.dropDuplicates(_KEY).join(per_doc, _KEY).select(*_KEY, "text", "spans").mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, cut_sha string")
+    cut = bodies.dropDuplicates(_KEY).join(per_doc.hint("merge"), _KEY).select(*_KEY, "text", "spans").mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, cut_sha string")
     rows = _identified(docs).select("doc_id", *_KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
-    return rows.join(cut, _KEY, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    return rows.join(cut.hint("merge"), _KEY, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
 
 
 def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -309,7 +309,7 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spans, _ = repeated_spans(docs, least)
     per_doc = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))  # of one document
     rows = docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "rid": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").cast("long"))})
-    joined = rows.join(per_doc, _KEY, "left").select(*docs.columns, "_spans")
+    joined = rows.join(per_doc.hint("merge"), _KEY, "left").select(*docs.columns, "_spans")
     place = docs.columns.index("text")
 
     def run(batches):
