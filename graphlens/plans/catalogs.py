@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphlens.plans import search_queries
+from graphlens.plans import search_queries, table_queries
 
-_MODULES = [search_queries]
+_MODULES = [search_queries, table_queries]
 
 
 def queries() -> dict[str, Callable]:
