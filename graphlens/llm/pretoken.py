@@ -17,7 +17,7 @@ from .common import U64, mixed, prefix_sums, window_hashes
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = 255
 #: Code points per numpy pass, and distinct words kept before a cache starts anew.
-BLOCK, KEPT_WORDS = 400_000, 1_200_000
+BLOCK, KEPT_WORDS = 300_000, 800_000
 
 _classes: np.ndarray | None = None
 _values: np.ndarray | None = None
