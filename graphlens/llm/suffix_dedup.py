@@ -228,8 +228,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT_CONTEXTS)
     """Spans (dk, rid, s, e) of repeated bytes, which may overlap, and the rows with repeated anchors (dk, rid, text)."""
     rows = _identified(docs)
     found = staged(anchors(rows, least), "anchors")
-    again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).filter("n > 1")
-    again = staged(found.join(again.select("fp", (F.col("one") == F.col("other")).alias("alike")).hint("merge"), "fp"), "repeated")
+    counted = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).filter("n > 1")
+    counted = staged(counted.select("fp", (F.col("one") == F.col("other")).alias("alike")), "counted")  # so that the join can split a hot anchor
+    again = staged(found.join(counted.hint("merge"), "fp"), "repeated")
     keys = again.select(*_KEY).distinct()
     bodies = staged(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
 
