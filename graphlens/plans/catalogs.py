@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphlens.plans import link_queries, search_queries, table_queries
+from graphlens.plans import extract_queries, link_queries, search_queries, table_queries
 
-_MODULES = [search_queries, table_queries, link_queries]
+_MODULES = [extract_queries, search_queries, table_queries, link_queries]
 
 
 def queries() -> dict[str, Callable]:
