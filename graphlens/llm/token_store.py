@@ -12,7 +12,7 @@ lie apart. A block is decoded with numpy table lookups. A store is a folder of t
 * ``parts``: part, start. At most as many rows as partitions.
 
 Defined results: a null or empty text is a document of its end id alone; documents with the same
-``doc_id`` follow in the order of their ids; an empty table makes an empty store; columns besides
+``doc_id`` follow in the order of a hash of their ids; an empty table makes an empty store; columns besides
 ``doc_id`` and ``text`` are ignored.
 """
 
@@ -132,7 +132,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         if doc_ids:
             yield flush()
 
-    ordered = tokens.repartitionByRange(partitions(spark), with_nulls_first("doc_id"), F.col("ids")).sortWithinPartitions(with_nulls_first("doc_id"), "ids")
+    ordered = tokens.repartitionByRange(partitions(spark), with_nulls_first("doc_id"), F.xxhash64("ids")).sortWithinPartitions(with_nulls_first("doc_id"), F.xxhash64("ids"))
     ordered.mapInArrow(encode, "part int, block int, n_ids long, payload binary").write.parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # a row for each partition
     starts, at = [], 0
