@@ -88,9 +88,10 @@ def test_pipeline_stages(spark):
     clean = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert clean.columns == columns
     toxic = {r.doc_id for r in table(spark, SF, "labels").filter("toxic = 1").collect()}
+    harmless = {r.doc_id for r in table(spark, SF, "labels").filter("toxic = 0").collect()}  # other rows may be either
     kept = {r.doc_id for r in clean.collect()}
     everyone = {r.doc_id for r in docs.collect()}
-    assert len(kept & toxic) <= 0.4 * len(everyone & toxic) and len(everyone - toxic - kept) <= 0.03 * len(everyone)
+    assert len(kept & toxic) <= 0.4 * len(everyone & toxic) and len(harmless - kept) <= 0.02 * len(harmless)
     single = corpus_pipeline.drop_copies(spark, clean, SF)
     largest = {}
     for r in clean.collect():
