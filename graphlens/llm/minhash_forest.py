@@ -9,6 +9,8 @@ full sets.
 
 Two passes keep large groups cheap: the first takes neighbours in a few of the trees and joins those
 that are confirmed; the second takes, in all trees, the pairs of each region that are not joined yet.
+Rows of regions that are large at the least depth and still hold several classes after both passes are
+compared exactly, by a join on the rarest shingles of their sets (``crowded_pairs``).
 Joins with texts are sort-merge joins at every size.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows with the
@@ -24,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import U64, blocks, byte_values, mixed, partitions, prefix_sums, staged, text_buffers, texts, window_hashes
 from .components import components
@@ -38,6 +42,8 @@ FIRST_TREES = 4
 #: How far a signature's estimate may lie below the threshold.
 MARGIN = 0.2
 BLOCK = 1_000_000
+#: Rows of a shingle that one block of the exact join takes from each side, and the mark of a row of a large region.
+CROWD, LARGE = 1_000, -2
 
 _table = np.arange(256, dtype=np.uint8)
 _table[65:91] += 32
@@ -157,8 +163,15 @@ def region_pairs(tree: np.ndarray, keys: np.ndarray, classes: np.ndarray, whole:
     return pairs
 
 
-def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ``signed`` (id, sig, class, size), of different classes.
+def large_regions(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places in one sorted run of the rows whose region of the least depth isn't taken whole."""
+    new = (tree[1:] != tree[:-1]) | (keys[1:, :LEAST_DEPTH] != keys[:-1, :LEAST_DEPTH]).any(axis=1)
+    edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(tree)]])
+    return np.flatnonzero(np.repeat(np.diff(edges) > REGION, np.diff(edges)))
+
+
+def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b) of ``signed`` (id, sig, class, size), of different classes; and if ``whole`` the rows (tree, key, id) of large regions, by the key's least depth.
 
     Pairs whose sizes alone rule out ``percent`` are left out: an intersection is no larger than the smaller set. Runs of the sorted orders are cut at any row; the rows beside a cut are looked at again, together.
     """
@@ -167,16 +180,24 @@ def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> DataFram
     rows = signed.select("id", "sig", "class", "size").mapInArrow(lambda batches: _trees(batches, trees), "tree int, key binary, id long, class long, size long")
     ordered = rows.repartitionByRange(runs, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     schema = "a long, b long, cut int, tree int, key binary, id long, class long, size long"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names, beside_names = [x.split()[0] for x in schema.split(", ")], ["a", "b", "tree", "key", "id"]
+
+    def keys_of(table):
+        return np.frombuffer(b"".join(table["key"].to_pylist()), dtype=">u2").reshape(-1, MOST_DEPTH)
 
     def pairs_of(table):
-        keys = np.frombuffer(b"".join(table["key"].to_pylist()), dtype=">u2").reshape(-1, MOST_DEPTH)
+        keys = keys_of(table)
         pairs = region_pairs(table["tree"].to_numpy(), keys, table["class"].to_numpy(), whole)
         at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         size, ids = table["size"].to_numpy()[at], table["id"].to_numpy()[at]
         ids = ids[100 * size.min(axis=1) >= percent * size.max(axis=1)]
         return pa.table({"a": ids.min(axis=1), "b": ids.max(axis=1)})
 
+    def large_of(table):
+        own = table.take(pa.array(large_regions(table["tree"].to_numpy(), keys_of(table)) if whole else [], pa.int64()))
+        k = len(own)
+        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([LARGE] * k, pa.int32()), own["tree"], pc.binary_slice(own["key"], 0, 2 * LEAST_DEPTH), own["id"], own["class"], own["size"]], names)
+
     def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -184,18 +205,23 @@ def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> DataFram
         table = pa.Table.from_batches(held)
         found = pairs_of(table).group_by(["a", "b"]).aggregate([])
         yield from pa.table([found["a"], found["b"], *[pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]], names).to_batches()
+        yield from large_of(table).to_batches()
         part, side = TaskContext.get().partitionId(), REGION if whole else 1
         for cut, own in ((part - 1, table.slice(0, side)), (part, table.slice(max(0, len(table) - side)))):
             k = len(own)
             yield from pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([cut] * k, pa.int32()), own["tree"], own["key"], own["id"], own["class"], own["size"]], names).to_batches()
 
     def at_cut(table: pa.Table) -> pa.Table:
-        return pairs_of(table.sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")]))
+        table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
+        found, large = pairs_of(table), large_of(table)
+        k = len(found)
+        pairs = pa.table([found["a"], found["b"], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], beside_names)
+        return pa.concat_tables([pairs, large.select(beside_names)])
 
     out = staged(ordered.mapInArrow(run, schema), "forest")
-    inner = out.filter("cut is null").select("a", "b")
-    beside = out.filter("cut is not null").groupBy("cut").applyInArrow(at_cut, "a long, b long")  # rows of a region at most, on either side
-    return inner.union(beside).distinct()
+    beside = out.filter(f"cut <> {LARGE}").groupBy("cut").applyInArrow(at_cut, "a long, b long, tree int, key binary, id long")  # rows of a region at most, on either side
+    every = out.filter(f"cut is null or cut = {LARGE}").select(*beside_names).union(beside)
+    return every.filter("a is not null").select("a", "b").distinct(), every.filter("a is null").select("tree", "key", "id")
 
 
 def _likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -229,6 +255,45 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ids of ``large`` (tree, key, id) whose region holds several of the ``classes`` (id, class)."""
+    rows = large.join(classes.hint("merge"), "id")
+    several = rows.groupBy("tree", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    return large.join(several.select("tree", "key").hint("merge"), ["tree", "key"], "left_semi").select("id").distinct()
+
+
+def crowded_pairs(bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``bodies`` (id, text, class), of different classes, that may meet ``percent``: none that does is missing.
+
+    Shingles are ordered from the rarest. Sets of n and m <= n shingles that meet the threshold share at least percent * (n + m) /
+    (100 + percent), so that the first one they share stands early in both; how much can follow it bounds the pair. A frequent
+    shingle is compared in blocks of its rows, and one that only a single class holds isn't compared.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), width))
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            own = batch.take(pa.array(np.repeat(np.arange(len(n)), n))).select([0, 2, 3])
+            tokens = np.concatenate([np.zeros(0, U64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(n, n)), pa.array(tokens)], ["id", "class", "row", "n", "token"])
+
+    tokens = staged(bodies.select("id", "text", "class", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "id long, class long, row long, n long, token long"), "tokens")
+    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"))
+    known = known.selectExpr("token", "rows", "low <> high as several")
+    place = F.row_number().over(W.partitionBy("row").orderBy("rows", "token")) - 1
+    early = tokens.join(known.hint("merge"), "token").withColumn("place", place)
+    early = early.filter(f"place <= n - (({percent} * n + 99) div 100) and several").withColumn("parts", F.expr(f"int((rows + {CROWD - 1}) div {CROWD})"))
+    early = staged(early.select("id", "class", "n", "token", "place", "parts"), "early")
+    part, parts = F.expr("int(pmod(xxhash64(id), parts))"), F.expr("explode(sequence(0, parts - 1))")
+    one = early.select("token", part.alias("p"), parts.alias("q"), F.col("id").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("at_x"))
+    two = early.filter(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent})")
+    two = two.select("token", parts.alias("p"), part.alias("q"), F.col("id").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("at_y"))
+    fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(nx - at_x, ny - at_y) >= {percent} * (nx + ny)"
+    found = one.hint("merge").join(two, ["token", "p", "q"]).filter(fits)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     all_rows = staged(sketches(docs, width), "sketches")
@@ -238,17 +303,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = firsts.filter("id is not null").select("id", "sig", F.col("id").alias("class"), F.col("n_shingles").alias("size"))
     n = signed.count()
 
-    pairs = staged(_likely(candidates(signed, n, False, percent), signed, percent / 100), "likely")
+    pairs = staged(_likely(candidates(signed, n, False, percent)[0], signed, percent / 100), "likely")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     bodies = staged(texts(docs).withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi"), "bodies")
     links = staged(confirmed(pairs, bodies, width, percent).distinct(), "confirmed")
 
     joined = components(links)
     again = staged(signed.drop("class").join(joined, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("class"), "size"), "classed")
-    rest = staged(_likely(candidates(again, n, True, percent), signed, percent / 100), "rest")
+    found, large = candidates(again, n, True, percent)
+    rest = staged(_likely(found, signed, percent / 100), "rest")
     more = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct().join(wanted, "id", "left_anti")
     bodies = bodies.union(texts(docs).withColumnRenamed("doc_id", "id").join(more.hint("merge"), "id", "left_semi"))
-    final = components(staged(links.union(confirmed(rest, bodies, width, percent)).distinct(), "all-links"))
+    links = staged(links.union(confirmed(rest, bodies, width, percent)).distinct(), "all-links")
+    final = components(links)
+
+    classes = staged(signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class")).distinct(), "classes")
+    crowd = staged(crowded(large, classes), "crowded")
+    if not crowd.isEmpty():
+        own = texts(docs).withColumnRenamed("doc_id", "id").join(crowd.join(classes, "id").hint("merge"), "id")
+        own = staged(own, "crowd")
+        last = staged(crowded_pairs(own, width, percent), "crowded-pairs")
+        more = staged(confirmed(last, own.select("id", "text"), width, percent).distinct(), "crowd-links")
+        final = final if more.isEmpty() else components(links.union(more))
 
     classed = firsts.join(final, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
     out = all_rows.select("doc_id", *keys).join(classed, keys, "left")
