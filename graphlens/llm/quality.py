@@ -25,6 +25,8 @@ from .spotsigs import _ANTECEDENTS
 #: Rows that the scorer learns from at most, its number of hashed features, and the score from which a document is kept.
 TRAIN_ROWS, FEATURES, KEEP = 6_000, 1 << 14, 0.35
 BLOCK = 1_000_000
+#: Words in a row among which the share of distinct ones is taken; a text's share is the mean of its windows by their words.
+WINDOW = 200
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -62,7 +64,10 @@ def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(_LINE[part])
     for k in range(len(size)):
         own = words[firsts[k] : firsts[k + 1]]
-        distinct[k] = len(np.unique(own)) / max(1, min(len(own), 200))
+        full = len(own) // WINDOW
+        windows = np.sort(own[: full * WINDOW].reshape(full, WINDOW), axis=1)
+        kinds = full + (windows[:, 1:] != windows[:, :-1]).sum() + len(np.unique(own[full * WINDOW :]))
+        distinct[k] = kinds / max(1, len(own))
         inner = breaks[np.searchsorted(breaks, at[k]) : np.searchsorted(breaks, at[k + 1])]
         a, b = np.append(at[k], inner + 1), np.append(inner, at[k + 1])
         a, b = a[b > a], b[b > a]
@@ -77,7 +82,7 @@ def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         "digits": share(_DIGIT),
         "repeats": repeats,
         "common": sums(np.isin(words, _ANTECEDENTS), firsts) / n_words,
-        "distinct": np.minimum(distinct, 1),
+        "distinct": distinct,
     }
 
 
@@ -134,15 +139,23 @@ def hashed(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.ravel(), 3 * firsts
 
 
-def fit(bounds: np.ndarray, features: np.ndarray, target: np.ndarray, epochs: int = 80, rate: float = 20.0, decay: float = 1e-4) -> np.ndarray:
+def counted(features: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features of each text in a row, how often each stands there, and the bounds of each text: FEATURES a text at most."""
+    found = [np.unique(features[a:b], return_counts=True) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    ends = np.cumsum([0, *[len(f) for f, _ in found]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[f for f, _ in found]]), np.concatenate([none, *[c for _, c in found]]), ends
+
+
+def fit(bounds: np.ndarray, features: np.ndarray, times: np.ndarray, target: np.ndarray, epochs: int = 80, rate: float = 20.0, decay: float = 1e-4) -> np.ndarray:
     """Weights (the last is the bias) of a logistic model of mean feature weights, by gradient steps with momentum."""
     w, speed = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
-    n = np.maximum(np.diff(bounds), 1)
+    n = np.maximum(sums(times, bounds), 1)
     row = np.repeat(np.arange(len(n)), np.diff(bounds))
     for _ in range(epochs):
-        z = sums(w[features], bounds) / n + w[-1]
+        z = sums(w[features] * times, bounds) / n + w[-1]
         error = target - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        step = np.append(np.bincount(features, (error / n)[row], FEATURES) * rate, error.sum()) / max(1, len(n)) - decay * w
+        step = np.append(np.bincount(features, (error / n)[row] * times, FEATURES) * rate, error.sum()) / max(1, len(n)) - decay * w
         speed = 0.9 * speed + step
         w += speed
     return w
@@ -174,17 +187,18 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
         for batch in batches:
             for first, last, part, at in _blocks(batch):
                 if len(part):
-                    features, bounds = hashed(part, at)
+                    features, times, bounds = counted(*hashed(part, at))
                     target = weak[votes(measures(part, at))]
-                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(features.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([lists, pa.array(target)], ["features", "target"])
+                    lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (features, times)]
+                    yield pa.RecordBatch.from_arrays([batch.column("order").slice(first, last - first), *lists, pa.array(target)], ["order", "features", "times", "target"])
 
     total = sum(r["count"] for r in counts)
     order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = rows.filter(F.length("text") > 0).filter(order < int((1 << 30) * min(1.0, 1.5 * train_rows / max(1, total)))).orderBy(order).limit(train_rows)
-    lesson = staged(some.select("doc_id", F.substring("text", 1, 20_000).alias("text")).mapInArrow(sampled, "features array<int>, target double"), "lesson").toArrow()
-    lists = lesson["features"].combine_chunks()
-    weights = fit(lists.offsets.to_numpy(), lists.values.to_numpy(), lesson["target"].to_numpy()) if len(lesson) else np.zeros(FEATURES + 1)
+    some = rows.filter(F.length("text") > 0).filter(order < int((1 << 30) * min(1.0, 1.5 * train_rows / max(1, total)))).select("text", order.alias("order"))
+    taught = some.mapInArrow(sampled, "order long, features array<int>, times array<int>, target double").orderBy("order").limit(train_rows)
+    lesson = staged(taught.select("features", "times", "target"), "lesson").toArrow()
+    lists, times = lesson["features"].combine_chunks(), lesson["times"].combine_chunks()
+    weights = fit(lists.offsets.to_numpy(), lists.values.to_numpy(), times.values.to_numpy(), lesson["target"].to_numpy()) if len(lesson) else np.zeros(FEATURES + 1)
 
     def score(batches):
         for batch in batches:
