@@ -59,6 +59,7 @@ class ByteBPE:
             parts[i] = content.encode()
         self.token_lengths = np.fromiter(map(len, parts), np.int64, size)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
+        self._plain = CachedEncoder(byte_level_starts, self.encode_words, self.encode_text, [])
         self.token_bytes = np.frombuffer(b"".join(parts), dtype=np.uint8)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -113,13 +114,12 @@ class ByteBPE:
         import regex
 
         parts = regex.split("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")", text)
-        plain = CachedEncoder(byte_level_starts, self.encode_words, self.encode_text, [])
         out = []
         for part in parts:
             if part in self.added:
                 out.append(np.array([self.added[part]], dtype=np.uint32))
             elif part:
-                out += [ids for _, ids, _ in plain.batches([part])]
+                out += [ids for _, ids, _ in self._plain.batches([part])]
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:

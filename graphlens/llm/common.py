@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -14,16 +15,17 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set.
+    Only a local session (tests, one machine) may leave it unset; a temporary folder is made and set then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return str(sc.getCheckpointDir()).rstrip("/")
 
@@ -31,12 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of what was written.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation. The table stays; see ``Scratch``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return _stored(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A folder for the tables between an operator's steps, removed when its block ends.
+
+    What the operator returns is written before that with ``staged``, so that nothing reads the folder later.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        return _stored(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
+
+    def __exit__(self, *_) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -91,22 +115,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of ``values[i] * step ** i``; see ``window_hashes``."""
+def ring_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of ``values[i] * step ** i`` modulo 2**64; see ``ring_windows``."""
     out = np.zeros(len(values) + 1, dtype=U64)
     with np.errstate(over="ignore"):
         np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
     return out
 
 
-def window_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the windows [start, end), alike wherever equal contents stand."""
+def ring_windows(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fast 64-bit hashes of the windows [start, end), for use where contents are compared after a match only.
+
+    Strings can be made that have the same hash: no identity may rest on it.
+    """
     inverse = powers(len(sums))[1]
     with np.errstate(over="ignore"):
         raw = (sums[ends] - sums[starts]) * inverse[starts]
         return mixed(raw + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of a range above which it is hashed by itself.
+_LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), taken eight bytes at a time through the finaliser.
+
+    Ranges of at most eight bytes and the same length differ in hash if they differ; longer ones by chance of 64 bits.
+    """
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = (ends - starts).astype(np.int64)
+    with np.errstate(over="ignore"):
+        out = size.astype(U64) * U64(0xD6E8FEB86659FD93)
+        left, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+        while len(left):
+            rest = size[left] - at
+            own = eight[starts[left] + at] & _MASKS[np.minimum(rest, 8)]
+            out[left] = mixed(out[left] * U64(0x9E3779B97F4A7C15) ^ own)
+            left, at = left[rest > 8], at + 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 
 

@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Callable = staged) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in ``links`` (a, b).
 
     In each round every node joins the neighbour, or itself, of the smallest hash under that round's
     seed, and the links are renamed and made distinct; the number of nodes falls by a factor,
-    so that the rounds grow with its logarithm. Hashes keep sorted chains from being slow.
+    so that the rounds grow with its logarithm. The tables of the rounds, and the result, are written by ``keep``. Hashes keep sorted chains from being slow.
     """
     both = lambda x: x.select("a", "b").union(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     nodes = both(links).select(F.col("a").alias("id")).distinct()
     classes, edges, level = nodes.select("id", F.col("id").alias("class")), links.filter("a <> b").distinct(), 0
-    edges = staged(edges, "links")
+    edges = keep(edges, "links")
     while not edges.isEmpty():
         seed = F.lit(level)
         rank = lambda c: F.struct(F.xxhash64(c, seed).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         joins = both(edges).groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("m")).select(F.col("a").alias("x"), F.col("m.n").alias("y"))
-        joins = staged(joins, "joins")
-        classes = staged(classes.join(joins, F.col("class") == F.col("x"), "left").select("id", F.coalesce("y", "class").alias("class")), "classes")
+        joins = keep(joins, "joins")
+        classes = keep(classes.join(joins, F.col("class") == F.col("x"), "left").select("id", F.coalesce("y", "class").alias("class")), "classes")
         left, right = joins.toDF("a", "c"), joins.toDF("b", "d")
         renamed = edges.join(left, "a").join(right, "b").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        edges = staged(renamed.filter("a <> b").distinct(), "links")
+        edges = keep(renamed.filter("a <> b").distinct(), "links")
         level += 1
     least = classes.groupBy("class").agg(F.min("id").alias("component"))
-    return classes.join(least, "class").select("id", "component")
+    return keep(classes.join(least, "class").select("id", "component"), "components")

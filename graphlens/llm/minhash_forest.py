@@ -1,49 +1,50 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
 Documents with the same shingle set count once. Their signatures are sorted in several orders, one
-for each tree of the forest; neighbours with a long common prefix are candidates. A region, the
-rows that share a prefix of the least depth, is taken whole if it is small and by deeper prefixes
+for each tree of the forest; neighbours with a common prefix of the least depth are candidates. A region, the
+rows that share such a prefix, is taken whole if it is small and by deeper prefixes
 if it is large, so that the depth adapts to each region. Candidates whose signatures are too
 unlike are passed over (by more than five standard deviations), the others are confirmed on their
 full sets.
 
 Two passes keep large groups cheap: the first takes neighbours in a few of the trees and joins those
-that are confirmed; the second takes, in all trees, the pairs of each region that are not joined yet.
-Rows of regions that are large at the least depth and still hold several classes after both passes are
+that are confirmed; the second takes neighbours and small regions in all trees, of rows that aren't joined yet.
+Rows of large regions that still hold several classes after both passes are
 compared exactly, by a join on the rarest shingles of their sets (``crowded_pairs``).
 Joins with texts are sort-merge joins at every size.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows with the
-same set are linked whatever their number; a row with a null ``doc_id`` takes the class of an equal
-set, or null; rows that share a ``doc_id`` are judged each by its text; columns besides ``doc_id``
-and ``text`` are ignored; an empty table gives no rows.
+same set are linked whatever their number; rows that share a ``doc_id``, or have none, are judged each by its text;
+a class without any ``doc_id`` has a null component; columns besides ``doc_id``
+and ``text`` are ignored; an empty table gives no rows. ``drop_near_duplicates`` keeps all columns, whatever
+their names, and every row without words; of rows with the same ``doc_id`` and text it keeps one.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import U64, blocks, byte_values, mixed, partitions, prefix_sums, staged, text_buffers, texts, window_hashes
+from .bytewords import word_ranges
+from .common import U64, Scratch, blocks, mixed, partitions, range_hashes, staged, text_buffers, texts
 from .components import components
 
-#: Trees, depth at which a region begins and ends, rows of a region taken whole, and rows of a sorted run of the forest.
-TREES, LEAST_DEPTH, MOST_DEPTH, REGION, RUN_ROWS = 20, 4, 6, 64, 60_000
+#: Trees, depth at which a region begins and ends, rows of a region taken whole, and rows of a sorted run that a task holds.
+TREES, LEAST_DEPTH, MOST_DEPTH, REGION, RUN_ROWS = 20, 4, 6, 8, 60_000
 #: Trees of the first pass.
 FIRST_TREES = 4
 #: How far a signature's estimate may lie below the threshold.
 MARGIN = 0.2
 BLOCK = 1_000_000
-#: Rows of a shingle that one block of the exact join takes from each side, and the mark of a row of a large region.
-CROWD, LARGE = 1_000, -2
+#: Rows of a shingle that one block of the exact join takes from each side, the mark of a row of a large region, and 64-bit numbers in a parity map.
+CROWD, LARGE, MAP = 1_000, -2, 8
 
 _table = np.arange(256, dtype=np.uint8)
 _table[65:91] += 32
@@ -67,14 +68,8 @@ def _sets_of_block(part: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.
     if not len(part):
         yield from (np.zeros(0, U64) for _ in range(n))
         return
-    word = ~_SPACE[part]
-    cut = np.zeros(len(part) + 1, dtype=bool)
-    cut[at] = True
-    before = np.append(False, word[:-1]) & ~cut[:-1]
-    after = np.append(word[1:], False) & ~cut[1:]
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    hashes = window_hashes(prefix_sums(byte_values(part)), start, end)
-    firsts = np.searchsorted(start, at)
+    start, end, firsts = word_ranges(part, at, ~_SPACE)
+    hashes = range_hashes(part, start, end)
     with np.errstate(over="ignore"):
         whole = np.zeros(max(0, len(hashes) - width + 1), dtype=U64)
         for k in range(width):
@@ -100,22 +95,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(out) >> U64(48)).astype(">u2")
 
 
+def text_key() -> Column:
+    """Tells the texts of one ``doc_id`` apart."""
+    return F.xxhash64("text").alias("th")
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit keys of the set, and its signature (null for the empty set)."""
+    """doc_id, th, n_shingles, two 64-bit keys of the set, and its signature (null for the empty set)."""
 
     def run(batches):
         for batch in batches:
             n, one, two, signs = [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     one.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
                     two.append(int(mixed(s + U64(77)).sum(dtype=U64)) if len(s) else 0)
                 signs.append(signature(s).tobytes() if len(s) else None)
             keys = [pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *keys, pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *keys, pa.array(signs, pa.binary())], ["doc_id", "th", "n_shingles", "k1", "k2", "sig"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return texts(docs).select("doc_id", text_key(), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _trees(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def region_pairs(tree: np.ndarray, keys: np.ndarray, classes: np.ndarray, whole:
     """Pairs of places in one sorted run whose rows are candidates and of different classes.
 
     Not ``whole``: neighbours with a common prefix of the least depth. ``whole``: also all pairs of each
-    region that is small at some depth; of regions that stay large at the greatest depth, the first row with each.
+    region that is small at some depth.
     """
     n = len(tree)
     if n < 2:
@@ -150,66 +150,93 @@ def region_pairs(tree: np.ndarray, keys: np.ndarray, classes: np.ndarray, whole:
         low, high, depth = todo.pop()
         edges = np.flatnonzero(equal[low : high - 1] < depth) + low + 1
         starts, ends = np.append(low, edges), np.append(edges, high)
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            if b - a < 2 or (classes[a:b] == classes[a]).all():
+        several = ends - starts > 2  # neighbours are pairs already
+        for a, b in zip(starts[several].tolist(), ends[several].tolist()):
+            if (classes[a:b] == classes[a]).all():
                 continue
             if b - a <= REGION:
-                i, j = np.nonzero(np.triu(classes[a:b, None] != classes[None, a:b], 1))
+                i, j = np.nonzero(np.triu(classes[a:b, None] != classes[None, a:b], 2))
                 pairs += zip((i + a).tolist(), (j + a).tolist())
             elif depth < MOST_DEPTH:
                 todo.append((a, b, depth + 1))
-            else:
-                pairs += [(a, k) for k in range(a + 1, b) if classes[k] != classes[a]]
     return pairs
 
 
+def _region_edges(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the regions of the least depth of one sorted run begin, and the run's end."""
+    new = (tree[1:] != tree[:-1]) | (keys[1:, :LEAST_DEPTH] != keys[:-1, :LEAST_DEPTH]).any(axis=1)
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(tree)]])
+
+
 def large_regions(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places in one sorted run of the rows whose region of the least depth isn't taken whole."""
-    new = (tree[1:] != tree[:-1]) | (keys[1:, :LEAST_DEPTH] != keys[:-1, :LEAST_DEPTH]).any(axis=1)
-    edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(tree)]])
-    return np.flatnonzero(np.repeat(np.diff(edges) > REGION, np.diff(edges)))
+    sizes = np.diff(_region_edges(tree, keys))
+    return np.flatnonzero(np.repeat(sizes > REGION, sizes))
+
 
+def _keys_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["key"].to_pylist()), dtype=">u2").reshape(-1, MOST_DEPTH)
 
-def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> tuple[DataFrame, DataFrame]:
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A sorted partition as runs of about ``most`` rows that end with a region; a longer region goes on with its last ``REGION`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= most:
+            table = pa.Table.from_batches(held)
+            last = int(_region_edges(table["tree"].to_numpy(), _keys_of(table))[-2])
+            yield table.slice(0, last or size)
+            held = table.slice(last or size - REGION).combine_chunks().to_batches()
+            size = sum(b.num_rows for b in held)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(signed: DataFrame, whole: bool, percent: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a, b) of ``signed`` (id, sig, class, size), of different classes; and if ``whole`` the rows (tree, key, id) of large regions, by the key's least depth.
 
-    Pairs whose sizes alone rule out ``percent`` are left out: an intersection is no larger than the smaller set. Runs of the sorted orders are cut at any row; the rows beside a cut are looked at again, together.
+    Pairs whose sizes alone rule out ``percent`` are left out: an intersection is no larger than the smaller set. The sorted
+    orders are cut into partitions at any row; the rows beside a cut are looked at again, together.
     """
     trees = TREES if whole else FIRST_TREES
-    runs = max(1, math.ceil(n * trees / RUN_ROWS))
     rows = signed.select("id", "sig", "class", "size").mapInArrow(lambda batches: _trees(batches, trees), "tree int, key binary, id long, class long, size long")
-    ordered = rows.repartitionByRange(runs, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    ordered = rows.repartitionByRange(partitions(signed.sparkSession), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     schema = "a long, b long, cut int, tree int, key binary, id long, class long, size long"
     names, beside_names = [x.split()[0] for x in schema.split(", ")], ["a", "b", "tree", "key", "id"]
 
-    def keys_of(table):
-        return np.frombuffer(b"".join(table["key"].to_pylist()), dtype=">u2").reshape(-1, MOST_DEPTH)
-
     def pairs_of(table):
-        keys = keys_of(table)
-        pairs = region_pairs(table["tree"].to_numpy(), keys, table["class"].to_numpy(), whole)
+        pairs = region_pairs(table["tree"].to_numpy(), _keys_of(table), table["class"].to_numpy(), whole)
         at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
         size, ids = table["size"].to_numpy()[at], table["id"].to_numpy()[at]
         ids = ids[100 * size.min(axis=1) >= percent * size.max(axis=1)]
-        return pa.table({"a": ids.min(axis=1), "b": ids.max(axis=1)})
+        return pa.table({"a": ids.min(axis=1), "b": ids.max(axis=1)}).group_by(["a", "b"]).aggregate([])
 
     def large_of(table):
-        own = table.take(pa.array(large_regions(table["tree"].to_numpy(), keys_of(table)) if whole else [], pa.int64()))
+        own = table.take(pa.array(large_regions(table["tree"].to_numpy(), _keys_of(table)) if whole else [], pa.int64()))
         k = len(own)
         return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([LARGE] * k, pa.int32()), own["tree"], pc.binary_slice(own["key"], 0, 2 * LEAST_DEPTH), own["id"], own["class"], own["size"]], names)
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        found = pairs_of(table).group_by(["a", "b"]).aggregate([])
-        yield from pa.table([found["a"], found["b"], *[pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]], names).to_batches()
-        yield from large_of(table).to_batches()
-        part, side = TaskContext.get().partitionId(), REGION if whole else 1
-        for cut, own in ((part - 1, table.slice(0, side)), (part, table.slice(max(0, len(table) - side)))):
+        part, side, last = TaskContext.get().partitionId(), REGION if whole else 1, None
+
+        def beside(cut, own):
             k = len(own)
-            yield from pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([cut] * k, pa.int32()), own["tree"], own["key"], own["id"], own["class"], own["size"]], names).to_batches()
+            return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([cut] * k, pa.int32()), own["tree"], own["key"], own["id"], own["class"], own["size"]], names).to_batches()
+
+        for table in sorted_runs(batches, RUN_ROWS):
+            if last is None:
+                yield from beside(part - 1, table.slice(0, side))
+            found = pairs_of(table)
+            yield from pa.table([found["a"], found["b"], *[pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]], names).to_batches()
+            yield from large_of(table).to_batches()
+            last = table if last is None or len(table) >= side else pa.concat_tables([last, table])
+            last = last.slice(max(0, len(last) - side))
+        if last is not None:
+            yield from beside(part, last)
 
     def at_cut(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
@@ -218,8 +245,8 @@ def candidates(signed: DataFrame, n: int, whole: bool, percent: int) -> tuple[Da
         pairs = pa.table([found["a"], found["b"], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], beside_names)
         return pa.concat_tables([pairs, large.select(beside_names)])
 
-    out = staged(ordered.mapInArrow(run, schema), "forest")
-    beside = out.filter(f"cut <> {LARGE}").groupBy("cut").applyInArrow(at_cut, "a long, b long, tree int, key binary, id long")  # rows of a region at most, on either side
+    out = keep(ordered.mapInArrow(run, schema), "forest")
+    beside = out.filter(f"cut <> {LARGE}").groupBy("cut").applyInArrow(at_cut, "a long, b long, tree int, key binary, id long")  # REGION rows at most, on either side
     every = out.filter(f"cut is null or cut = {LARGE}").select(*beside_names).union(beside)
     return every.filter("a is not null").select("a", "b").distinct(), every.filter("a is null").select("tree", "key", "id")
 
@@ -262,78 +289,127 @@ def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
     return large.join(several.select("tree", "key").hint("merge"), ["tree", "key"], "left_semi").select("id").distinct()
 
 
-def crowded_pairs(bodies: DataFrame, width: int, percent: int) -> DataFrame:
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """64 * MAP bits; a bit is the parity of the shingles that fall on it, so that maps differ in no more bits than sets in shingles."""
+    bits = np.bincount((mixed(shingles + U64(5)) % U64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
+def crowded_pairs(bodies: DataFrame, width: int, percent: int, keep: Callable = staged) -> DataFrame:
     """Distinct pairs (a, b) of ``bodies`` (id, text, class), of different classes, that may meet ``percent``: none that does is missing.
 
     Shingles are ordered from the rarest. Sets of n and m <= n shingles that meet the threshold share at least percent * (n + m) /
-    (100 + percent), so that the first one they share stands early in both; how much can follow it bounds the pair. A frequent
-    shingle is compared in blocks of its rows, and one that only a single class holds isn't compared.
+    (100 + percent), so that the first one they share stands early in both; how much can follow it, and how many bits of the
+    parity maps differ, bound the pair. A frequent shingle is compared in blocks of its rows, and one that only a single class
+    holds isn't compared.
     """
+    maps = [f"m{k}" for k in range(MAP)]
 
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), width))
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            own = batch.take(pa.array(np.repeat(np.arange(len(n)), n))).select([0, 2, 3])
-            tokens = np.concatenate([np.zeros(0, U64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.repeat(n, n)), pa.array(tokens)], ["id", "class", "row", "n", "token"])
+            own = [batch.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))], ["id", "class", "token"])
+
+    def measured(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1), width))
+            found = np.array([parity_map(s) for s in sets]).reshape(-1, MAP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], ["id", "class", "n", *maps])
 
-    tokens = staged(bodies.select("id", "text", "class", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "id long, class long, row long, n long, token long"), "tokens")
+    rows = keep(bodies.select("id", "text", "class").mapInArrow(measured, "id long, class long, n long, " + ", ".join(f"{m} long" for m in maps)), "maps")
+    tokens = keep(bodies.select("id", "text", "class").mapInArrow(run, "id long, class long, token long"), "tokens")
     known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"))
-    known = known.selectExpr("token", "rows", "low <> high as several")
-    place = F.row_number().over(W.partitionBy("row").orderBy("rows", "token")) - 1
-    early = tokens.join(known.hint("merge"), "token").withColumn("place", place)
-    early = early.filter(f"place <= n - (({percent} * n + 99) div 100) and several").withColumn("parts", F.expr(f"int((rows + {CROWD - 1}) div {CROWD})"))
-    early = staged(early.select("id", "class", "n", "token", "place", "parts"), "early")
+    known = known.filter("rows > 1").selectExpr("token", "rows", "low <> high as several")  # shingles of one row are the rarest, and shared with none
+    own = W.partitionBy("id")
+    early = tokens.select("id", "token").join(known.hint("merge"), "token")
+    early = early.withColumn("later", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("rows", "token")))
+    early = early.filter("several").select("id", "token", "later", F.expr(f"int((rows + {CROWD - 1}) div {CROWD})").alias("parts"))
+    early = early.join(rows.hint("merge"), "id").withColumn("place", F.expr("n - 1 - later"))
+    early = keep(early.filter(f"place <= n - (({percent} * n + 99) div 100)").drop("later"), "early")
     part, parts = F.expr("int(pmod(xxhash64(id), parts))"), F.expr("explode(sequence(0, parts - 1))")
-    one = early.select("token", part.alias("p"), parts.alias("q"), F.col("id").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("at_x"))
-    two = early.filter(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent})")
-    two = two.select("token", parts.alias("p"), part.alias("q"), F.col("id").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("at_y"))
-    fits = f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(nx - at_x, ny - at_y) >= {percent} * (nx + ny)"
+
+    def side(letter, p, q):
+        return [F.col("token"), p.alias("p"), q.alias("q"), F.col("id").alias(letter), F.col("class").alias(f"c{letter}"), F.col("n").alias(f"n{letter}"), F.col("place").alias(f"at_{letter}"), *[F.col(m).alias(f"{letter}{m}") for m in maps]]
+
+    one = early.select(*side("x", part, parts))
+    two = early.filter(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent})").select(*side("y", parts, part))
+    differ = " + ".join(f"bit_count(x{m} ^ y{m})" for m in maps)
+    fits = (
+        f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(nx - at_x, ny - at_y) >= {percent} * (nx + ny)"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * (nx + ny)"
+    )
     found = one.hint("merge").join(two, ["token", "p", "q"]).filter(fits)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    all_rows = staged(sketches(docs, width), "sketches")
-    keys = ["n_shingles", "k1", "k2"]
-    firsts = all_rows.filter("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    firsts = staged(firsts, "sets")
-    signed = firsts.filter("id is not null").select("id", "sig", F.col("id").alias("class"), F.col("n_shingles").alias("size"))
-    n = signed.count()
-
-    pairs = staged(_likely(candidates(signed, n, False, percent)[0], signed, percent / 100), "likely")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    bodies = staged(texts(docs).withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi"), "bodies")
-    links = staged(confirmed(pairs, bodies, width, percent).distinct(), "confirmed")
-
-    joined = components(links)
-    again = staged(signed.drop("class").join(joined, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("class"), "size"), "classed")
-    found, large = candidates(again, n, True, percent)
-    rest = staged(_likely(found, signed, percent / 100), "rest")
-    more = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct().join(wanted, "id", "left_anti")
-    bodies = bodies.union(texts(docs).withColumnRenamed("doc_id", "id").join(more.hint("merge"), "id", "left_semi"))
-    links = staged(links.union(confirmed(rest, bodies, width, percent)).distinct(), "all-links")
-    final = components(links)
-
-    classes = staged(signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class")).distinct(), "classes")
-    crowd = staged(crowded(large, classes), "crowded")
+_SET = ["n_shingles", "k1", "k2"]
+
+
+def _classified(docs: DataFrame, width: int, percent: int, keep: Scratch) -> DataFrame:
+    """doc_id, th and n_shingles of every row, ``class`` (a number of its class; null for the empty set) and component_id."""
+    rows = keep(sketches(docs, width), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
+    sets = rows.filter("n_shingles > 0").groupBy(*_SET).agg(least, F.first("sig").alias("sig"))
+    sets = keep(sets.select(*_SET, F.monotonically_increasing_id().alias("id"), "least.doc_id", "least.th", "sig"), "sets")
+    signed = sets.select("id", "sig", F.col("id").alias("class"), F.col("n_shingles").alias("size"))
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        """id and text of sets, each by its first row."""
+        wanted = sets.select("id", "doc_id", "th").join(ids.hint("merge"), "id", "left_semi").withColumnRenamed("doc_id", "own").withColumnRenamed("th", "own_th")
+        found = texts(docs).select("doc_id", text_key(), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
+        return keep(found.select("id", "text").dropDuplicates(["id"]), "bodies")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+    pairs = keep(_likely(candidates(signed, False, percent, keep)[0], signed, percent / 100), "likely")
+    wanted = keep(ends(pairs), "wanted")
+    known = bodies(wanted)
+    links = keep(confirmed(pairs, known, width, percent).distinct(), "confirmed")
+
+    joined = components(links, keep)
+    again = keep(signed.drop("class").join(joined, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("class"), "size"), "classed")
+    found, large = candidates(again, True, percent, keep)
+    rest = keep(_likely(found, signed, percent / 100), "rest")
+    known = known.union(bodies(ends(rest).join(wanted, "id", "left_anti")))
+    links = keep(links.union(confirmed(rest, known, width, percent)).distinct(), "all-links")
+    final = components(links, keep)
+
+    classes = keep(signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
+    crowd = keep(crowded(large, classes), "crowded")
     if not crowd.isEmpty():
-        own = texts(docs).withColumnRenamed("doc_id", "id").join(crowd.join(classes, "id").hint("merge"), "id")
-        own = staged(own, "crowd")
-        last = staged(crowded_pairs(own, width, percent), "crowded-pairs")
-        more = staged(confirmed(last, own.select("id", "text"), width, percent).distinct(), "crowd-links")
-        final = final if more.isEmpty() else components(links.union(more))
-
-    classed = firsts.join(final, "id", "left").select(*keys, F.coalesce("component", "id").alias("component_id"))
-    out = all_rows.select("doc_id", *keys).join(classed, keys, "left")
+        own = keep(bodies(crowd).join(classes, "id"), "crowd")
+        last = keep(crowded_pairs(own, width, percent, keep), "crowded-pairs")
+        more = keep(confirmed(last, own.select("id", "text"), width, percent).distinct(), "crowd-links")
+        if not more.isEmpty():
+            final = components(links.union(more), keep)
+            classes = signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class"))
+
+    members = keep(sets.select(*_SET, "id", "doc_id").join(classes, "id"), "members")
+    named = members.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    classed = members.select(*_SET, "class").join(named, "class")
+    out = rows.select("doc_id", "th", *_SET).join(classed, _SET, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "th", "n_shingles", "class", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    with Scratch(docs.sparkSession, "near") as keep:
+        out = _classified(docs, width, percent, keep).select("doc_id", "n_shingles", "component_id")
+        return staged(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-classes")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, with its columns."""
-    kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").cast("long").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each class of ``docs``, that of the smallest ``doc_id``, with its columns."""
+    number = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
+    with Scratch(docs.sparkSession, "near") as keep:
+        rows = keep(_classified(docs, width, percent, keep), "rows")
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+        firsts = rows.filter("class is not null").groupBy("class").agg(F.min(order).alias("first")).select("first.doc_id", "first.th")
+        kept = staged(firsts.union(rows.filter("class is null").select("doc_id", "th").distinct()).select(number.alias("k"), "th"), "near-kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("k")
+    packed = docs.select(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.struct("*").alias("row"))
+    return packed.groupBy("k", "th").agg(F.first("row").alias("row")).join(kept.hint("merge"), ["k", "th"], "left_semi").select("row.*")

@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer encodes each pre-token by itself, so a text's ids are the ids of its
 pre-tokens in a row. Splitting is done with numpy over the code points of many texts at once;
-each distinct word goes to its encoder once and is found by hash after that.
+each distinct word goes to its encoder once and is found by hash after that. Every hit is compared code point by
+code point, so that words which share a hash keep their own ids.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import regex
 
-from .common import U64, mixed, prefix_sums, window_hashes
+from .common import U64, mixed, ring_sums, ring_windows
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _NONE = 255
@@ -118,17 +119,44 @@ def word_level_starts(cp: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, n
     return at, cls[at] != SPACE
 
 
+def ranges(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + sizes[0] - 1, start[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(start - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Lists:
+    """Lists of numbers, one after the other in a growing array."""
+
+    def __init__(self):
+        self.flat, self.used, self.n = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+        self.offsets, self.lengths = np.zeros((2, 1 << 14), dtype=np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = self.n + len(lengths)
+        while n > len(self.offsets):
+            self.offsets, self.lengths = np.concatenate([self.offsets, self.offsets * 0]), np.concatenate([self.lengths, self.lengths * 0])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat * 0])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.offsets[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : n] = lengths
+        self.used, self.n = self.used + len(flat), n
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the rows in a row, and how many each has."""
+        lengths = self.lengths[rows]
+        return self.flat[ranges(self.offsets[rows], lengths)], lengths
+
+
 class WordTable:
-    """Open-addressing hash table from 64-bit hashes to rows of ids."""
+    """Open-addressing hash table from 64-bit hashes to rows of ids, and each row's code points."""
 
     def __init__(self, bits: int = 17):
         self.keys = np.zeros(1 << bits, dtype=U64)
         self.rows = np.zeros(1 << bits, dtype=np.int32)
         self.n = 0
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.offsets = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.ids, self.chars = _Lists(), _Lists()
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each hash, or -1."""
@@ -159,33 +187,28 @@ class WordTable:
             self.rows[slot[done]] = rows[done]
             hashes, rows, slot = hashes[~done], rows[~done], (slot[~done] + U64(1)) & mask
 
-    def add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
-        """New rows for distinct hashes that aren't in the table."""
-        n = self.n + len(hashes)
+    def add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, chars: np.ndarray | None = None, sizes: np.ndarray | None = None) -> None:
+        """New rows for distinct hashes that aren't in the table; without hashes, rows that no hash finds."""
+        n = self.n + len(lengths)
         if 2 * n > len(self.keys):
             old, rows = self.keys, self.rows
             bits = (4 * n).bit_length()
             self.keys, self.rows = np.zeros(1 << bits, dtype=U64), np.zeros(1 << bits, dtype=np.int32)
             full = old != 0
             self._place(old[full], rows[full])
-        while n > len(self.offsets):
-            self.offsets, self.lengths = np.concatenate([self.offsets, self.offsets * 0]), np.concatenate([self.lengths, self.lengths * 0])
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.offsets[self.n : n] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.n : n] = lengths
-        self._place(hashes, np.arange(self.n, n, dtype=np.int32))
-        self.used += len(flat)
+        self.ids.add(flat, lengths)
+        self.chars.add(np.zeros(0, np.uint32) if chars is None else chars, lengths * 0 if sizes is None else sizes)
+        self._place(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
         self.n = n
 
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the rows in a row, and how many each has."""
-        lengths = self.lengths[rows]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.offsets[rows] - (ends - lengths), lengths) + np.arange(total)
-        return self.flat[at], lengths
+    def others(self, rows: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of the words cp[start : end] that aren't those of their rows."""
+        sizes = end - start
+        same = self.chars.lengths[rows] == sizes
+        own, known = ranges(start[same], sizes[same]), self.chars.gather(rows[same])[0]
+        wrong = np.flatnonzero(cp[own] != known)
+        same[np.flatnonzero(same)[np.searchsorted(np.cumsum(sizes[same]), wrong, "right")]] = False
+        return np.flatnonzero(~same)
 
 
 class CachedEncoder:
@@ -233,22 +256,28 @@ class CachedEncoder:
         start, real = self.starts(cp, firsts)
         end = np.append(start[1:], len(cp))
         start, end = start[real], end[real]
-        hashes = window_hashes(prefix_sums(_code_values(cp)), start, end)
+        hashes = ring_windows(ring_sums(_code_values(cp)), start, end)
         hashes[hashes == 0] = 1
         rows = self.table.find(hashes)
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            data = cp.tobytes()
-            words = [data[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start[missing[first]].tolist(), end[missing[first]].tolist())]
-            flat, lengths = self.encode_words(words)
             rows[missing] = self.table.n + back
-            self.table.add(new, flat, lengths)
-        ids, lengths = self.table.gather(rows)
+            self._learn(new, cp, start[missing[first]], end[missing[first]])
+        others = self.table.others(rows, cp, start, end)
+        if len(others):
+            rows[others] = self.table.n + np.arange(len(others))
+            self._learn(np.zeros(0, U64), cp, start[others], end[others])
+        ids, lengths = self.table.ids.gather(rows)
         sums = np.append(0, np.cumsum(lengths))
         at = np.searchsorted(start, np.append(ends - sizes, len(cp)), "left")
         return len(texts), ids, np.diff(sums[at])
 
+    def _learn(self, hashes: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        data = cp.tobytes()
+        words = [data[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(start.tolist(), end.tolist())]
+        self.table.add(hashes, *self.encode_words(words), cp[ranges(start, end - start)], end - start)
+
 
 def library_words(tokenizer) -> Callable:
     """Encodes words with the tokenizers library."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ASCII_LOWER, sums, word_ranges
-from .common import U64, blocks, byte_values, prefix_sums, staged, text_buffers, texts, window_hashes
+from .common import U64, blocks, range_hashes, staged, text_buffers, texts
 from .spotsigs import _ANTECEDENTS
 
 #: Rows that the scorer learns from at most, its number of hashed features, and the score from which a document is kept.
@@ -56,11 +56,10 @@ def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     size = np.maximum(np.diff(at), 1)
     start, end, firsts = word_ranges(part, at)
     low = ASCII_LOWER[part]
-    words = window_hashes(prefix_sums(byte_values(low)), start, end)
+    words = range_hashes(low, start, end)
     n_words = np.maximum(np.diff(firsts), 1)
     letters = np.maximum(sums(_UPPER[part] | _LOWER[part], at), 1)
     distinct, repeats = np.zeros(len(size)), np.zeros(len(size))
-    line_sums = prefix_sums(byte_values(part))
     breaks = np.flatnonzero(_LINE[part])
     for k in range(len(size)):
         own = words[firsts[k] : firsts[k + 1]]
@@ -72,7 +71,7 @@ def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         a, b = np.append(at[k], inner + 1), np.append(inner, at[k + 1])
         a, b = a[b > a], b[b > a]
         if len(a):
-            repeats[k] = 1 - len(np.unique(window_hashes(line_sums, a, b))) / len(a)
+            repeats[k] = 1 - len(np.unique(range_hashes(part[at[k] : at[k + 1]], a - at[k], b - at[k]))) / len(a)
     share = lambda kind: sums(kind[part], at) / size
     return {
         "symbols": share(_SYMBOL),
@@ -131,9 +130,10 @@ def hashed(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each white-space word and of its shape, in a row, and the bounds of each text."""
     dark = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
     start, end, firsts = word_ranges(part, at, dark)
-    word = window_hashes(prefix_sums(byte_values(ASCII_LOWER[part])), start, end)
-    shape = window_hashes(prefix_sums(byte_values(_SHAPE[part])), start, np.minimum(end, start + 3))
-    tail = window_hashes(prefix_sums(byte_values(_SHAPE[part])), np.maximum(start, end - 3), end)
+    word = range_hashes(ASCII_LOWER[part], start, end)
+    shapes = _SHAPE[part]
+    shape = range_hashes(shapes, start, np.minimum(end, start + 3))
+    tail = range_hashes(shapes, np.maximum(start, end - 3), end)
     half = U64(FEATURES // 4)
     out = np.stack([word % half, shape % half + half, tail % half + half * U64(2)], axis=1).astype(np.int64)
     return out.ravel(), 3 * firsts

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ASCII_LOWER, word_ranges
-from .common import U64, blocks, byte_values, mixed, partitions, prefix_sums, text_buffers, texts, window_hashes, with_nulls_first
+from .common import U64, blocks, mixed, partitions, range_hashes, text_buffers, texts, with_nulls_first
 
 # Common words of English, German, French and Spanish that serve as antecedents.
 ANTECEDENTS = """
@@ -43,7 +43,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     out = []
     for w in words:
         raw = np.frombuffer(w.encode(), dtype=np.uint8)
-        out.append(window_hashes(prefix_sums(byte_values(raw)), np.array([0]), np.array([len(raw)]))[0])
+        out.append(range_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
     return np.unique(np.array(out, dtype=U64))
 
 
@@ -68,8 +68,7 @@ def signature_sets(column) -> Iterator[np.ndarray]:
             yield from (np.zeros(0, U64) for _ in range(last - first))
             continue
         start, end, firsts = word_ranges(part, at)
-        sums = prefix_sums(byte_values(part))
-        words = window_hashes(sums, start, end)
+        words = range_hashes(part, start, end)
         content = ~np.isin(words, _ANTECEDENTS)
         places = np.flatnonzero(content)
         spots = np.flatnonzero(~content)
@@ -89,7 +88,7 @@ def signature_sets(column) -> Iterator[np.ndarray]:
                 elif len(own):
                     own = _joined(*[own[i : i + 1] for i in range(len(own))])
                 elif at[k + 1] > at[k]:
-                    own = window_hashes(sums, at[k : k + 1], at[k + 1 : k + 2])
+                    own = range_hashes(part[at[k] : at[k + 1]], np.array([0]), at[k + 1 : k + 2] - at[k])
             yield np.unique(own >> U64(64 - 8 * WIDTH))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ASCII_LOWER, IN_WORD, sums, word_ranges
-from .common import U64, blocks, byte_values, partitions, prefix_sums, staged, text_buffers, texts, window_hashes
+from .common import U64, blocks, partitions, range_hashes, staged, text_buffers, texts
 from .spotsigs import _hashes
 
 #: Labelled rows that are learned from at most, learned entries of the lexicon at most, toxic documents that
@@ -48,10 +48,10 @@ _CAPITAL[65:91] = True
 
 def _terms(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Hashes of the words and of their beginnings (0 where a word is no longer)."""
-    at = prefix_sums(byte_values(_PLAIN[part]))
-    out = [window_hashes(at, start, end)]
+    plain = _PLAIN[part]
+    out = [range_hashes(plain, start, end)]
     for k in STEMS:
-        stem = window_hashes(at, start, np.minimum(end, start + k)) ^ U64(k)
+        stem = range_hashes(plain, start, np.minimum(end, start + k)) ^ U64(k)
         out.append(np.where(end - start > k, stem, U64(0)))
     return out
 

@@ -74,3 +74,22 @@ def test_odd_rows(spark):
     assert got == sorted(want, key=repr)
     assert minhash_forest.near_duplicates(docs.limit(0)).count() == 0
     assert minhash_forest.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_rows_of_one_id_and_clashing_columns(spark):
+    one, two = "a b c d e f g h", "q r s t u v w x"
+    rows = [(5, one, "r", "c"), (5, two, "s", "d"), (2, one, "t", "e"), (5, two, "s", "d"), (None, two, "u", "f"), (None, "z y x w v", "v", "g"), (7, None, "w", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_kept_id` string, class string").withColumnRenamed("class", "th")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(5, 4, 2), (5, 4, 5), (2, 4, 2), (5, 4, 5), (None, 4, 5), (None, 1, None), (7, 0, 7)], key=repr)
+    kept = minhash_forest.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[2], rows[1], rows[5], rows[6]], key=repr)
+    assert minhash_forest.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_words_of_one_polynomial_hash(spark):
+    ones = [bin(k).count("1") % 2 for k in range(2048)]
+    rows = [(1, "".join("ab"[x] for x in ones)), (2, "".join("ba"[x] for x in ones)), (3, "word " * 3000 + "x"), (4, "word " * 9000 + "x")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 3)}

@@ -46,6 +46,18 @@ def test_any_text(texts):
         assert ids_of(name, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n):
+    """Two words of n letters that a polynomial hash modulo 2**64 can't tell apart (n >= 1024)."""
+    ones = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+def test_words_of_one_hash():
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)] * 2
+    for name in FILES:
+        assert ids_of(name, texts) == [LIBS[name].encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_table_finds_what_it_holds():
     table = WordTable(bits=4)
     rng = np.random.default_rng(1)
