@@ -68,6 +68,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Keys of a join that are hot at most: those with more than this part of all rows each.
+HOT_KEYS = 2_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``counted`` (one row a key, its number of rows in ``n``, which is left out); ``total`` rows in all.
+
+    The keys with more than total / HOT_KEYS rows are HOT_KEYS at most and are broadcast; the others meet in a
+    sort-merge join. So no task takes all rows of a hot key.
+    """
+    limit = max(total // HOT_KEYS, 1)
+    hot = counted.filter(F.col("n") > limit)
+    few = rows.join(F.broadcast(hot.drop("n")), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.filter(F.col("n") <= limit).drop("n").hint("merge"), keys)
+    return few.unionByName(rest)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (long), ``text`` (null: empty) and the named further columns; all else is dropped."""
     return docs.select(

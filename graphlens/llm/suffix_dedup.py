@@ -10,11 +10,17 @@ around anchors that occur again: a context is what a string of ``least`` bytes o
   backward by one byte at a time, breadth first, splits them by that column. A suffix's common prefix
   with its neighbours grows by one with each step, and where it comes to ``least`` the string is
   repeated. An interval of one suffix is left; no step goes beyond ``least``.
-* An anchor with more contexts than a task should hold is settled by counting the hashes of all its strings.
+* An anchor with more contexts than a task should hold is divided by the steps that its strings go back. The
+  strings of one range of steps agree in the bytes that all of them hold, so that contexts need to be compared only where these
+  are equal, and only as far as the range goes; contexts that are identical so far count once. Ranges
+  are divided again while one holds too many, down to single steps, where one context is left.
+
+Equal contexts are told by 128 bits of BLAKE2b, all other equality by the bytes.
 
 Defined results: null and empty texts have no bytes; a repeated row is a document with the same text,
 so all strings of both are repeated; a null ``doc_id`` stays null; an empty table gives no rows;
-columns besides ``doc_id`` and ``text`` don't matter.
+columns besides ``doc_id`` and ``text`` don't matter, whatever their names. ``strip_repeats`` keeps every row, a
+null text stays null, and a text that is all repeated becomes empty.
 """
 
 from __future__ import annotations
@@ -25,39 +31,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, blocks, byte_values, mixed, prefix_sums, staged, text_buffers, texts, window_hashes, with_fields
+from .common import U64, Scratch, blocks, byte_values, join_counted, ring_sums, ring_windows, staged, text_buffers, texts
 
 LEAST = 400
 BLOCK = 1_000_000
-#: Contexts that one task compares at once, and those of one anchor beyond which its strings are counted instead.
-GROUP_CONTEXTS, HOT_CONTEXTS = 20_000, 100_000
+#: Contexts that one task compares at once, and parts into which a range of steps is divided.
+GROUP_CONTEXTS, PARTS = 20_000, 8
 
 _KEY = ["dk", "rid"]
-_ANCHORS = "dk long, rid long, pos int, before int, after int, fp long, ctx long"
+_ANCHORS = "dk long, rid long, pos int, before int, after int, fp long, c1 long, c2 long"
+_CONTEXT = "dk long, rid long, pos int, before int, after int, fp long, bytes binary"
+_CELLS = "dk long, rid long, pos int, before int, after int, fp long, bytes binary, lo int, hi int, c1 long, c2 long"
+_SPANS = "dk long, rid long, s int, e int"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _digest(raw, before: int) -> bytes:
+    """128 bits that tell contexts apart, with the place of the anchor."""
+    return hashlib.blake2b(raw, digest_size=16, salt=before.to_bytes(8, "little")).digest()
 
 
 def gram_bytes(least: int) -> int:
     return max(1, least // 4)
 
 
+def _row_keys(text: Column, doc_id: Column) -> list[Column]:
+    """dk and rid tell rows apart, but for repeated ones."""
+    doc_id = doc_id.cast("long")
+    return [F.coalesce(doc_id, F.lit(-(2**63)).cast("long")).alias("dk"), F.xxhash64(F.coalesce(text, F.lit("")), doc_id).alias("rid")]
+
+
 def _identified(docs: DataFrame) -> DataFrame:
-    """dk and rid tell rows apart, but for repeated ones; and text."""
-    return texts(docs).select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("dk"), F.xxhash64("text", "doc_id").alias("rid"), "text", "doc_id")
+    """dk, rid, text and doc_id."""
+    return texts(docs).select(*_row_keys(F.col("text"), F.col("doc_id")), "text", "doc_id")
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a block of texts: text, place in it, bytes of the context before and after, gram hash, context hash."""
+    """Anchors of a block of texts: text, place in it, bytes of the context before and after, gram hash, and two numbers of the context's digest."""
     k = gram_bytes(least)
     span = least - k + 1
     lengths = np.diff(offsets)
     if len(data) < least or lengths.max() < least:
-        return (np.zeros(0, np.int64),) * 6
-    sums = prefix_sums(byte_values(data))
+        return (np.zeros(0, np.int64),) * 7
+    sums = ring_sums(byte_values(data))
     at = np.arange(len(data) - k + 1)
-    grams = window_hashes(sums, at, at + k)
+    grams = ring_windows(sums, at, at + k)
     bits = U64(max(20, len(grams).bit_length()))
     low = (grams >> bits << bits) | at.astype(U64)
     reach = 1
@@ -75,23 +100,22 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     text = np.searchsorted(offsets, chosen, "right") - 1
     place = chosen - offsets[text]
     before, after = np.minimum(place, least - k), np.minimum(lengths[text] - place, least)
-    with np.errstate(over="ignore"):
-        context = mixed(window_hashes(sums, chosen - before, chosen + after) + (before * 65536 + after).astype(U64))
-    return text, place, before, after, grams[chosen].view(np.int64), context.view(np.int64)
+    raw = data.tobytes()
+    found = b"".join([_digest(raw[c - x : c + y], x) for c, x, y in zip(chosen.tolist(), before.tolist(), after.tolist())])
+    context = np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+    return text, place, before, after, grams[chosen].view(np.int64), context[:, 0].copy(), context[:, 1].copy()
 
 
 def anchors(rows: DataFrame, least: int) -> DataFrame:
-    names = [x.split()[0] for x in _ANCHORS.split(", ")]
-
     def run(batches):
         for batch in batches:
             dk, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = text_buffers(batch.column(2))
             for first, last in blocks(offsets, BLOCK):
                 part = data[offsets[first] : offsets[last]]
-                text, place, before, after, fp, ctx = anchors_of(part, offsets[first : last + 1] - offsets[first], least)
+                text, place, before, after, *numbers = anchors_of(part, offsets[first : last + 1] - offsets[first], least)
                 small = [pa.array(x.astype(np.int32)) for x in (place, before, after)]
-                yield pa.RecordBatch.from_arrays([pa.array(dk[first + text]), pa.array(rid[first + text]), *small, pa.array(fp), pa.array(ctx)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(dk[first + text]), pa.array(rid[first + text]), *small, *map(pa.array, numbers)], _names(_ANCHORS))
 
     return rows.select(*_KEY, "text").mapInArrow(run, _ANCHORS)
 
@@ -180,14 +204,9 @@ def _compared(least: int):
     return run
 
 
-_SPANS = "dk long, rid long, s int, e int"
-
-
 def _contexts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (keys, pos, before, after, fp) with the ``bytes`` of each context."""
     places = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "before", "after", "fp")).alias("at"))  # of one document
-    schema = "dk long, rid long, pos int, before int, after int, fp long, bytes binary"
-    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -195,63 +214,85 @@ def _contexts(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = text.encode()
                 rows = [(dk, rid, x["pos"], x["before"], x["after"], x["fp"], raw[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in at]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _names(_CONTEXT))
 
-    return bodies.dropDuplicates(_KEY).join(places.hint("merge"), _KEY).select(*_KEY, "text", "at").mapInArrow(run, schema)
+    return bodies.dropDuplicates(_KEY).join(places.hint("merge"), _KEY).select(*_KEY, "text", "at").mapInArrow(run, _CONTEXT)
 
 
-def _counted(contexts: DataFrame, least: int) -> DataFrame:
-    """Spans of hot anchors: their strings are hashed, and the hashes counted."""
-    schema = with_fields(contexts.select(*_KEY, "pos", "fp").schema, "step int, hash long, check long")
+def _cells(level: DataFrame, least: int) -> DataFrame:
+    """Contexts with a range of steps (lo, hi), divided: as far as each part of the range goes, and by the bytes that all its strings hold."""
+
+    def divided(dk, rid, pos, before, after, fp, raw, lo, hi):
+        width = -(-(hi - lo + 1) // PARTS)
+        for low in range(lo, hi + 1, width):
+            high = min(low + width - 1, hi)
+            b, a = min(before, high), min(after, least - low)
+            if b < low or b + a < least:  # no string of this context goes back so far
+                continue
+            held = raw[before - low : before + least - high]
+            own = raw[before - b : before + a]
+            group = hashlib.blake2b(held, digest_size=8, salt=low.to_bytes(8, "little"), person=fp.to_bytes(8, "little", signed=True)).digest()
+            one = _digest(own, b)
+            yield dk, rid, pos, b, a, int.from_bytes(group, "little", signed=True), own, low, high, int.from_bytes(one[:8], "little", signed=True), int.from_bytes(one[8:], "little", signed=True)
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
-            own = batch.select([*_KEY, "pos", "fp"])
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("bytes")[i].as_buffer(), dtype=np.uint8)
-                before = batch.column("before")[i].as_py()
-                start = np.arange(min(before, len(raw) - least) + 1)
-                if len(raw) < least:
-                    continue
-                hashes = [window_hashes(prefix_sums(v), start, start + least).view(np.int64) for v in (byte_values(raw), byte_values(raw ^ np.uint8(0xA5)))]
-                repeated = [c.take(pa.array(np.full(len(start), i))) for c in own.columns]
-                yield pa.RecordBatch.from_arrays([*repeated, pa.array((before - start).astype(np.int32)), *map(pa.array, hashes)], schema.names)
-
-    rows = staged(contexts.mapInArrow(run, schema), "strings")
-    key = ["fp", "step", "hash", "check"]
-    several = rows.groupBy(*key).count().filter("count > 1").drop("count")
-    hits = rows.join(several, key).groupBy(*_KEY, "pos", "fp").agg(F.min("step").alias("low"), F.max("step").alias("high"))
-    return hits.select(*_KEY, (F.col("pos") - F.col("high")).cast("int").alias("s"), (F.col("pos") - F.col("low") + least).cast("int").alias("e"))
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST, hot: int = HOT_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+            rows = [cell for row in zip(*(c.to_pylist() for c in batch.columns)) for cell in divided(*row)]
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _names(_CELLS))
+
+    return level.select(*_names(_CELLS)[:-2]).mapInArrow(run, _CELLS)
+
+
+def _settled(rows: DataFrame, kinds: DataFrame, total: int, least: int) -> DataFrame:
+    """The spans of ``rows`` (key, pos, before, after, fp, c1, c2) whose whole context stands elsewhere, at ``kinds`` with n > 1."""
+    several = kinds.filter("n > 1").select("fp", "c1", "c2", "n")
+    found = join_counted(rows.filter(F.col("before") + F.col("after") >= least), several, ["fp", "c1", "c2"], total)
+    return found.select(*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+
+
+def _sized(kinds: DataFrame, total: int) -> DataFrame:
+    """``kinds`` of the groups (fp) with several of them, and their number as ``size``."""
+    sizes = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("n", F.col("size"))
+    return join_counted(kinds.drop("n"), sizes, ["fp"], total)
+
+
+def repeated_spans(docs: DataFrame, least: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """Spans (dk, rid, s, e) of repeated bytes, which may overlap, and the rows with repeated anchors (dk, rid, text)."""
     rows = _identified(docs)
-    found = staged(anchors(rows, least), "anchors")
-    counted = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("one"), F.max("ctx").alias("other")).filter("n > 1")
-    counted = staged(counted.select("fp", (F.col("one") == F.col("other")).alias("alike")), "counted")  # so that the join can split a hot anchor
-    again = staged(found.join(counted.hint("merge"), "fp"), "repeated")
+    found = keep(anchors(rows, least), "anchors")
+    total = found.count()
+    one = F.struct("c1", "c2")
+    counted = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"), F.max(one).alias("other")).filter("n > 1")
+    counted = keep(counted.select("fp", "n", (F.col("one") == F.col("other")).alias("alike")), "counted")
+    again = keep(join_counted(found, counted, ["fp"], total), "repeated")
     keys = again.select(*_KEY).distinct()
-    bodies = staged(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
+    bodies = keep(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
 
     whole = F.col("before") + F.col("after") >= least
-    span = [*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e")]
-    alike = again.filter("alike").filter(whole).select(*span)
-    mixed_rows = again.filter(~F.col("alike")).drop("alike")
-    kinds = mixed_rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "pos", "before", "after")).alias("first"))
-    kinds = staged(kinds, "contexts")
-    copies = mixed_rows.join(kinds.filter("n > 1").select("fp", "ctx"), ["fp", "ctx"]).filter(whole).select(*span)
-
-    sizes = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("size"))
-    firsts = kinds.join(sizes, "fp").select("first.*", "fp", "size")
-    contexts = staged(_contexts(bodies, firsts.drop("size")).join(sizes, "fp"), "compared")
-    groups = max(1, math.ceil(contexts.count() / GROUP_CONTEXTS))
-    usual = contexts.filter(F.col("size") <= hot).withColumn("part", F.pmod("fp", F.lit(groups)))
-    compared = usual.repartition(groups, "part").groupBy("part").applyInArrow(_compared(least), _SPANS)
-    out = alike.union(copies).union(compared)
-    if not sizes.filter(F.col("size") > hot).isEmpty():
-        out = out.union(_counted(contexts.filter(F.col("size") > hot).drop("size"), least))
-    return out, bodies
+    spans = again.filter("alike").filter(whole).select(*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+    unlike = again.filter(~F.col("alike")).drop("alike")
+    kinds = unlike.groupBy("fp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "pos", "before", "after")).alias("first"))
+    kinds = keep(kinds, "kinds")
+    spans = spans.union(_settled(unlike, kinds, total, least))
+
+    sized = _sized(kinds, total).select("first.*", "fp", "size")
+    contexts = keep(_contexts(bodies, sized.drop("size")).join(sized.select(*_KEY, "pos", "size"), [*_KEY, "pos"]), "contexts")
+    level = contexts.filter(F.col("size") > GROUP_CONTEXTS).withColumns({"lo": F.lit(0), "hi": F.lit(least - gram_bytes(least))})
+    usual = contexts.filter(F.col("size") <= GROUP_CONTEXTS).drop("size")
+    while not level.isEmpty():
+        cells = keep(_cells(level, least), "cells")
+        total = cells.count()
+        kinds = cells.groupBy("fp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*_names(_CONTEXT)[:5], "bytes", "lo", "hi")).alias("first"))
+        kinds = keep(kinds, "kinds")
+        spans = spans.union(_settled(cells, kinds, total, least))
+        sized = keep(_sized(kinds, total).select("first.*", "fp", "size"), "contexts")
+        usual = usual.unionByName(sized.filter(F.col("size") <= GROUP_CONTEXTS).drop("size", "lo", "hi"))
+        level = sized.filter(F.col("size") > GROUP_CONTEXTS)
+    groups = max(1, math.ceil(usual.count() / GROUP_CONTEXTS))
+    compared = usual.withColumn("part", F.pmod("fp", F.lit(groups))).groupBy("part").applyInArrow(_compared(least), _SPANS)
+    return spans.union(compared), bodies
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -284,10 +325,12 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
+def _per_document(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # of one document
+
+
 def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans, bodies = repeated_spans(docs, least)
-    per_doc = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one document
 
     def run(batches):
         for batch in batches:
@@ -299,7 +342,10 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 sha.append(hashlib.sha256(without(raw, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*_KEY, "n_removed", "n_spans", "cut_sha"])
 
-    cut = bodies.dropDuplicates(_KEY).join(per_doc.hint("merge"), _KEY).select(*_KEY, "text", "spans").mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, cut_sha string")
+    with Scratch(docs.sparkSession, "repeats") as keep:
+        spans, bodies = repeated_spans(docs, least, keep)
+        found = bodies.dropDuplicates(_KEY).join(_per_document(spans).hint("merge"), _KEY).select(*_KEY, "text", "spans")
+        cut = staged(found.mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, cut_sha string"), "repeats")
     rows = _identified(docs).select("doc_id", *_KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.lit(0).cast("long")
     return rows.join(cut.hint("merge"), _KEY, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
@@ -307,24 +353,22 @@ def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated strings cut from ``text``, whole characters only; ``n_chars``, if there, follows."""
-    spans, _ = repeated_spans(docs, least)
-    per_doc = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))  # of one document
-    rows = docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "rid": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").cast("long"))})
-    joined = rows.join(per_doc.hint("merge"), _KEY, "left").select(*docs.columns, "_spans")
-    place = docs.columns.index("text")
+    with Scratch(docs.sparkSession, "repeats") as keep:
+        per_doc = staged(_per_document(repeated_spans(docs, least, keep)[0]), "repeats")
 
     def run(batches):
         for batch in batches:
-            column = batch.column(place).to_pylist()
-            for i, own in enumerate(batch.column(len(docs_columns)).to_pylist()):
+            column = batch.column(0).to_pylist()
+            for i, own in enumerate(batch.column(1).to_pylist()):
                 if own:
                     raw = column[i].encode()
                     column[i] = without(raw, list(whole_characters(raw, merged(own)))).decode()
-            kept = [pa.array(column, pa.string()) if k == place else c for k, c in enumerate(batch.columns[: len(docs_columns)])]
-            yield pa.RecordBatch.from_arrays(kept, docs_columns)
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()), batch.column(2)], ["cut", "row"])
 
-    docs_columns = docs.columns
-    out = joined.mapInArrow(run, docs.schema)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    joined = docs.select(*_row_keys(F.col("text"), F.col("doc_id")), "text", rest).join(per_doc.hint("merge"), _KEY, "left").select("text", "spans", "row")
+    out = joined.mapInArrow(run, T.StructType([T.StructField("cut", T.StringType()), T.StructField("row", joined.schema["row"].dataType)]))
+    columns = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+        columns[docs.columns.index("n_chars")] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*columns)

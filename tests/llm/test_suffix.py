@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from graphlens.llm import suffix_dedup
 
 
@@ -55,3 +57,27 @@ def test_strip_keeps_columns_and_characters(spark):
     assert [r[0] for r in out] == [1, 2, 3, 4] and out[2] == (3, None, None, "c") and out[3] == rows[3]
     assert out[0][1:] == ("x", 1, "a") and out[1][1:] == ("y", 1, "b")
     assert suffix_dedup.report(docs.limit(0)).count() == 0
+
+
+def test_hot_anchor_is_divided(spark, monkeypatch):
+    """One passage with many different surroundings, cut at many places, and no task of more than a few contexts."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", 5)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = []
+    for k in range(150):
+        a, b = sorted((rng.randrange(20), 70 - rng.randrange(20)))
+        rows.append((k, "".join(rng.choice("xyz") for _ in range(rng.randrange(50))) + passage[a:b] + "".join(rng.choice("uvw") for _ in range(rng.randrange(50)))))
+    for least in (40, 41, 64):
+        got = sorted(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()), key=repr)
+        assert got == sorted(brute(rows, least), key=repr)
+
+
+def test_strip_with_clashing_columns_and_odd_rows(spark):
+    rows = [(1, "q" * 30, 1, "a"), (2, "q" * 30, 2, "b"), (None, "", 3, "c"), (None, None, 4, None), (5, "z" * 100_000, 5, "e"), (5, "alone", 6, "f"), (5, "alone", 6, "f")]
+    docs = spark.createDataFrame(rows, "dk long, text string, rid int, _spans string").withColumnRenamed("dk", "doc_id").withColumn("dk", F.lit("x")).withColumn("s", F.lit(1))
+    out = suffix_dedup.strip_repeats(docs, 20)
+    assert out.columns == docs.columns
+    want = [(1, "", 1, "a"), (2, "", 2, "b"), (None, "", 3, "c"), (None, None, 4, None), (5, "", 5, "e"), (5, "alone", 6, "f"), (5, "alone", 6, "f")]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(*r, "x", 1) for r in want], key=repr)
+    assert suffix_dedup.strip_repeats(docs.limit(0), 20).count() == 0
