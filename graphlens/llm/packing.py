@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,6 @@ from .pretoken import library_encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces in a group, underfull bins that a group passes on, and groups that meet at the next level.
 GROUP_PIECES, PASSED_ON, MEET = 16_384, 48, 16
-#: Passes of the local search over a group's underfull bins, and sources tried for two-for-one exchanges.
-PASSES, PAIR_SOURCES = 3, 24
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame:
@@ -84,80 +83,88 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Holders:
+    """Bins by what they can give: a piece of a length, or two pieces of a sum of lengths."""
+
+    def __init__(self, measure):
+        self.measure, self.bins, self.there = measure, {}, 0  # bit x of ``there``: some bin can give x
+
+    def enter(self, k: int, sizes: Counter) -> None:
+        for x in self.measure(sizes):
+            self.bins.setdefault(x, set()).add(k)
+            self.there |= 1 << x
+
+    def leave(self, k: int, sizes: Counter) -> None:
+        for x in self.measure(sizes):
+            self.bins[x].discard(k)
+            if not self.bins[x]:
+                del self.bins[x]
+                self.there &= ~(1 << x)
+
+    def greatest(self, above: int, most: int) -> int:
+        """The greatest x with above < x <= most that a bin can give, or 0."""
+        found = (self.there & ((1 << most + 1) - 1)) >> (above + 1)
+        return above + found.bit_length() if found else 0
+
+
+def _pair_sums(sizes: Counter) -> set[int]:
+    kinds = list(sizes)  # their sum is at most the capacity, so that they are few
+    return {a + b for i, a in enumerate(kinds) for b in kinds[i + 1 :]} | {2 * a for a in kinds if sizes[a] > 1}
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Shifts pieces from emptier to fuller underfull bins while that raises the sum of squared fills."""
+    """Shifts pieces from emptier to fuller underfull bins while some step raises the sum of squared fills.
+
+    A step moves a piece, or exchanges one for a longer one or for two; of all steps that fit, a bin takes the one that fills it most.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(PASSES):
+    sizes = [Counter(lengths[i] for i in b) for b in bins]
+    changed = True
+    while changed:
+        changed = False
         order = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k))
-        holders: dict[int, set[int]] = {}  # length: bins that come later and hold one of it
-        there = 0
-
-        def enter(k: int) -> None:
-            nonlocal there
-            for i in bins[k]:
-                holders.setdefault(lengths[i], set()).add(k)
-                there |= 1 << lengths[i]
-
-        def leave(k: int) -> None:
-            nonlocal there
-            for i in bins[k]:
-                have = holders.get(lengths[i])
-                if have:
-                    have.discard(k)
-                    if not have:
-                        del holders[lengths[i]]
-                        there &= ~(1 << lengths[i])
-
-        def pick(k: int, size: int) -> int:
-            return next(i for i in bins[k] if lengths[i] == size)
+        ones, twos = _Holders(set), _Holders(_pair_sums)  # of the bins that come later
+        for k in order:
+            ones.enter(k, sizes[k])
+            twos.enter(k, sizes[k])
+
+        def shift(source: int, target: int, size: int) -> None:
+            i = next(i for i in bins[source] if lengths[i] == size)
+            bins[source].remove(i)
+            bins[target].append(i)
+            sizes[source] -= Counter([size])
+            sizes[target][size] += 1
+            fill[source] -= size
+            fill[target] += size
 
         for k in order:
-            enter(k)
-        changed = False
-        for place, k in enumerate(order):
-            leave(k)
-            while bins[k] and fill[k] < capacity:
+            ones.leave(k, sizes[k])
+            twos.leave(k, sizes[k])
+            while 0 < fill[k] < capacity:
                 gap = capacity - fill[k]
                 gain, step = 0, None
-                low = there & ((1 << gap + 1) - 1)
-                if low:
-                    gain = low.bit_length() - 1
-                    step = (None, (gain,), min(holders[gain]))
-                for y in sorted({lengths[i] for i in bins[k]}):
-                    if gain == gap:
-                        break
-                    span = there >> (y + 1) & ((1 << gap) - 1)
-                    if span and span.bit_length() > gain:
-                        gain = span.bit_length()
-                        step = (y, (y + gain,), min(holders[y + gain]))
-                if gain < gap:
-                    for source in order[: place : -1][:PAIR_SOURCES]:
-                        sizes = [lengths[i] for i in bins[source]][:64]
-                        for y in {lengths[i] for i in bins[k]}:
-                            for j, a in enumerate(sizes):
-                                for b in sizes[j + 1 :]:
-                                    if gain < a + b - y <= gap:
-                                        gain, step = a + b - y, (y, (a, b), source)
-                if step is None or step[2] == k or fill[step[2]] - gain < 0:
+                for out in [0, *sorted(sizes[k])]:
+                    for given, kind in ((ones.greatest(out, out + gap), ones), (twos.greatest(out, out + gap) if out else 0, twos)):
+                        if given - out > gain:
+                            gain, step = given - out, (out, given, kind)
+                if step is None:
                     break
-                out, into, source = step
-                leave(source)
-                taken = []
+                out, given, kind = step
+                source = min(kind.bins[given])
+                ones.leave(source, sizes[source])
+                twos.leave(source, sizes[source])
+                if kind is ones:
+                    into = [given]
+                else:
+                    one = min(a for a in sizes[source] if sizes[source][given - a] > (2 * a == given))
+                    into = [one, given - one]
                 for size in into:
-                    i = pick(source, size)
-                    bins[source].remove(i)
-                    taken.append(i)
-                if out is not None:
-                    i = pick(k, out)
-                    bins[k].remove(i)
-                    bins[source].append(i)
-                bins[k] += taken
-                fill[k] += gain
-                fill[source] -= gain
-                enter(source)
+                    shift(source, k, size)
+                if out:
+                    shift(k, source, out)
+                ones.enter(source, sizes[source])
+                twos.enter(source, sizes[source])
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 

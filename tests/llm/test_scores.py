@@ -101,7 +101,7 @@ def test_pipeline_stages(spark):
     assert near.columns == columns and 0 < near.count() <= single.count()
     cut = corpus_pipeline.strip_repeats(spark, near, SF)
     assert cut.columns == columns
-    brute = {r[0]: r for r in repeated_bytes([(r.doc_id, r.text) for r in near.collect()], 400)}
+    brute = {r[0]: r for r in repeated_bytes([(r.doc_id, r.text) for r in near.collect()], corpus_pipeline.PASSAGE_BYTES)}
     for r in cut.collect():
         assert brute[r.doc_id][1] - len(r.text.encode()) <= brute[r.doc_id][2] and r.n_chars == len(r.text)
     packed = corpus_pipeline.pack(spark, cut, SF)
