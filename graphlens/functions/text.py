@@ -34,6 +34,28 @@ def path_qualname(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"/+$", ""), r"/+", ".")
 
 
+def _parts(path: Column, suffix: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), suffix, ""), "/"), lambda x: x != "")
+
+
+def script_qualname(path: Column) -> Column:
+    """Dotted name of a TypeScript or JavaScript path, without a leading src and a final index; (root) where nothing is left."""
+    parts = _parts(path, r"\.([cm]?[jt]sx?)$")
+    parts = F.when(F.get(parts, F.lit(0)) == "src", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    parts = F.when(F.try_element_at(parts, F.lit(-1)) == "index", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.coalesce(F.nullif(F.array_join(parts, "."), F.lit("")), F.lit("(root)"))
+
+
+def crate_qualname(path: Column) -> Column:
+    """Name of a Rust path with ::, from the folder above its last src on and without a final lib, main or mod; (crate) where nothing is left."""
+    parts = _parts(path, r"\.rs$")
+    last = F.array_max(F.transform(parts, lambda x, i: F.when(x == "src", i)))
+    above = F.when(last > 0, F.slice(parts, last, F.lit(1))).otherwise(F.slice(parts, F.lit(1), F.lit(0)))
+    parts = F.when(last.isNotNull(), F.concat(above, F.slice(parts, last + 2, F.size(parts)))).otherwise(parts)
+    parts = F.when(F.try_element_at(parts, F.lit(-1)).isin("lib", "main", "mod"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.coalesce(F.nullif(F.array_join(parts, "::"), F.lit("")), F.lit("(crate)"))
+
+
 def is_test_path(path: Column) -> Column:
     """conftest, test_*, *_test.py, or a test or tests folder."""
     return path.rlike(r"(^|/)(tests?/|conftest\.py$|test_[^/]*$|[^/]*_test\.py$)")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from graphlens.functions.text import prefixes, slug
+from graphlens.storage import stored
 
 MAX_DEPTH = 6
-# Suffixes and stems of run artifacts.
-ARTIFACT_SUFFIXES = ["html", "json", "csv", "log", "txt", "dat", "h5", "npz", "npy", "pdb", "xyz", "dcd"]
-ARTIFACT_STEMS = ["log", "params", "parameters", "config", "metrics", "results", "thermo"]
-TERMINAL = ["verified", "skipped", "reused"]
+# Suffixes of run artifacts, beginnings of names that mark one, and statuses that a resume never redoes.
+ARTIFACT_SUFFIXES = ["log", "lammps", "out", "dat", "npy", "npz", "h5", "hdf5", "csv", "xyz", "pdb", "dcd", "xtc", "trr", "lammpstrj", "chk", "pt", "pth"]
+ARTIFACT_STEMS = ["params", "result", "checkpoint", "thermo", "metrics", "log", "out"]
+EVENT_FILES = "events.out.tfevents."
+TERMINAL = ["verified", "moved", "skipped"]
 
 
 def ancestors(listing: DataFrame) -> DataFrame:
@@ -34,27 +36,28 @@ def dir_rollup(listing: DataFrame) -> DataFrame:
 
 
 def is_artifact(path: Column) -> Column:
-    return F.lower(path).rlike(rf"\.({'|'.join(ARTIFACT_SUFFIXES)})$|(^|/)({'|'.join(ARTIFACT_STEMS)})\.[^/]*$|(^|/)events\.out\.tfevents[^/]*$")
+    """By the file's name: an event file, a suffix of run output, or a beginning that marks one."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return name.startswith(EVENT_FILES) | F.lower(name).rlike(rf"^.+\.({'|'.join(ARTIFACT_SUFFIXES)})$|^({'|'.join(ARTIFACT_STEMS)})")
 
 
 def classify_dirs(listing: DataFrame, deepest: int = MAX_DEPTH) -> DataFrame:
-    """dir, kind, from the deepest level up: all children runs: experiment; all experiments: project; artifacts and only
-    loose children: run; else loose."""
+    """dir, depth, kind, from the deepest level up: all children runs: experiment; all experiments: project; artifacts and only
+    loose children: run; else loose. Each level is stored and reads only the one below it."""
     dirs = ancestors(listing.filter(F.instr("path", "/") > 0)).groupBy("dir").agg(F.bool_or((parent(F.col("path")) == F.col("dir")) & is_artifact(F.col("path"))).alias("artifacts"))
-    dirs = dirs.select("dir", F.size(F.split("dir", "/")).alias("depth"), "artifacts")
-    done = None
+    dirs = stored(dirs.select("dir", F.size(F.split("dir", "/")).alias("depth"), "artifacts"), "dirs")
+    only = lambda k: F.col("kinds") == F.array(F.lit(k))
+    kind = F.when(only("run"), "experiment").when(only("experiment"), "project").when(F.col("artifacts") & (F.col("kinds").isNull() | only("loose")), "run").otherwise("loose")
+    below, done = None, None
     for depth in range(deepest, 0, -1):
         level = dirs.filter(F.col("depth") == depth)
-        if done is None:
-            kinds = level.select("dir", F.lit(None).cast("array<string>").alias("kinds"), "artifacts", "depth")
+        if below is None:
+            found = level.withColumn("kinds", F.lit(None).cast("array<string>"))
         else:
-            below = done.filter(F.col("depth") == depth + 1).groupBy(parent(F.col("dir")).alias("dir")).agg(F.collect_set("kind").alias("kinds"))
-            kinds = level.join(below, "dir", "left").select("dir", "kinds", "artifacts", "depth")
-        only = lambda k: (F.size("kinds") == 1) & (F.get("kinds", F.lit(0)) == k)
-        none = F.coalesce(F.size("kinds") <= 0, F.lit(True))
-        kind = F.when(only("run"), "experiment").when(only("experiment"), "project").when(F.col("artifacts") & (none | only("loose")), "run").otherwise("loose")
-        own = kinds.select("dir", "depth", kind.alias("kind"))
-        done = own if done is None else done.union(own)
+            kinds = below.groupBy(parent(F.col("dir")).alias("dir")).agg(F.collect_set("kind").alias("kinds"))  # of four kinds
+            found = level.join(kinds, "dir", "left")
+        below = stored(found.select("dir", "depth", kind.alias("kind")), "level")
+        done = below if done is None else done.union(below)
     return done
 
 
@@ -146,7 +149,7 @@ def verify(ledger: DataFrame, there: DataFrame) -> DataFrame:
 def ledger_status(ledger: DataFrame) -> DataFrame:
     """ledger, status counts as columns and whether it is complete."""
     count = lambda s: F.count_if(F.col("status") == s)
-    return ledger.groupBy("ledger").agg(count("verified").alias("verified"), count("pending").alias("pending"), count("failed").alias("failed"), F.bool_and(F.col("status").isin(TERMINAL)).alias("complete"))
+    return ledger.groupBy("ledger").agg(*[count(x).alias(x) for x in ("pending", "verified", "moved", "skipped", "failed")], F.bool_and(F.col("status").isin(TERMINAL)).alias("complete"))
 
 
 def wide_to_long(metrics: DataFrame, run: str, step: str, series: list[str]) -> DataFrame:

@@ -111,9 +111,16 @@ def source_dedupe(bindings: DataFrame) -> DataFrame:
 
 
 def package_signals(packages: DataFrame, keywords: list[str], prefix: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """name, identified_by, outcome of installed packages: entry points, keywords, editable; names compare after normalising."""
+    """normal, identified_by, outcome of installed packages by entry points, keywords and editable installs; names compare after normalising.
+
+    An excluded package that has a signal or is included is ``excluded``; one with neither is ``none``; the others are a
+    ``source``, or ``skipped`` where no importable folder (``package_dir``) is known. An included one is identified by ``override`` too.
+    """
     bare = F.lower(F.regexp_replace("name", r"[-_.]+", "-"))
+    included, excluded = bare.isin(include), bare.isin(exclude)
     signals = F.array_compact(F.array(F.when(F.exists("entry_point_groups", lambda g: g.startswith(prefix)), F.lit("entry_point")), F.when(F.arrays_overlap(F.split(F.lower("keywords"), r"[,\s]+"), F.array(*map(F.lit, keywords))), F.lit("keyword")), F.when(F.col("direct_url").isNotNull(), F.lit("editable"))))
-    rows = packages.withColumns({"normal": bare, "signals": signals})
-    outcome = F.when(F.col("normal").isin(exclude), "excluded").when(F.col("normal").isin(include), "source").when(F.size("signals") > 1, "source").when(F.size("signals") == 1, "skipped").otherwise("none")
-    return rows.select("normal", F.array_join("signals", ",").alias("identified_by"), outcome.alias("outcome"))
+    rows = packages.select("package_dir", bare.alias("normal"), signals.alias("signals"), included.alias("included"), excluded.alias("excluded"))
+    wanted = (F.size("signals") > 0) | F.col("included")
+    outcome = F.when(F.col("excluded") & wanted, "excluded").when(~wanted, "none").when(F.col("package_dir").isNull(), "skipped").otherwise("source")
+    by = F.when(outcome.isin("source", "skipped"), F.concat_ws(",", "signals", F.when(F.col("included"), "override"))).otherwise("")
+    return rows.select("normal", by.alias("identified_by"), outcome.alias("outcome"))

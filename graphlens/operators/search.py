@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from graphlens.functions.text import tokens
+from graphlens.storage import stored
 
-# Weights of the fields, BM25 constants, and weights of the ranking signals.
+# Weights of the fields, BM25 constants, weights of the ranking signals, priors of node kinds, and kinds that are places to browse.
 FIELD_WEIGHTS = {"name": 10.0, "qualname": 5.0, "docstring": 1.0, "summary": 2.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RANK_WEIGHT, EXPORTED, CALLERS, EXAMPLES, TESTS = 1.5, 1.0, 0.3, 0.8, 0.8
-KIND_PRIORS = {"class": 0.3, "function": 0.3, "method": 0.2, "module": 0.1, "package": 0.1, "test": -0.5, "example": -0.2}
-NAVIGATIONAL = ["package", "module", "namespace", "document", "section"]
-
-
-def postings(nodes: DataFrame) -> DataFrame:
-    """id, term, tf: occurrences in all fields, times the fields' weights."""
-    fields = [nodes.select("id", F.lit(w).alias("w"), F.explode(tokens(F.col(f))).alias("term")) for f, w in FIELD_WEIGHTS.items()]
-    rows = fields[0].union(fields[1]).union(fields[2]).union(fields[3])
-    return rows.groupBy("id", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("n"))
+KIND_PRIORS = {
+    "module": 0.0, "package": 0.0, "namespace": 0.0, "class": 1.0, "struct": 1.0, "interface": 1.0, "trait": 1.0,
+    "function": 1.0, "enum": 0.9, "method": 0.9, "property": 0.5, "type_alias": 0.4, "constant": 0.3, "field": 0.3,
+}
+DEFAULT_PRIOR = 0.5
+NAVIGATIONAL = ["module", "package", "namespace"]
+#: Texts that ``contains`` broadcasts at once.
+ASKED = 10_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -29,44 +29,64 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.filter(~F.col("prefix").rlike(r"^[\x00-\x7F]$")).distinct()
 
 
+def weighted_tokens(nodes: DataFrame) -> DataFrame:
+    """The nodes with ``words``: term and weight of every token of every field."""
+    def of(field: str, weight: float) -> Column:
+        return F.transform(tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    fields = [of(f, w) for f, w in FIELD_WEIGHTS.items()]
+    return nodes.withColumn("words", F.concat(*fields))
+
+
 def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
     """query_id, id, score, rank (from 0) of the best ``limit`` nodes of each query; each query token matches words that it begins.
 
-    Prefix matches are equality joins on the exploded beginnings of the vocabulary; only matching postings are
-    shuffled on. ``kinds`` filter before the limit.
+    The nodes are read once for the matches and once for the totals. Of a word only the beginnings of lengths that occur among the
+    query tokens are looked up, by an equality join, and what matches is summed up and stored before it is counted and scored.
+    ``kinds`` filter before the scoring, and so before the limit; frequencies are of all nodes.
     """
-    index = postings(nodes)
-    sizes = index.groupBy("id").agg(F.sum("n").alias("dl"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     terms = query_terms(queries)
-    begins = F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.left(F.col("term"), k)))
-    vocabulary = index.select("term").distinct().select("term", begins.alias("prefix"))
-    matches = vocabulary.join(terms.select("prefix").distinct(), "prefix")
-    found = index.join(matches, "term").groupBy("prefix", "id").agg(F.sum("tf").alias("tf"))
+    wanted = terms.select("prefix", F.length("prefix").alias("k")).distinct()
+    lengths = F.broadcast(wanted.agg(F.array_sort(F.collect_set("k")).alias("lengths")))  # one row, of as many numbers as the longest token has letters
+    rows = weighted_tokens(nodes)
+    sized = rows.select(F.size("words").cast("long").alias("dl"))
+    totals = sized.filter("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    able = F.lit(True) if kinds is None else F.col("kind").isin(kinds)
+    words = rows.select("id", able.alias("able"), F.size("words").alias("dl"), F.explode("words").alias("x")).select("id", "able", "dl", "x.term", "x.w")
+    words = words.crossJoin(lengths)  # one row
+    starts = F.explode(F.transform(F.filter("lengths", lambda k: k <= F.length("term")), lambda k: F.left(F.col("term"), k)))
+    matched = words.select("id", "able", "dl", "w", starts.alias("prefix")).join(wanted.select("prefix"), "prefix")
+    found = stored(matched.groupBy("prefix", "id", "able", "dl").agg(F.sum("w").alias("tf")), "matches")
     df = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("df"))
-    scored = found.join(df, "prefix").join(sizes, "id").crossJoin(F.broadcast(totals))  # one row
+    scored = found.filter("able").join(df, "prefix").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = scored.select("prefix", "id", part.alias("part")).join(terms, "prefix").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    if kinds is not None:
-        hits = hits.join(nodes.filter(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
     return best(hits, ["query_id"], [F.desc("score"), F.col("id")], limit)
 
 
 def best(rows: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows of each group with their ``rank`` from 0."""
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1)
-    return ranked.filter(F.col("rank") < limit)
+    """The first ``limit`` rows of each group with their ``rank`` from 0; each task cuts its own rows to the limit before the shuffle."""
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
 def contains(nodes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Fallback for queries without lexical hits: name, qualname or summary holds the text (% and _ are wildcards), by qualname."""
-    pattern = F.concat(F.lit("%"), F.col("text"), F.lit("%"))
-    like = F.lit(False)
-    for field in ("name", "qualname", "summary"):
-        like = like | F.expr(f"coalesce({field} ilike concat('%', text, '%'), false)")
-    rows = nodes.select("id", "name", "qualname", "summary").join(F.broadcast(queries.withColumn("pattern", pattern)), like)  # a table of requests
-    return best(rows.select("query_id", "id", "qualname"), ["query_id"], [F.col("qualname"), F.col("id")], limit)
+    """Fallback for queries without lexical hits: name, qualname or summary holds the text (% and _ are wildcards), by qualname.
+
+    Wildcards leave no key to join on, so the distinct texts are broadcast to the nodes, ``ASKED`` at a time.
+    """
+    texts = stored(queries.select("text").distinct().withColumn("number", F.monotonically_increasing_id()), "asked")
+    order = F.row_number().over(W.partitionBy(F.shiftright("number", 33)).orderBy("number")) - 1  # within a partition
+    texts = stored(texts.select("text", F.shiftright("number", 33).alias("part"), F.floor(order / ASKED).alias("block")), "asked")
+    like = F.expr(" or ".join(f"coalesce({f} ilike concat('%', text, '%'), false)" for f in ("name", "qualname", "summary")))
+    rows = nodes.select("id", "name", "qualname", "summary")
+    hits = None
+    for r in texts.select("part", "block").distinct().collect():  # a row for every ASKED texts and partition
+        own = rows.join(F.broadcast(texts.filter((F.col("part") == r.part) & (F.col("block") == r.block)).select("text")), like).select("id", "qualname", "text")
+        hits = own if hits is None else hits.union(own)
+    hits = rows.select("id", "qualname", F.lit("").alias("text")).limit(0) if hits is None else hits
+    return best(hits.join(queries, "text").select("query_id", "id", "qualname"), ["query_id"], [F.col("qualname"), F.col("id")], limit)
 
 
 def edge_counts(edges: DataFrame, kind: str, provenance: str | None = None) -> DataFrame:
@@ -88,7 +108,7 @@ def signals(edges: DataFrame) -> DataFrame:
 def explained(ranked: DataFrame) -> DataFrame:
     """Adds what each signal gives: of rank, kind, exported, callers, examples, tests."""
     zero = F.lit(0.0)
-    prior = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in KIND_PRIORS.items() for x in p]), F.col("kind")), zero)
+    prior = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in KIND_PRIORS.items() for x in p]), F.col("kind")), F.lit(DEFAULT_PRIOR))
     return ranked.withColumns({
         "s_rank": RANK_WEIGHT / (1 + F.col("rank")),
         "s_kind": prior,
@@ -100,13 +120,23 @@ def explained(ranked: DataFrame) -> DataFrame:
 
 
 def rerank(recalled: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """The recalled nodes of each query by lexical rank and graph signals, stable, the best ``limit``."""
-    rows = recalled.join(nodes.select("id", "kind", "is_exported"), "id").join(signals(edges), F.col("id") == F.col("target"), "left")
+    """The recalled nodes of each query by lexical rank and graph signals, stable, the best ``limit``; only edges to recalled nodes are counted."""
+    ids = recalled.select("id").distinct()
+    told = signals(edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"))
+    rows = recalled.join(nodes.select("id", "kind", "is_exported"), "id").join(told, F.col("id") == F.col("target"), "left")
     total = sum((F.col(c) for c in ("s_kind", "s_exported", "s_callers", "s_examples", "s_tests")), F.col("s_rank"))
     scored = explained(rows).withColumn("signal_score", F.round(total, 6)).withColumnRenamed("rank", "fts_rank")
     return best(scored, ["query_id"], [F.desc("signal_score"), F.col("fts_rank"), F.col("id")], limit)
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int, oversample: int = 3) -> DataFrame:
+def recall(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
+    """query_id, id, rank: lexical hits, and for queries without any the nodes that contain their text."""
+    hits = stored(bm25(nodes, queries, limit, kinds).select("query_id", "id", "rank"), "recall")
+    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
+    able = nodes if kinds is None else nodes.filter(F.col("kind").isin(kinds))
+    return stored(hits.unionByName(contains(able, rest, limit).select("query_id", "id", "rank")), "recall")
+
+
+def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int, oversample: int = 3, kinds: list[str] | None = None) -> DataFrame:
     """Recall of ``oversample`` times the limit, then the ranking by signals."""
-    return rerank(bm25(nodes, queries, oversample * limit), nodes, edges, limit)
+    return rerank(recall(nodes, queries, oversample * limit, kinds), nodes, edges, limit)

@@ -26,7 +26,7 @@ def _bm25_sql(limit: int, kinds: str = "") -> str:
 ix AS (SELECT id, term, sum(w) AS tf, count(*) AS n FROM ({fields}) GROUP BY ALL),
 sz AS (SELECT id, sum(n) AS dl FROM ix GROUP BY 1),
 tot AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM sz),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest({SQL_TOKENS.format('text')}[1:3]) AS prefix FROM benchmark),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({SQL_TOKENS.format('text')}) AS prefix FROM benchmark),
 q AS (SELECT * FROM qt WHERE NOT (length(prefix) = 1 AND ascii(prefix) < 128)),
 voc AS (SELECT term, unnest(list_transform(range(1, length(term) + 1), lambda k: left(term, k))) AS prefix FROM (SELECT DISTINCT term FROM ix)),
 m AS (SELECT DISTINCT term, prefix FROM voc WHERE prefix IN (SELECT prefix FROM q)),
@@ -43,8 +43,8 @@ sg AS (SELECT target, count(*) FILTER (kind = 'calls' AND provenance = 'resolved
               count(*) FILTER (kind = 'tests') AS tests FROM de GROUP BY 1),
 ex AS (
   SELECT query_id, top.id, rank AS fts_rank, {search.RANK_WEIGHT}::DOUBLE / (1 + rank) AS s_rank,
-         CASE kind WHEN 'class' THEN 0.3 WHEN 'function' THEN 0.3 WHEN 'method' THEN 0.2 WHEN 'module' THEN 0.1 ELSE 0.0 END::DOUBLE AS s_kind,
-         CASE WHEN is_exported AND kind NOT IN ('module', 'package') THEN 1.0 ELSE 0.0 END::DOUBLE AS s_exported,
+         CASE kind WHEN 'class' THEN 1.0 WHEN 'function' THEN 1.0 WHEN 'method' THEN 0.9 WHEN 'module' THEN 0.0 ELSE 0.5 END::DOUBLE AS s_kind,
+         CASE WHEN is_exported AND kind NOT IN ('module', 'package', 'namespace') THEN 1.0 ELSE 0.0 END::DOUBLE AS s_exported,
          0.3::DOUBLE * ln(1 + coalesce(callers, 0)) AS s_callers,
          CASE WHEN coalesce(examples, 0) > 0 THEN 0.8 ELSE 0.0 END::DOUBLE AS s_examples, CASE WHEN coalesce(tests, 0) > 0 THEN 0.8 ELSE 0.0 END::DOUBLE AS s_tests
   FROM top JOIN dn ON dn.id = top.id LEFT JOIN sg ON sg.target = top.id),
@@ -75,12 +75,14 @@ def rank_explain(spark, sf_dir):
     return out.select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("s_rank", "s_kind", "s_exported", "s_callers", "s_examples", "s_tests")])
 
 
-@query("""WITH q AS (SELECT n_nationkey AS query_id, lower(left(n_name, 3)) AS text FROM nation)
-SELECT query_id, 'p' || p_partkey AS id, p_name AS qualname, row_number() OVER (PARTITION BY query_id ORDER BY p_name, 'p' || p_partkey) - 1 AS rank
-FROM part JOIN q ON p_name ILIKE '%' || text || '%' OR p_type ILIKE '%' || text || '%' QUALIFY rank < 10""")
+@query("""WITH q AS (SELECT s_suppkey AS query_id, lower(left(p_name, 4)) || '%' || lower(right(p_type, 3)) AS text FROM supplier JOIN part ON p_partkey = s_suppkey)
+SELECT query_id, 'p' || p_partkey AS id, p_name || ' ' || p_type AS qualname, row_number() OVER (PARTITION BY query_id ORDER BY p_name || ' ' || p_type, 'p' || p_partkey) - 1 AS rank
+FROM part JOIN q ON p_name ILIKE '%' || text || '%' OR p_name || ' ' || p_type ILIKE '%' || text || '%' OR p_type ILIKE '%' || text || '%' QUALIFY rank < 10""")
 def search_like(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("qualname"), F.col("p_type").alias("summary"))
-    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.lower(F.left("n_name", F.lit(3))).alias("text"))
+    parts = table(spark, sf_dir, "part")
+    nodes = parts.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("qualname"), F.col("p_type").alias("summary"))
+    text = F.concat(F.lower(F.left("p_name", F.lit(4))), F.lit("%"), F.lower(F.right("p_type", F.lit(3))))
+    asked = table(spark, sf_dir, "supplier").join(parts, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), text.alias("text"))
     return search.contains(nodes, asked, 10)
 
 
@@ -137,12 +139,11 @@ def references(spark, sf_dir):
 
 
 @query(f"""WITH {SQL_STAR}, b AS (SELECT DISTINCT target AS tgt, source AS nxt FROM se WHERE kind IN ('calls', 'extends')),
-one AS (SELECT DISTINCT id AS seed, nxt AS id FROM sn JOIN b ON tgt = id WHERE id[1] IN ('p', 'n')),
+one AS (SELECT DISTINCT id AS seed, nxt AS id FROM sn JOIN b ON tgt = id),
 two AS (SELECT DISTINCT seed, nxt AS id FROM one JOIN b ON tgt = id)
 SELECT seed, id, min(depth)::INT AS depth FROM (SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two) WHERE seed <> id GROUP BY ALL""")
 def impact_depth2(spark, sf_dir):
-    seeds = star_nodes(spark, sf_dir).filter("left(id, 1) in ('p', 'n')")
-    return graph.impact(star_edges(spark, sf_dir), seeds, 2)
+    return graph.impact(star_edges(spark, sf_dir), star_nodes(spark, sf_dir), 2)
 
 
 @query(f"""WITH {SQL_DOCUMENT_NODES}, c AS (

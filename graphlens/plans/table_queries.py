@@ -260,24 +260,32 @@ def source_dedupe(spark, sf_dir):
     return maintain.source_dedupe(rows)
 
 
-@query(r"""WITH p AS (SELECT lower(regexp_replace(p_name || '_' || p_partkey, '[-_.]+', '-', 'g')) AS normal, p_size % 2 = 0 AS e, list_contains(regexp_split_to_array(lower(p_type), '[,\s]+'), 'small') AS k, p_size % 5 = 0 AS d FROM part)
-SELECT normal, concat_ws(',', CASE WHEN e THEN 'entry_point' END, CASE WHEN k THEN 'keyword' END, CASE WHEN d THEN 'editable' END) AS identified_by,
-CASE WHEN e::INT + k::INT + d::INT > 1 THEN 'source' WHEN e::INT + k::INT + d::INT = 1 THEN 'skipped' ELSE 'none' END AS outcome FROM p""")
+@query(r"""WITH p AS (SELECT 'pkg-' || p_partkey AS normal, p_size % 3 = 0 AS e, list_contains(regexp_split_to_array(lower(p_name), '[,\s]+'), 'small') AS k, p_size % 5 = 0 AS d,
+p_partkey IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) AS inc, p_partkey IN (5, 6, 20, 30, 40) AS exc, p_partkey % 7 = 0 AS nowhere FROM part),
+o AS (SELECT *, CASE WHEN exc AND (e OR k OR d OR inc) THEN 'excluded' WHEN NOT (e OR k OR d OR inc) THEN 'none' WHEN nowhere THEN 'skipped' ELSE 'source' END AS outcome FROM p)
+SELECT normal, CASE WHEN outcome IN ('source', 'skipped') THEN concat_ws(',', CASE WHEN e THEN 'entry_point' END, CASE WHEN k THEN 'keyword' END, CASE WHEN d THEN 'editable' END, CASE WHEN inc THEN 'override' END) ELSE '' END AS identified_by, outcome FROM o""")
 def package_signals(spark, sf_dir):
-    groups = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("lens.plugins"))).otherwise(F.array(F.lit("other")))
-    rows = table(spark, sf_dir, "part").select(F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("keywords"), groups.alias("entry_point_groups"), F.when(F.col("p_size") % 5 == 0, "file:///x").alias("direct_url"))
-    return maintain.package_signals(rows, ["small"], "lens.", [], [])
+    groups = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("lens.plugins"))).otherwise(F.array(F.lit("other")))
+    name = F.concat(F.lit("Pkg_."), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select(name.alias("name"), F.regexp_replace("p_name", " ", ", ").alias("keywords"), groups.alias("entry_point_groups"), F.when(F.col("p_size") % 5 == 0, "file:///x").alias("direct_url"), F.when(F.col("p_partkey") % 7 != 0, "/x").alias("package_dir"))
+    return maintain.package_signals(rows, ["small"], "lens.", [f"pkg-{k}" for k in range(1, 11)], [f"pkg-{k}" for k in (5, 6, 20, 30, 40)])
 
 
 # Adoption: pages as files (host/path/index.html), lineitem as a ledger.
 
-_LISTING = r"ls AS (SELECT regexp_replace(url, '^[a-z]+://', '') || '/p' || page_id || '.html' AS path, strlen(html) AS size, sha256(html) AS sha256, page_id FROM pages)"
+_LISTING = r"""ls AS (SELECT regexp_replace(url, '^[a-z]+://', '') || '/' || CASE page_id % 12 WHEN 0 THEN 'Params' || page_id || '.yaml' WHEN 1 THEN 'events.out.tfevents.' || page_id WHEN 2 THEN page_id || '.trr'
+WHEN 3 THEN page_id || '.LAMMPSTRJ' WHEN 4 THEN 'checkpoint-' || page_id WHEN 5 THEN page_id || '.pth' ELSE 'p' || page_id || '.html' END AS path,
+CASE WHEN page_id % 25 = 0 THEN 0 ELSE strlen(html) END AS size, sha256(html) AS sha256, page_id FROM pages)"""
 _DIRS = "an AS (SELECT path, size, page_id, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda k: array_to_string(string_split(path, '/')[1:k], '/'))) AS dir FROM ls)"
+_ARTIFACT = r"""(starts_with(string_split(path, '/')[-1], 'events.out.tfevents.') OR regexp_matches(lower(string_split(path, '/')[-1]), '^.+\.(log|lammps|out|dat|npy|npz|h5|hdf5|csv|xyz|pdb|dcd|xtc|trr|lammpstrj|chk|pt|pth)$|^(params|result|checkpoint|thermo|metrics|log|out)'))"""
 
 
 def _listing(spark, sf_dir):
-    path = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html"))
-    return table(spark, sf_dir, "pages").select(path.alias("path"), F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("sha256"), "page_id")
+    k, key = F.col("page_id") % 12, F.col("page_id").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("Params"), key, F.lit(".yaml"))).when(k == 1, F.concat(F.lit("events.out.tfevents."), key)).when(k == 2, F.concat(key, F.lit(".trr")))
+    name = name.when(k == 3, F.concat(key, F.lit(".LAMMPSTRJ"))).when(k == 4, F.concat(F.lit("checkpoint-"), key)).when(k == 5, F.concat(key, F.lit(".pth"))).otherwise(F.concat(F.lit("p"), key, F.lit(".html")))
+    size = F.when(F.col("page_id") % 25 == 0, 0).otherwise(F.octet_length("html")).cast("long")
+    return table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), name).alias("path"), size.alias("size"), F.sha2("html", 256).alias("sha256"), "page_id")
 
 
 @query(f"""WITH {_LISTING}, {_DIRS} SELECT dir, len(string_split(dir, '/'))::INT AS depth, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (regexp_extract(path, '^(.*)/[^/]*$', 1) = dir) AS direct, len(string_split(dir, '/')) > 6 AS too_deep FROM an GROUP BY dir""")
@@ -285,13 +293,13 @@ def dir_rollup(spark, sf_dir):
     return adopt.dir_rollup(_listing(spark, sf_dir))
 
 
-@query(rf"WITH {_LISTING} SELECT path, regexp_matches(lower(path), '\.({'|'.join(adopt.ARTIFACT_SUFFIXES)})$|(^|/)({'|'.join(adopt.ARTIFACT_STEMS)})\.[^/]*$') AS artifact FROM ls")
+@query(f"WITH {_LISTING} SELECT path, {_ARTIFACT} AS artifact FROM ls")
 def artifact_flag(spark, sf_dir):
     return _listing(spark, sf_dir).select("path", adopt.is_artifact(F.col("path")).alias("artifact"))
 
 
 def _classify_sql() -> str:
-    out = [f"WITH {_LISTING}, {_DIRS}, ds AS (SELECT dir, len(string_split(dir, '/')) AS depth, bool_or(regexp_extract(path, '^(.*)/[^/]*$', 1) = dir) AS a FROM an GROUP BY dir), k7 AS (SELECT dir, depth, 'loose' AS kind FROM ds WHERE depth = 99)"]
+    out = [f"WITH {_LISTING}, {_DIRS}, ds AS (SELECT dir, len(string_split(dir, '/')) AS depth, bool_or(regexp_extract(path, '^(.*)/[^/]*$', 1) = dir AND {_ARTIFACT}) AS a FROM an GROUP BY dir), k7 AS (SELECT dir, depth, 'loose' AS kind FROM ds WHERE depth = 99)"]
     for d in range(6, 0, -1):
         out.append(f""", b{d} AS (SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) AS dir, list_sort(list(DISTINCT kind)) AS ks FROM k{d + 1} GROUP BY 1), k{d} AS (SELECT ds.dir, depth,
         CASE WHEN ks = ['run'] THEN 'experiment' WHEN ks = ['experiment'] THEN 'project' WHEN a AND (ks IS NULL OR ks = ['loose']) THEN 'run' ELSE 'loose' END AS kind FROM ds LEFT JOIN b{d} ON b{d}.dir = ds.dir WHERE depth = {d})""")
@@ -384,11 +392,11 @@ def slug_conflicts(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir):
-    status = F.when(F.col("l_returnflag") == "N", "verified").when(F.col("l_returnflag") == "R", "pending").otherwise("failed")
+    status = F.when(F.col("l_returnflag") == "N", F.when(F.col("l_linenumber") % 2 == 0, "moved").otherwise("verified")).when(F.col("l_returnflag") == "R", "pending").otherwise("failed")
     return table(spark, sf_dir, "lineitem").select(F.lit("file").alias("kind"), F.col("l_orderkey").cast("string").alias("source"), F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]).alias("target"), status.alias("status"), F.col("l_suppkey").alias("ledger"), F.col("l_quantity").alias("size"), F.md5(F.col("l_partkey").cast("string")).alias("sha256"))
 
 
-@query("SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_shipdate AS target, CASE WHEN l_returnflag = 'N' THEN 'verified' ELSE 'pending' END AS status FROM lineitem")
+@query("SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_shipdate AS target, CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 0 THEN 'moved' WHEN l_returnflag = 'N' THEN 'verified' ELSE 'pending' END AS status FROM lineitem")
 def ledger_resume(spark, sf_dir):
     old = _ledger(spark, sf_dir)
     return adopt.resumed(old.select("kind", "source", "target").withColumn("status", F.lit("pending")), old).select("target", "status")
@@ -418,7 +426,7 @@ def verify_ledger(spark, sf_dir):
     return adopt.verify(ledger, there)
 
 
-@query("""SELECT l_suppkey AS ledger, count(*) FILTER (l_returnflag = 'N') AS verified, count(*) FILTER (l_returnflag = 'R') AS pending, count(*) FILTER (l_returnflag = 'A') AS failed, bool_and(l_returnflag = 'N') AS complete FROM lineitem GROUP BY 1""")
+@query("""SELECT l_suppkey AS ledger, count(*) FILTER (l_returnflag = 'N' AND l_linenumber % 2 = 1) AS verified, count(*) FILTER (l_returnflag = 'N' AND l_linenumber % 2 = 0) AS moved, 0::BIGINT AS skipped, count(*) FILTER (l_returnflag = 'R') AS pending, count(*) FILTER (l_returnflag = 'A') AS failed, bool_and(l_returnflag = 'N') AS complete FROM lineitem GROUP BY 1""")
 def ledger_status(spark, sf_dir):
     return adopt.ledger_status(_ledger(spark, sf_dir))
 
