@@ -23,7 +23,7 @@ def last_segment(name: Column) -> Column:
 def absolute_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``absolute``: names with leading dots are taken from the importer's qualified name.
 
-    A package keeps its own parts and a module drops its last; each dot after the first drops one more; an unknown importer gives ''.
+    A package keeps its own parts and a module drops its last; each dot after the first drops one more; where nothing is left to drop the rest stands alone; an unknown importer gives ''.
     """
     importer = nodes.select(F.col("id").alias("from_node"), F.split("qualname", r"\.").alias("_parts"), (F.col("kind") == "package").alias("_package"))
     rows = refs.join(importer, "from_node", "left")
@@ -31,7 +31,7 @@ def absolute_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     keep = F.size("_parts") - F.when(F.col("_package"), 0).otherwise(1) - (dots - 1)
     tail = F.expr("substring(name, length(regexp_extract(name, '^(\\\\.*)', 1)) + 1)")
     base = F.array_join(F.slice("_parts", F.lit(1), F.greatest(keep, F.lit(0))), ".")
-    relative = F.when(F.col("_parts").isNull() | (keep < 0), "").otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(tail, F.lit(""))))
+    relative = F.when(F.col("_parts").isNull(), "").otherwise(F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(tail, F.lit(""))))
     return rows.withColumn("absolute", F.when(F.col("name").startswith("."), relative).otherwise(F.col("name"))).drop("_parts", "_package")
 
 

@@ -21,41 +21,111 @@ def query(sql=None):
 
 
 def _modules(spark, sf_dir):
-    """A module for each part: a class that extends another part's, with a method that calls a third; every tenth is broken."""
-    key = F.col("p_partkey")
-    body = F.format_string("import m%d\nfrom .m%d import C%d\n\nclass C%d(C%d):\n    size = 1\n\n    def run(self):\n        return m%d.go(self)\n\ndef test_%d():\n    assert C%d()\n", key % 7, key % 5, key % 5, key, key % 5, key % 7, key, key)
-    content = F.when(key % 10 == 0, F.concat(body, F.lit("def broken(:\n"))).otherwise(body)
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), key, F.lit(".py")).alias("path"), content.alias("content"), F.concat(F.lit("pkg.m"), key).alias("module"))
-
-
-@query("""WITH p AS (SELECT p_partkey AS k FROM part), g AS (SELECT * FROM p WHERE k % 10 <> 0)
-SELECT 'm' || k || '.py' AS path, t AS rec_type, kind, name FROM g, LATERAL (VALUES ('node', 'module', 'm' || k), ('ref', 'imports', 'm' || (k % 7)), ('ref', 'imports', '.m' || (k % 5) || '.C' || (k % 5)), ('node', 'class', 'C' || k), ('ref', 'extends', 'C' || (k % 5)), ('node', 'field', 'size'), ('node', 'method', 'run'), ('ref', 'calls', 'm' || (k % 7) || '.go'), ('node', 'test', 'test_' || k), ('ref', 'calls', 'C' || k)) v(t, kind, name)
-UNION ALL SELECT 'm' || k || '.py', 'error', NULL, NULL FROM p WHERE k % 10 = 0""")
+    """A module for each order, with a class of a method for each of its lines; of every tenth order the text breaks off."""
+    line = F.format_string("    def line_%d(self) -> float:\n        return supplier_%d.price(part_%d)\n", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_suppkey", "l_partkey", line.alias("t")).alias("x"))
+    bodies = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("body"))  # of one order
+    orders = table(spark, sf_dir, "orders").join(bodies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey").cast("string")
+    head = F.concat(F.lit("from ..customers import c"), F.col("o_custkey").cast("string"), F.lit('\n\nclass Order'), key, F.lit("(c"), F.col("o_custkey").cast("string"), F.lit(".Base):\n    status = '"), "o_orderstatus", F.lit("'\n"))
+    content = F.concat(head, F.coalesce("body", F.lit("")), F.when(F.col("o_orderkey") % 10 == 0, "def broken(:\n").otherwise(""))
+    return orders.select(F.concat(F.lit("src/orders/o"), key, F.lit(".py")).alias("path"), content.alias("content"), F.concat(F.lit("orders.o"), key).alias("module"))
+
+
+_SYMBOLS_SQL = """g AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0), l AS (SELECT * FROM lineitem JOIN g ON o_orderkey = l_orderkey),
+l1 AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l),
+r AS (
+SELECT o_orderkey AS k, 'node' AS rec_type, 'module' AS kind, 'o' || o_orderkey AS name, 'orders.o' || o_orderkey AS qualname, NULL AS signature, true AS is_exported FROM g
+UNION ALL SELECT o_orderkey, 'ref', 'imports', '..customers.c' || o_custkey, NULL, NULL, NULL FROM g
+UNION ALL SELECT o_orderkey, 'node', 'class', 'Order' || o_orderkey, 'orders.o' || o_orderkey || '.Order' || o_orderkey, NULL, true FROM g
+UNION ALL SELECT o_orderkey, 'ref', 'extends', 'c' || o_custkey || '.Base', NULL, NULL, NULL FROM g
+UNION ALL SELECT o_orderkey, 'node', 'field', 'status', 'orders.o' || o_orderkey || '.Order' || o_orderkey || '.status', NULL, false FROM g
+UNION ALL SELECT l_orderkey, 'node', 'method', 'line_' || l_linenumber, 'orders.o' || l_orderkey || '.Order' || l_orderkey || '.line_' || l_linenumber, 'line_' || l_linenumber || '(self) -> float', false FROM l
+UNION ALL SELECT l_orderkey, 'ref', 'calls', 'supplier_' || l_suppkey || '.price', NULL, NULL, NULL FROM l
+UNION ALL SELECT o_orderkey, 'error', NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 0)"""
+
+
+@query(f"WITH {_SYMBOLS_SQL} SELECT 'src/orders/o' || k || '.py' AS path, rec_type, kind, name, qualname, signature, is_exported FROM r")
 def py_symbols(spark, sf_dir):
-    return extract.python_symbols(_modules(spark, sf_dir)).select("path", "rec_type", "kind", "name")
+    return extract.python_symbols(_modules(spark, sf_dir)).select("path", "rec_type", "kind", "name", "qualname", "signature", "is_exported")
 
 
-@query("SELECT 'm' || p_partkey || '.py' AS path, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 5 END::BIGINT AS nodes, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE 5 END::BIGINT AS refs, (p_partkey % 10 = 0)::BIGINT AS errors FROM part")
+@query(f"WITH {_SYMBOLS_SQL} SELECT 'src/orders/o' || k || '.py' AS path, count(*) FILTER (rec_type = 'node') AS nodes, count(*) FILTER (rec_type = 'ref') AS refs, count(*) FILTER (rec_type = 'error') AS errors FROM r GROUP BY 1")
 def extract_stats(spark, sf_dir):
     return extract.extract_stats(extract.python_symbols(_modules(spark, sf_dir)))
 
 
-def _pages(spark, sf_dir):
-    text = F.concat_ws("\n", F.format_string("# D%d", F.col("doc_id")), F.lit("intro"), F.lit("## A"), F.lit("```"), F.lit("# no heading"), F.lit("```"), F.lit("### B ##"), F.regexp_replace(F.substring("text", 1, 60), "[#`~\n]", " "), F.lit("## C"))
+# Whole documents as Markdown: what stands at the beginning of a line makes it a heading, a fenced line, a prompt or a line with inline code.
+
+_MARKS = [("A", "# A"), ("T", "## T"), ("S", "### S"), ("E", ">>> E"), ("D", "``` text\nD\n```\nD"), ("O", "`o.name` O")]
+_MD = "regexp_replace(text, '[#`~=>-]', '.', 'g')"
+for _first, _made in _MARKS:
+    _MD = f"regexp_replace({_MD}, '(^|\\n){_first}', '\\1' || replace('{_made}', '\\n', chr(10)), 'g')".replace("\n", "\\n")
+_MD_SQL = f"""md AS (SELECT doc_id, string_split({_MD}, chr(10)) AS ls FROM documents),
+ln AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line, len(ls) AS n_lines FROM md),
+fl AS (SELECT *, starts_with(t, '```') AS fence, sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM ln),
+hd AS (SELECT doc_id, line, n_lines, length(regexp_extract(t, '^(#{{1,6}})\\s', 1)) AS level, trim(regexp_extract(t, '^ {{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2)) AS title FROM fl
+  WHERE NOT fence AND n % 2 = 0 AND regexp_matches(t, '^ {{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$')),
+sl AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\-]+', '-', 'g'), '-'), ''), 'section') AS s FROM hd)"""
+
+
+def _markdown(spark, sf_dir):
+    text = F.regexp_replace("text", "[#`~=>-]", ".")
+    for first, made in _MARKS:
+        text = F.regexp_replace(text, rf"(^|\n){first}", "$1" + made)
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
-@query("SELECT doc_id, unnest([0, 2, 6, 8])::INT AS line, unnest([1, 2, 3, 2])::INT AS level, unnest(['D' || doc_id, 'A', 'B', 'C']) AS title, unnest([NULL, 0, 2, 0])::INT AS parent, unnest([9, 8, 8, 9])::INT AS ending FROM documents")
+@query(f"""WITH {_MD_SQL}, nx AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY line) AS k, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS following FROM sl),
+b AS (SELECT x.doc_id, x.line, max(y.line) FILTER (y.line < x.line AND y.level < x.level) AS parent, min(y.line) FILTER (y.line > x.line AND y.level <= x.level) AS nxt FROM hd x JOIN hd y USING (doc_id) GROUP BY ALL)
+SELECT doc_id, line::INT AS line, level::INT AS level, title, CASE WHEN k > 1 THEN s || '-' || k ELSE s END AS slug, parent::INT AS parent, coalesce(following, n_lines)::INT AS content_end, coalesce(nxt, n_lines)::INT AS ending FROM nx JOIN b USING (doc_id, line)""")
 def md_sections(spark, sf_dir):
-    return extract.markdown_sections(_pages(spark, sf_dir), "doc_id")
+    return extract.markdown_sections(_markdown(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_MD_SQL} SELECT doc_id, min(line)::INT AS start, string_agg(t, chr(10) ORDER BY line) FILTER (NOT fence) AS code, NULL::VARCHAR AS error FROM fl WHERE n % 2 = 1 GROUP BY doc_id, n")
+def md_fences(spark, sf_dir):
+    return extract.markdown_fences(_markdown(spark, sf_dir), "doc_id")
+
 
+@query(f"""WITH {_MD_SQL}, r AS (SELECT fl.doc_id, fl.line, (SELECT max(line) FROM hd WHERE hd.doc_id = fl.doc_id AND hd.line <= fl.line) AS section FROM fl WHERE NOT fence AND n % 2 = 0 AND starts_with(t, '`o.name`'))
+SELECT doc_id, section::INT AS section, 'o.name' AS name, min(line)::INT AS line FROM r GROUP BY ALL""")
+def md_references(spark, sf_dir):
+    return extract.markdown_references(_markdown(spark, sf_dir), "doc_id")
 
-@query("SELECT doc_id, 1::INT AS block, '# no heading' AS code FROM documents")
+
+_BLOCKS_SQL = _MD_SQL + r""", pr AS (SELECT doc_id, line, t, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM fl WHERE NOT fence AND n % 2 = 0 AND starts_with(t, '>>>')),
+bl AS (SELECT doc_id, min(line) AS line, string_agg(trim(t, ' '), chr(10) ORDER BY line) AS code FROM pr GROUP BY doc_id, island
+  UNION ALL SELECT doc_id, min(line), string_agg(t, chr(10) ORDER BY line) FROM fl WHERE NOT fence AND n % 2 = 1 GROUP BY doc_id, n),
+bk AS (SELECT doc_id, regexp_replace(code, '^\s+|\s+$', '', 'g') AS code, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS block FROM bl)"""
+
+
+@query(f"WITH {_BLOCKS_SQL} SELECT doc_id, block::INT AS block, code FROM bk")
 def code_blocks(spark, sf_dir):
-    return extract.code_blocks(_pages(spark, sf_dir), "doc_id", "text")
+    return extract.code_blocks(_markdown(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"""WITH {_BLOCKS_SQL} SELECT source || '#' || source || '.' || doc_id || ' (example ' || block || ')#example' AS id, source || '#' || source || '.' || doc_id || '#function' AS target, code FROM bk JOIN documents USING (doc_id)""")
+def example_lifting(spark, sf_dir):
+    docs = _markdown(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    qualname = F.concat_ws(".", "source", F.col("doc_id").cast("string"))
+    nodes = docs.select(F.concat_ws("#", "source", qualname, F.lit("function")).alias("id"), F.lit("function").alias("kind"), F.col("source").alias("name"), qualname.alias("qualname"), F.col("source").alias("file"), F.lit(1).alias("start_line"), F.col("text").alias("docstring"))
+    found, edges = extract.example_nodes(nodes)
+    return found.select("id", "code").join(edges.select(F.col("source").alias("id"), "target"), "id")
+
+
+# Configuration documents made from the columns of each event.
+
+_CONFIG = """'{"k": ' || event_id || ', "amount": ' || (user_id + 0.5) || ', "d.e": "' || user_id || '", "type": "' || event_type || '", "flag": ' || (CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END) || ', "props": ' || props || ', "list": [' || user_id || ', 1]}'"""
 
 
-@query("""SELECT event_id, name, CASE json_type(props, '$.' || name) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'null' END AS value_type
-FROM (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events)""")
+@query(f"""WITH c AS (SELECT event_id, user_id, event_type, props, {_CONFIG} AS doc FROM events)
+SELECT event_id, unnest(['k', 'amount', 'd.e', 'type', 'flag', 'props', 'list']) AS name, unnest(['integer', 'number', 'string', 'string', CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'null' END, 'object', 'array']) AS value_type,
+unnest([json_extract(doc, '$.k')::VARCHAR, json_extract(doc, '$.amount')::VARCHAR, json_extract(doc, '$."d.e"')::VARCHAR, json_extract(doc, '$.type')::VARCHAR, json_extract(doc, '$.flag')::VARCHAR,
+  CASE WHEN len(json_keys(props)) = 1 THEN '1 key' ELSE len(json_keys(props)) || ' keys' END, '2 items']) AS summary FROM c""")
 def config_keys(spark, sf_dir):
-    return extract.config_keys(table(spark, sf_dir, "events"), "event_id", "props")
+    rows = table(spark, sf_dir, "events")
+    text = lambda c: F.col(c).cast("string")
+    flag = F.when(F.col("event_id") % 2 == 0, "true").otherwise("null")
+    doc = F.concat(F.lit('{"k": '), text("event_id"), F.lit(', "amount": '), text("user_id"), F.lit('.5, "d.e": "'), text("user_id"), F.lit('", "type": "'), "event_type", F.lit('", "flag": '), flag, F.lit(', "props": '), "props", F.lit(', "list": ['), text("user_id"), F.lit(", 1]}"))
+    return extract.config_keys(rows.select("event_id", doc.alias("doc")), "event_id", "doc")
