@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bytewords import word_ranges
-from .common import U64, Scratch, blocks, mixed, partitions, range_hashes, staged, text_buffers, texts
+from .common import U64, Scratch, blocks, join_counted, mixed, partitions, range_hashes, staged, text_buffers, texts
 from .components import components
 
 #: Trees, depth at which a region begins and ends, rows of a region taken whole, and rows of a sorted run that a task holds.
@@ -285,8 +285,8 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) ->
 def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
     """The ids of ``large`` (tree, key, id) whose region holds several of the ``classes`` (id, class)."""
     rows = large.join(classes.hint("merge"), "id")
-    several = rows.groupBy("tree", "key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    return large.join(several.select("tree", "key").hint("merge"), ["tree", "key"], "left_semi").select("id").distinct()
+    several = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    return join_counted(large, several.select("tree", "key", "n"), ["tree", "key"], large.count()).select("id").distinct()
 
 
 def parity_map(shingles: np.ndarray) -> np.ndarray:
@@ -378,7 +378,7 @@ def _classified(docs: DataFrame, width: int, percent: int, keep: Scratch) -> Dat
     final = components(links, keep)
 
     classes = keep(signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
-    crowd = keep(crowded(large, classes), "crowded")
+    crowd = keep(crowded(keep(large, "large"), classes), "crowded")
     if not crowd.isEmpty():
         own = keep(bodies(crowd).join(classes, "id"), "crowd")
         last = keep(crowded_pairs(own, width, percent, keep), "crowded-pairs")

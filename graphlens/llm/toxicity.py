@@ -173,11 +173,11 @@ def log_odds(x: np.ndarray, model: list) -> np.ndarray:
 
 
 def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points (z, share) of the rising step function nearest to y, by pooling adjacent violators."""
-    order = np.argsort(z, kind="stable")
+    """Points (z, share) of the rising step function nearest to y, by pooling adjacent violators; equal z are one point."""
+    kinds, back = np.unique(z, return_inverse=True)
     pools: list[list[float]] = []  # sum, number, least z, greatest z
-    for a, b in zip(z[order].tolist(), y[order].tolist()):
-        pools.append([b, 1, a, a])
+    for a, total, n in zip(kinds.tolist(), np.bincount(back, y).tolist(), np.bincount(back).tolist()):
+        pools.append([total, n, a, a])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, high = pools.pop()
             pools[-1][0] += s

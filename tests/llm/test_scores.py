@@ -107,3 +107,8 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.pack(spark, cut, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}
     assert exact_dedup.report(docs).count() == docs.count()
+
+
+def test_isotonic_takes_ties_as_one_point():
+    at, value = toxicity.isotonic(np.array([-9.0, -9.0, -9.0, 7.0, 7.0]), np.array([0.0, 0.0, 1.0, 1.0, 1.0]))
+    assert np.interp(-9.0, at, value) == pytest.approx(1 / 3) and np.interp(7.0, at, value) == 1.0
