@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 RRF_K = 60
+#: Provenances of relations that can be relied on.
+RELIABLE = ["resolved", "scip"]
 
 
 def channels(hits: DataFrame, limit: int, oversample: int = 3) -> DataFrame:
@@ -29,10 +31,9 @@ def symbol_ref(source: Column, snapshot: Column, node: Column) -> Column:
 
 def parsed_ref(ref: Column) -> Column:
     """source, snapshot and node of a symbol ref; null where it isn't one (a node has two # at least)."""
-    tail = F.regexp_extract(ref, r"^[^@]+@(.*)$", 1)
-    node = F.regexp_extract(tail, r":([^:]*#.*#.*)$", 1)
-    good = ~ref.startswith("@") & (node != "")
-    return F.when(good, F.struct(F.regexp_extract(ref, r"^([^@]+)@", 1).alias("source"), F.expr("1").alias("_"), node.alias("node")))
+    shape = r"^([^@]+)@(.*):([^:]*#.*#.*)$"
+    part = lambda k: F.regexp_extract(ref, shape, k)
+    return F.when(ref.rlike(shape), F.struct(part(1).alias("source"), part(2).alias("snapshot"), part(3).alias("node")))
 
 
 def registry_hits(items: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def registry_hits(items: DataFrame) -> DataFrame:
 def reliable(pairs: DataFrame, limit: int) -> DataFrame:
     """Of the first ``limit`` relations of each ref those that are resolved; the limit comes first."""
     first = pairs.withColumn("_k", F.row_number().over(W.partitionBy("ref").orderBy("seq", "id"))).filter(F.col("_k") <= limit)
-    return first.filter(F.col("provenance").isin("resolved", "scip")).drop("_k")
+    return first.filter(F.col("provenance").isin(RELIABLE)).drop("_k")
 
 
 def freshness(states: DataFrame) -> DataFrame:
@@ -58,11 +59,6 @@ def coverage(states: DataFrame) -> DataFrame:
     return states.groupBy("group").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == "fresh").alias("ready"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
-def json_size(item: Column) -> Column:
-    """Characters of an item as compact JSON, and one for the comma."""
-    return F.length(F.to_json(item, {"ignoreNullFields": "false"})) + 1
-
-
 def pack_budget(hits: DataFrame, details: DataFrame, budget: int) -> DataFrame:
     """task_id, hits, details, omitted, used: the leading hits that fit, then the leading details of kept hits that fit."""
     along = W.partitionBy("task_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
@@ -128,20 +124,12 @@ def aliases(asked: DataFrame, inventory: DataFrame, table: DataFrame) -> DataFra
     return asked.distinct().join(best, "asked", "left").select("asked", F.col("m.found").alias("name"))
 
 
-def normal_source(name: Column) -> Column:
-    """Lower case, with runs of separators as one dash."""
-    return F.regexp_replace(F.lower(F.trim(name)), r"[-_.\s]+", "-")
-
-
-def allowed(requests: DataFrame, listed: DataFrame) -> DataFrame:
-    """Requested sources that the allow-list holds after normalising."""
-    return requests.withColumn("_n", normal_source(F.col("source"))).join(listed.select(normal_source(F.col("source")).alias("_n")).distinct(), "_n", "left_semi").drop("_n")
-
-
-def next_actions(hits: DataFrame) -> DataFrame:
-    """query_id, ord, action for the first five hits."""
-    action = F.when(F.col("executable"), F.concat(F.lit("run "), "ref")).otherwise(F.concat(F.lit("open "), "ref"))
-    return hits.filter("rank < 5").select("query_id", F.col("rank").alias("ord"), action.alias("action"))
+def normal_source(name: Column, families: list[str]) -> Column:
+    """The root of a source's name: without a namespace, the last part after the name of a family, or what stands before the first dot."""
+    bare = F.regexp_replace(F.lower(F.trim(name)), "^@[^/]*/", "")
+    parts = F.filter(F.split(F.replace(bare, F.lit("_"), F.lit("-")), "-"), lambda x: x != "")
+    family = (F.size(parts) >= 2) & F.get(parts, F.lit(0)).isin(families)
+    return F.when(family, F.try_element_at(parts, F.lit(-1))).when(F.contains(bare, F.lit(".")) & ~bare.startswith("."), F.regexp_extract(bare, r"^([^.]*)", 1)).otherwise(bare)
 
 
 def catalog_page(cards: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ which is what self-exclusion needs. So a name that thousands of nodes share cost
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from graphlens.schemas import CALLABLE_KINDS, MODULE_KINDS, TYPE_KINDS
+from graphlens.storage import stored
 
 #: References to these names are passed over.
 IGNORED = ["", "self", "cls", "super"]
@@ -67,26 +71,27 @@ def _one_or_more() -> Column:
     return F.when(F.col("n") == 1, "resolved").otherwise("heuristic")
 
 
-def import_scoped_calls(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Calls through what the file imports: dotted names through the first imported module with such a callable, else by last segment."""
+def import_scoped_calls(refs: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Calls through what the file imports (``known``, its import map): dotted names through the first imported module with such a callable, else by last segment."""
     calls = refs.filter("kind = 'calls'").withColumn("segment", last_segment(F.col("name")))
-    known = import_map(refs, nodes)
+    known = import_map(refs, nodes) if known is None else known
     plain = choose(calls, known.filter(F.col("kind").isin(CALLABLE_KINDS)).select("file", "segment", "id"), ["file", "segment"])
     dotted = calls.filter(F.instr("name", ".") > 0).withColumn("module", F.regexp_extract("name", r"([^.]*)\.[^.]*$", 1))
-    modules = known.filter(F.col("kind").isin(MODULE_KINDS)).select("file", F.col("segment").alias("module"), F.col("qualname").alias("owner"), F.col("seq").alias("import_seq"))
+    modules = known.filter(F.col("kind").isin(MODULE_KINDS)).groupBy("file", F.col("segment").alias("module"), F.col("qualname").alias("owner")).agg(F.min("seq").alias("import_seq"))
     callables = nodes.filter(F.col("kind").isin(CALLABLE_KINDS)).select("id", F.concat_ws(".", F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1), "name").alias("whole"))
     through = dotted.join(modules, ["file", "module"]).withColumn("whole", F.concat_ws(".", "owner", "segment"))
     through = choose(through, callables, ["whole"])
-    first = through.withColumn("_k", F.row_number().over(W.partitionBy("seq").orderBy("import_seq", "target"))).filter("_k = 1")
+    first = stored(through.withColumn("_k", F.row_number().over(W.partitionBy("seq").orderBy("import_seq", "target"))).filter("_k = 1"), "through")
     by_module = _edge(first, _one_or_more(), "import")
     return by_module.union(_edge(plain.join(first.select("seq"), "seq", "left_anti"), _one_or_more(), "import"))
 
 
-def instantiations(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+def instantiations(refs: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Calls of types: imported by last segment, else where the name is the snapshot's only type of that name."""
     calls = refs.filter("kind = 'calls'").withColumn("segment", last_segment(F.col("name")))
     types = nodes.filter(F.col("kind").isin(TYPE_KINDS))
-    imported = choose(calls, import_map(refs, nodes).filter(F.col("kind").isin(TYPE_KINDS)).select("file", "segment", "id"), ["file", "segment"])
+    known = import_map(refs, nodes) if known is None else known
+    imported = stored(choose(calls, known.filter(F.col("kind").isin(TYPE_KINDS)).select("file", "segment", "id"), ["file", "segment"]), "imported")
     rest = calls.join(imported.select("seq"), "seq", "left_anti")
     single = choose(rest, types.select(F.col("name").alias("segment"), "id"), ["segment"]).filter("n = 1")
     return _edge(imported, _one_or_more(), "import").union(_edge(single, F.lit("resolved")))
@@ -96,7 +101,7 @@ def callable_fallback(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Calls by name alone: the file's callables of that name if any, else all; only where exactly one is left."""
     calls = refs.filter("kind = 'calls'").withColumn("segment", last_segment(F.col("name")))
     pool = nodes.filter(F.col("kind").isin(CALLABLE_KINDS)).select("file", F.col("name").alias("segment"), "id")
-    near = choose(calls, pool, ["file", "segment"])
+    near = stored(choose(calls, pool, ["file", "segment"]), "near")
     far = choose(calls.join(near.select("seq"), "seq", "left_anti"), pool.drop("file"), ["segment"])
     return _edge(near.filter("n = 1").select(*far.columns), F.lit("heuristic")).union(_edge(far.filter("n = 1"), F.lit("heuristic")))
 
@@ -127,8 +132,10 @@ def import_edges(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def ladder(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each reference the edge of the first rule that gives one. Kinds without a rule are never resolved."""
-    real = refs.filter(~F.col("name").isin(IGNORED))
-    rules = [import_scoped_calls(real, nodes), instantiations(real, nodes), callable_fallback(real, nodes), base_types(real, nodes), import_edges(real, nodes)]
+    real = stored(refs.filter(~F.col("name").isin(IGNORED)), "refs")
+    nodes = stored(nodes, "nodes")
+    known = stored(import_map(real, nodes), "imports")
+    rules = [import_scoped_calls(real, nodes, known), instantiations(real, nodes, known), callable_fallback(real, nodes), base_types(real, nodes), import_edges(real, nodes)]
     tried = None
     for place, edges in enumerate(rules):
         own = edges.withColumn("place", F.lit(place))
@@ -162,3 +169,49 @@ def catalog_links(entries: DataFrame, nodes: DataFrame, kinds: list[str] | None
     able = nodes if kinds is None else nodes.filter(F.col("kind").isin(kinds))
     first = able.groupBy(F.col("qualname").alias("name")).agg(F.min_by("id", "seq").alias("target"))
     return entries.select("id", F.explode("names").alias("name")).join(first, "name", "left").select("id", "name", "target")
+
+
+def capability_overlay(entries: DataFrame, nodes: DataFrame, file: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and unresolved references of capabilities (id, title, summary, implemented_by, examples).
+
+    Each is a node; a qualified name that it lists gives a provides edge to the first node of that name, or stays unresolved;
+    each example is a node with an edge to it.
+    """
+    own = entries.withColumn("node", F.concat_ws("#", F.lit(file), "id", F.lit("capability")))
+    capabilities = own.select(F.col("node").alias("id"), F.lit("capability").alias("kind"), F.col("id").alias("name"), F.col("id").alias("qualname"), F.lit(file).alias("file"), F.coalesce(F.nullif("summary", F.lit("")), "title").alias("summary"))
+    found = catalog_links(own.select(F.col("node").alias("id"), F.col("implemented_by").alias("names")), nodes)
+    listed = own.select("id", "node", F.posexplode("examples").alias("k", "path"))
+    number = (F.col("k") + 1).cast("string")
+    qualname = F.concat("id", F.lit(" (example "), number, F.lit(")"))
+    examples = listed.select(F.concat_ws("#", F.lit(file), qualname, F.lit("example")).alias("node"), F.concat("id", F.lit(" example "), number).alias("name"), qualname.alias("qualname"), "path", F.concat(F.lit("curated example for "), "id").alias("summary"), F.col("node").alias("about"))
+    made = examples.select(F.col("node").alias("id"), F.lit("example").alias("kind"), "name", "qualname", F.col("path").alias("file"), "summary")
+    edges = _overlay_edges(found, "provides_capability").union(examples.select(F.col("node").alias("source"), F.col("about").alias("target"), F.lit("exemplifies").alias("kind"), F.lit("heuristic").alias("provenance")))
+    return capabilities.union(made), edges, _overlay_refs(found, "provides_capability")
+
+
+def convention_overlay(entries: DataFrame, nodes: DataFrame, file: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``capability_overlay`` for conventions (id, title, scope): governs edges to packages, modules and namespaces."""
+    own = entries.filter("id <> '' and size(scope) > 0").withColumn("node", F.concat_ws("#", F.lit(file), "id", F.lit("convention")))
+    conventions = own.select(F.col("node").alias("id"), F.lit("convention").alias("kind"), F.col("id").alias("name"), F.col("id").alias("qualname"), F.lit(file).alias("file"), F.col("title").alias("summary"))
+    found = catalog_links(own.select(F.col("node").alias("id"), F.col("scope").alias("names")), nodes, MODULE_KINDS)
+    return conventions, _overlay_edges(found, "governs"), _overlay_refs(found, "governs")
+
+
+def _overlay_edges(found: DataFrame, kind: str) -> DataFrame:
+    return found.filter("target is not null").select(F.col("id").alias("source"), "target", F.lit(kind).alias("kind"), F.lit("resolved").alias("provenance"))
+
+
+def _overlay_refs(found: DataFrame, kind: str) -> DataFrame:
+    return found.filter("target is null").select(F.col("id").alias("from_node"), "name", F.lit(kind).alias("kind"))
+
+
+def with_overlays(tables: tuple[DataFrame, ...], overlays: list[tuple[Callable, Callable]]) -> tuple[tuple[DataFrame, ...], list[str]]:
+    """The graph's tables with those of each overlay (predicate, builder) whose predicate holds for them, and the messages of overlays that couldn't be planned."""
+    failed, out = [], tables
+    for wanted, build in overlays:
+        try:
+            if wanted(tables):
+                out = tuple(a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, build(tables)))
+        except AnalysisException as e:
+            failed.append(str(e).splitlines()[0])
+    return out, failed

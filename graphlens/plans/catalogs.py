@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from graphlens.plans import extract_queries, link_queries, search_queries, table_queries
+from graphlens.plans import context_queries, extract_queries, link_queries, search_queries, table_queries
 
-_MODULES = [extract_queries, search_queries, table_queries, link_queries]
+_MODULES = [extract_queries, search_queries, table_queries, link_queries, context_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -100,7 +100,7 @@ def test_links(spark, sf_dir):
 
 @query(f"""WITH {_VIEW}, r AS (SELECT seq, from_node, repeat('.', l) || (CASE WHEN seq % 2 = 0 THEN 'x.y' ELSE '' END) AS name, l FROM (SELECT *, seq % 4 AS l FROM rf)), q AS (SELECT r.*, string_split(qualname, '.') AS p, nd.kind FROM r JOIN nd ON nd.id = from_node),
 k AS (SELECT *, len(p) - (CASE WHEN kind = 'package' THEN 0 ELSE 1 END) - (l - 1) AS keep, substring(name, l + 1) AS tail FROM q)
-SELECT seq, CASE WHEN l = 0 THEN name WHEN keep < 0 THEN '' ELSE concat_ws('.', nullif(array_to_string(p[1:keep], '.'), ''), nullif(tail, '')) END AS absolute FROM k""")
+SELECT seq, CASE WHEN l = 0 THEN name ELSE concat_ws('.', nullif(array_to_string(p[1:greatest(keep, 0)], '.'), ''), nullif(tail, '')) END AS absolute FROM k""")
 def import_absolute(spark, sf_dir):
     name = F.concat(F.repeat(F.lit("."), (F.col("seq") % 4).cast("int")), F.when(F.col("seq") % 2 == 0, "x.y").otherwise(""))
     return resolve.absolute_names(_refs(spark, sf_dir).withColumn("name", name), _nodes(spark, sf_dir)).select("seq", "absolute")
@@ -124,10 +124,51 @@ def convention_links(spark, sf_dir):
     return resolve.catalog_links(_entries(spark, sf_dir), _nodes(spark, sf_dir), ["package", "module", "namespace"])
 
 
-@query(f"WITH {_VIEW} SELECT id, kind, name FROM nd UNION ALL SELECT 'x' || s_suppkey, 'capability', s_name FROM supplier")
+def _capabilities(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    name = F.concat_ws(".", "p_brand", F.concat_ws("_", F.substring("p_type", 1, 4), (F.col("p_partkey") % 400).cast("string")))
+    return parts.select(
+        F.concat(F.lit("k"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("summary"),
+        F.array(name, F.lit("no.such")).alias("implemented_by"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("a.py"), F.lit("b.py"))).otherwise(F.array().cast("array<string>")).alias("examples"), F.array(name, F.lit("no.such")).alias("scope"),
+    )
+
+
+_CAPABILITIES = """cp AS (SELECT 'cat#k' || p_partkey || '#capability' AS id, 'k' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS summary, p_size % 3 = 0 AS ex, p_brand || '.' || left(p_type, 4) || '_' || (p_partkey % 400) AS q, p_name FROM part),
+cf AS (SELECT qualname, arg_min(id, seq) AS target FROM nd GROUP BY 1), cx AS (SELECT cp.*, unnest([1, 2]) AS k, unnest(['a.py', 'b.py']) AS path FROM cp WHERE ex),
+vf AS (SELECT qualname, arg_min(id, seq) AS target FROM nd WHERE kind IN ('package', 'module', 'namespace') GROUP BY 1)"""
+
+
+@query(f"WITH {_VIEW}, {_CAPABILITIES} SELECT id, 'capability' AS kind, name, 'cat' AS file, summary FROM cp UNION ALL SELECT 'cat#' || name || ' (example ' || k || ')#example', 'example', name || ' example ' || k, path, 'curated example for ' || name FROM cx")
+def capability_nodes(spark, sf_dir):
+    return resolve.capability_overlay(_capabilities(spark, sf_dir), _nodes(spark, sf_dir), "cat")[0].select("id", "kind", "name", "file", "summary")
+
+
+@query(f"WITH {_VIEW}, {_CAPABILITIES} SELECT cp.id AS source, target, 'provides_capability' AS kind, 'resolved' AS provenance FROM cp JOIN cf ON qualname = q UNION ALL SELECT 'cat#' || name || ' (example ' || k || ')#example', id, 'exemplifies', 'heuristic' FROM cx")
+def capability_edges(spark, sf_dir):
+    return resolve.capability_overlay(_capabilities(spark, sf_dir), _nodes(spark, sf_dir), "cat")[1]
+
+
+@query(f"WITH {_VIEW}, {_CAPABILITIES} SELECT id AS from_node, q AS name, 'provides_capability' AS kind FROM cp WHERE q NOT IN (SELECT qualname FROM nd) UNION ALL SELECT id, 'no.such', 'provides_capability' FROM cp")
+def capability_unresolved(spark, sf_dir):
+    return resolve.capability_overlay(_capabilities(spark, sf_dir), _nodes(spark, sf_dir), "cat")[2]
+
+
+@query(f"WITH {_VIEW}, {_CAPABILITIES} SELECT 'cat#' || name || '#convention' AS source, target, 'governs' AS kind, 'resolved' AS provenance FROM cp JOIN vf ON qualname = q")
+def convention_edges(spark, sf_dir):
+    return resolve.convention_overlay(_capabilities(spark, sf_dir), _nodes(spark, sf_dir), "cat")[1]
+
+
+@query(f"WITH {_VIEW}, {_CAPABILITIES} SELECT id, kind, name FROM nd UNION ALL SELECT 'cat#' || name || '#convention', 'convention', name FROM cp")
 def overlay_union(spark, sf_dir):
-    extra = table(spark, sf_dir, "supplier").select(F.concat(F.lit("x"), "s_suppkey").alias("id"), F.lit("capability").alias("kind"), F.col("s_name").alias("name"))
-    return _nodes(spark, sf_dir).unionByName(extra, allowMissingColumns=True).select("id", "kind", "name")
+    conventions = lambda tables: (resolve.convention_overlay(_capabilities(spark, sf_dir), tables[0], "cat")[0],)
+    overlays = [
+        (lambda tables: "seq" in tables[0].columns, conventions),
+        (lambda tables: True, lambda tables: (tables[0].select("no_such_column"),)),  # fails, and is passed over
+        (lambda tables: "no_such_column" in tables[0].columns, conventions),
+    ]
+    (nodes,), failed = resolve.with_overlays((_nodes(spark, sf_dir),), overlays)
+    assert len(failed) == 1
+    return nodes.select("id", "kind", "name")
 
 
 # Federation: channels are the documents' sources; a query's score is a document's length by language.
@@ -261,18 +302,3 @@ def alias_resolve(spark, sf_dir):
     known = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("alias")).agg(F.min("n_name").alias("target"))
     asked = t("nation").select(F.col("n_name").alias("asked")).union(t("region").select("r_name")).union(t("supplier").select("s_name")).union(t("nation").select(F.left("n_name", F.lit(4))))
     return federate.aliases(asked, inventory, known)
-
-
-@query(r"SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 1 AND min(doc_id) % 2 = 0)")
-def scope_allow(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    listed = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("m")).filter("n > 1 and m % 2 = 0").select(F.upper("source").alias("source"))
-    return federate.allowed(docs.select("doc_id", "source"), listed).select("doc_id")
-
-
-@query("SELECT lang AS query_id, rank AS ord, CASE WHEN doc_id % 2 = 0 THEN 'run d' ELSE 'open d' END || doc_id AS action FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents) WHERE rank < 5")
-def next_actions(spark, sf_dir):
-    from pyspark.sql.window import Window as W
-
-    docs = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")) - 1)
-    return federate.next_actions(docs.select(F.col("lang").alias("query_id"), "rank", F.concat(F.lit("d"), "doc_id").alias("ref"), (F.col("doc_id") % 2 == 0).alias("executable")))

@@ -65,7 +65,7 @@ def publish(tables: dict[str, DataFrame], path: str, snapshot_id: str) -> None:
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the snapshots that have a manifest row."""
     rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-    return rows.join(F.broadcast(spark.read.parquet(f"{path}/manifest").distinct()), "snapshot_id", "left_semi")
+    return rows.join(spark.read.parquet(f"{path}/manifest").distinct(), "snapshot_id", "left_semi")
 
 
 def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -73,6 +73,22 @@ def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def by_values(nodes: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+    """The nodes (or file records) whose ``column`` (qualname, path) is among the asked ones, by id where there is one."""
+    return nodes.join(asked.select(column).distinct(), column, "left_semi")
+
+
+def by_kind(nodes: DataFrame, kind: str, limit: int) -> DataFrame:
+    """The first nodes of a kind, by id."""
+    return nodes.filter(F.col("kind") == kind).orderBy("id").limit(limit)
+
+
+def edges_at(edges: DataFrame, ids: DataFrame, end: str, kinds: list[str] | None = None) -> DataFrame:
+    """The edges whose ``end`` (source or target) is among the ids, of some kinds or all."""
+    own = edges if kinds is None else edges.filter(F.col("kind").isin(kinds))
+    return own.join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+
+
 def catalog(entries: DataFrame) -> DataFrame:
     """id, scope: a row for each scope of the entries that have an id and a scope."""
     good = entries.filter((F.coalesce("id", F.lit("")) != "") & (F.size("scope") > 0))
