@@ -33,26 +33,52 @@ def extract_plan(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     return files.join(held, ["path", "hash"], "left").select("path", "hash", F.when(F.col("_held"), "reuse").otherwise("extract").alias("action"))
 
 
+def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with the new payloads: one row of each (path, hash, version), the newest."""
+    both = cache.unionByName(new)
+    last = F.row_number().over(W.partitionBy("path", "hash", "version").orderBy(F.desc("created_at"), F.desc("payload")))
+    return both.withColumn("_k", last).filter("_k = 1").drop("_k")
+
+
 def age_prune(rows: DataFrame, now: Column, days: int) -> DataFrame:
     """Rows that aren't older than ``days``; 0 disables."""
     return rows if days <= 0 else rows.filter(age_s(now, F.col("created_at")) <= days * DAY_S)
 
 
+def _hourly(rows: DataFrame, newest: bool) -> DataFrame:
+    """cache, hour, n, size, and n_before and size_before: those of the hours that come first in each cache, and the cache's total."""
+    hours = rows.groupBy("cache", F.date_trunc("hour", F.col("created_at")).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    order = W.partitionBy("cache").orderBy(F.desc("hour") if newest else F.asc("hour"))
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    of_cache = W.partitionBy("cache")
+    return hours.withColumns({"n_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "size_before": F.coalesce(F.sum("size").over(before), F.lit(0)), "all_n": F.sum("n").over(of_cache), "all_size": F.sum("size").over(of_cache)})
+
+
 def shed_to_fit(rows: DataFrame, limit: int) -> DataFrame:
-    """The newest rows of each cache whose sizes add up to ``limit``; 0 or less disables."""
+    """The newest rows of each cache whose sizes add up to ``limit``; 0 or less disables.
+
+    Whole hours are decided by their sums; only the hour at the limit is sorted by row.
+    """
     if limit <= 0:
         return rows
-    newest = W.partitionBy("cache").orderBy(F.desc("created_at"), F.desc("key"))
-    return rows.withColumn("_sum", F.sum("size").over(newest)).filter(F.col("_sum") <= limit).drop("_sum")
+    hours = _hourly(rows, True).filter(F.col("size_before") <= limit).select("cache", "hour", F.col("size").alias("_size"), F.col("size_before").alias("_before"))
+    near = rows.withColumn("hour", F.date_trunc("hour", F.col("created_at"))).join(hours, ["cache", "hour"])
+    inside = near.filter(F.col("_before") + F.col("_size") <= limit)
+    newest = W.partitionBy("cache", "hour").orderBy(F.desc("created_at"), F.desc("key")).rowsBetween(W.unboundedPreceding, 0)
+    edge = near.filter(F.col("_before") + F.col("_size") > limit).withColumn("_sum", F.col("_before") + F.sum("size").over(newest)).filter(F.col("_sum") <= limit)
+    return inside.select(*rows.columns).union(edge.select(*rows.columns))
 
 
 def shed_pass(rows: DataFrame, limit: int) -> DataFrame:
-    """One pass: of each cache over the limit the oldest tenth (one row at least) goes."""
+    """One pass: of each cache over the limit the oldest tenth (one row at least) goes. Only the hour at the cut is sorted by row."""
     if limit <= 0:
         return rows
-    all_of, oldest = W.partitionBy("cache"), W.partitionBy("cache").orderBy("created_at", "key")
-    marked = rows.withColumns({"_total": F.sum("size").over(all_of), "_n": F.count(F.lit(1)).over(all_of), "_k": F.row_number().over(oldest)})
-    return marked.filter((F.col("_total") <= limit) | (F.col("_k") > F.greatest(F.floor(F.col("_n") / 10), F.lit(1)))).drop("_total", "_n", "_k")
+    cut = F.greatest(F.floor(F.col("all_n") / 10), F.lit(1))
+    hours = _hourly(rows, False).select("cache", "hour", F.when(F.col("all_size") <= limit, 0).otherwise(cut - F.col("n_before")).alias("_gone"), F.col("n").alias("_n"))
+    near = rows.withColumn("hour", F.date_trunc("hour", F.col("created_at"))).join(hours.filter("_gone < _n"), ["cache", "hour"])
+    oldest = W.partitionBy("cache", "hour").orderBy("created_at", "key")
+    edge = near.filter("_gone > 0").withColumn("_k", F.row_number().over(oldest)).filter("_k > _gone")
+    return near.filter("_gone <= 0").select(*rows.columns).union(edge.select(*rows.columns))
 
 
 def retain_newest(manifests: DataFrame, now: Column, days: int, keep: int) -> DataFrame:

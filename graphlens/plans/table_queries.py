@@ -35,12 +35,22 @@ def _doc_files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("hash"))
 
 
-@query("""SELECT source, 'local:hash:sha256-' || left(sha256(string_agg(line, '' ORDER BY line)), 32) AS snapshot_id, count(*) AS n
-FROM (SELECT source, source || '/' || doc_id || chr(9) || sha256(text) || chr(10) AS line FROM documents) GROUP BY 1""")
+@query("""SELECT source, 'local:hash:sha256-' || left(sha256(string_agg(path || chr(0) || hash || chr(10), '' ORDER BY path)), 32) AS snapshot_id, count(*) AS n
+FROM (SELECT source, source || '/' || doc_id AS path, sha256(text) AS hash FROM documents) GROUP BY 1""")
 def snapshot_digest(spark, sf_dir):
     return files.snapshot_digest(_doc_files(spark, sf_dir))
 
 
+@query("""WITH l AS (SELECT source, count(*) OVER (PARTITION BY source) AS n, source || '/' || doc_id AS path, sha256(text) AS hash FROM documents),
+p AS (SELECT source, n, left(sha256(path), 2) AS part, sha256(string_agg(path || chr(0) || hash || chr(10), '' ORDER BY path)) AS d FROM l GROUP BY ALL)
+SELECT source, 'local:tree:sha256-' || left(sha256(string_agg(part || ':' || d, chr(10) ORDER BY part)), 32) AS snapshot_id, n FROM p GROUP BY ALL""")
+def snapshot_tree(spark, sf_dir):
+    """As for sources of very many files: 16 times as many as at once, or nearly so, in two digits."""
+    docs = _doc_files(spark, sf_dir)
+    n = docs.groupBy("source").count().agg(F.min("count").alias("least")).first().least
+    return files.snapshot_digest(docs, max(1, n // 17))
+
+
 @query(r"""SELECT url AS path, sha256(html) AS sha256, strlen(html) AS size FROM pages
 WHERE strlen(html) <= 1048576 AND NOT regexp_matches(url, '(^|/)(build|dist)(/|$)') AND NOT regexp_matches(url, '(^|/)[^/]*7(/.*)?$')""")
 def file_scan(spark, sf_dir):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphlens.functions.text import LANGUAGES
 
 MOST_BYTES = 1 << 20
+#: Files of a source that are digested at once.
+LINES = 100_000
 EXCLUDED = [".git", "__pycache__", "node_modules", ".venv", "build", "dist"]
 
 
@@ -47,11 +49,23 @@ def scan(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     return files.filter(F.col("length") <= MOST_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content").filter(kept(F.col("path"), F.col("size"), list(ignored))).select("path", F.sha2("content", 256).alias("sha256"), "size")
 
 
-def snapshot_digest(files: DataFrame) -> DataFrame:
-    """source, snapshot_id, n: a digest over the paths and hashes of each source, in order of path."""
-    line = F.concat("path", F.lit("\t"), "hash", F.lit("\n"))
-    whole = F.array_join(F.array_sort(F.collect_list(line)), "")
-    return files.groupBy("source").agg(F.concat(F.lit("local:hash:sha256-"), F.left(F.sha2(whole, 256), F.lit(32))).alias("snapshot_id"), F.count(F.lit(1)).alias("n"))
+def snapshot_digest(files: DataFrame, most: int = LINES) -> DataFrame:
+    """source, snapshot_id, n: a digest over the paths and hashes of each source, in order of path.
+
+    A source of more than ``most`` files is dealt by a hash of the path to parts that are digested each, and its id, of another kind,
+    is the digest of those: so no task holds all lines of a source.
+    """
+    sizes = files.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    digits = F.when(F.col("n") <= most, 0).otherwise(F.ceil(F.log(16.0, F.col("n") / most))).cast("int")
+    line = F.concat("path", F.lit("\0"), "hash", F.lit("\n"))
+    rows = files.join(sizes, "source").select("source", "n", F.substring(F.sha2("path", 256), F.lit(1), digits).alias("part"), F.struct("path", line.alias("line")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "")  # about ``most`` lines
+    parts = rows.groupBy("source", "n", "part").agg(F.sha2(text, 256).alias("digest"))
+    whole = F.array_sort(F.collect_list(F.struct("part", "digest")))
+    out = parts.groupBy("source", "n").agg(whole.alias("parts"))
+    tree = F.concat(F.lit("local:tree:sha256-"), F.left(F.sha2(F.array_join(F.transform("parts", lambda x: F.concat(x["part"], F.lit(":"), x["digest"])), "\n"), 256), F.lit(32)))
+    plain = F.concat(F.lit("local:hash:sha256-"), F.left(F.get("parts", F.lit(0))["digest"], F.lit(32)))
+    return out.select("source", F.when(F.col("n") <= most, plain).otherwise(tree).alias("snapshot_id"), "n")
 
 
 def publish(tables: dict[str, DataFrame], path: str, snapshot_id: str) -> None:

@@ -13,8 +13,18 @@ RETAINED, PAGE = 512, 50
 
 
 def with_cursors(events: DataFrame) -> DataFrame:
-    """Adds ``cursor``, from 1 in each session, in order of arrival (ts, event_id)."""
-    return events.withColumn("cursor", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "event_id")).cast("long"))
+    """Adds ``cursor``, from 1 in each session, in order of arrival (ts, event_id); events without a time come first.
+
+    Events are numbered within the hours of a session, and the hours' counts are summed up, so that a long session isn't sorted in one task.
+    """
+    hour = F.date_trunc("hour", F.col("ts"))
+    counts = events.groupBy("session_id", hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("session_id").orderBy(F.asc_nulls_first("_hour")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("session_id").alias("_session"), "_hour", before.alias("_before"))
+    rows = events.withColumn("_own", hour)
+    numbered = rows.withColumn("_k", F.row_number().over(W.partitionBy("session_id", "_own").orderBy("ts", "event_id")))
+    joined = numbered.join(offsets, F.col("session_id").eqNullSafe(F.col("_session")) & F.col("_own").eqNullSafe(F.col("_hour")))
+    return joined.select(*events.columns, (F.col("_before") + F.col("_k")).cast("long").alias("cursor"))
 
 
 def retained(journal: DataFrame, keep: int = RETAINED) -> DataFrame:
@@ -59,12 +69,23 @@ def stream_cursors(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(number, schema, "last long", "append", "NoTimeout")
 
 
-def refresh_on_change(files: DataFrame, known: DataFrame, sink, checkpoint: str):
-    """Runs the snapshot diff on each micro-batch of a file stream and hands what changed to ``sink``."""
+def refresh_on_change(files: DataFrame, known: DataFrame, sink, checkpoint: str, every: str | None = None, failed=None):
+    """Runs the snapshot diff on each micro-batch of a file stream and hands what changed to ``sink``.
+
+    ``every``: the time between micro-batches, say "5 seconds"; None: what is there now, then it ends. Where ``failed`` is given it is told of a
+    batch that fails (epoch, error), and the stream goes on.
+    """
     from graphlens.operators.maintain import snapshot_diff
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        changed = snapshot_diff(known.join(rows.select("path").distinct(), "path", "left_semi"), rows).filter("change <> 'unchanged'")
-        sink(changed, epoch)
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            changed = snapshot_diff(known.join(rows.select("path").distinct(), "path", "left_semi"), rows).filter("change <> 'unchanged'")
+            if not changed.isEmpty():
+                sink(changed, epoch)
+        except Exception as e:
+            if failed is None:
+                raise
+            failed(epoch, e)
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger).start()
