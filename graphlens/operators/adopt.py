@@ -61,9 +61,11 @@ def classify_dirs(listing: DataFrame, deepest: int = MAX_DEPTH) -> DataFrame:
     return done
 
 
-def oddities(listing: DataFrame) -> DataFrame:
-    """path, oddity: empty files, broken links and links that leave the tree."""
-    odd = F.when(F.col("is_symlink") & F.col("link_target").isNull(), "broken link").when(F.col("is_symlink") & F.col("link_target").rlike(r"^(/|\.\./)"), "escaping link").when(F.coalesce("size", F.lit(0)) == 0, "empty")
+def oddities(listing: DataFrame, deepest: int = MAX_DEPTH) -> DataFrame:
+    """path, oddity: broken links, links that leave the tree, files that can't be read (no size), empty files, and files below the depth limit."""
+    linked = F.coalesce("is_symlink", F.lit(False))
+    odd = F.when(linked & F.col("link_target").isNull(), "broken_symlink").when(linked & F.col("link_target").rlike(r"^(/|\.\./)"), "escaping_symlink")
+    odd = odd.when(F.col("size").isNull(), "unreadable_file").when(F.col("size") == 0, "empty_file").when(F.size(F.split("path", "/")) - 1 > deepest, "depth_limit")
     return listing.select("path", odd.alias("oddity")).filter("oddity is not null")
 
 
@@ -111,18 +113,54 @@ def plan_totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.countDistinct("project").alias("projects"), F.countDistinct("project", "experiment").alias("experiments"), F.countDistinct("project", "experiment", "run_id").alias("runs"), F.count("file").alias("files"))
 
 
-def ledger_plan(plan: DataFrame) -> DataFrame:
-    """kind, source, target, status: an entry for each run and for each of its files, rebased under artifacts/."""
+def ledger_plan(plan: DataFrame, want_ingest: bool = False, prior: DataFrame | None = None) -> DataFrame:
+    """kind, source, target, status, run_id, ord: of each run its entry, where asked for its ingestion, and its files rebased under artifacts/, in this order.
+
+    Runs that a ``prior`` ledger (kind, source, target, status, run_id) has finished keep their target and run id.
+    """
     base = F.concat_ws("/", "project", "experiment", F.concat(F.lit("run-"), "run_id"))
-    runs = plan.select("source", base.alias("target")).distinct().select(F.lit("run").alias("kind"), "source", "target")
-    files = plan.select(F.lit("file").alias("kind"), F.concat_ws("/", "source", "file").alias("source"), F.concat_ws("/", base, F.lit("artifacts"), "file").alias("target"))
-    return runs.union(files).withColumn("status", F.lit("pending"))
+    runs = plan.select("source", base.alias("target"), "run_id").distinct()
+    if prior is not None:
+        done = prior.filter((F.col("kind") == "run") & F.col("status").isin(TERMINAL)).groupBy("source").agg(F.min(F.struct("target", "run_id")).alias("old"))
+        runs = runs.join(done, "source", "left").select("source", F.coalesce("old.target", "target").alias("target"), F.coalesce("old.run_id", "run_id").alias("run_id"))
+    entry = lambda rows, kind, status, source, target, ord_: rows.select(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), F.lit(status).alias("status"), "run_id", F.struct(F.col("source").alias("run"), F.lit(ord_).alias("place"), source.alias("path")).alias("ord"))
+    slots = runs.select("source", "target", "run_id")
+    files = plan.select("source", "file").join(slots, "source")
+    path = F.concat_ws("/", "source", "file")
+    out = entry(runs, "run", "verified", F.col("source"), F.col("target"), 0)
+    if want_ingest:
+        out = out.union(entry(runs, "ingest", "pending", F.col("source"), F.col("target"), 1))
+    return out.union(entry(files, "file", "pending", path, F.concat_ws("/", "target", F.lit("artifacts"), "file"), 2))
+
+
+def incompatible(ledgers: DataFrame, asked: DataFrame) -> DataFrame:
+    """ledger, field, have, want: where an existing ledger (ledger, source, target, mode, version) disagrees with what a resume asks for."""
+    fields = ["source", "target", "mode", "version"]
+    both = ledgers.join(asked.select("ledger", *[F.col(f).alias(f"_{f}") for f in fields]), "ledger")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("have"), F.col(f"_{f}").cast("string").alias("want")) for f in fields])
+    return both.select("ledger", F.explode(pairs).alias("p")).filter(~F.col("p.have").eqNullSafe(F.col("p.want"))).select("ledger", "p.field", "p.have", "p.want")
 
 
 def resumed(planned: DataFrame, old: DataFrame) -> DataFrame:
-    """The plan with the status of the old ledger's entries that have ended."""
-    ended = old.filter(F.col("status").isin(TERMINAL)).select("kind", "source", "target", F.col("status").alias("_old")).distinct()
-    return planned.join(ended, ["kind", "source", "target"], "left").withColumn("status", F.coalesce("_old", "status")).drop("_old")
+    """The plan with the entries of the old ledger that have ended in place of its own, in all columns that the old one has."""
+    key = ["kind", "source", "target"]
+    others = [c for c in planned.columns if c not in key and c in old.columns]
+    ended = old.filter(F.col("status").isin(TERMINAL)).groupBy(*key).agg(F.min(F.struct(*others)).alias("_old"))
+    rows = planned.join(ended, key, "left")
+    return rows.select(*[F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) if c in others else F.col(c) for c in planned.columns])
+
+
+def outstanding(ledger: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` entries of each ledger that haven't ended, by target."""
+    rank = F.row_number().over(W.partitionBy("ledger").orderBy("target"))
+    return ledger.filter(~F.col("status").isin(TERMINAL)).withColumn("place", rank).filter(F.col("place") <= limit)
+
+
+def ingest_plan(logs: DataFrame, ingested: DataFrame) -> DataFrame:
+    """run, path, format, action, reason: CSV logs without a step or series column are skipped; runs that have been ingested aren't ingested again."""
+    rows = logs.join(ingested.select("run", F.lit(True).alias("_done")).distinct(), "run", "left")
+    reason = F.when(F.coalesce("_done", F.lit(False)), "already ingested").when((F.col("format") == "csv") & (F.col("step").isNull() | (F.coalesce(F.size("series"), F.lit(0)) <= 0)), "csv needs step and series columns")
+    return rows.select("run", "path", "format", F.when(reason.isNull(), "ingest").otherwise("skip").alias("action"), reason.alias("reason"))
 
 
 def transfer_decision(sources: DataFrame, targets: DataFrame) -> DataFrame:

@@ -87,6 +87,16 @@ def job_detail(spark, sf_dir):
     return jobs.job_detail(rows.drop("ts"), rows.withColumnRenamed("attempt", "ord"))
 
 
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS attempt, event_type AS state FROM events), q AS (SELECT DISTINCT user_id AS job_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE -1 END AS asked FROM events)
+SELECT q.job_id, asked, max(attempt) AS attempt, arg_max(state, attempt) AS state, '/logs/' || q.job_id AS stdout_path, NULL::VARCHAR AS job_dir FROM q JOIN e ON e.job_id = q.job_id AND (asked = -1 OR attempt = asked) GROUP BY q.job_id, asked""")
+def job_attempts(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("attempt"), F.col("event_type").alias("state"))
+    asked = events.select(F.col("user_id").alias("job_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(-1).alias("attempt"))
+    found = jobs.asked_jobs(rows, asked).withColumn("metadata", F.create_map(F.lit("run.stdout_path"), F.concat(F.lit("/logs/"), F.col("job_id").cast("string"))))
+    return jobs.log_paths(found, "run.").select("job_id", "asked", "attempt", "state", "stdout_path", "job_dir")
+
+
 @query("""SELECT conv_id || '/' || turn AS id, role AS stream, array_to_string(string_split(text, chr(10))[-2:], chr(10)) AS tail, text IS NULL AS missing FROM conversations""")
 def log_tail(spark, sf_dir):
     logs = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("stream"), "text")
@@ -330,10 +340,12 @@ def survey_summary(spark, sf_dir):
     return adopt.survey_summary(adopt.classify_dirs(listing), listing)
 
 
-@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 AND doc_id % 20 = 0 THEN 'broken link' WHEN doc_id % 10 = 0 THEN 'escaping link' WHEN n_chars < 100 THEN 'empty' END AS oddity FROM documents WHERE doc_id % 10 = 0 OR n_chars < 100""")
+@query("""WITH r AS (SELECT source || repeat('/d', (doc_id % 9)::INT) || '/' || doc_id AS path, doc_id, n_chars FROM documents)
+SELECT path, CASE WHEN doc_id % 20 = 0 THEN 'broken_symlink' WHEN doc_id % 10 = 0 THEN 'escaping_symlink' WHEN doc_id % 33 = 0 THEN 'unreadable_file' WHEN n_chars < 100 THEN 'empty_file' ELSE 'depth_limit' END AS oddity FROM r WHERE doc_id % 10 = 0 OR doc_id % 33 = 0 OR n_chars < 100 OR doc_id % 9 + 1 > 6""")
 def oddities(spark, sf_dir):
     link = F.col("doc_id") % 10 == 0
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), link.alias("is_symlink"), F.when(link & (F.col("doc_id") % 20 != 0), "../x").alias("link_target"), F.when(F.col("n_chars") < 100, 0).otherwise(F.col("n_chars")).alias("size"))
+    path = F.concat("source", F.repeat(F.lit("/d"), (F.col("doc_id") % 9).cast("int")), F.lit("/"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), link.alias("is_symlink"), F.when(link & (F.col("doc_id") % 20 != 0), "../x").alias("link_target"), F.when(F.col("doc_id") % 33 != 0, F.when(F.col("n_chars") < 100, 0).otherwise(F.col("n_chars"))).alias("size"))
     return adopt.oddities(rows)
 
 
@@ -380,10 +392,34 @@ def plan_totals(spark, sf_dir):
     return adopt.plan_totals(_planned(spark, sf_dir))
 
 
-@query(_PLANNED + """ SELECT DISTINCT 'run' AS kind, source, project || '/' || experiment || '/run-' || run_id AS target, 'pending' AS status FROM pn
-UNION ALL SELECT 'file', source || '/' || file, project || '/' || experiment || '/run-' || run_id || '/artifacts/' || file, 'pending' FROM pn""")
+_SLOTS = ", sl AS (SELECT DISTINCT source, CASE WHEN length(source) % 2 = 0 THEN 'old/' || source ELSE project || '/' || experiment || '/run-' || run_id END AS target, CASE WHEN length(source) % 2 = 0 THEN 'old' ELSE run_id END AS run_id FROM pn)"
+
+
+@query(_PLANNED + _SLOTS + """ SELECT 'run' AS kind, source, target, 'verified' AS status, run_id, 0 AS place FROM sl UNION ALL SELECT 'ingest', source, target, 'pending', run_id, 1 FROM sl
+UNION ALL SELECT 'file', source || '/' || file, target || '/artifacts/' || file, 'pending', sl.run_id, 2 FROM pn JOIN sl USING (source)""")
 def ledger_plan(spark, sf_dir):
-    return adopt.ledger_plan(_planned(spark, sf_dir))
+    planned = _planned(spark, sf_dir)
+    prior = planned.filter("length(source) % 2 = 0").select(F.lit("run").alias("kind"), "source", F.concat(F.lit("old/"), "source").alias("target"), F.lit("moved").alias("status"), F.lit("old").alias("run_id")).distinct()
+    return adopt.ledger_plan(planned, True, prior).select("kind", "source", "target", "status", "run_id", F.col("ord.place").alias("place"))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS ledger, s_name AS source, s_nationkey AS t, CASE WHEN s_suppkey % 2 = 0 THEN 'copy' ELSE 'move' END AS mode, s_suppkey % 3 AS version FROM supplier)
+SELECT ledger, field, have, want FROM (SELECT ledger, 'mode' AS field, mode AS have, 'copy' AS want FROM l UNION ALL SELECT ledger, 'version', version::VARCHAR, '1' FROM l UNION ALL SELECT ledger, 'target', t::VARCHAR, (t % 5)::VARCHAR FROM l) WHERE have <> want""")
+def ledger_guard(spark, sf_dir):
+    have = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ledger"), F.col("s_name").alias("source"), F.col("s_nationkey").alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "copy").otherwise("move").alias("mode"), (F.col("s_suppkey") % 3).alias("version"))
+    return adopt.incompatible(have, have.select("ledger", "source", (F.col("target") % 5).alias("target"), F.lit("copy").alias("mode"), F.lit(1).alias("version")))
+
+
+@query("""SELECT l_suppkey AS ledger, l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_shipdate AS target, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_shipdate)::INT AS place FROM lineitem WHERE l_returnflag <> 'N' QUALIFY place <= 50""")
+def ledger_outstanding(spark, sf_dir):
+    return adopt.outstanding(_ledger(spark, sf_dir)).select("ledger", "target", "place")
+
+
+@query("""WITH l AS (SELECT o_custkey AS run, o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'csv' ELSE 'log' END AS format, o_orderkey % 2 = 0 AS step FROM orders)
+SELECT run, path, format, CASE WHEN run % 4 = 0 OR (format = 'csv' AND NOT step) THEN 'skip' ELSE 'ingest' END AS action, CASE WHEN run % 4 = 0 THEN 'already ingested' WHEN format = 'csv' AND NOT step THEN 'csv needs step and series columns' END AS reason FROM l""")
+def ingest_plan(spark, sf_dir):
+    logs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "F", "csv").otherwise("log").alias("format"), F.when(F.col("o_orderkey") % 2 == 0, "step").alias("step"), F.array(F.lit("loss")).alias("series"))
+    return adopt.ingest_plan(logs, table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("run")))
 
 
 @query("""SELECT run, array_to_string(list_sort(json_keys(arg_min(props, p))), ',') AS keys FROM (SELECT user_id AS run, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 END * 1000000000 + event_id AS p, props FROM events WHERE event_type IN ('view', 'click')) GROUP BY 1""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 TERMINAL = ["F"]
 
@@ -31,9 +30,27 @@ def log_tail(logs: DataFrame, n: int | None) -> DataFrame:
     return logs.select("id", "stream", tail.alias("tail"), F.col("text").isNull().alias("missing"))
 
 
-def destinations(profiles: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Profiles and hosts with their ``source``; columns that one lacks are null."""
-    return profiles.withColumn("source", F.lit("profile")).unionByName(hosts.withColumn("source", F.lit("ssh")), allowMissingColumns=True)
+def asked_jobs(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """The job rows of requests (job_id, attempt): that attempt, or the latest one where it isn't known."""
+    exact = requests.select("job_id", F.col("attempt").alias("asked")).distinct()
+    both = exact.join(jobs, "job_id")
+    pick = F.max(F.struct((F.col("attempt") == F.col("asked")).alias("same"), "attempt", *[c for c in jobs.columns if c not in ("job_id", "attempt")])).alias("j")
+    return both.groupBy("job_id", "asked").agg(pick).select("job_id", "asked", "j.*").drop("same")
+
+
+def log_paths(jobs: DataFrame, prefix: str) -> DataFrame:
+    """The jobs with stdout_path, stderr_path and job_dir lifted out of their ``metadata`` map, where they stand under ``prefix``."""
+    return jobs.withColumns({name: F.try_element_at("metadata", F.lit(prefix + name)) for name in ("stdout_path", "stderr_path", "job_dir")})
+
+
+def destinations(profiles: DataFrame, hosts: DataFrame | None, error: str | None = None) -> DataFrame:
+    """Profiles and hosts with their ``source``; columns that one lacks are null. Where the hosts couldn't be read a row with the error stands for them."""
+    out = profiles.withColumn("source", F.lit("profile"))
+    if hosts is not None:
+        out = out.unionByName(hosts.withColumn("source", F.lit("ssh")), allowMissingColumns=True)
+    if error is not None:
+        out = out.unionByName(profiles.sparkSession.range(1).select(F.lit("ssh").alias("source"), F.lit(error).alias("error")), allowMissingColumns=True)
+    return out
 
 
 def list_runs(runs: DataFrame, scope: str, value, status: str | None, limit: int) -> DataFrame:
@@ -41,8 +58,3 @@ def list_runs(runs: DataFrame, scope: str, value, status: str | None, limit: int
     rows = runs if scope == "workspace" else runs.filter(F.col(scope) == value)
     rows = rows if status is None else rows.filter(F.col("status") == status)
     return rows.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
-
-
-def newest_per(rows: DataFrame, group: str, time: str, key: str, limit: int) -> DataFrame:
-    """The newest ``limit`` rows of each group."""
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(F.desc(time), F.desc(key)))).filter(F.col("_k") <= limit).drop("_k")
