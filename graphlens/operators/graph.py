@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from graphlens.functions.text import prefixes
 from graphlens.operators.search import best
 from graphlens.schemas import KIND_ORDER
+from graphlens.storage import stored
 
 
 def best_node(nodes: DataFrame) -> DataFrame:
@@ -43,18 +44,26 @@ def references(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     return best(first.select("ref", "id", "e.seq", "e.kind", "e.provenance"), ["ref"], [F.col("seq"), F.col("id")], limit).drop("seq")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """seed, id, depth: what reaches each seed over calls and extends, breadth first; each id at its least depth."""
-    back = edges.filter(F.col("kind").isin("calls", "extends")).select(F.col("target").alias("at"), F.col("source").alias("next")).distinct()
-    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"), F.lit(0).alias("depth"))
-    frontier = seen
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
+    """seed, id, depth, via, kind: what reaches each seed over calls and extends, breadth first; the first ``limit`` ids of each seed.
+
+    An id counts at the first edge that reaches it (``kind``, to ``via``): in the order of what was reached before, then calls before extends,
+    then edge order. Each hop is stored and reads the one before.
+    """
+    place = F.when(F.col("kind") == "calls", 0).otherwise(1)
+    back = edges.filter(F.col("kind").isin("calls", "extends")).groupBy(F.col("target").alias("at"), F.col("source").alias("next"), "kind").agg(F.min("seq").alias("seq")).withColumn("place", place)
+    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("kind"))
+    seen = frontier
     for hop in range(1, max(1, depth) + 1):
-        reached = frontier.join(back, F.col("id") == F.col("at")).select("seed", F.col("next").alias("id")).distinct()
-        frontier = reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(hop))
-        if hop < depth:
-            frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0")
+        edge = F.min(F.struct("ord", "place", "seq", F.col("id").alias("via"), back["kind"])).alias("e")
+        reached = frontier.select("seed", "id", "ord").join(back, F.col("id") == F.col("at")).groupBy("seed", "next").agg(edge)
+        new = reached.join(seen.select("seed", F.col("id").alias("next")), ["seed", "next"], "left_anti")
+        order = F.row_number().over(W.partitionBy("seed").orderBy("e.ord", "e.place", "e.seq", "next"))
+        ranked = new.withColumn("k", order).filter(F.col("k") <= limit)
+        frontier = stored(ranked.select("seed", F.col("next").alias("id"), F.lit(hop).alias("depth"), F.col("k").alias("ord"), "e.via", "e.kind"), "frontier")
+        seen = seen.union(frontier)
+    first = F.row_number().over(W.partitionBy("seed").orderBy("depth", "ord"))
+    return seen.filter("depth > 0").withColumn("k", first).filter(F.col("k") <= limit).select("seed", "id", "depth", "via", "kind")
 
 
 def package_card(nodes: DataFrame) -> DataFrame:
@@ -66,16 +75,28 @@ def package_card(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("source").agg(card.alias("c"), F.count_if(kind == "module").alias("modules")).select("source", F.col("c.qualname").alias("title"), F.col("c.summary").alias("summary"), "modules")
 
 
-def outline(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """module, symbols (in order of line), members: of every module its symbols and their members, by contains edges."""
+def package_catalog(cards: DataFrame, sources: DataFrame, roles: DataFrame) -> DataFrame:
+    """name, title, summary, modules, role, warnings: a card for every source (name, status, freshness), those without a graph too."""
+    rows = sources.join(cards.withColumnRenamed("source", "name"), "name", "left").join(roles, "name", "left")
+    told = F.array_compact(F.array(F.when(F.col("status") != "ok", F.concat(F.lit("source is "), "status")), F.when(F.coalesce("freshness", F.lit("unknown")) != "fresh", F.concat(F.lit("freshness is "), F.coalesce("freshness", F.lit("unknown")))), F.when(F.coalesce("summary", F.lit("")) == "", "no summary")))
+    return rows.select("name", "title", "summary", F.coalesce("modules", F.lit(0)).cast("long").alias("modules"), F.coalesce("role", F.lit("other")).alias("role"), F.array_join(told, "; ").alias("warnings"))
+
+
+def outline(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> DataFrame:
+    """module, symbols (in order of line), members (of each symbol, in edge order), n_members: of every module, or of those whose file is ``path`` or lies under it."""
     inside = edges.filter("kind = 'contains'").select("source", "target", "seq")
-    members = inside.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", "target"))).alias("m"))
-    modules = nodes.filter("kind = 'module'").select(F.col("id").alias("module"))
-    symbols = inside.join(modules, F.col("source") == F.col("module")).join(nodes.select("id", "start_line"), F.col("target") == F.col("id"))
-    rows = symbols.select("module", "id", "start_line").join(members, F.col("id") == F.col("source"), "left")
-    item = F.struct("start_line", "id", F.coalesce(F.size("m"), F.lit(0)).alias("n"))
-    listed = rows.groupBy("module").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    return modules.join(listed, "module", "left").select("module", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("symbols"), F.aggregate(F.coalesce("s", F.array().cast("array<struct<start_line:int,id:string,n:int>>")), F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("members"))
+    known = nodes.filter("kind = 'module'")
+    if path is not None:
+        known = known.filter((F.col("file") == path) | F.col("file").startswith(path.rstrip("/") + "/"))
+    modules = known.select(F.col("id").alias("module"))
+    symbols = inside.join(modules, F.col("source") == F.col("module")).join(nodes.select("id", "start_line"), F.col("target") == F.col("id")).select("module", "id", "start_line")
+    below = inside.join(symbols.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    members = below.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "target"))), lambda x: x["target"]), ",").alias("listed"), F.count(F.lit(1)).alias("n"))
+    rows = symbols.join(members, F.col("id") == F.col("source"), "left")
+    item = F.struct("start_line", "id", F.coalesce("listed", F.lit("")).alias("listed"))
+    whole = rows.groupBy("module").agg(F.array_sort(F.collect_list(item)).alias("s"), F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    joined = lambda f, by: F.array_join(F.transform("s", lambda x: x[f]), by)
+    return modules.join(whole, "module", "left").select("module", joined("id", ",").alias("symbols"), joined("listed", ";").alias("members"), F.coalesce("n", F.lit(0)).alias("n_members"))
 
 
 def first_members(outlined: DataFrame, limit: int) -> DataFrame:

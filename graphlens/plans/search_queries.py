@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphlens.operators import graph, lint, search
+from graphlens.operators import federate, graph, lint, search
 from graphlens.plans.views import SQL_DOCUMENT_NODES, SQL_STAR, SQL_TOKENS, benchmark_queries, document_edges, document_nodes, star_edges, star_nodes, table
 
 QUERIES, SQL = {}, {}
@@ -138,12 +138,25 @@ def references(spark, sf_dir):
     return graph.references(star_edges(spark, sf_dir), star_nodes(spark, sf_dir), 8)
 
 
-@query(f"""WITH {SQL_STAR}, b AS (SELECT DISTINCT target AS tgt, source AS nxt FROM se WHERE kind IN ('calls', 'extends')),
-one AS (SELECT DISTINCT id AS seed, nxt AS id FROM sn JOIN b ON tgt = id),
-two AS (SELECT DISTINCT seed, nxt AS id FROM one JOIN b ON tgt = id)
-SELECT seed, id, min(depth)::INT AS depth FROM (SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two) WHERE seed <> id GROUP BY ALL""")
+@query(f"""WITH {SQL_STAR}, b AS (SELECT target AS tgt, source AS nxt, kind, min(seq) AS seq, CASE kind WHEN 'calls' THEN 0 ELSE 1 END AS place FROM se WHERE kind IN ('calls', 'extends') GROUP BY ALL),
+e1 AS (SELECT sn.id AS seed, nxt AS id, min((place, seq, b.kind)) AS e FROM sn JOIN b ON tgt = id WHERE nxt <> id GROUP BY ALL),
+one AS (SELECT seed, id, 1 AS depth, seed AS via, e[3] AS kind, row_number() OVER (PARTITION BY seed ORDER BY e[1], e[2], id) AS ord FROM e1 QUALIFY ord <= 100),
+e2 AS (SELECT seed, nxt AS id, min((ord, place, seq, one.id, b.kind)) AS e FROM one JOIN b ON tgt = one.id WHERE nxt <> seed GROUP BY ALL),
+two AS (SELECT seed, id, 2 AS depth, e[4] AS via, e[5] AS kind, row_number() OVER (PARTITION BY seed ORDER BY e[1], e[2], e[3], id) AS ord FROM e2 WHERE (seed, id) NOT IN (SELECT (seed, id) FROM one) QUALIFY ord <= 100)
+SELECT seed, id, depth::INT AS depth, via, kind FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, ord) <= 100""")
 def impact_depth2(spark, sf_dir):
-    return graph.impact(star_edges(spark, sf_dir), star_nodes(spark, sf_dir), 2)
+    return graph.impact(star_edges(spark, sf_dir), star_nodes(spark, sf_dir), 2, 100)
+
+
+@query(f"""WITH {SQL_DOCUMENT_NODES}, s AS (SELECT source AS name, CASE WHEN min(doc_id) % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN min(doc_id) % 2 = 0 THEN 'fresh' END AS freshness FROM documents GROUP BY 1 UNION ALL SELECT 'unread', 'pending', 'fresh'),
+c AS (SELECT source AS name, count(*) FILTER (kind = 'module') AS modules, arg_min({{'q': qualname, 's': summary}}, (length(qualname), qualname)) FILTER (kind = 'module' AND coalesce(summary, '') <> '') AS x FROM dn GROUP BY 1)
+SELECT name, x.q AS title, x.s AS summary, coalesce(modules, 0) AS modules, CASE WHEN contains(name, 'src1') THEN 'first' WHEN contains(name, 'src') THEN 'any' ELSE 'other' END AS role,
+concat_ws('; ', CASE WHEN status <> 'ok' THEN 'source is ' || status END, CASE WHEN coalesce(freshness, 'unknown') <> 'fresh' THEN 'freshness is ' || coalesce(freshness, 'unknown') END, CASE WHEN coalesce(x.s, '') = '' THEN 'no summary' END) AS warnings FROM s LEFT JOIN c USING (name)""")
+def package_catalog(spark, sf_dir):
+    least = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("k"))
+    sources = least.select("name", F.when(F.col("k") % 3 == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("k") % 2 == 0, "fresh").alias("freshness")).union(spark.range(1).select(F.lit("unread"), F.lit("pending"), F.lit("fresh")))
+    roles = federate.roles(sources.select("name"), spark.createDataFrame([("src1", "first"), ("src", "any")], "fragment string, role string"))
+    return graph.package_catalog(graph.package_card(document_nodes(spark, sf_dir)), sources, roles)
 
 
 @query(f"""WITH {SQL_DOCUMENT_NODES}, c AS (
@@ -154,17 +167,22 @@ def package_card(spark, sf_dir):
     return graph.package_card(document_nodes(spark, sf_dir))
 
 
-_OUTLINE = f"""WITH {SQL_STAR}, i AS (SELECT source, target FROM se WHERE kind = 'contains'),
-m AS (SELECT source, count(*) AS n FROM i GROUP BY 1),
-o AS (SELECT i.source AS module, string_agg(target, ',' ORDER BY start_line, target) AS symbols, coalesce(sum(m.n), 0)::BIGINT AS members, count(*) AS k
+_OUTLINE = f"""WITH {SQL_STAR}, i AS (SELECT source, target, seq FROM se WHERE kind = 'contains'),
+m AS (SELECT source, string_agg(target, ',' ORDER BY seq, target) AS listed, count(*) AS n FROM i GROUP BY 1),
+o AS (SELECT i.source AS module, string_agg(target, ',' ORDER BY start_line, target) AS symbols, string_agg(coalesce(listed, ''), ';' ORDER BY start_line, target) AS members, coalesce(sum(m.n), 0)::BIGINT AS n_members, count(*) AS k
       FROM i JOIN sn ON sn.id = target LEFT JOIN m ON m.source = target WHERE i.source[1] = 'n' GROUP BY 1)"""
 
 
-@query(_OUTLINE + " SELECT sn.id AS module, symbols, coalesce(members, 0) AS members FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind = 'module'")
+@query(_OUTLINE + " SELECT sn.id AS module, symbols, members, coalesce(n_members, 0) AS n_members FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind = 'module'")
 def outline(spark, sf_dir):
     return graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir))
 
 
+@query(_OUTLINE + " SELECT sn.id AS module, symbols, n_members FROM sn JOIN o ON o.module = sn.id WHERE kind = 'module' AND (file = '1' OR starts_with(file, '1/'))")
+def outline_path(spark, sf_dir):
+    return graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), "1").select("module", "symbols", "n_members")
+
+
 @query(_OUTLINE + " SELECT sn.id AS module, array_to_string(string_split(symbols, ',')[1:5], ',') AS symbols, coalesce(k, 0) AS n_symbols FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind = 'module'")
 def outline_page(spark, sf_dir):
     return graph.first_members(graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)), 5)
