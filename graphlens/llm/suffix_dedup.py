@@ -39,8 +39,8 @@ from .common import U64, Scratch, blocks, byte_values, join_counted, ring_sums,
 
 LEAST = 400
 BLOCK = 1_000_000
-#: Contexts that one task compares at once, and parts into which a range of steps is divided.
-GROUP_CONTEXTS, PARTS = 20_000, 8
+#: Contexts of one anchor that are compared at once, contexts of many anchors that make a group, and parts into which a range of steps is divided.
+GROUP_CONTEXTS, GROUP, PARTS = 20_000, 4_000, 8
 
 _KEY = ["dk", "rid"]
 _ANCHORS = "dk long, rid long, pos int, before int, after int, fp long, c1 long, c2 long"
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, least: int, keep: Scratch) -> tuple[DataFram
         sized = keep(_sized(kinds, total).select("first.*", "fp", "size"), "contexts")
         usual = usual.unionByName(sized.filter(F.col("size") <= GROUP_CONTEXTS).drop("size", "lo", "hi"))
         level = sized.filter(F.col("size") > GROUP_CONTEXTS)
-    groups = max(1, math.ceil(usual.count() / GROUP_CONTEXTS))
+    groups = max(1, math.ceil(usual.count() / GROUP))
     compared = usual.withColumn("part", F.pmod("fp", F.lit(groups))).groupBy("part").applyInArrow(_compared(least), _SPANS)
     return spans.union(compared), bodies
 
