@@ -10,7 +10,7 @@ full sets.
 Two passes keep large groups cheap: the first takes neighbours in a few of the trees and joins those
 that are confirmed; the second takes neighbours and small regions in all trees, of rows that aren't joined yet.
 Rows of large regions that still hold several classes after both passes are
-compared exactly, by a join on the rarest shingles of their sets (``crowded_pairs``).
+compared exactly, by a join on the rarest shingles of their sets (``setjoin``).
 Joins with texts are sort-merge joins at every size.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; rows with the
@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from . import setjoin
 from .bytewords import word_ranges
 from .common import U64, Scratch, blocks, join_counted, mixed, partitions, range_hashes, staged, text_buffers, texts
 from .components import components
@@ -43,8 +43,8 @@ FIRST_TREES = 4
 #: How far a signature's estimate may lie below the threshold.
 MARGIN = 0.2
 BLOCK = 1_000_000
-#: Rows of a shingle that one block of the exact join takes from each side, the mark of a row of a large region, and 64-bit numbers in a parity map.
-CROWD, LARGE, MAP = 1_000, -2, 8
+#: Rows of a shingle that one block of the exact join takes from each side, and the mark of a row of a large region.
+CROWD, LARGE = 1_000, -2
 
 _table = np.arange(256, dtype=np.uint8)
 _table[65:91] += 32
@@ -269,17 +269,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets meet 100 * intersection >= percent * union. ``bodies``: id, text."""
-    both = pairs.select("a", "b").join(bodies.toDF("a", "text_a").hint("merge"), "a").join(bodies.toDF("b", "text_b").hint("merge"), "b")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for s, t in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)):
-                common = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
-                keep.append(len(s) > 0 and 100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return setjoin.verified(pairs, bodies, lambda column: shingle_sets(column, width), percent)
 
 
 def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -289,59 +279,9 @@ def crowded(large: DataFrame, classes: DataFrame) -> DataFrame:
     return join_counted(large, several.select("tree", "key", "n"), ["tree", "key"], large.count()).select("id").distinct()
 
 
-def parity_map(shingles: np.ndarray) -> np.ndarray:
-    """64 * MAP bits; a bit is the parity of the shingles that fall on it, so that maps differ in no more bits than sets in shingles."""
-    bits = np.bincount((mixed(shingles + U64(5)) % U64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
-
-
 def crowded_pairs(bodies: DataFrame, width: int, percent: int, keep: Callable = staged) -> DataFrame:
-    """Distinct pairs (a, b) of ``bodies`` (id, text, class), of different classes, that may meet ``percent``: none that does is missing.
-
-    Shingles are ordered from the rarest. Sets of n and m <= n shingles that meet the threshold share at least percent * (n + m) /
-    (100 + percent), so that the first one they share stands early in both; how much can follow it, and how many bits of the
-    parity maps differ, bound the pair. A frequent shingle is compared in blocks of its rows, and one that only a single class
-    holds isn't compared.
-    """
-    maps = [f"m{k}" for k in range(MAP)]
-
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            own = [batch.column(k).take(pa.array(np.repeat(np.arange(len(n)), n))) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))], ["id", "class", "token"])
-
-    def measured(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
-            found = np.array([parity_map(s) for s in sets]).reshape(-1, MAP)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], ["id", "class", "n", *maps])
-
-    rows = keep(bodies.select("id", "text", "class").mapInArrow(measured, "id long, class long, n long, " + ", ".join(f"{m} long" for m in maps)), "maps")
-    tokens = keep(bodies.select("id", "text", "class").mapInArrow(run, "id long, class long, token long"), "tokens")
-    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"))
-    known = known.filter("rows > 1").selectExpr("token", "rows", "low <> high as several")  # shingles of one row are the rarest, and shared with none
-    own = W.partitionBy("id")
-    early = tokens.select("id", "token").join(known.hint("merge"), "token")
-    early = early.withColumn("later", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("rows", "token")))
-    early = early.filter("several").select("id", "token", "later", F.expr(f"int((rows + {CROWD - 1}) div {CROWD})").alias("parts"))
-    early = early.join(rows.hint("merge"), "id").withColumn("place", F.expr("n - 1 - later"))
-    early = keep(early.filter(f"place <= n - (({percent} * n + 99) div 100)").drop("later"), "early")
-    part, parts = F.expr("int(pmod(xxhash64(id), parts))"), F.expr("explode(sequence(0, parts - 1))")
-
-    def side(letter, p, q):
-        return [F.col("token"), p.alias("p"), q.alias("q"), F.col("id").alias(letter), F.col("class").alias(f"c{letter}"), F.col("n").alias(f"n{letter}"), F.col("place").alias(f"at_{letter}"), *[F.col(m).alias(f"{letter}{m}") for m in maps]]
-
-    one = early.select(*side("x", part, parts))
-    two = early.filter(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent})").select(*side("y", parts, part))
-    differ = " + ".join(f"bit_count(x{m} ^ y{m})" for m in maps)
-    fits = (
-        f"cx <> cy and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {percent} * nx and {100 + percent} * least(nx - at_x, ny - at_y) >= {percent} * (nx + ny)"
-        f" and {100 + percent} * ({differ}) <= {100 - percent} * (nx + ny)"
-    )
-    found = one.hint("merge").join(two, ["token", "p", "q"]).filter(fits)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct pairs (a, b) of ``bodies`` (id, text, class), of different classes, that may meet ``percent``: none that does is missing."""
+    return setjoin.set_pairs(bodies, lambda column: shingle_sets(column, width), percent, keep, CROWD)
 
 
 _SET = ["n_shingles", "k1", "k2"]

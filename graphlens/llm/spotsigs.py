@@ -2,8 +2,9 @@
 
 A spot is a common word (an antecedent); its signature is the antecedent with the chain of content
 words that follow it. A fingerprint is the set of a text's signatures, written as their number, a
-colon and the sorted signatures in hexadecimal. Sets are compared by Jaccard likeness; sets whose lengths are too far
-apart for the asked likeness, so that they'd lie in partitions that aren't neighbours, aren't compared.
+colon and the sorted signatures in hexadecimal. Sets are compared by Jaccard likeness. All similar documents are found by
+``similar_classes``: sets are partitioned by length, and those of neighbouring partitions that share a rare signature are compared, pruned by
+what their lengths, the place of the shared signature and parity maps still allow.
 
 Defined results: a text with fewer than ``LEAST_SPOTS`` spots takes every word for an antecedent, one with
 fewer words than a chain its words as one signature, and one without words its bytes; null and empty
@@ -24,8 +25,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import setjoin
 from .bytewords import ASCII_LOWER, word_ranges
-from .common import U64, blocks, mixed, partitions, range_hashes, text_buffers, texts, with_nulls_first
+from .common import U64, Scratch, blocks, mixed, partitions, range_hashes, staged, text_buffers, texts, with_nulls_first
+from .components import components
 
 # Common words of English, German, French and Spanish that serve as antecedents.
 ANTECEDENTS = """
@@ -37,6 +40,8 @@ el los las y que del se por con una su para como al lo no más este
 CHAIN, LEAST_SPOTS = 2, 4
 #: Bytes of a signature in the fingerprint, and of a block of texts.
 WIDTH, BLOCK = 5, 1_000_000
+#: Rows of a signature that one block of the search takes from each side.
+CROWD = 1_000
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -103,13 +108,8 @@ def parsed(text: str) -> np.ndarray:
     return np.concatenate([np.zeros((len(raw), 8 - WIDTH), np.uint8), raw], axis=1).view(">u8").ravel().astype(U64)
 
 
-def length_partition(n: int, threshold: float) -> int:
-    """Sets that meet ``threshold`` lie in the same partition or in neighbours."""
-    return int(math.log(n) / -math.log(threshold)) if n else -2
-
-
 def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard likeness of two sets; 0 where lengths alone rule ``threshold`` out."""
+    """Jaccard likeness of two sets, two empty ones being alike; 0 where lengths alone rule ``threshold`` out."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     if min(len(a), len(b)) < threshold * max(len(a), len(b)):
@@ -128,6 +128,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+_SET = ["n", "k1", "k2"]
+
+
+def similar_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_signatures, class_id (smallest doc_id reachable over pairs whose sets meet ``percent``) of every row.
+
+    Rows with the same set count once. Sets that share a small signature are chained by length, compared and joined first; then all pairs
+    of different classes are searched by the partitions of their length and their rarest signatures, and compared. Nothing is
+    left out. Rows without signatures are alone; a class without any ``doc_id`` has a null one.
+    """
+
+    def measured(batches):
+        for batch in batches:
+            sets = list(signature_sets(batch.column(2)))
+            with np.errstate(over="ignore"):
+                keys = [np.array([int(f(s)) for s in sets], dtype=U64).view(np.int64) for f in (np.bitwise_xor.reduce, lambda s: mixed(s + U64(77)).sum(dtype=U64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys)], ["doc_id", "th", *_SET])
+
+    with Scratch(docs.sparkSession, "spots") as keep:
+        whole = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+        rows = keep(whole.mapInArrow(measured, "doc_id long, th long, n long, k1 long, k2 long"), "rows")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
+        sets = rows.filter("n > 0").groupBy(*_SET).agg(least)
+        sets = keep(sets.select(*_SET, F.monotonically_increasing_id().alias("id"), "least.doc_id", F.col("least.th").alias("own_th")), "sets")
+        first = sets.select("id", F.col("doc_id").alias("own"), "own_th")
+        bodies = whole.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("id", "text").dropDuplicates(["id"])
+        bodies = keep(bodies, "bodies")
+        links = keep(setjoin.verified(setjoin.chained_pairs(bodies, signature_sets, percent), bodies, signature_sets, percent), "links")
+        classes = sets.select("id").join(components(links, keep), "id", "left").select("id", F.coalesce("component", "id").alias("class"))
+        pairs = keep(setjoin.set_pairs(keep(bodies.join(classes, "id"), "classed"), signature_sets, percent, keep, CROWD, by_length=True), "pairs")
+        links = keep(links.union(setjoin.verified(pairs, bodies, signature_sets, percent)).distinct(), "links")
+        members = keep(sets.select(*_SET, "id", "doc_id").join(components(links, keep), "id", "left").withColumn("class", F.coalesce("component", "id")), "members")
+        named = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+        found = rows.select("doc_id", *_SET).join(members.select(*_SET, "class").join(named, "class"), _SET, "left")
+        return staged(found.select("doc_id", F.col("n").alias("n_signatures"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")), "spot-classes")
+
+
 def _with_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, text and ``bucket``: ranges of doc_id of about the same number of rows."""
     rows = texts(docs).withColumn("_at", F.col("doc_id").cast("double"))

@@ -92,3 +92,42 @@ def test_very_long_texts_score(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == 3
     assert suffix_dedup.report(docs).count() == 3
+
+
+def test_similar_documents_by_signatures(spark):
+    """Classes over all pairs, with a large group of near copies, texts of one id, and sets at the limit."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(300)] + ["the", "and", "of", "in"] * 40
+    text = lambda n: [str(w) for w in rng.choice(words, n)]
+    rows = [(k, t) for k, t in enumerate([text(int(n)) for n in rng.integers(1, 200, 60)])]
+    for k in range(60):
+        own = list(rows[int(rng.integers(0, 60))][1])
+        for _ in range(int(rng.integers(0, 12))):
+            own[int(rng.integers(0, len(own)))] = str(rng.choice(words))
+        rows.append((100 + k, own))
+    base = text(150)
+    for k in range(120):
+        own = list(base)
+        for at in rng.integers(0, 150, 6):
+            own[int(at)] = f"x{k}y{at}"
+        rows.append((300 + k, own))
+    rows = [(i, " ".join(t)) for i, t in rows] + [(3, "the other text of an id and the rest of it in the end of the day"), (None, " ".join(base)), (900, None), (901, ""), (902, "!!")]
+    sets = [signatures(t or "") for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min((x for x in (least.get(root(k)), i) if x is not None), default=None)
+    want = sorted(((i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int")
+    assert sorted(map(tuple, spotsigs.similar_classes(docs).collect()), key=repr) == want
+    assert spotsigs.similar_classes(docs.limit(0)).count() == 0
