@@ -1,15 +1,15 @@
 """Removal of byte strings that occur more than once, by interval expansion on a Burrows-Wheeler column.
 
-Every string of ``least`` bytes holds an anchor, a gram that is the least by hash among those of the
-string, and equal strings hold equal anchors at equal places. So suffixes need to be compared only
-around anchors that occur again: a context is what a string of ``least`` bytes over the anchor can reach.
+Several lengths may be asked for at once. Every string of the smallest length holds an anchor, a gram that is the least by hash
+among those of the string, and equal strings hold equal anchors at equal places. So suffixes need to be compared only
+around anchors that occur again: a context is what a string of the greatest length over the anchor can reach.
 
 * Where all contexts of an anchor, or several of them, are identical, all their bytes are repeated.
 * The other contexts of an anchor are sorted by what follows it, as suffixes in a suffix array. The
   bytes before the suffixes make the Burrows-Wheeler column; extending all intervals of suffixes
   backward by one byte at a time, breadth first, splits them by that column. A suffix's common prefix
-  with its neighbours grows by one with each step, and where it comes to ``least`` the string is
-  repeated. An interval of one suffix is left; no step goes beyond ``least``.
+  with its neighbours grows by one with each step, and where it comes to a length that is asked for the string is
+  repeated. An interval of one suffix is left; no step goes beyond the greatest length.
 * An anchor with more contexts than a task should hold is divided by the steps that its strings go back. The
   strings of one range of steps agree in the bytes that all of them hold, so that contexts need to be compared only where these
   are equal, and only as far as the range goes; contexts that are identical so far count once. Ranges
@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 
 from .common import U64, Scratch, blocks, byte_values, join_counted, ring_sums, ring_windows, staged, text_buffers, texts
 
-LEAST = 400
+#: Bytes of a repeated string, and of a shorter one that the report counts beside it: 50 words of four letters and a space.
+LEAST, PASSAGE = 400, 250
 BLOCK = 1_000_000
 #: Contexts of one anchor that are compared at once, contexts of many anchors that make a group, and parts into which a range of steps is divided.
 GROUP_CONTEXTS, GROUP, PARTS = 20_000, 4_000, 8
@@ -46,7 +47,7 @@ _KEY = ["dk", "rid"]
 _ANCHORS = "dk long, rid long, pos int, before int, after int, fp long, c1 long, c2 long"
 _CONTEXT = "dk long, rid long, pos int, before int, after int, fp long, bytes binary"
 _CELLS = "dk long, rid long, pos int, before int, after int, fp long, bytes binary, lo int, hi int, c1 long, c2 long"
-_SPANS = "dk long, rid long, s int, e int"
+_SPANS = "dk long, rid long, s int, e int, least int"
 
 
 def _names(schema: str) -> list[str]:
@@ -73,7 +74,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     return texts(docs).select(*_row_keys(F.col("text"), F.col("doc_id")), "text", "doc_id")
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
     """Anchors of a block of texts: text, place in it, bytes of the context before and after, gram hash, and two numbers of the context's digest."""
     k = gram_bytes(least)
     span = least - k + 1
@@ -85,12 +86,12 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     grams = ring_windows(sums, at, at + k)
     bits = U64(max(20, len(grams).bit_length()))
     low = (grams >> bits << bits) | at.astype(U64)
-    reach = 1
-    while 2 * reach <= span:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    if reach < span:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+    width = 1
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < span:
+        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     begins = np.zeros(len(data) + 1, dtype=np.int64)
     long = lengths >= least
     begins[offsets[:-1][long]] += 1
@@ -99,21 +100,21 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     chosen = np.unique(low[starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     text = np.searchsorted(offsets, chosen, "right") - 1
     place = chosen - offsets[text]
-    before, after = np.minimum(place, least - k), np.minimum(lengths[text] - place, least)
+    before, after = np.minimum(place, reach - k), np.minimum(lengths[text] - place, reach)
     raw = data.tobytes()
     found = b"".join([_digest(raw[c - x : c + y], x) for c, x, y in zip(chosen.tolist(), before.tolist(), after.tolist())])
     context = np.frombuffer(found, dtype="<i8").reshape(-1, 2)
     return text, place, before, after, grams[chosen].view(np.int64), context[:, 0].copy(), context[:, 1].copy()
 
 
-def anchors(rows: DataFrame, least: int) -> DataFrame:
+def anchors(rows: DataFrame, least: int, reach: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             dk, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = text_buffers(batch.column(2))
             for first, last in blocks(offsets, BLOCK):
                 part = data[offsets[first] : offsets[last]]
-                text, place, before, after, *numbers = anchors_of(part, offsets[first : last + 1] - offsets[first], least)
+                text, place, before, after, *numbers = anchors_of(part, offsets[first : last + 1] - offsets[first], least, reach)
                 small = [pa.array(x.astype(np.int32)) for x in (place, before, after)]
                 yield pa.RecordBatch.from_arrays([pa.array(dk[first + text]), pa.array(rid[first + text]), *small, *map(pa.array, numbers)], _names(_ANCHORS))
 
@@ -139,16 +140,16 @@ class _RangeMinimum:
         return out
 
 
-def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and the greatest step back at which a string of ``least`` bytes is repeated, or -1.
+def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray, lengths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the ``lengths``, and each context, the least and the greatest step back at which a string of that length is repeated, or -1.
 
     ``left`` holds the bytes before the anchors, nearest first, and ``right`` those from the anchors on, both filled
     up with zeros; ``before`` and ``after`` say how many are real. Contexts of different ``group`` aren't compared.
     """
     n = len(group)
-    lowest, highest = np.full(n, -1), np.full(n, -1)
+    out = [(np.full(n, -1), np.full(n, -1)) for _ in lengths]
     if n < 2:
-        return lowest, highest
+        return out
     keys = np.concatenate([group.astype(">u4").view(np.uint8).reshape(n, 4), right, after.astype(">u2").view(np.uint8).reshape(n, 2), np.ones((n, 1), np.uint8)], axis=1)
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
     group, left, right, before, after = group[order], left[order], right[order], before[order], after[order]
@@ -163,9 +164,11 @@ def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.nd
         prefix = np.zeros(len(suffix) + 1, dtype=np.int64)
         at = np.flatnonzero(together)
         prefix[at + 1] = shared(suffix[at], suffix[at + 1]) + step
-        found = suffix[np.maximum(prefix[:-1], prefix[1:]) >= least]
-        lowest[found] = np.where(lowest[found] < 0, step, lowest[found])
-        highest[found] = step
+        longest = np.maximum(prefix[:-1], prefix[1:])
+        for (lowest, highest), length in zip(out, lengths):
+            found = suffix[longest >= length] if step <= length - right.shape[1] + left.shape[1] else suffix[:0]  # the string holds the anchor
+            lowest[found] = np.where(lowest[found] < 0, step, lowest[found])
+            highest[found] = step
         if step == left.shape[1]:
             break
         several = np.append(together, False) | np.append(False, together)
@@ -179,27 +182,28 @@ def expand(group: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.nd
         interval = np.cumsum(np.append(False, split[1:] != split[:-1]))
     back = np.empty(n, dtype=np.int64)
     back[order] = np.arange(n)
-    return lowest[back], highest[back]
+    return [(lowest[back], highest[back]) for lowest, highest in out]
 
 
-def _compared(least: int):
-    k = gram_bytes(least)
+def _compared(lengths: list[int]):
+    k, reach = gram_bytes(min(lengths)), max(lengths)
 
     def run(table: pa.Table) -> pa.Table:
         n = len(table)
         before, after = table["before"].to_numpy(), table["after"].to_numpy()
-        left, right = np.zeros((n, least - k), np.uint8), np.zeros((n, least), np.uint8)
+        left, right = np.zeros((n, reach - k), np.uint8), np.zeros((n, reach), np.uint8)
         for i, x in enumerate(table["bytes"]):
             own = np.frombuffer(x.as_buffer(), dtype=np.uint8)
             left[i, : before[i]] = own[: before[i]][::-1]
             right[i, : after[i]] = own[before[i] :]
         group = np.unique(table["fp"].to_numpy(), return_inverse=True)[1]
-        lowest, highest = expand(group, left, right, before, after, least)
-        hit = lowest >= 0
-        pos = table["pos"].to_numpy()
-        start, end = (pos - highest)[hit], (pos - lowest + least)[hit]
-        keys = [table[c].filter(pa.array(hit)) for c in _KEY]
-        return pa.table([*keys, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], [*_KEY, "s", "e"])
+        pos, out = table["pos"].to_numpy(), []
+        for length, (lowest, highest) in zip(lengths, expand(group, left, right, before, after, lengths)):
+            hit = lowest >= 0
+            start, end = (pos - highest)[hit], (pos - lowest + length)[hit]
+            keys = [table[c].filter(pa.array(hit)) for c in _KEY]
+            out.append(pa.table([*keys, *[pa.array(x.astype(np.int32)) for x in (start, end, np.full(len(start), length))]], _names(_SPANS)))
+        return pa.concat_tables(out)
 
     return run
 
@@ -245,11 +249,18 @@ def _cells(level: DataFrame, least: int) -> DataFrame:
     return level.select(*_names(_CELLS)[:-2]).mapInArrow(run, _CELLS)
 
 
-def _settled(rows: DataFrame, kinds: DataFrame, total: int, least: int) -> DataFrame:
+def _whole(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The whole contexts of ``rows`` (key, pos, before, after) as spans, for each length that they have."""
+    size = F.col("before") + F.col("after")
+    fitting = F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda x: x <= size)).alias("least")
+    return rows.select(*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"), fitting)
+
+
+def _settled(rows: DataFrame, kinds: DataFrame, total: int, lengths: list[int]) -> DataFrame:
     """The spans of ``rows`` (key, pos, before, after, fp, c1, c2) whose whole context stands elsewhere, at ``kinds`` with n > 1."""
     several = kinds.filter("n > 1").select("fp", "c1", "c2", "n")
-    found = join_counted(rows.filter(F.col("before") + F.col("after") >= least), several, ["fp", "c1", "c2"], total)
-    return found.select(*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+    found = join_counted(rows.filter(F.col("before") + F.col("after") >= min(lengths)), several, ["fp", "c1", "c2"], total)
+    return _whole(found, lengths)
 
 
 def _sized(kinds: DataFrame, total: int) -> DataFrame:
@@ -258,10 +269,10 @@ def _sized(kinds: DataFrame, total: int) -> DataFrame:
     return join_counted(kinds.drop("n"), sizes, ["fp"], total)
 
 
-def repeated_spans(docs: DataFrame, least: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Spans (dk, rid, s, e) of repeated bytes, which may overlap, and the rows with repeated anchors (dk, rid, text)."""
-    rows = _identified(docs)
-    found = keep(anchors(rows, least), "anchors")
+def repeated_spans(docs: DataFrame, lengths: list[int], keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Spans (dk, rid, s, e, least) of repeated bytes for each of the ``lengths``, which may overlap, and the rows with repeated anchors (dk, rid, text)."""
+    rows, reach = _identified(docs), max(lengths)
+    found = keep(anchors(rows, min(lengths), reach), "anchors")
     total = found.count()
     one = F.struct("c1", "c2")
     counted = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"), F.max(one).alias("other")).filter("n > 1")
@@ -270,28 +281,29 @@ def repeated_spans(docs: DataFrame, least: int, keep: Scratch) -> tuple[DataFram
     keys = again.select(*_KEY).distinct()
     bodies = keep(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
 
-    whole = F.col("before") + F.col("after") >= least
-    spans = again.filter("alike").filter(whole).select(*_KEY, (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
+    spans = _whole(again.filter("alike"), lengths)
     unlike = again.filter(~F.col("alike")).drop("alike")
     kinds = unlike.groupBy("fp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "pos", "before", "after")).alias("first"))
     kinds = keep(kinds, "kinds")
-    spans = spans.union(_settled(unlike, kinds, total, least))
+    spans = spans.union(_settled(unlike, kinds, total, lengths))
 
     sized = _sized(kinds, total).select("first.*", "fp", "size")
     contexts = keep(_contexts(bodies, sized.drop("size")).join(sized.select(*_KEY, "pos", "size"), [*_KEY, "pos"]), "contexts")
-    level = contexts.filter(F.col("size") > GROUP_CONTEXTS).withColumns({"lo": F.lit(0), "hi": F.lit(least - gram_bytes(least))})
     usual = contexts.filter(F.col("size") <= GROUP_CONTEXTS).drop("size")
-    while not level.isEmpty():
-        cells = keep(_cells(level, least), "cells")
-        total = cells.count()
-        kinds = cells.groupBy("fp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*_names(_CONTEXT)[:5], "bytes", "lo", "hi")).alias("first"))
-        kinds = keep(kinds, "kinds")
-        spans = spans.union(_settled(cells, kinds, total, least))
-        sized = keep(_sized(kinds, total).select("first.*", "fp", "size"), "contexts")
-        usual = usual.unionByName(sized.filter(F.col("size") <= GROUP_CONTEXTS).drop("size", "lo", "hi"))
-        level = sized.filter(F.col("size") > GROUP_CONTEXTS)
+    crowded = contexts.filter(F.col("size") > GROUP_CONTEXTS)
+    for length in lengths if not crowded.isEmpty() else []:
+        level = crowded.withColumns({"lo": F.lit(0), "hi": F.lit(length - gram_bytes(min(lengths)))})
+        while not level.isEmpty():
+            cells = keep(_cells(level, length), "cells")
+            total = cells.count()
+            kinds = cells.groupBy("fp", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*_names(_CONTEXT)[:5], "bytes", "lo", "hi")).alias("first"))
+            kinds = keep(kinds, "kinds")
+            spans = spans.union(_settled(cells, kinds, total, [x for x in lengths if x <= length]))
+            sized = keep(_sized(kinds, total).select("first.*", "fp", "size"), "contexts")
+            usual = usual.unionByName(sized.filter(F.col("size") <= GROUP_CONTEXTS).drop("size", "lo", "hi"))
+            level = sized.filter(F.col("size") > GROUP_CONTEXTS)
     groups = max(1, math.ceil(usual.count() / GROUP))
-    compared = usual.withColumn("part", F.pmod("fp", F.lit(groups))).groupBy("part").applyInArrow(_compared(least), _SPANS)
+    compared = usual.withColumn("part", F.pmod("fp", F.lit(groups))).groupBy("part").applyInArrow(_compared(lengths), _SPANS)
     return spans.union(compared), bodies
 
 
@@ -325,36 +337,40 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def _per_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # of one document
+def _per_document(spans: DataFrame, *lengths: int) -> DataFrame:
+    """dk, rid and ``spans`` of the first length, ``also`` of a second one."""
+    of = lambda n: F.collect_set(F.when(F.col("least") == n, F.struct("s", "e")))  # noqa: E731  of one document
+    return spans.groupBy(*_KEY).agg(*[of(n).alias(name) for n, name in zip(lengths, ("spans", "also"))])
 
 
-def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def report(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and n_passage_bytes, how many a removal of strings of ``passage`` bytes would take."""
 
     def run(batches):
         for batch in batches:
-            removed, n, sha = [], [], []
-            for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            removed, n, sha, more = [], [], [], []
+            for text, own, also in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 raw, own = text.encode(), merged(own)
                 removed.append(sum(e - s for s, e in own))
                 n.append(len(own))
                 sha.append(hashlib.sha256(without(raw, own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*_KEY, "n_removed", "n_spans", "cut_sha"])
+                more.append(sum(e - s for s, e in merged(also)))
+            numbers = [pa.array(x, pa.int64()) for x in (removed, n, more)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(sha, pa.string())], [*_KEY, "n_removed", "n_spans", "n_passage_bytes", "cut_sha"])
 
     with Scratch(docs.sparkSession, "repeats") as keep:
-        spans, bodies = repeated_spans(docs, least, keep)
-        found = bodies.dropDuplicates(_KEY).join(_per_document(spans).hint("merge"), _KEY).select(*_KEY, "text", "spans")
-        cut = staged(found.mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, cut_sha string"), "repeats")
+        spans, bodies = repeated_spans(docs, sorted({least, passage}), keep)
+        found = bodies.dropDuplicates(_KEY).join(_per_document(spans, least, passage).hint("merge"), _KEY).select(*_KEY, "text", "spans", "also")
+        cut = staged(found.mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, n_passage_bytes long, cut_sha string"), "repeats")
     rows = _identified(docs).select("doc_id", *_KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    none = F.lit(0).cast("long")
-    return rows.join(cut.hint("merge"), _KEY, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passage_bytes")]
+    return rows.join(cut.hint("merge"), _KEY, "left").select("doc_id", "n_bytes", *numbers[:2], F.coalesce("cut_sha", "sha").alias("kept_sha256"), numbers[2])
 
 
 def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated strings cut from ``text``, whole characters only; ``n_chars``, if there, follows."""
     with Scratch(docs.sparkSession, "repeats") as keep:
-        per_doc = staged(_per_document(repeated_spans(docs, least, keep)[0]), "repeats")
+        per_doc = staged(_per_document(repeated_spans(docs, [least], keep)[0], least), "repeats")
 
     def run(batches):
         for batch in batches:
