@@ -11,6 +11,26 @@ RRF_K = 60
 RELIABLE = ["resolved", "scip"]
 
 
+def selected(hits: DataFrame, requests: DataFrame, states: DataFrame) -> DataFrame:
+    """The hits (query_id, channel, namespace, kind, ref, score) that each request (query_id, sources, namespaces, kinds; null: all) asks for, of the
+    registry and of sources that are ok (``states``: channel, status). An empty list of sources leaves the registry. All filters come before any limit.
+    """
+    rows = hits.join(requests, "query_id").join(states.select("channel", "status"), "channel", "left")
+    registry = F.col("channel") == "registry"
+    listed = lambda c, x: F.col(c).isNull() | F.array_contains(c, F.col(x))
+    source = registry | (listed("sources", "channel") & (F.coalesce("status", F.lit("")) == "ok"))
+    return rows.filter(source & (~registry | listed("namespaces", "namespace")) & listed("kinds", "kind")).select("query_id", "channel", "ref", "score")
+
+
+def failed_channels(requests: DataFrame, states: DataFrame) -> DataFrame:
+    """query_id, channel, status: the asked sources of each request that aren't ok; a request without a list asks for all."""
+    bad = states.filter("status <> 'ok'")
+    named = requests.filter("sources is not null").select("query_id", F.explode(F.array_distinct("sources")).alias("channel")).join(bad, "channel")
+    every = bad.groupBy().agg(F.collect_list(F.struct("channel", "status")).alias("bad"))  # one row of the sources that fail
+    rest = requests.filter("sources is null").crossJoin(F.broadcast(every)).select("query_id", F.explode("bad").alias("b"))
+    return named.select("query_id", "channel", "status").union(rest.select("query_id", "b.channel", "b.status"))
+
+
 def channels(hits: DataFrame, limit: int, oversample: int = 3) -> DataFrame:
     """The first ``oversample`` times ``limit`` hits of each query and channel (query_id, channel, ref, score), with their rank from 1."""
     order = W.partitionBy("query_id", "channel").orderBy(F.desc("score"), "ref")

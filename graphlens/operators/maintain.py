@@ -150,3 +150,11 @@ def package_signals(packages: DataFrame, keywords: list[str], prefix: str, inclu
     outcome = F.when(F.col("excluded") & wanted, "excluded").when(~wanted, "none").when(F.col("package_dir").isNull(), "skipped").otherwise("source")
     by = F.when(outcome.isin("source", "skipped"), F.concat_ws(",", "signals", F.when(F.col("included"), "override"))).otherwise("")
     return rows.select("normal", by.alias("identified_by"), outcome.alias("outcome"))
+
+
+def index_report(sources: DataFrame, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, files, nodes, edges, cached of every source (source, cached)."""
+    out = sources
+    for name, rows in (("files", files), ("nodes", nodes), ("edges", edges)):
+        out = out.join(rows.groupBy("source").agg(F.count(F.lit(1)).alias(name)), "source", "left")
+    return out.select("source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", "nodes", "edges")], "cached")

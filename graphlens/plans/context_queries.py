@@ -25,9 +25,9 @@ def query(sql=None):
 # Graph reads.
 
 
-@query(f"WITH {SQL_STAR} SELECT id, kind FROM sn WHERE name IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0)")
+@query(f"WITH {SQL_STAR} SELECT id, kind FROM sn WHERE name IN (SELECT p_name FROM part UNION ALL SELECT n_name FROM nation)")
 def nodes_by_name(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_name").alias("qualname"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_name").alias("qualname")).union(table(spark, sf_dir, "nation").select("n_name"))
     return files.by_values(star_nodes(spark, sf_dir), "qualname", asked).select("id", "kind")
 
 

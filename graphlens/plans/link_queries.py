@@ -181,6 +181,37 @@ def _hits(spark, sf_dir):
     return docs.drop("n_chars").union(docs.select("query_id", F.lit("registry"), "ref", "n_chars"))
 
 
+def _requests(spark, sf_dir):
+    """A request for each nation: all sources, some, or none; some namespaces; some kinds."""
+    k = F.col("n_nationkey") % 4
+    none = F.lit(None).cast("array<string>")
+    sources = F.when(k == 0, none).when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("src1"), F.concat(F.lit("src"), (F.col("n_nationkey") % 20).cast("string"))))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), sources.alias("sources"), F.when(k == 3, F.array(F.lit("en"))).alias("namespaces"), F.when(k == 2, F.array(F.lit("de"), F.lit("en"))).alias("kinds"))
+
+
+def _channel_states(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("channel")).agg(F.when(F.min("doc_id") % 3 == 0, "failed").otherwise("ok").alias("status"))
+
+
+_REQUESTS = """rq AS (SELECT n_nationkey AS query_id, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN [] ELSE ['src1', 'src' || (n_nationkey % 20)] END AS sources, CASE WHEN n_nationkey % 4 = 3 THEN ['en'] END AS namespaces, CASE WHEN n_nationkey % 4 = 2 THEN ['de', 'en'] END AS kinds FROM nation),
+st AS (SELECT source AS channel, CASE WHEN min(doc_id) % 3 = 0 THEN 'failed' ELSE 'ok' END AS status FROM documents GROUP BY 1)"""
+
+
+@query(f"""WITH {_REQUESTS}, h AS (SELECT source AS channel, lang, doc_id AS ref, n_chars AS score FROM documents UNION ALL SELECT 'registry', lang, doc_id, n_chars FROM documents)
+SELECT query_id, channel, ref, score FROM rq JOIN h ON (channel = 'registry' OR ((sources IS NULL OR list_contains(sources, channel)) AND channel IN (SELECT channel FROM st WHERE status = 'ok')))
+AND (channel <> 'registry' OR namespaces IS NULL OR list_contains(namespaces, lang)) AND (kinds IS NULL OR list_contains(kinds, lang)) QUALIFY row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, ref) <= 15""")
+def federated_channels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("channel"), F.col("lang").alias("namespace"), F.col("lang").alias("kind"), F.col("doc_id").alias("ref"), F.col("n_chars").alias("score"))
+    hits = docs.union(docs.withColumn("channel", F.lit("registry"))).crossJoin(F.broadcast(_requests(spark, sf_dir).select("query_id")))  # 25 requests, each of which every document is a hit of
+    found = federate.selected(hits, _requests(spark, sf_dir), _channel_states(spark, sf_dir))
+    return federate.channels(found, 5).select("query_id", "channel", "ref", "score")
+
+
+@query(f"WITH {_REQUESTS} SELECT query_id, channel, status FROM rq JOIN st ON status <> 'ok' AND (sources IS NULL OR list_contains(sources, channel))")
+def failed_channels(spark, sf_dir):
+    return federate.failed_channels(_requests(spark, sf_dir), _channel_states(spark, sf_dir))
+
+
 _RANKED = _HITS + ", rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, ref) AS rank FROM h QUALIFY rank <= 30)"
 
 

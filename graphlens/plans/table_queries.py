@@ -262,13 +262,16 @@ def cache_report(spark, sf_dir):
     return maintain.cache_report(_cache(spark, sf_dir), _now(), 1000, 10_000)
 
 
-@query("""WITH d AS (SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1), l AS (SELECT source, count(*) AS labelled FROM documents JOIN labels USING (doc_id) GROUP BY 1)
-SELECT source, files, chars, coalesce(labelled, 0) AS labelled FROM d LEFT JOIN l USING (source)""")
+@query("""WITH n AS (SELECT count(*) AS k FROM documents), e AS (SELECT source, count(*) AS edges FROM lineitem, n JOIN documents ON doc_id = l_orderkey % k GROUP BY 1), w AS (SELECT source, sum(len(regexp_extract_all(text, '[^\n]+'))) AS nodes FROM documents GROUP BY 1)
+SELECT source, count(*) AS files, any_value(nodes)::BIGINT AS nodes, coalesce(any_value(edges), 0) AS edges, min(doc_id) % 2 = 0 AS cached FROM documents JOIN w USING (source) LEFT JOIN e USING (source) GROUP BY 1 UNION ALL SELECT 'empty', 0, 0, 0, false""")
 def index_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    own = docs.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
-    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("labelled"))
-    return own.join(known, "source", "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)).cast("long"))
+    """Documents as files, their lines as nodes, order lines as edges."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sources = docs.groupBy("source").agg((F.min("doc_id") % 2 == 0).alias("cached")).union(spark.range(1).select(F.lit("empty"), F.lit(False)))
+    nodes = docs.select("source", F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")))
+    n = docs.agg(F.count(F.lit(1)).alias("k"))
+    edges = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n)).select((F.col("l_orderkey") % F.col("k")).alias("doc_id")).join(docs.select("doc_id", "source"), "doc_id")  # one row
+    return maintain.index_report(sources, docs, nodes, edges)
 
 
 @query("""WITH b AS (SELECT c_custkey AS ord, c_custkey // 2 AS spec, 'n' || (c_custkey % 40) AS name FROM customer), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY spec ORDER BY ord) = 1)

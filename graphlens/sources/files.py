@@ -42,6 +42,13 @@ def _escaped(name: str) -> str:
     return name.replace(".", r"\.")
 
 
+def ignore_globs(spark: SparkSession, path: str) -> list[str]:
+    """The globs of an ignore file: its lines but blank ones, comments and negations. A file that isn't there has none."""
+    there = spark.read.format("binaryFile").option("pathGlobFilter", path.rsplit("/", 1)[-1]).load(path.rsplit("/", 1)[0])
+    lines = there.select(F.explode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("glob")).select(F.trim("glob").alias("glob"))
+    return [r.glob for r in lines.filter("glob <> '' and not glob rlike '^[#!]'").collect()]  # the lines of one file
+
+
 def scan(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
     """path (below ``root``), sha256 and size of the files that are taken; contents are read only for those."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
