@@ -263,7 +263,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with its columns."""
+    """The rows of ``docs`` that aren't predicted toxic, with its columns, whatever their names.
+
+    Null and empty texts are judged as all others and stay null or empty, repeated rows alike; without a model of both kinds all rows stay.
+    """
     place = docs.columns.index("text")
 
     def run(batches):
