@@ -64,4 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_license_scan": licenses.ORACLE_SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op4_license_scan": licenses.ORACLE_SQL,
+        "op5_repeated_strings": suffix_dedup.ORACLE_SQL,
+        "op8_minhash_forest": minhash_forest.ORACLE_SQL,
+    }

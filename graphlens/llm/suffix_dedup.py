@@ -388,3 +388,23 @@ def strip_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if "n_chars" in docs.columns:
         columns[docs.columns.index("n_chars")] = F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*columns)
+
+
+def _spans_sql(k: int) -> str:
+    """Relation s{k}: the maximal runs [s, e) of bytes that repeated strings of ``k`` bytes cover."""
+    return f"""
+b{k} AS (SELECT doc_id, h, unnest(range(0, n - {k - 1})) AS i FROM x),
+c{k} AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * k})) AS g FROM b{k}),
+g{k} AS (SELECT doc_id, i FROM c{k} WHERE g IN (SELECT g FROM c{k} GROUP BY 1 HAVING count(*) > 1)),
+o{k} AS (SELECT doc_id, i, sum(CASE WHEN i > p + {k} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM (SELECT *, lag(i, 1, i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g{k})),
+s{k} AS (SELECT doc_id, z, min(i) AS s, max(i) + {k} AS e FROM o{k} GROUP BY ALL)"""
+
+
+# Over the hexadecimal bytes; every string is counted, which suits small tables.
+ORACLE_SQL = f"""
+WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),{_spans_sql(LEAST)},{_spans_sql(PASSAGE)},
+k AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f, e FROM s{LEAST}),
+v AS (SELECT doc_id, sum(e - s)::BIGINT AS r, count(*) AS c, string_agg(substring(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) || substring(any_value(h), 2 * max(e) + 1) AS t FROM k JOIN x USING (doc_id) GROUP BY 1),
+q AS (SELECT doc_id, sum(e - s)::BIGINT AS r FROM s{PASSAGE} GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(v.r, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256, coalesce(q.r, 0) AS n_passage_bytes FROM x LEFT JOIN v USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
