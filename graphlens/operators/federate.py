@@ -131,17 +131,28 @@ def routed(tasks: DataFrame, keywords: DataFrame, default: str) -> DataFrame:
     return tasks.select("task_id").join(hits, "task_id", "left").select("task_id", F.coalesce("plane", F.lit(default)).alias("plane"))
 
 
+def _substrings(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """``rows`` with a row for each distinct substring of ``column`` that is as long as some ``other``, in a column of that name."""
+    lengths = F.broadcast(others.agg(F.array_sort(F.collect_set(F.length(other))).alias("_lengths")))  # one row, of as many numbers as the longest name has letters
+    text = F.col(column)
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: text.substr(i, k))
+    pieces = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda k: (k > 0) & (k <= F.length(text))), of_length)))
+    return rows.crossJoin(lengths).select(*rows.columns, F.explode(pieces).alias(other))
+
+
 def aliases(asked: DataFrame, inventory: DataFrame, table: DataFrame) -> DataFrame:
     """asked, name: by exact name, then by alias, then by substring either way, first in order; null without any.
 
-    The inventory of sources is a small table.
+    Substrings are equality joins on those of the lengths that occur on the other side.
     """
-    names = inventory.select(F.col("name").alias("found"), "ord")
-    exact = asked.join(names, F.col("asked") == F.col("found")).select("asked", F.struct(F.lit(0).alias("p"), "ord", "found").alias("m"))
-    alias = asked.join(table, F.col("asked") == F.col("alias")).join(names, F.col("target") == F.col("found")).select("asked", F.struct(F.lit(1).alias("p"), "ord", "found").alias("m"))
-    part = asked.join(F.broadcast(names), F.contains(F.col("asked"), F.col("found")) | F.contains(F.col("found"), F.col("asked"))).select("asked", F.struct(F.lit(2).alias("p"), "ord", "found").alias("m"))
-    best = exact.union(alias).union(part).groupBy("asked").agg(F.min("m").alias("m"))
-    return asked.distinct().join(best, "asked", "left").select("asked", F.col("m.found").alias("name"))
+    names, wanted = inventory.select(F.col("name").alias("found"), "ord"), asked.select("asked").distinct()
+    hit = lambda rows, p: rows.select("asked", F.struct(F.lit(p).alias("p"), "ord", "found").alias("m"))
+    exact = hit(wanted.join(names, F.col("asked") == F.col("found")), 0)
+    alias = hit(wanted.join(table, F.col("asked") == F.col("alias")).join(names, F.col("target") == F.col("found")), 1)
+    inside = hit(_substrings(wanted, "asked", names, "found").join(names, "found"), 2)
+    around = hit(_substrings(names, "found", wanted, "asked").join(wanted, "asked"), 2)
+    best = exact.union(alias).union(inside).union(around).groupBy("asked").agg(F.min("m").alias("m"))
+    return wanted.join(best, "asked", "left").select("asked", F.col("m.found").alias("name"))
 
 
 def normal_source(name: Column, families: list[str]) -> Column:
