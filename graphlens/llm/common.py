@@ -39,10 +39,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Scratch:
     """A folder for the tables between an operator's steps, removed when its block ends.
 
@@ -58,9 +63,16 @@ class Scratch:
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
         return _stored(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
 
+    def once(self, df: DataFrame, label: str) -> DataFrame:
+        """As a call, for a table that ``drop`` removes before the block ends; one of each label."""
+        return _stored(df, f"{self.path}/{label}")
+
+    def drop(self, label: str) -> None:
+        """Removes the table that ``once`` wrote: no step reads it any more."""
+        _remove(self.spark, f"{self.path}/{label}")
+
     def __exit__(self, *_) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(self.spark, self.path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -272,12 +272,13 @@ def _sized(kinds: DataFrame, total: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, lengths: list[int], keep: Scratch) -> tuple[DataFrame, DataFrame]:
     """Spans (dk, rid, s, e, least) of repeated bytes for each of the ``lengths``, which may overlap, and the rows with repeated anchors (dk, rid, text)."""
     rows, reach = _identified(docs), max(lengths)
-    found = keep(anchors(rows, min(lengths), reach), "anchors")
+    found = keep.once(anchors(rows, min(lengths), reach), "anchors")
     total = found.count()
     one = F.struct("c1", "c2")
     counted = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"), F.max(one).alias("other")).filter("n > 1")
     counted = keep(counted.select("fp", "n", (F.col("one") == F.col("other")).alias("alike")), "counted")
     again = keep(join_counted(found, counted, ["fp"], total), "repeated")
+    keep.drop("anchors")
     keys = again.select(*_KEY).distinct()
     bodies = keep(rows.select(*_KEY, "text").join(keys.hint("merge"), _KEY, "left_semi"), "bodies")
 
