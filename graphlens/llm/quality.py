@@ -11,7 +11,6 @@ an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignore
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa
