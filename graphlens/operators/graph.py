@@ -8,14 +8,13 @@ from pyspark.sql.window import Window as W
 
 from graphlens.functions.text import prefixes
 from graphlens.operators.search import best
-from graphlens.schemas import KIND_ORDER
+from graphlens.schemas import KIND_ORDER, MEMBER_KINDS, OTHER_ORDER, TOPLEVEL_KINDS, TYPE_KINDS
 from graphlens.storage import stored
 
 
 def best_node(nodes: DataFrame) -> DataFrame:
     """qualname, id: the node of each qualified name by order of kinds, then id."""
-    place = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
-    order = F.when(place > 0, place).otherwise(len(KIND_ORDER) + 1)
+    order = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair]), F.col("kind")), F.lit(OTHER_ORDER))
     return nodes.groupBy("qualname").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"))).alias("m")).select("qualname", "m.id")
 
 
@@ -83,17 +82,21 @@ def package_catalog(cards: DataFrame, sources: DataFrame, roles: DataFrame) -> D
 
 
 def outline(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> DataFrame:
-    """module, symbols (in order of line), members (of each symbol, in edge order), n_members: of every module, or of those whose file is ``path`` or lies under it."""
+    """module, symbols (by line, then edge order), members (of each symbol that is a type, in edge order), n_members: of every module and package, or of those
+    whose file is ``path`` or lies under it."""
     inside = edges.filter("kind = 'contains'").select("source", "target", "seq")
-    known = nodes.filter("kind = 'module'")
+    known = nodes.filter(F.col("kind").isin("module", "package"))
     if path is not None:
         known = known.filter((F.col("file") == path) | F.col("file").startswith(path.rstrip("/") + "/"))
     modules = known.select(F.col("id").alias("module"))
-    symbols = inside.join(modules, F.col("source") == F.col("module")).join(nodes.select("id", "start_line"), F.col("target") == F.col("id")).select("module", "id", "start_line")
-    below = inside.join(symbols.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    top = nodes.filter(F.col("kind").isin(TOPLEVEL_KINDS)).select("id", "start_line", "kind")
+    symbols = inside.join(modules, F.col("source") == F.col("module")).join(top, F.col("target") == F.col("id")).select("module", "id", "start_line", "seq", "kind")
+    types = symbols.filter(F.col("kind").isin(TYPE_KINDS)).select(F.col("id").alias("source")).distinct()
+    able = nodes.filter(F.col("kind").isin(MEMBER_KINDS)).select(F.col("id").alias("target"))
+    below = inside.join(types, "source", "left_semi").join(able, "target", "left_semi")
     members = below.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "target"))), lambda x: x["target"]), ",").alias("listed"), F.count(F.lit(1)).alias("n"))
     rows = symbols.join(members, F.col("id") == F.col("source"), "left")
-    item = F.struct("start_line", "id", F.coalesce("listed", F.lit("")).alias("listed"))
+    item = F.struct("start_line", "seq", "id", F.coalesce("listed", F.lit("")).alias("listed"))
     whole = rows.groupBy("module").agg(F.array_sort(F.collect_list(item)).alias("s"), F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     joined = lambda f, by: F.array_join(F.transform("s", lambda x: x[f]), by)
     return modules.join(whole, "module", "left").select("module", joined("id", ",").alias("symbols"), joined("listed", ";").alias("members"), F.coalesce("n", F.lit(0)).alias("n_members"))

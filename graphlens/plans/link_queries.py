@@ -51,16 +51,16 @@ rf AS (SELECT DISTINCT s.id AS from_node, CASE WHEN k = 'imports' OR (k IN ('cal
 im AS (SELECT rf.file, regexp_extract(rf.name, '([^.]*)$', 1) AS segment, nd.id, nd.kind, nd.qualname, rf.seq FROM rf JOIN nd ON nd.qualname = rf.name WHERE rf.kind = 'imports'),
 cl AS (SELECT *, regexp_extract(name, '([^.]*)$', 1) AS segment, regexp_extract(name, '([^.]*)[.][^.]*$', 1) AS module FROM rf WHERE kind = 'calls'),
 md AS (SELECT cl.seq, im.seq AS iseq, nd.id FROM cl JOIN im ON im.file = cl.file AND im.segment = cl.module AND im.kind IN ('package', 'module', 'namespace')
-       JOIN nd ON nd.kind IN ('function', 'method') AND nd.id <> cl.from_node AND regexp_extract(nd.qualname, '^(.*)[.][^.]*$', 1) || '.' || nd.name = im.qualname || '.' || cl.segment WHERE cl.name LIKE '%.%'),
+       JOIN nd ON nd.kind IN ('function', 'method', 'test') AND nd.id <> cl.from_node AND regexp_extract(nd.qualname, '^(.*)[.][^.]*$', 1) || '.' || nd.name = im.qualname || '.' || cl.segment WHERE cl.name LIKE '%.%'),
 m1 AS (SELECT seq, min(id) AS target, count(*) AS n FROM (SELECT *, min(iseq) OVER (PARTITION BY seq) AS f FROM md) WHERE iseq = f GROUP BY 1),
 c3 AS (SELECT seq, from_node AS source, target, kind, CASE WHEN n = 1 THEN 'resolved' ELSE 'heuristic' END AS provenance, 'import' AS via, file FROM (
-  SELECT cl.seq, from_node, cl.kind, cl.file, min(im.id) AS target, count(*) AS n FROM cl JOIN im ON im.file = cl.file AND im.segment = cl.segment AND im.kind IN ('function', 'method') AND im.id <> from_node WHERE cl.seq NOT IN (SELECT seq FROM m1) GROUP BY ALL
+  SELECT cl.seq, from_node, cl.kind, cl.file, min(im.id) AS target, count(*) AS n FROM cl JOIN im ON im.file = cl.file AND im.segment = cl.segment AND im.kind IN ('function', 'method', 'test') AND im.id <> from_node WHERE cl.seq NOT IN (SELECT seq FROM m1) GROUP BY ALL
   UNION ALL SELECT cl.seq, from_node, cl.kind, cl.file, target, n FROM cl JOIN m1 USING (seq))),
 i1 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(im.id) AS target, count(*) AS n FROM cl JOIN im ON im.file = cl.file AND im.segment = cl.segment AND im.kind = 'class' AND im.id <> from_node GROUP BY ALL),
 i2 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(nd.id) AS target, count(*) AS n FROM cl JOIN nd ON nd.name = cl.segment AND nd.kind = 'class' AND nd.id <> from_node WHERE cl.seq NOT IN (SELECT seq FROM i1) GROUP BY ALL HAVING count(*) = 1),
 c4 AS (SELECT seq, from_node AS source, target, kind, CASE WHEN n = 1 THEN 'resolved' ELSE 'heuristic' END AS provenance, 'import' AS via, file FROM i1 UNION ALL SELECT seq, from_node, target, kind, 'resolved', NULL, file FROM i2),
-f1 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(nd.id) AS target, count(*) AS n FROM cl JOIN nd ON nd.name = cl.segment AND nd.file = cl.file AND nd.kind IN ('function', 'method') AND nd.id <> from_node GROUP BY ALL),
-f2 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(nd.id) AS target, count(*) AS n FROM cl JOIN nd ON nd.name = cl.segment AND nd.kind IN ('function', 'method') AND nd.id <> from_node WHERE cl.seq NOT IN (SELECT seq FROM f1) GROUP BY ALL),
+f1 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(nd.id) AS target, count(*) AS n FROM cl JOIN nd ON nd.name = cl.segment AND nd.file = cl.file AND nd.kind IN ('function', 'method', 'test') AND nd.id <> from_node GROUP BY ALL),
+f2 AS (SELECT cl.seq, from_node, cl.kind, cl.file, min(nd.id) AS target, count(*) AS n FROM cl JOIN nd ON nd.name = cl.segment AND nd.kind IN ('function', 'method', 'test') AND nd.id <> from_node WHERE cl.seq NOT IN (SELECT seq FROM f1) GROUP BY ALL),
 c5 AS (SELECT seq, from_node AS source, target, kind, 'heuristic' AS provenance, NULL AS via, file FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) WHERE n = 1),
 x1 AS (SELECT rf.seq, from_node, rf.kind, rf.file, coalesce(min(nd.id) FILTER (nd.file = rf.file), min(nd.id)) AS target FROM rf JOIN nd ON nd.qualname = rf.name AND nd.kind = 'class' WHERE rf.kind = 'extends' GROUP BY ALL),
 x2 AS (SELECT rf.seq, from_node, rf.kind, rf.file, coalesce(min(nd.id) FILTER (nd.file = rf.file), min(nd.id)) AS target FROM rf JOIN nd ON nd.name = regexp_extract(rf.name, '([^.]*)$', 1) AND nd.kind = 'class' WHERE rf.kind = 'extends' AND rf.seq NOT IN (SELECT seq FROM x1) GROUP BY ALL),
@@ -93,7 +93,7 @@ def ref_residue(spark, sf_dir):
     return resolve.residue(refs, resolve.ladder(refs, _nodes(spark, sf_dir))).select("from_node", "name", "kind", "file", "seq")
 
 
-@query(f"""WITH {_VIEW} SELECT t.id AS source, coalesce(min(n.id) FILTER (n.file = t.file), min(n.id)) AS target, 'tests' AS kind FROM nd t JOIN nd n ON n.name = substring(t.name, 6) AND n.kind IN ('function', 'method', 'class') WHERE t.kind = 'test' GROUP BY t.id, t.file""")
+@query(f"""WITH {_VIEW} SELECT t.id AS source, coalesce(min(n.id) FILTER (n.file = t.file), min(n.id)) AS target, 'tests' AS kind FROM nd t JOIN nd n ON n.name = substring(t.name, 6) AND n.kind IN ('function', 'method', 'test', 'class') WHERE t.kind = 'test' GROUP BY t.id, t.file""")
 def test_links(spark, sf_dir):
     return resolve.test_links(_nodes(spark, sf_dir))
 

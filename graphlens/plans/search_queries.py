@@ -96,7 +96,7 @@ def resolved_callers(spark, sf_dir):
     return search.edge_counts(star_edges(spark, sf_dir), "calls", "resolved")
 
 
-@query(f"WITH {SQL_STAR} SELECT name AS qualname, arg_min(id, (list_position(['class','interface','struct','enum','trait','type','function','method','property','field','constant','module','package'], kind), id)) AS id FROM sn GROUP BY 1")
+@query(f"WITH {SQL_STAR} SELECT name AS qualname, arg_min(id, (CASE kind WHEN 'package' THEN 0 WHEN 'module' THEN 1 WHEN 'class' THEN 3 WHEN 'function' THEN 4 WHEN 'method' THEN 4 END, id)) AS id FROM sn GROUP BY 1")
 def best_node(spark, sf_dir):
     return graph.best_node(star_nodes(spark, sf_dir))
 
@@ -167,25 +167,31 @@ def package_card(spark, sf_dir):
     return graph.package_card(document_nodes(spark, sf_dir))
 
 
+# Orders count as methods of their customers here.
 _OUTLINE = f"""WITH {SQL_STAR}, i AS (SELECT source, target, seq FROM se WHERE kind = 'contains'),
 m AS (SELECT source, string_agg(target, ',' ORDER BY seq, target) AS listed, count(*) AS n FROM i GROUP BY 1),
-o AS (SELECT i.source AS module, string_agg(target, ',' ORDER BY start_line, target) AS symbols, string_agg(coalesce(listed, ''), ';' ORDER BY start_line, target) AS members, coalesce(sum(m.n), 0)::BIGINT AS n_members, count(*) AS k
+o AS (SELECT i.source AS module, string_agg(target, ',' ORDER BY start_line, seq) AS symbols, string_agg(coalesce(listed, ''), ';' ORDER BY start_line, seq) AS members, coalesce(sum(m.n), 0)::BIGINT AS n_members, count(*) AS k
       FROM i JOIN sn ON sn.id = target LEFT JOIN m ON m.source = target WHERE i.source[1] = 'n' GROUP BY 1)"""
 
 
-@query(_OUTLINE + " SELECT sn.id AS module, symbols, members, coalesce(n_members, 0) AS n_members FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind = 'module'")
+def _outlined(spark, sf_dir, path=None):
+    nodes = star_nodes(spark, sf_dir).withColumn("kind", F.when(F.col("id").startswith("o"), "method").otherwise(F.col("kind")))
+    return graph.outline(nodes, star_edges(spark, sf_dir), path)
+
+
+@query(_OUTLINE + " SELECT sn.id AS module, symbols, members, coalesce(n_members, 0) AS n_members FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind IN ('module', 'package')")
 def outline(spark, sf_dir):
-    return graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir))
+    return _outlined(spark, sf_dir)
 
 
-@query(_OUTLINE + " SELECT sn.id AS module, symbols, n_members FROM sn JOIN o ON o.module = sn.id WHERE kind = 'module' AND (file = '1' OR starts_with(file, '1/'))")
+@query(_OUTLINE + " SELECT sn.id AS module, symbols, coalesce(n_members, 0) AS n_members FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind IN ('module', 'package') AND (file = '1' OR starts_with(file, '1/'))")
 def outline_path(spark, sf_dir):
-    return graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), "1").select("module", "symbols", "n_members")
+    return _outlined(spark, sf_dir, "1").select("module", "symbols", "n_members")
 
 
-@query(_OUTLINE + " SELECT sn.id AS module, array_to_string(string_split(symbols, ',')[1:5], ',') AS symbols, coalesce(k, 0) AS n_symbols FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind = 'module'")
+@query(_OUTLINE + " SELECT sn.id AS module, array_to_string(string_split(symbols, ',')[1:5], ',') AS symbols, coalesce(k, 0) AS n_symbols FROM sn LEFT JOIN o ON o.module = sn.id WHERE kind IN ('module', 'package')")
 def outline_page(spark, sf_dir):
-    return graph.first_members(graph.outline(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)), 5)
+    return graph.first_members(_outlined(spark, sf_dir), 5)
 
 
 @query(r"""SELECT o_orderpriority AS id, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS kind FROM orders GROUP BY 1""")

@@ -191,6 +191,13 @@ def extract_reuse(spark, sf_dir):
     return maintain.extract_plan(docs.drop("doc_id"), cache, "4")
 
 
+@query("""WITH r AS (SELECT user_id % 50 AS path, event_type AS hash, '4' AS version, props AS payload, ts AS created_at FROM events)
+SELECT path, hash, max(payload) FILTER (created_at = m) AS payload FROM (SELECT *, max(created_at) OVER (PARTITION BY path, hash) AS m FROM r) GROUP BY 1, 2""")
+def cache_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("path"), F.col("event_type").alias("hash"), F.lit("4").alias("version"), F.col("props").alias("payload"), F.col("ts").alias("created_at"), "event_id")
+    return maintain.upserted(rows.filter("event_id % 2 = 0").drop("event_id"), rows.filter("event_id % 2 = 1").drop("event_id")).select("path", "hash", "payload")
+
+
 def _cache(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("key"), F.col("ts").alias("created_at"), F.length("props").cast("long").alias("size"))
 

@@ -1,14 +1,16 @@
-"""Column names and fixed values of the graph tables."""
-
-NODE = "id string, kind string, name string, qualname string, language string, file string, start_line int, end_line int, signature string, docstring string, summary string, decorators array<string>, bases array<string>, visibility string, is_exported boolean, is_async boolean, is_abstract boolean, seq long"
-EDGE = "source string, target string, kind string, provenance string, file string, line int, via string, seq long"
-REF = "from_node string, name string, kind string, file string, line int, seq long"
+"""Fixed values of the graph tables: kinds of nodes."""
 
 # Kinds of nodes by what may be called, used as a type, or imported as a module.
-CALLABLE_KINDS = ["function", "method"]
-TYPE_KINDS = ["class", "interface", "struct", "enum", "trait", "type"]
-MODULE_KINDS = ["package", "module", "namespace"]
-#: Nodes of these kinds only hold others.
-STRUCTURAL_KINDS = ["package", "module", "namespace", "document", "section", "file"]
-#: Order in which a qualified name's nodes are preferred.
-KIND_ORDER = ["class", "interface", "struct", "enum", "trait", "type", "function", "method", "property", "field", "constant", "module", "package", "namespace", "test", "example"]
+CALLABLE_KINDS = ["function", "method", "test"]
+TYPE_KINDS = ["class", "struct", "interface", "trait", "enum"]
+MODULE_KINDS = ["module", "package", "namespace"]
+#: Nodes without an API surface of their own, a module's own symbols, and what they hold.
+STRUCTURAL_KINDS = ["file", "package", "module", "import", "export"]
+TOPLEVEL_KINDS = ["class", "struct", "interface", "trait", "enum", "function", "test", "constant", "capability"]
+MEMBER_KINDS = ["method", "property", "field", "test", "class"]
+#: Order in which a qualified name's nodes are preferred, and the place of kinds that aren't listed.
+KIND_ORDER = {
+    "package": 0, "module": 1, "namespace": 2, "capability": 2, "convention": 2, "class": 3, "struct": 3, "interface": 3, "trait": 3, "enum": 3,
+    "function": 4, "method": 4, "test": 4, "property": 5, "constant": 6, "field": 6, "type_alias": 6, "example": 9,
+}
+OTHER_ORDER = 7
