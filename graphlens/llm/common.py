@@ -38,8 +38,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return _stored(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+def _stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,18 +54,18 @@ class Scratch:
     What the operator returns is written before that with ``staged``, so that nothing reads the folder later.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, label: str, compression: str = "snappy"):
+        self.spark, self.path, self.compression = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", compression
 
     def __enter__(self) -> Scratch:
         return self
 
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
-        return _stored(df, f"{self.path}/{label}-{uuid.uuid4().hex}")
+        return _stored(df, f"{self.path}/{label}-{uuid.uuid4().hex}", self.compression)
 
     def once(self, df: DataFrame, label: str) -> DataFrame:
         """As a call, for a table that ``drop`` removes before the block ends; one of each label."""
-        return _stored(df, f"{self.path}/{label}")
+        return _stored(df, f"{self.path}/{label}", self.compression)
 
     def drop(self, label: str) -> None:
         """Removes the table that ``once`` wrote: no step reads it any more."""

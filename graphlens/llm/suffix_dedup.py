@@ -359,7 +359,7 @@ def report(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataF
             numbers = [pa.array(x, pa.int64()) for x in (removed, n, more)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(sha, pa.string())], [*_KEY, "n_removed", "n_spans", "n_passage_bytes", "cut_sha"])
 
-    with Scratch(docs.sparkSession, "repeats") as keep:
+    with Scratch(docs.sparkSession, "repeats", "zstd") as keep:
         spans, bodies = repeated_spans(docs, sorted({least, passage}), keep)
         found = bodies.dropDuplicates(_KEY).join(_per_document(spans, least, passage).hint("merge"), _KEY).select(*_KEY, "text", "spans", "also")
         cut = staged(found.mapInArrow(run, "dk long, rid long, n_removed long, n_spans long, n_passage_bytes long, cut_sha string"), "repeats")
