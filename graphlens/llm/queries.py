@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, minhash_forest, packing, quality, spotsigs, suffix_dedup, token_store, toxicity
+from . import bpe, exact_dedup, hard_negatives, html_text, licenses, minhash_forest, packing, quality, spotsigs, suffix_dedup, token_store, toxicity, vector_codes
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -59,6 +59,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), moved, F.col("vec_id") % 50 == 0)
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantised(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -69,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": licenses.ORACLE_SQL,
         "op5_repeated_strings": suffix_dedup.ORACLE_SQL,
         "op8_minhash_forest": minhash_forest.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op13_vector_codes": vector_codes.ORACLE_SQL,
     }
