@@ -19,49 +19,98 @@ KIND_PRIORS = {
 }
 DEFAULT_PRIOR = 0.5
 NAVIGATIONAL = ["module", "package", "namespace"]
+#: Words of a query: as those of the index, but _ joins them.
+QUERY_TOKEN = r"[\p{L}\p{N}_]+"
+#: Rows of a stored table that are broadcast at most: words and phrases of queries.
+SMALL_ROWS = 200_000
 #: Texts that ``contains`` broadcasts at once.
 ASKED = 10_000
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, prefix: distinct tokens of each query but single ASCII characters."""
-    rows = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("prefix"))
-    return rows.filter(~F.col("prefix").rlike(r"^[\x00-\x7F]$")).distinct()
+def query_phrases(queries: DataFrame) -> DataFrame:
+    """query_id, phrase, parts: the distinct tokens of each query but single ASCII characters; a token with _ is a phrase of its parts."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(QUERY_TOKEN), F.lit(0)))
+    rows = queries.select("query_id", word.alias("word")).filter(~F.col("word").rlike(r"^[\x00-\x7F]$"))
+    parts = F.filter(F.split("word", "_"), lambda x: x != "")
+    return rows.select("query_id", parts.alias("parts")).filter(F.size("parts") > 0).select("query_id", F.array_join("parts", "_").alias("phrase"), "parts").distinct()
 
 
-def weighted_tokens(nodes: DataFrame) -> DataFrame:
-    """The nodes with ``words``: term and weight of every token of every field."""
+def _tokens_of(field: str) -> Column:
+    return tokens(F.coalesce(F.col(field), F.lit("")))
+
+
+def postings(nodes: DataFrame) -> DataFrame:
+    """id, kind, dl (tokens of the node), term, tf (sum of the weights of the fields where it stands), first (1 in one row of each node).
+
+    Stored, and so read as often as a search needs it; texts are split into tokens once.
+    """
     def of(field: str, weight: float) -> Column:
-        return F.transform(tokens(F.coalesce(F.col(field), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+        return F.transform(_tokens_of(field), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    words = F.concat(*[of(f, w) for f, w in FIELD_WEIGHTS.items()])
+    rows = nodes.select("id", "kind", words.alias("words"))
+    one = rows.select("id", "kind", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("at", "x"))
+    summed = one.groupBy("id", "kind", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.count_if(F.col("at") == 0).alias("first"))
+    return stored(summed, "postings")
 
-    fields = [of(f, w) for f, w in FIELD_WEIGHTS.items()]
-    return nodes.withColumn("words", F.concat(*fields))
 
+def completions(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """term, prefix: which of ``prefixes`` each distinct term begins with; equality joins on the beginnings of the lengths that are asked for."""
+    lengths = F.broadcast(prefixes.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths")))  # one row, of as many numbers as the longest prefix has letters
+    starts = F.explode(F.transform(F.filter("lengths", lambda k: k <= F.length("term")), lambda k: F.left(F.col("term"), k)))
+    return terms.select("term").distinct().crossJoin(lengths).select("term", starts.alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
 
-def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
-    """query_id, id, score, rank (from 0) of the best ``limit`` nodes of each query; each query token matches words that it begins.
 
-    The nodes are read once for the matches and once for the totals. Of a word only the beginnings of lengths that occur among the
-    query tokens are looked up, by an equality join, and what matches is summed up and stored before it is counted and scored.
-    ``kinds`` filter before the scoring, and so before the limit; frequencies are of all nodes.
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table with a broadcast hint, if it has ``rows`` rows at most; larger ones are left to the optimiser's joins."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def phrase_matches(nodes: DataFrame, phrases: DataFrame, completed: DataFrame) -> DataFrame:
+    """id, kind, dl, phrase, tf: nodes in one field of which the parts of a phrase stand side by side, the last as a beginning of a word.
+
+    Every token that is the k-th part of a phrase names the place where the phrase would begin; a place that all parts name holds it.
     """
-    terms = query_terms(queries)
-    wanted = terms.select("prefix", F.length("prefix").alias("k")).distinct()
-    lengths = F.broadcast(wanted.agg(F.array_sort(F.collect_set("k")).alias("lengths")))  # one row, of as many numbers as the longest token has letters
-    rows = weighted_tokens(nodes)
-    sized = rows.select(F.size("words").cast("long").alias("dl"))
-    totals = sized.filter("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    n = F.size("parts")
+    parts = phrases.select("phrase", n.alias("n"), F.posexplode("parts").alias("k", "part"))
+    heads = parts.filter("k < n - 1").select(F.col("part").alias("term"), "phrase", "n", "k")
+    tails = parts.filter("k = n - 1").join(completed.withColumnRenamed("prefix", "part"), "part").select("term", "phrase", "n", "k")
+    wanted = small(stored(heads.union(tails), "phrase-parts"))
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("w"), _tokens_of(f).alias("tokens")) for k, (f, w) in enumerate(FIELD_WEIGHTS.items())])
+    dl = F.aggregate(F.transform("fields", lambda x: F.size(x["tokens"])), F.lit(0), lambda a, x: a + x).cast("long")
+    rows = nodes.select("id", "kind", fields.alias("fields")).select("id", "kind", dl.alias("dl"), F.explode("fields").alias("f"))
+    placed = rows.select("id", "kind", "dl", "f.field", "f.w", F.posexplode("f.tokens").alias("pos", "term"))
+    named = placed.join(wanted, "term").groupBy("id", "kind", "dl", "phrase", "n", "field", "w", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("there"))
+    return named.filter("there = n").groupBy("id", "kind", "dl", "phrase").agg(F.sum("w").alias("tf"))
+
+
+def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank (from 0) of the best ``limit`` nodes of each query.
+
+    A query token matches the words that it begins; one with _ matches its parts side by side, the last as a beginning. Distinct words
+    are completed first, so that a word is compared once however often it stands; nodes are split into tokens again only where phrases
+    are asked for. ``index``: the ``postings`` of the nodes, if there are any. ``kinds`` filter before the scoring, and so before the
+    limit; frequencies are of all nodes.
+    """
+    index = postings(nodes) if index is None else index
+    asked = stored(query_phrases(queries), "phrases")
+    phrases = asked.select("phrase", "parts").distinct()
+    last = phrases.select(F.element_at("parts", -1).alias("prefix"))
+    completed = stored(completions(index, last), "completions")
+    words = phrases.filter(F.size("parts") == 1).select("phrase")
+    mapped = completed.join(words, F.col("prefix") == F.col("phrase"), "left_semi")
+    matched = index.join(small(mapped), "term").groupBy("id", "kind", "dl", F.col("prefix").alias("phrase")).agg(F.sum("tf").alias("tf"))
+    several = phrases.filter(F.size("parts") > 1)
+    if not several.isEmpty():
+        matched = matched.unionByName(phrase_matches(nodes, several, completed))
+    found = stored(matched, "matches")
+    totals = index.agg(F.sum("first").alias("docs"), (F.sum(F.col("first") * F.col("dl")) / F.sum("first")).alias("avgdl"))
+    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     able = F.lit(True) if kinds is None else F.col("kind").isin(kinds)
-    words = rows.select("id", able.alias("able"), F.size("words").alias("dl"), F.explode("words").alias("x")).select("id", "able", "dl", "x.term", "x.w")
-    words = words.crossJoin(lengths)  # one row
-    starts = F.explode(F.transform(F.filter("lengths", lambda k: k <= F.length("term")), lambda k: F.left(F.col("term"), k)))
-    matched = words.select("id", "able", "dl", "w", starts.alias("prefix")).join(wanted.select("prefix"), "prefix")
-    found = stored(matched.groupBy("prefix", "id", "able", "dl").agg(F.sum("w").alias("tf")), "matches")
-    df = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("df"))
-    scored = found.filter("able").join(df, "prefix").crossJoin(F.broadcast(totals))  # one row
+    scored = found.filter(able).join(df, "phrase").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.select("prefix", "id", part.alias("part")).join(terms, "prefix").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    hits = scored.select("phrase", "id", part.alias("part")).join(asked.select("query_id", "phrase"), "phrase").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return best(hits, ["query_id"], [F.desc("score"), F.col("id")], limit)
 
 

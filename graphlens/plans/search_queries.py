@@ -62,6 +62,27 @@ def search_kind_filtered(spark, sf_dir):
     return search.bm25(document_nodes(spark, sf_dir), benchmark_queries(spark, sf_dir), 20, ["class", "module"])
 
 
+@query(rf"""WITH {SQL_DOCUMENT_NODES},
+tk AS MATERIALIZED ({" UNION ALL ".join(f"SELECT id, {k} AS field, {w}::DOUBLE AS w, {SQL_TOKENS.format(f)} AS t FROM dn" for k, (f, w) in enumerate(search.FIELD_WEIGHTS.items()))}),
+sz AS MATERIALIZED (SELECT id, sum(len(t)) AS dl FROM tk GROUP BY 1 HAVING dl > 0),
+tot AS (SELECT count(*) AS docs, avg(dl) AS avgdl FROM sz),
+pr AS MATERIALIZED (SELECT id, w, t[i] AS a, t[i + 1] AS b FROM (SELECT id, w, t, unnest(range(1, len(t))) AS i FROM tk)),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id AS query_id, string_split(x, '_')[1] AS a, string_split(x, '_')[2] AS b FROM (
+    SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+ [\p{{L}}\p{{N}}]+')) AS y, replace(y, ' ', '_') AS x FROM benchmark)),
+f AS MATERIALIZED (SELECT q.a, q.b, id, sum(w) AS tf FROM (SELECT DISTINCT a, b FROM q) q JOIN pr ON pr.a = q.a AND starts_with(pr.b, q.b) GROUP BY ALL),
+dfs AS (SELECT a, b, count(*) AS df FROM f GROUP BY ALL),
+hits AS (
+  SELECT query_id, id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), {search.LEAST_IDF}) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) AS score
+  FROM f JOIN dfs USING (a, b) JOIN sz USING (id) CROSS JOIN tot JOIN q USING (a, b) GROUP BY ALL)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM hits QUALIFY rank < 20""")
+def search_phrases(spark, sf_dir):
+    """Each benchmark passage as a query of pairs of neighbouring words, joined by _."""
+    pairs = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+ [\p{L}\p{N}]+"), F.lit(0))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.transform(pairs, lambda x: F.replace(x, F.lit(" "), F.lit("_"))), " ").alias("text"))
+    return search.bm25(document_nodes(spark, sf_dir), asked, 20)
+
+
 @query(f"WITH {_bm25_sql(60)}, {SQL_SIGNALS} SELECT query_id, id, fts_rank, signal_score, rank FROM rk")
 def rerank(spark, sf_dir):
     nodes = document_nodes(spark, sf_dir)
