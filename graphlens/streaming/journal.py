@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 RETAINED, PAGE = 512, 50
@@ -69,6 +70,89 @@ def stream_cursors(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(number, schema, "last long", "append", "NoTimeout")
 
 
+#: The state store that keyed maps and timers need; set it in the session under the first name.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_CHANGES = "session_id long, cursor long, event_id long, event_type string, ts timestamp, change string"
+
+
+class _Retention(StatefulProcessor):
+    """The last ``keep`` events of a session in a map by cursor; what goes beyond leaves the map and is told."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "cursor long")
+        self.held = handle.getMapState("held", "cursor long", "event_id long, event_type string, ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        before = self.last.get()[0] if self.last.exists() else 0
+        end = before + len(new)
+        new["cursor"] = range(before + 1, end + 1)
+        gone = []
+        for cursor in range(max(1, before - self.keep + 1), min(before, end - self.keep) + 1):
+            gone.append((cursor, *self.held.getValue((cursor,))))
+            self.held.removeKey((cursor,))
+        kept = new[new["cursor"] > end - self.keep]
+        for row in kept.itertuples():
+            self.held.updateValue((row.cursor,), (row.event_id, row.event_type, row.ts))
+        self.last.update((end,))
+        out = pd.concat([pd.DataFrame(gone, columns=["cursor", "event_id", "event_type", "ts"]).assign(change="evicted"), kept[["cursor", "event_id", "event_type", "ts"]].assign(change="appended")]) if gone else kept[["cursor", "event_id", "event_type", "ts"]].assign(change="appended")
+        out.insert(0, "session_id", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_retained(events: DataFrame, keep: int = RETAINED) -> DataFrame:
+    """The changes of the retained journal of a stream: session_id, cursor, event_id, event_type, ts, change (appended or evicted).
+
+    Each session holds its last ``keep`` events as a map in the state store and evicts the oldest as new ones arrive, so that state is
+    bounded by sessions times ``keep``. What has been appended and not evicted is ``retained(with_cursors(events), keep)``; an event that
+    its own micro-batch pushes out is neither. Needs ``STATE_STORE``.
+    """
+    return events.groupBy("session_id").transformWithStateInPandas(_Retention(keep), _CHANGES, "append", "none")
+
+
+class _Quiet(StatefulProcessor):
+    """Emits a source once when nothing has changed in it for ``quiet`` milliseconds."""
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.burst = handle.getValueState("burst", "changes long, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        changes, due = self.burst.get() if self.burst.exists() else (0, None)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = timerValues.getCurrentProcessingTimeInMs() + self.quiet
+        self.burst.update((changes + sum(len(r) for r in rows), due))
+        self.handle.registerTimer(due)
+        yield pd.DataFrame({"source": pd.Series(dtype="str"), "changes": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        changes, _ = self.burst.get()
+        self.burst.clear()
+        yield pd.DataFrame({"source": [key[0]], "changes": [changes]})
+
+    def close(self) -> None:
+        pass
+
+
+def debounced(changes: DataFrame, quiet_ms: int) -> DataFrame:
+    """source, changes: one row for each burst of changes (a stream with ``source``), once the source has been quiet for ``quiet_ms``.
+
+    Every change puts the source's timer off, as a watcher does that waits for an editor or a checkout to finish; the row tells how many
+    changes the burst had. Needs ``STATE_STORE``; timers run at the trigger's pace.
+    """
+    return changes.groupBy("source").transformWithStateInPandas(_Quiet(quiet_ms), "source string, changes long", "append", "processingTime")
+
+
 def refresh_on_change(files: DataFrame, known: DataFrame, sink, checkpoint: str, every: str | None = None, failed=None):
     """Runs the snapshot diff on each micro-batch of a file stream and hands what changed to ``sink``.
 

@@ -1,4 +1,8 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from graphlens.sources import files
 from graphlens.streaming import journal
@@ -18,6 +22,67 @@ def test_stream_cursors_equal_the_batch(spark, tmp_path):
 
 
 
+@pytest.fixture
+def keyed_state(spark):
+    name, provider = journal.STATE_STORE
+    spark.conf.set(name, provider)
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("keep", [1, 7, 10_000])
+def test_stream_retention_equals_the_batch(spark, tmp_path, keyed_state, keep):
+    """The events in three micro-batches by time; of what is appended the evicted rows go."""
+    events = spark.read.parquet(f"{SF}/events.parquet").select((F.col("user_id") % 5).cast("long").alias("session_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events = events.withColumn("third", F.ntile(3).over(W.orderBy("ts", "event_id"))).cache()
+    for k in (1, 2, 3):
+        events.filter(F.col("third") == k).drop("third").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(events.drop("third").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = journal.stream_retained(source, keep).writeStream.format("memory").queryName(f"kept{keep}").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sum(p["numInputRows"] > 0 for p in run.recentProgress) == 3
+    rows = spark.table(f"kept{keep}")
+    key = ["session_id", "cursor", "event_id", "event_type", "ts"]
+    appended, evicted = ([tuple(r) for r in rows.filter(f"change = '{c}'").select(*key).collect()] for c in ("appended", "evicted"))
+    assert len(set(appended)) == len(appended) and set(evicted) <= set(appended) and len(set(evicted)) == len(evicted)
+    batch = journal.retained(journal.with_cursors(events.drop("third")), keep).select(*key).collect()
+    assert set(appended) - set(evicted) == {tuple(r) for r in batch}
+    assert (keep == 10_000) == (not evicted)
+
+
+def test_a_burst_gives_one_refresh(spark, tmp_path, keyed_state):
+    (tmp_path / "in").mkdir()
+
+    def change(name, *sources):
+        spark.createDataFrame([(s,) for s in sources], "source string").coalesce(1).write.parquet(f"{tmp_path}/new-{name}")
+        for f in (tmp_path / f"new-{name}").glob("part-*"):
+            f.rename(tmp_path / "in" / f"{name}.parquet")
+
+    stream = journal.debounced(spark.readStream.schema("source string").parquet(f"{tmp_path}/in"), 6_000)
+    run = stream.writeStream.format("memory").queryName("bursts").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(processingTime="1 second").start()
+    told = lambda: sorted(map(tuple, spark.table("bursts").collect()))
+    try:
+        change(1, "a", "a", "b")
+        until(lambda: run.lastProgress and sum(p["numInputRows"] for p in run.recentProgress) == 3)
+        change(2, "a")
+        until(lambda: sum(p["numInputRows"] for p in run.recentProgress) == 4)
+        assert told() == [] or told() == [("b", 1)]
+        until(lambda: len(told()) == 2)
+        assert told() == [("a", 3), ("b", 1)]
+        change(3, "b", "b")
+        until(lambda: len(told()) == 3)
+        assert told() == [("a", 3), ("b", 1), ("b", 2)]
+    finally:
+        run.stop()
+
+
+def until(true, seconds=90):
+    end = time.time() + seconds
+    while not true():
+        assert time.time() < end
+        time.sleep(0.2)
+
+
 def test_poll(spark):
     rows = spark.createDataFrame([(1, k) for k in range(1, 6)], "session_id long, cursor long")
     kept = journal.retained(rows, 3)
