@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from graphlens.functions.json import canonical
+
 DAY_S, ORPHAN_S = 86_400, 3_600
 
 
@@ -106,9 +109,9 @@ def orphans(folders: DataFrame, manifests: DataFrame, now: Column) -> DataFrame:
     return folders.join(manifests.select("snapshot_id").distinct(), "snapshot_id", "left_anti").filter(age_s(now, F.col("created_at")) > ORPHAN_S)
 
 
-def build_id(parts: list[Column]) -> Column:
-    """24 hexadecimal digits over the components."""
-    return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(24))
+def build_id(components: Column, kind: T.StructType) -> Column:
+    """24 hexadecimal digits over a struct of components (versions, digests, arrays of digests) as canonical JSON, so that nulls and separators count."""
+    return F.left(F.sha2(canonical(components, kind, ascii_only=True), 256), F.lit(24))
 
 
 def cache_valid(manifests: DataFrame, current: DataFrame) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -206,12 +205,22 @@ def _overlay_refs(found: DataFrame, kind: str) -> DataFrame:
 
 
 def with_overlays(tables: tuple[DataFrame, ...], overlays: list[tuple[Callable, Callable]]) -> tuple[tuple[DataFrame, ...], list[str]]:
-    """The graph's tables with those of each overlay (predicate, builder) whose predicate holds for them, and the messages of overlays that couldn't be planned."""
+    """The graph's tables with those of each overlay (predicate, builder) whose predicate holds for them, and the messages of overlays that failed.
+
+    Each overlay's tables are stored by themselves before they are added, so that one that fails, when it is planned or while it runs,
+    leaves nothing behind and the others alone.
+    """
     failed, out = [], tables
     for wanted, build in overlays:
         try:
             if wanted(tables):
-                out = tuple(a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, build(tables)))
-        except AnalysisException as e:
-            failed.append(str(e).splitlines()[0])
+                own = [stored(b, "overlay") for b in build(tables)]
+                out = tuple(a.unionByName(b, allowMissingColumns=True) for a, b in zip(out, own))
+        except Exception as e:  # whatever an overlay raises, the others go on
+            failed.append(str(e).strip().splitlines()[0])
     return out, failed
+
+
+def overlay_failures(spark: SparkSession, failed: list[str]) -> DataFrame:
+    """ord, message: a row for each overlay that failed."""
+    return spark.createDataFrame(list(enumerate(failed)), "ord int, message string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from graphlens.functions.json import canonical
 from graphlens.operators import context, federate
 from graphlens.plans.views import SQL_STAR, star_edges, star_nodes, table
 from graphlens.sources import files
@@ -133,7 +134,7 @@ SELECT *, ({_ENVELOPE} + sum(length(item) + 1) OVER (PARTITION BY task_id ORDER
 def context_pack(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     ref = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref")
-    json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    json = lambda *c: canonical(F.struct(*c), turns.select(F.struct(*c).alias("x")).schema["x"].dataType)
     hits = turns.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("rank"), ref, json(F.col("role").alias("kind"), ref).alias("item"))
     details = turns.select(F.col("conv_id").alias("task_id"), F.col("turn").alias("rank"), ref, json(ref, "text").alias("item"), json(ref).alias("compact"), F.col("text").alias("source"))
     return context.fit_context(hits, details, _BUDGET, _ENVELOPE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphlens.functions.json import canonical_text
 from graphlens.operators import extract
 from graphlens.plans.views import table
 
@@ -116,16 +117,39 @@ def example_lifting(spark, sf_dir):
 
 # Configuration documents made from the columns of each event.
 
-_CONFIG = """'{"k": ' || event_id || ', "amount": ' || (user_id + 0.5) || ', "d.e": "' || user_id || '", "type": "' || event_type || '", "flag": ' || (CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END) || ', "props": ' || props || ', "list": [' || user_id || ', 1]}'"""
+_CONFIG = """'{"k": ' || event_id || ', "amount": ' || (user_id + 0.5) || chr(10) || ', "d.e": "' || user_id || '",' || chr(10) || ' "type" : "' || event_type || '", "flag": ' || (CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END) || ',' || chr(10) || chr(10)
+  || '"props": ' || props || ',' || chr(10) || '  "z": {"y": 1, "type": [], "a": {}}, "list": [' || user_id || ', 1]' || (CASE WHEN event_id % 7 = 0 THEN '' ELSE '}' END)"""
 
 
-@query(f"""WITH c AS (SELECT event_id, user_id, event_type, props, {_CONFIG} AS doc FROM events)
-SELECT event_id, unnest(['k', 'amount', 'd.e', 'type', 'flag', 'props', 'list']) AS name, unnest(['integer', 'number', 'string', 'string', CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'null' END, 'object', 'array']) AS value_type,
-unnest([json_extract(doc, '$.k')::VARCHAR, json_extract(doc, '$.amount')::VARCHAR, json_extract(doc, '$."d.e"')::VARCHAR, json_extract(doc, '$.type')::VARCHAR, json_extract(doc, '$.flag')::VARCHAR,
-  CASE WHEN len(json_keys(props)) = 1 THEN '1 key' ELSE len(json_keys(props)) || ' keys' END, '2 items']) AS summary FROM c""")
-def config_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
+def _config_documents(spark, sf_dir):
+    """A document for each event, on seven lines; every seventh isn't closed."""
     text = lambda c: F.col(c).cast("string")
     flag = F.when(F.col("event_id") % 2 == 0, "true").otherwise("null")
-    doc = F.concat(F.lit('{"k": '), text("event_id"), F.lit(', "amount": '), text("user_id"), F.lit('.5, "d.e": "'), text("user_id"), F.lit('", "type": "'), "event_type", F.lit('", "flag": '), flag, F.lit(', "props": '), "props", F.lit(', "list": ['), text("user_id"), F.lit(", 1]}"))
-    return extract.config_keys(rows.select("event_id", doc.alias("doc")), "event_id", "doc")
+    parts = ['{"k": ', text("event_id"), ', "amount": ', text("user_id"), '.5\n, "d.e": "', text("user_id"), '",\n "type" : "', F.col("event_type"), '", "flag": ', flag, ',\n\n"props": ', F.col("props"), ',\n  "z": {"y": 1, "type": [], "a": {}}, "list": [', text("user_id"), ", 1]"]
+    doc = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.when(F.col("event_id") % 7 == 0, "").otherwise("}"))
+    return table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+
+
+@query(f"""WITH c AS (SELECT event_id, user_id, event_type, props, {_CONFIG} AS doc FROM events WHERE event_id % 7 <> 0)
+SELECT event_id, unnest(['k', 'amount', 'd.e', 'type', 'flag', 'props', 'list', 'z']) AS name, unnest(['integer', 'number', 'string', 'string', CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'null' END, 'object', 'array', 'object']) AS value_type,
+unnest([json_extract(doc, '$.k')::VARCHAR, json_extract(doc, '$.amount')::VARCHAR, json_extract(doc, '$."d.e"')::VARCHAR, json_extract(doc, '$.type')::VARCHAR, json_extract(doc, '$.flag')::VARCHAR,
+  CASE WHEN len(json_keys(props)) = 1 THEN '1 key' ELSE len(json_keys(props)) || ' keys' END, '2 items', '3 keys']) AS summary,
+unnest([1, 1, 1, 3, 1, 5, 1, 6])::INT AS line, unnest(['', '', '', '', '', array_to_string(json_keys(props), ','), '', 'y,type,a']) AS child_keys FROM c""")
+def config_keys(spark, sf_dir):
+    found = extract.config_keys(_config_documents(spark, sf_dir), "event_id", "doc")
+    return found.withColumn("child_keys", F.concat_ws(",", "child_keys"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 'object' END AS root_type, CASE WHEN event_id % 7 <> 0 THEN 6 END::INT AS end_line, CASE WHEN event_id % 7 <> 0 THEN 'JSON object' END AS summary,
+CASE WHEN event_id % 7 = 0 THEN 'JSONDecodeError: not a JSON document' END AS error FROM events""")
+def config_documents(spark, sf_dir):
+    return extract.config_documents(_config_documents(spark, sf_dir), "event_id", "doc")
+
+
+_P = "'{' || (SELECT string_agg('\"' || k || '\":' || json_extract(props, '$.\"' || k || '\"'), ',' ORDER BY k) FROM (SELECT unnest(json_keys(props)) AS k)) || '}'"
+
+
+@query(f"""SELECT event_id, '{{"a":"x|y","list":[' || {_P} || ',null,1.5,{{}},[]],"user":' || user_id || ',"z":' || {_P} || '}}' AS canonical FROM events""")
+def canonical_json(spark, sf_dir):
+    doc = F.concat(F.lit('{"z" : '), "props", F.lit(', "user": '), F.col("user_id").cast("string"), F.lit(', "list":[ '), "props", F.lit(', null, 1.50, {}, []], "a": "x|y"}'))
+    return canonical_text(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc")

@@ -246,9 +246,11 @@ def orphan_gc(spark, sf_dir):
     return maintain.orphans(folders, table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("snapshot_id")), _now()).select("snapshot_id")
 
 
-@query("SELECT event_id AS snapshot_id, left(sha256(event_type || '|' || user_id), 24) AS build, event_type = 'view' AS valid FROM events")
+@query("""SELECT event_id AS snapshot_id, left(sha256('{"overlays":[' || (CASE WHEN user_id % 3 = 0 THEN 'null' ELSE '"|' || user_id || '\\u00e9"' END) || '],"resolver":"' || event_type || '","schema":4}'), 24) AS build, event_type = 'view' AS valid FROM events""")
 def cache_valid(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("snapshot_id"), F.lit(4).alias("schema_version"), F.col("event_type").alias("components"), maintain.build_id([F.col("event_type"), F.col("user_id").cast("string")]).alias("build"))
+    overlay = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("|"), F.col("user_id").cast("string"), F.lit("é")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("snapshot_id"), F.lit(4).alias("schema_version"), F.col("event_type").alias("components"), F.struct(F.lit(4).alias("schema"), F.col("event_type").alias("resolver"), F.array(overlay).alias("overlays")).alias("parts"))
+    rows = rows.withColumn("build", maintain.build_id(F.col("parts"), rows.schema["parts"].dataType))
     valid = maintain.cache_valid(rows, rows.filter("components = 'view'").select("schema_version", "components").distinct())
     return valid.join(rows.select("snapshot_id", "build"), "snapshot_id")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,18 +78,41 @@ def snapshot_digest(files: DataFrame, most: int = LINES) -> DataFrame:
     return out.select("source", F.when(F.col("n") <= most, plain).otherwise(tree).alias("snapshot_id"), "n")
 
 
-def publish(tables: dict[str, DataFrame], path: str, snapshot_id: str) -> None:
-    """Writes the tables of a snapshot, then its manifest row; readers see all of it or nothing."""
+_MANIFEST = "snapshot_id string, attempt string, published_at timestamp, tables array<string>"
+
+
+def publish(tables: dict[str, DataFrame], path: str, snapshot_id: str) -> str:
+    """Writes the tables of a snapshot into folders of a new attempt, then a manifest row that names the attempt, which it returns.
+
+    Nothing that a reader may hold is written over: until the row is there readers see the attempt before, and one that fails between
+    two tables is never seen.
+    """
     spark = next(iter(tables.values())).sparkSession
+    attempt = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/snapshot_id={snapshot_id}")
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+        df.write.parquet(f"{path}/{name}/snapshot_id={snapshot_id}/attempt={attempt}")
+    row = spark.createDataFrame([(snapshot_id, attempt, datetime.now(timezone.utc), sorted(tables))], _MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return attempt
+
+
+def current_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """snapshot_id, attempt: the last attempt that was published of each snapshot."""
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    return rows.groupBy("snapshot_id").agg(F.max(F.struct("published_at", "attempt"))["attempt"].alias("attempt"))
 
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the snapshots that have a manifest row."""
+    """A table of the published snapshots, each in its last attempt; the others are pruned as partitions."""
     rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-    return rows.join(spark.read.parquet(f"{path}/manifest").distinct(), "snapshot_id", "left_semi")
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("snapshot_id", "attempt")})
+    return rows.join(current_attempts(spark, path), ["snapshot_id", "attempt"], "left_semi").drop("attempt")
+
+
+def superseded(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """snapshot_id, attempt of a table's folders that no reader of the manifest finds any more: failed attempts and replaced ones."""
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").select(*[F.col(c).cast("string").alias(c) for c in ("snapshot_id", "attempt")])
+    return rows.distinct().join(current_attempts(spark, path), ["snapshot_id", "attempt"], "left_anti")
 
 
 def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:

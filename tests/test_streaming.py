@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from graphlens.operators import resolve
 from graphlens.sources import files
 from graphlens.streaming import journal
 
@@ -101,11 +102,41 @@ def test_refresh(spark, tmp_path):
     assert seen == [("b", "changed")]
 
 
+def test_publishing_again_never_touches_what_readers_see(spark, tmp_path):
+    path, rows = f"{tmp_path}/graph", lambda n: spark.createDataFrame([(n,)], "n int")
+    breaks = rows(1).select(F.udf(lambda n: 1 // 0, "int")("n").alias("n"))
+    read = lambda name: [tuple(r) for r in files.published(spark, path, name).orderBy("snapshot_id").collect()]
+    files.publish({"nodes": rows(1), "edges": rows(10)}, path, "7")
+    files.publish({"nodes": rows(2), "edges": rows(20)}, path, "8")
+    held = files.published(spark, path, "nodes")
+    held.explain()  # planned now, read after the next attempts
+    with pytest.raises(Exception):
+        files.publish({"nodes": rows(3), "edges": breaks}, path, "7")
+    assert read("nodes") == [("7", 1), ("8", 2)] and read("edges") == [("7", 10), ("8", 20)]
+    files.publish({"nodes": rows(4), "edges": rows(40)}, path, "7")
+    assert sorted(map(tuple, held.collect())) == [("7", 1), ("8", 2)]
+    assert read("nodes") == [("7", 4), ("8", 2)] and read("edges") == [("7", 40), ("8", 20)]
+    assert files.superseded(spark, path, "nodes").count() == 2 and files.superseded(spark, path, "edges").count() == 1
+
+
+def test_a_failing_overlay_leaves_the_others(spark):
+    nodes = spark.createDataFrame([("a", 1)], "id string, n int")
+    breaks = F.udf(lambda n: 1 // 0, "int")
+    more = lambda name: lambda tables: (tables[0].limit(1).select(F.lit(name).alias("id"), "n"),)
+    always = lambda tables: True
+    overlays = [(always, more("x")), (always, lambda t: (t[0].select("id", breaks("n").alias("n")),)), (always, lambda t: (t[0].select("none"),)), (lambda t: 1 // 0, more("z")), (lambda t: False, more("w")), (always, more("y"))]
+    (out,), failed = resolve.with_overlays((nodes,), overlays)
+    assert sorted(r.id for r in out.collect()) == ["a", "x", "y"]
+    told = resolve.overlay_failures(spark, failed).collect()
+    assert [r.ord for r in told] == [0, 1, 2] and "division" in told[2].message
+
+
 def test_publish_and_scan(spark, tmp_path):
     nodes = spark.createDataFrame([("a", 1)], "id string, n int")
     files.publish({"nodes": nodes}, f"{tmp_path}/graph", "s1")
-    nodes.write.parquet(f"{tmp_path}/graph/nodes/snapshot_id=half")
+    nodes.write.parquet(f"{tmp_path}/graph/nodes/snapshot_id=half/attempt=x")
     assert [r.snapshot_id for r in files.published(spark, f"{tmp_path}/graph", "nodes").collect()] == ["s1"]
+    assert [tuple(r) for r in files.superseded(spark, f"{tmp_path}/graph", "nodes").collect()] == [("half", "x")]
     (tmp_path / "src").mkdir()
     for name in ("a.py", "b.bin", "c_gen.py"):
         (tmp_path / "src" / name).write_text("x = 1\n")
