@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ASCII_LOWER, sums, word_ranges
-from .common import U64, blocks, range_hashes, staged, text_buffers, texts
+from .common import U64, blocks, range_hashes, text_buffers, texts
 from .spotsigs import _ANTECEDENTS
 
 #: Rows that the scorer learns from at most, its number of hashed features, and the score from which a document is kept.
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     some = rows.filter(F.length("text") > 0).filter(order < int((1 << 30) * min(1.0, 1.5 * train_rows / max(1, total)))).select("text", order.alias("order"))
     taught = some.mapInArrow(sampled, "order long, features array<int>, times array<int>, target double").orderBy("order").limit(train_rows)
-    lesson = staged(taught.select("features", "times", "target"), "lesson").toArrow()
+    lesson = taught.select("features", "times", "target").toArrow()  # train_rows rows of FEATURES numbers at most
     lists, times = lesson["features"].combine_chunks(), lesson["times"].combine_chunks()
     weights = fit(lists.offsets.to_numpy(), lists.values.to_numpy(), times.values.to_numpy(), lesson["target"].to_numpy()) if len(lesson) else np.zeros(FEATURES + 1)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import id_batches
-from .common import partitions, shared_dir, staged, texts, with_nulls_first
+from .common import Scratch, partitions, shared_dir, texts, with_nulls_first
 from .pretoken import library_encoder
 
 _MAGIC, _NULL = b"FVB1", np.iinfo(np.int64).min
@@ -94,14 +94,19 @@ def _counted(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.Recor
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: str = "<u4") -> None:
     """Encodes every text with the tokenizers library's file and writes the store in ascending ``doc_id`` order.
 
-    ``width`` is the numpy type that holds an id between the two passes.
+    ``width`` is the numpy type that holds an id between the two passes. The table of ids is removed at the end.
     """
+    with Scratch(docs.sparkSession, "ids") as scratch:
+        _write_store(docs, path, tokenizer, end_id, width, scratch)
+
+
+def _write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: str, scratch: Scratch) -> None:
     spark = docs.sparkSession
 
     def tokenise(batches):
         yield from id_batches(batches, library_encoder(tokenizer), end_id, width)
 
-    tokens = staged(texts(docs).mapInArrow(tokenise, "doc_id long, n_tokens long, ids binary"), "tokens").select("doc_id", "ids")
+    tokens = scratch(texts(docs).mapInArrow(tokenise, "doc_id long, n_tokens long, ids binary"), "tokens").select("doc_id", "ids")
     counts = tokens.select("ids").mapInArrow(lambda b: _counted(b, width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(((r.n, r.id) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # at most a vocabulary
     spark.createDataFrame([(k, i, n) for k, (n, i) in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/dictionary")
