@@ -3,7 +3,11 @@
 Heuristic labellers vote good, bad or not at all on each document. Their votes are counted by pattern
 over all documents; expectation-maximisation estimates from the counts how often each labeller is
 right and gives each pattern the probability of good. A linear scorer over hashed word and shape
-features learns these from a bounded sample and scores all documents.
+features learns these from a bounded sample and scores all documents; a document's score is the
+mean of the scorer's and of the probability by its own votes, so that either can save or fail it.
+
+Most labellers see one kind of junk: they vote bad or not at all, as the lack of one kind says little.
+Only common words, variety and the last one, which sees no junk of any kind, vote good.
 
 Defined results: null and empty texts score 0 and aren't kept; repeated rows give repeated results;
 an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignored.
@@ -22,7 +26,7 @@ from .common import U64, blocks, range_hashes, text_buffers, texts
 from .spotsigs import _ANTECEDENTS
 
 #: Rows that the scorer learns from at most, its number of hashed features, and the score from which a document is kept.
-TRAIN_ROWS, FEATURES, KEEP = 6_000, 1 << 14, 0.35
+TRAIN_ROWS, FEATURES, KEEP = 6_000, 1 << 14, 0.42
 BLOCK = 1_000_000
 #: Words in a row among which the share of distinct ones is taken; a text's share is the mean of its windows by their words.
 WINDOW = 200
@@ -47,7 +51,9 @@ LABELLERS = [
     ("repeats", 0.3, 0.1),
     ("common", 0.04, 0.1),
     ("distinct", 0.25, 0.4),
+    ("clean", None, None),  # good where all measures above are
 ]
+TWO_SIDED = ["common", "distinct"]
 
 
 def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -86,11 +92,13 @@ def measures(part: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 def votes(found: dict[str, np.ndarray]) -> np.ndarray:
     """A number of base 3 for each text; a digit is 0 (no vote), 1 (bad) or 2 (good)."""
-    pattern = 0
-    for name, bad, good in LABELLERS:
-        x = found[name] if bad > good else -found[name]
-        pattern = 3 * pattern + np.where(x >= (bad if bad > good else -bad), 1, np.where(x <= (good if bad > good else -good), 2, 0))
-    return pattern
+    pattern, clean = 0, True
+    for name, bad, good in LABELLERS[:-1]:
+        sign = 1 if bad > good else -1
+        wrong, fine = sign * found[name] >= sign * bad, sign * found[name] <= sign * good
+        clean = clean & fine
+        pattern = 3 * pattern + np.where(wrong, 1, np.where(fine & (name in TWO_SIDED), 2, 0))
+    return 3 * pattern + np.where(clean, 2, 0)
 
 
 def digits(patterns: np.ndarray) -> np.ndarray:
@@ -205,8 +213,8 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
                 if len(part):
                     features, bounds = hashed(part, at)
                     z = sums(weights[features], bounds) / np.maximum(np.diff(bounds), 1) + weights[-1]
-                    out, guess = 1 / (1 + np.exp(-np.clip(z, -30, 30))), weak[votes(measures(part, at))]
-                    out, guess = np.where(np.diff(at) > 0, out, 0.0), np.where(np.diff(at) > 0, guess, 0.0)
+                    guess = np.where(np.diff(at) > 0, weak[votes(measures(part, at))], 0.0)
+                    out = np.where(np.diff(at) > 0, (1 / (1 + np.exp(-np.clip(z, -30, 30))) + guess) / 2, 0.0)
                 else:
                     out = guess = np.zeros(last - first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(guess), pa.array(out), pa.array(out >= KEEP)], ["doc_id", "weak", "score", "kept"])
