@@ -129,22 +129,64 @@ def context_warnings(states: DataFrame) -> DataFrame:
     return states.select("group", told.alias("warnings"))
 
 
-def routing_guide(tasks: DataFrame, cues: DataFrame, inventory: DataFrame, fragments: DataFrame, hints: DataFrame) -> DataFrame:
-    """task_id, ord, role, prefer, available, search_query, warning: the checklist of each task, a row for each of its intents.
+def routing_guide(tasks: DataFrame, cues: DataFrame, inventory: DataFrame, fragments: DataFrame, extra: DataFrame, hints: DataFrame, texts: DataFrame) -> DataFrame:
+    """task_id, ord, role, when, prefer, available, search_query, avoid, warning: the checklist of each task.
 
-    ``cues`` (ord, cue, role), ``fragments`` (fragment, role) and ``hints`` (role, package) are fixed small tables; ``inventory`` (name, status)
-    are the sources. A role prefers the sources of its name fragments that are ok, else the hinted ones.
+    A task has a row for each of its intents; one without any has a row for each role that a source plays, in the order of the sources'
+    names. ``cues`` (ord, cue, role), ``fragments`` and ``extra`` (ord, fragment, role), ``hints`` (ord, role, package) and ``texts`` (role,
+    when, avoid) are fixed small tables; ``inventory`` (name, status) are the sources. A role prefers its sources that are ok, by name,
+    else the hinted ones.
     """
-    roles = federate.roles(inventory.select("name"), fragments).filter("role <> 'other'")
-    ready = inventory.filter("status = 'ok'").join(roles, "name").groupBy("role").agg(F.array_sort(F.collect_set("name")).alias("ready"))  # sources of an inventory
-    hinted = hints.groupBy("role").agg(F.array_sort(F.collect_set("package")).alias("hinted"))
-    asked = federate.intents(tasks, cues).filter("intents <> ''").select("task_id", F.posexplode(F.split("intents", ",")).alias("ord", "role"))
-    rows = asked.join(F.broadcast(ready), "role", "left").join(F.broadcast(hinted), "role", "left")  # a row for each role
-    none = F.array().cast("array<string>")
-    prefer = F.coalesce("ready", "hinted", none)
+    played = inventory.filter("status = 'ok'").join(federate.all_roles(inventory.select("name"), fragments, extra), "name")
+    ready = played.groupBy("role").agg(F.array_sort(F.collect_set("name")).alias("ready"), F.min(F.struct("name", "ord")).alias("first"))  # sources of an inventory
+    order = F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x["role"])  # roles of the fixed tables
+    every = F.broadcast(ready.agg(F.array_join(order, ",").alias("every")))  # one row
+    hinted = hints.groupBy("role").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]).alias("hinted"))
+    told = federate.intents(tasks, cues).crossJoin(every).withColumn("intents", F.when(F.col("intents") != "", F.col("intents")).otherwise(F.col("every")))
+    asked = told.filter("intents <> ''").select("task_id", F.posexplode(F.split("intents", ",")).alias("ord", "role"))
+    rows = asked.join(ready.select("role", "ready"), "role", "left").join(F.broadcast(hinted), "role", "left").join(F.broadcast(texts), "role", "left")
+    prefer = F.coalesce("ready", "hinted", F.array().cast("array<string>"))
     query = F.concat_ws(" ", F.slice(prefer, 1, 2), "role", F.lit("public API"))
-    warning = F.when(F.col("ready").isNull(), F.concat(F.lit("intent '"), "role", F.lit("' has no ready source")))
-    return rows.select("task_id", "ord", "role", F.array_join(prefer, ",").alias("prefer"), F.col("ready").isNotNull().alias("available"), query.alias("search_query"), warning.alias("warning"))
+    warning = F.when(F.col("ready").isNull(), F.concat(F.lit("intent '"), "role", F.lit("' has no installed/ok source")))
+    return rows.select(
+        "task_id", "ord", "role",
+        F.coalesce("when", F.concat(F.lit("tasks related to role '"), "role", F.lit("'"))).alias("when"),
+        F.array_join(prefer, ",").alias("prefer"),
+        F.col("ready").isNotNull().alias("available"),
+        query.alias("search_query"),
+        F.coalesce("avoid", F.lit("inventing interfaces that no source returned")).alias("avoid"),
+        warning.alias("warning"),
+    )
+
+
+def suggested_queries(tasks: DataFrame, guide: DataFrame) -> DataFrame:
+    """task_id, ord, query: what each task should search for: its text, then for each row of its checklist that prefers a package two queries; each once."""
+    text = F.trim(F.col("text"))
+    own = tasks.select("task_id", F.lit(-1).alias("ord"), F.lit(0).alias("part"), text.alias("query"))
+    prefers = guide.filter("prefer <> ''")
+    roles = prefers.select("task_id", "ord", F.lit(0).alias("part"), F.col("search_query").alias("query"))
+    able = prefers.select("task_id", "ord", F.lit(1).alias("part"), F.concat(F.substring_index("prefer", ",", 1), F.lit(" public API capabilities")).alias("query"))
+    first = own.union(roles).union(able).filter("query <> ''").groupBy("task_id", "query").agg(F.min(F.struct("ord", "part")).alias("m"))
+    return first.select("task_id", (F.row_number().over(W.partitionBy("task_id").orderBy("m")) - 1).alias("ord"), "query")
+
+
+def probes(inventory: DataFrame, fragments: DataFrame) -> DataFrame:
+    """name, query: what every task should search for besides: each source that is ok and has a role. They are the same for all tasks, so they stand once."""
+    able = inventory.filter("status = 'ok'").select("name").join(federate.roles(inventory.select("name"), fragments).filter("role <> 'other'"), "name")
+    return able.select("name", F.concat("name", F.lit(" public API")).alias("query")).distinct()
+
+
+def preferred_packages(guide: DataFrame) -> DataFrame:
+    """task_id, packages: the sources that any row of a task's checklist prefers and has, by name."""
+    rows = guide.filter("available").select("task_id", F.explode(F.split("prefer", ",")).alias("package"))
+    return rows.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set("package")), ",").alias("packages"))
+
+
+def top_hits(hits: DataFrame, most: int = 12) -> DataFrame:
+    """The first hits of each task (task_id, rank, ref, title, qualname, source, executable, signature, summary) as a guide lists them."""
+    first = hits.withColumn("_k", F.row_number().over(W.partitionBy("task_id").orderBy("rank", "ref"))).filter(F.col("_k") <= most)
+    title = F.coalesce(F.nullif("title", F.lit("")), "qualname")
+    return first.select("task_id", (F.col("_k") - 1).alias("ord"), "ref", title.alias("title"), "source", F.coalesce("executable", F.lit(False)).alias("executable"), "signature", "summary")
 
 
 def next_actions(hits: DataFrame) -> DataFrame:
@@ -154,8 +196,22 @@ def next_actions(hits: DataFrame) -> DataFrame:
 
 
 def allowed_sources(requests: DataFrame, listed: DataFrame, families: list[str]) -> DataFrame:
-    """Requested sources whose root is a listed one's or begins one; an equality join on the beginnings of the listed roots."""
+    """Requested sources whose root is a listed one's, begins one, or is a listed one before its first dot; equality joins on the beginnings of the listed roots."""
     root = federate.normal_source(F.col("source"), families)
     beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.length("root")), lambda n: F.left(F.col("root"), n)))
-    known = listed.select(root.alias("root")).filter("root <> ''").select(beginnings.alias("_n")).distinct()
-    return requests.withColumn("_n", root).join(known, "_n", "left_semi").drop("_n")
+    roots = listed.select(root.alias("root")).filter("root <> ''").distinct()
+    known = roots.select(beginnings.alias("_n")).distinct()
+    rows = requests.withColumn("_n", root).withColumn("_base", F.substring_index("_n", ".", 1))
+    return rows.join(known.withColumn("_known", F.lit(True)), "_n", "left").join(roots.select(F.col("root").alias("_base"), F.lit(True).alias("_listed")), "_base", "left").filter("_known or _listed").drop("_n", "_base", "_known", "_listed")
+
+
+def pinned_sources(requests: DataFrame, listed: DataFrame, families: list[str]) -> DataFrame:
+    """query_id, sources: what each request (query_id, sources) may read of a list that isn't empty: its allowed sources as roots, in their order, or all listed roots where it names none."""
+    root = federate.normal_source(F.col("source"), families)
+    whole = F.broadcast(listed.agg(F.array_sort(F.array_compact(F.collect_set(F.nullif(root, F.lit(""))))).alias("_all")))  # one row: a list that a user writes
+    named = requests.filter(F.size("sources") > 0).select("query_id", F.posexplode("sources").alias("ord", "source"))
+    allowed = allowed_sources(named, listed, families).withColumn("root", root).filter("root <> ''")
+    own = allowed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "root"))), lambda x: x["root"]).alias("own"))
+    rows = requests.join(own, "query_id", "left").crossJoin(whole)
+    asks = F.coalesce(F.size("sources"), F.lit(0)) > 0
+    return rows.select("query_id", F.when(asks, F.coalesce("own", F.array().cast("array<string>"))).otherwise(F.col("_all")).alias("sources"))

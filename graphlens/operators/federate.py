@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 RRF_K = 60
+REGISTRY = "registry"
 #: Provenances of relations that can be relied on.
 RELIABLE = ["resolved", "scip"]
 
@@ -16,7 +17,7 @@ def selected(hits: DataFrame, requests: DataFrame, states: DataFrame) -> DataFra
     registry and of sources that are ok (``states``: channel, status). An empty list of sources leaves the registry. All filters come before any limit.
     """
     rows = hits.join(requests, "query_id").join(states.select("channel", "status"), "channel", "left")
-    registry = F.col("channel") == "registry"
+    registry = F.col("channel") == REGISTRY
     listed = lambda c, x: F.col(c).isNull() | F.array_contains(c, F.col(x))
     source = registry | (listed("sources", "channel") & (F.coalesce("status", F.lit("")) == "ok"))
     return rows.filter(source & (~registry | listed("namespaces", "namespace")) & listed("kinds", "kind")).select("query_id", "channel", "ref", "score")
@@ -38,9 +39,13 @@ def channels(hits: DataFrame, limit: int, oversample: int = 3) -> DataFrame:
 
 
 def fuse(ranked: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal-rank fusion of (query_id, channel, ref, rank): a ref counts once in a channel; ties by best rank, channel, ref."""
+    """Reciprocal-rank fusion of (query_id, channel, ref, rank): a ref counts once in a channel.
+
+    Ties go by best rank, then by the first channel, the registry before the sources and these by name, then by ref.
+    """
+    place = F.struct((F.col("channel") != REGISTRY).alias("source"), "channel")
     first = ranked.groupBy("query_id", "channel", "ref").agg(F.min("rank").alias("rank"))
-    sums = first.groupBy("query_id", "ref").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"), F.min("rank").alias("best"), F.min("channel").alias("channel"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("matched"))
+    sums = first.groupBy("query_id", "ref").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"), F.min("rank").alias("best"), F.min(place).alias("channel"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("matched"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "best", "channel", "ref")
     return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "ref", "score", "matched", "place")
 
@@ -105,9 +110,11 @@ def pack_pages(pages: DataFrame, budget: int, least_cut: int = 80) -> DataFrame:
 
 
 def post_filtered(hits: DataFrame, path: str, executable: bool | None, limit: int) -> DataFrame:
-    """Filters that come after the limit (1 to 100), so that fewer may be left."""
+    """Filters that come after the limit (1 to 100), so that fewer may be left: ``path`` in the ref or the file, or, with dots for slashes, in the title."""
     first = hits.withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "ref"))).filter(F.col("_k") <= min(max(limit, 1), 100)).drop("_k")
-    held = F.contains(F.col("ref"), F.lit(path)) | F.contains(F.coalesce("file", F.lit("")), F.lit(path))
+    bare = path.strip().strip("/")
+    inside = lambda c, x: F.contains(F.coalesce(c, F.lit("")), F.lit(x))
+    held = inside("ref", bare) | inside("title", bare.replace("/", ".")) | inside("file", bare)
     return first.filter(held) if executable is None else first.filter(held & (F.col("executable") == executable))
 
 
@@ -118,17 +125,40 @@ def intents(tasks: DataFrame, cues: DataFrame) -> DataFrame:
     return tasks.select("task_id").join(told, "task_id", "left").select("task_id", F.coalesce("intents", F.lit("")).alias("intents"))
 
 
+def _plain_name(name: Column) -> Column:
+    return F.replace(F.lower(name), F.lit("_"), F.lit("-"))
+
+
 def roles(names: DataFrame, fragments: DataFrame) -> DataFrame:
-    """name, role: that of the longest fragment in the name; ``fragments`` is a fixed small table."""
-    hits = names.join(F.broadcast(fragments), F.contains(F.lower("name"), F.col("fragment")))
-    best = hits.groupBy("name").agg(F.max(F.struct(F.length("fragment").alias("n"), "role")).alias("m"))
+    """name, role: that of the longest fragment in the name, the first of equally long ones; ``fragments`` (ord, fragment, role) is a fixed small table."""
+    hits = names.join(F.broadcast(fragments), F.contains(_plain_name(F.col("name")), F.col("fragment")))
+    best = hits.groupBy("name").agg(F.min(F.struct((-F.length("fragment")).alias("n"), "ord", "role")).alias("m"))
     return names.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("m.role", F.lit("other")).alias("role"))
 
 
-def routed(tasks: DataFrame, keywords: DataFrame, default: str) -> DataFrame:
-    """task_id, plane: the first plane of the table with a keyword in the text, else the default."""
-    hits = tasks.join(F.broadcast(keywords), F.contains(F.lower("text"), F.col("keyword"))).groupBy("task_id").agg(F.min_by("plane", F.struct("ord", "keyword")).alias("plane"))
-    return tasks.select("task_id").join(hits, "task_id", "left").select("task_id", F.coalesce("plane", F.lit(default)).alias("plane"))
+def all_roles(names: DataFrame, fragments: DataFrame, extra: DataFrame) -> DataFrame:
+    """name, ord, role: a name's own role first (if it has one), then the further ones of the fragments that it holds (``extra``: ord, fragment, role), each once."""
+    own = roles(names, fragments).filter("role <> 'other'").select("name", F.lit(-1).alias("ord"), "role")
+    more = names.select("name").distinct().join(F.broadcast(extra), F.contains(_plain_name(F.col("name")), F.col("fragment"))).select("name", "ord", "role")
+    first = own.union(more).groupBy("name", "role").agg(F.min("ord").alias("ord"))
+    return first.select("name", (F.row_number().over(W.partitionBy("name").orderBy("ord")) - 1).alias("ord"), "role")
+
+
+def routed(tasks: DataFrame, planes: DataFrame, default: tuple[str, str], companions: list[tuple[str, str, str]]) -> DataFrame:
+    """task_id, ord, plane, reason: every plane with a keyword in the text, in the order of the table, each once with its first reason.
+
+    ``planes`` (ord, keyword, plane, reason) is a fixed small table. A task without any goes to the ``default`` (plane, reason).
+    ``companions`` (plane, companion, reason): a task that has the plane gets the companion too, last.
+    """
+    text = F.lower(F.trim(F.col("text")))
+    hits = tasks.join(F.broadcast(planes), F.contains(text, F.col("keyword"))).groupBy("task_id", "plane").agg(F.min(F.struct("ord", "reason")).alias("m"))
+    matched = F.transform(F.array_sort(F.collect_list(F.struct("m.ord", "plane", "m.reason"))), lambda x: F.struct(x["plane"].alias("plane"), x["reason"].alias("reason")))  # planes of the table
+    pair = lambda plane, reason: F.array(F.struct(F.lit(plane).alias("plane"), F.lit(reason).alias("reason")))
+    rows = tasks.select("task_id").join(hits.groupBy("task_id").agg(matched.alias("planes")), "task_id", "left").withColumn("planes", F.coalesce("planes", pair(*default)))
+    for plane, companion, reason in companions:
+        has = lambda x: F.exists("planes", lambda p: p["plane"] == x)
+        rows = rows.withColumn("planes", F.when(has(plane) & ~has(companion), F.concat("planes", pair(companion, reason))).otherwise(F.col("planes")))
+    return rows.select("task_id", F.posexplode("planes").alias("ord", "p")).select("task_id", "ord", "p.plane", "p.reason")
 
 
 def _substrings(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:

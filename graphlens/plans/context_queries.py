@@ -149,23 +149,69 @@ def context_warnings(spark, sf_dir):
     return context.context_warnings(states).select("group", F.array_join("warnings", "; ").alias("warnings"))
 
 
-# Cues of intents, fragments of roles and packages that stand for a role.
+# Cues of intents, fragments of roles, further roles, packages that stand for a role, and what is said of a role.
 CUES = [(0, "how", "explain"), (1, "tion", "metal"), (2, "test", "verify"), (3, "the", "light"), (4, "run", "heavy")]
-FRAGMENTS = [("large", "heavy"), ("small", "light"), ("steel", "metal")]
-HINTS = [("explain", "guidebook"), ("verify", "checker"), ("heavy", "lifter")]
+FRAGMENTS = [(0, "large", "heavy"), (1, "small", "light"), (2, "steel", "metal")]
+EXTRA = [(0, "large", "light"), (1, "widget", "explain")]
+HINTS = [(0, "explain", "guidebook"), (1, "verify", "checker"), (2, "heavy", "lifter"), (3, "verify", "assayer")]
+TEXTS = [("light", "small things", "heavy tools"), ("verify", "before a release", "guessing")]
 
 
-@query(f"""WITH t AS (SELECT conv_id || '/' || turn AS task_id, text FROM conversations), c(ord, cue, role) AS (VALUES {', '.join(map(str, CUES))}), f(fragment, role) AS (VALUES {', '.join(map(str, FRAGMENTS))}), h(role, package) AS (VALUES {', '.join(map(str, HINTS))}),
+def _values(rows):
+    return ", ".join(map(str, rows))
+
+
+_GUIDE = f"""t AS (SELECT conv_id || '/' || turn AS task_id, text FROM conversations), c(ord, cue, role) AS (VALUES {_values(CUES)}), f(ord, fragment, role) AS (VALUES {_values(FRAGMENTS)}),
+xr(ord, fragment, role) AS (VALUES {_values(EXTRA)}), h(ord, role, package) AS (VALUES {_values(HINTS)}), tx(role, "when", avoid) AS (VALUES {_values(TEXTS)}),
+n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), m AS (SELECT name, arg_min(f.role, (-length(fragment), ord)) AS role FROM n JOIN f ON contains(lower(name), fragment) GROUP BY 1),
+al AS (SELECT name, role, min(o) AS o FROM (SELECT name, role, -1 AS o FROM m UNION ALL SELECT name, role, ord FROM n JOIN xr ON contains(lower(name), fragment)) GROUP BY ALL),
+r AS (SELECT role, list_sort(list(DISTINCT name)) AS p, min((name, o)) AS f FROM al WHERE name NOT LIKE '%widget' GROUP BY 1), hh AS (SELECT role, list(package ORDER BY ord) AS p FROM h GROUP BY 1),
 i AS (SELECT task_id, role, row_number() OVER (PARTITION BY task_id ORDER BY min(ord)) - 1 AS ord FROM t JOIN c ON contains(lower(text), cue) GROUP BY task_id, role),
-n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), m AS (SELECT name, arg_max(role, (length(fragment), role)) AS role FROM n JOIN f ON contains(lower(name), fragment) GROUP BY 1),
-r AS (SELECT role, list_sort(list(DISTINCT name)) AS p FROM m WHERE name NOT LIKE '%widget' GROUP BY 1), hh AS (SELECT role, list_sort(list(DISTINCT package)) AS p FROM h GROUP BY 1),
-x AS (SELECT i.*, coalesce(r.p, hh.p, []) AS p, r.p IS NOT NULL AS available FROM i LEFT JOIN r USING (role) LEFT JOIN hh USING (role))
-SELECT task_id, ord::INT AS ord, role, array_to_string(p, ',') AS prefer, available, concat_ws(' ', CASE WHEN len(p) > 0 THEN array_to_string(p[1:2], ' ') END, role, 'public API') AS search_query, CASE WHEN NOT available THEN 'intent ' || chr(39) || role || chr(39) || ' has no ready source' END AS warning FROM x""")
-def routing_guide(spark, sf_dir):
+j AS (SELECT * FROM i UNION ALL SELECT task_id, role, k FROM t, (SELECT role, row_number() OVER (ORDER BY f) - 1 AS k FROM r) WHERE task_id NOT IN (SELECT task_id FROM i)),
+x AS (SELECT j.*, coalesce(r.p, hh.p, []) AS p, r.p IS NOT NULL AS available, tx."when", tx.avoid FROM j LEFT JOIN r USING (role) LEFT JOIN hh USING (role) LEFT JOIN tx USING (role)),
+gd AS (SELECT task_id, ord::INT AS ord, role, coalesce("when", 'tasks related to role ' || chr(39) || role || chr(39)) AS "when", array_to_string(p, ',') AS prefer, available,
+  concat_ws(' ', CASE WHEN len(p) > 0 THEN array_to_string(p[1:2], ' ') END, role, 'public API') AS search_query, coalesce(avoid, 'inventing interfaces that no source returned') AS avoid,
+  CASE WHEN NOT available THEN 'intent ' || chr(39) || role || chr(39) || ' has no installed/ok source' END AS warning FROM x)"""
+
+
+def _guide(spark, sf_dir):
     tasks = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task_id"), "text")
-    inventory = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("status", F.when(F.col("name").endswith("widget"), "failed").otherwise("ok"))
-    make = spark.createDataFrame
-    return context.routing_guide(tasks, make(CUES, "ord int, cue string, role string"), inventory, make(FRAGMENTS, "fragment string, role string"), make(HINTS, "role string, package string"))
+    make, roles = spark.createDataFrame, "ord int, fragment string, role string"
+    inventory, fragments = _inventory(spark, sf_dir), make(FRAGMENTS, roles)
+    return tasks, context.routing_guide(tasks, make(CUES, "ord int, cue string, role string"), inventory, fragments, make(EXTRA, roles), make(HINTS, "ord int, role string, package string"), make(TEXTS, "role string, when string, avoid string"))
+
+
+def _inventory(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("status", F.when(F.col("name").endswith("widget"), "failed").otherwise("ok"))
+
+
+@query(f"WITH {_GUIDE} SELECT * FROM gd")
+def routing_guide(spark, sf_dir):
+    return _guide(spark, sf_dir)[1]
+
+
+@query(f"""WITH {_GUIDE}, u AS (SELECT task_id, -1 AS o, 0 AS k, trim(text) AS query FROM t UNION ALL SELECT task_id, ord, 0, search_query FROM gd WHERE prefer <> '' UNION ALL SELECT task_id, ord, 1, string_split(prefer, ',')[1] || ' public API capabilities' FROM gd WHERE prefer <> ''),
+g AS (SELECT task_id, query, min((o, k)) AS m FROM u WHERE query <> '' GROUP BY ALL) SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY m) - 1 AS ord, query FROM g""")
+def suggested_queries(spark, sf_dir):
+    return context.suggested_queries(*_guide(spark, sf_dir))
+
+
+@query(f"WITH {_GUIDE} SELECT task_id, string_agg(DISTINCT package, ',' ORDER BY package) AS packages FROM (SELECT task_id, unnest(string_split(prefer, ',')) AS package FROM gd WHERE available) GROUP BY 1")
+def preferred_packages(spark, sf_dir):
+    return context.preferred_packages(_guide(spark, sf_dir)[1])
+
+
+@query(f"WITH {_GUIDE} SELECT name, name || ' public API' AS query FROM m WHERE name NOT LIKE '%widget'")
+def guide_probes(spark, sf_dir):
+    return context.probes(_inventory(spark, sf_dir), spark.createDataFrame(FRAGMENTS, "ord int, fragment string, role string"))
+
+
+@query("""SELECT lang AS task_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, 'd' || doc_id) - 1 AS ord, 'd' || doc_id AS ref, CASE WHEN doc_id % 2 = 0 THEN 'T' || doc_id ELSE source || doc_id END AS title, source, coalesce(CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 = 1 END, false) AS executable,
+NULL AS signature, left(text, 9) AS summary FROM documents QUALIFY ord < 12""")
+def guide_hits(spark, sf_dir):
+    k, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    hits = table(spark, sf_dir, "documents").select(F.col("lang").alias("task_id"), F.col("n_chars").alias("rank"), F.concat(F.lit("d"), name).alias("ref"), F.when(k % 2 == 0, F.concat(F.lit("T"), name)).otherwise("").alias("title"), F.concat("source", name).alias("qualname"), "source", F.when(k % 3 > 0, k % 3 == 1).alias("executable"), F.lit(None).cast("string").alias("signature"), F.left("text", F.lit(9)).alias("summary"))
+    return context.top_hits(hits)
 
 
 @query("SELECT lang AS query_id, rank AS ord, CASE WHEN doc_id % 2 = 0 THEN 'execute' ELSE 'describe' END AS action, 'd' || doc_id AS ref FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents) WHERE rank < 5")
@@ -183,3 +229,13 @@ def scope_allow(spark, sf_dir):
     name = F.when(k == 0, F.concat(F.lit("@ns/"), "source")).when(k == 1, F.concat(F.lit("Family_"), "source")).when(k == 2, F.concat("source", F.lit(".core"))).otherwise(F.col("source"))
     listed = docs.filter("doc_id % 5 = 0").select(F.concat("source", F.lit("x")).alias("source")).distinct().union(spark.range(1).select(F.lit("SRC1")))
     return context.allowed_sources(docs.select("doc_id", name.alias("source")), listed, ["family"])
+
+
+@query("""WITH l AS (SELECT list_sort(list(DISTINCT a)) AS a FROM (SELECT source AS a FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT 'src1'))
+SELECT o_orderkey AS query_id, array_to_string(CASE o_orderkey % 3 WHEN 0 THEN a ELSE list_filter(['src' || o_orderkey % 30, 'zzz', 'src1'], lambda x: len(list_filter(a, lambda y: starts_with(y, x))) > 0) END, ',') AS sources FROM orders, l""")
+def pinned_sources(spark, sf_dir):
+    key = F.col("o_orderkey")
+    named = F.when(key % 3 > 0, F.array(F.concat(F.lit("Family-Src"), (key % 30).cast("string")), F.lit("zzz"), F.lit("src1.core")))
+    requests = table(spark, sf_dir, "orders").select(key.alias("query_id"), named.alias("sources"))
+    listed = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("source").distinct().union(spark.range(1).select(F.lit("SRC1")))
+    return context.pinned_sources(requests, listed, ["family"]).select("query_id", F.array_join("sources", ",").alias("sources"))

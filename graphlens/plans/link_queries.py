@@ -173,11 +173,11 @@ def overlay_union(spark, sf_dir):
 
 # Federation: channels are the documents' sources; a query's score is a document's length by language.
 
-_HITS = "h AS (SELECT lang AS query_id, source AS channel, doc_id AS ref, n_chars % 1000 AS score FROM documents UNION ALL SELECT lang, 'registry', doc_id, n_chars FROM documents)"
+_HITS = "h AS (SELECT lang AS query_id, CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE source END AS channel, doc_id AS ref, n_chars % 1000 AS score FROM documents UNION ALL SELECT lang, 'registry', doc_id, n_chars FROM documents)"
 
 
 def _hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("channel"), F.col("doc_id").alias("ref"), (F.col("n_chars") % 1000).alias("score"), "n_chars")
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.when(F.col("doc_id") % 5 == 0, F.upper("source")).otherwise(F.col("source")).alias("channel"), F.col("doc_id").alias("ref"), (F.col("n_chars") % 1000).alias("score"), "n_chars")
     return docs.drop("n_chars").union(docs.select("query_id", F.lit("registry"), "ref", "n_chars"))
 
 
@@ -220,7 +220,7 @@ def channels_topk(spark, sf_dir):
     return federate.channels(_hits(spark, sf_dir), 10)
 
 
-@query(f"""WITH {_RANKED}, s AS (SELECT query_id, ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best, min(channel) AS c, string_agg(DISTINCT channel, ',' ORDER BY channel) AS matched FROM rk GROUP BY ALL)
+@query(f"""WITH {_RANKED}, s AS (SELECT query_id, ref, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(rank) AS best, min((channel <> 'registry', channel)) AS c, string_agg(DISTINCT channel, ',' ORDER BY channel) AS matched FROM rk GROUP BY ALL)
 SELECT query_id, ref, score, matched, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, c, ref) AS place FROM s QUALIFY place <= 10""")
 def rrf_fusion(spark, sf_dir):
     return federate.fuse(federate.channels(_hits(spark, sf_dir), 10), 10)
@@ -280,10 +280,10 @@ def page_pack(spark, sf_dir):
     return federate.pack_pages(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("ord"), "text"), 600)
 
 
-@query("""SELECT query_id, ref FROM (SELECT page_id % 10 AS query_id, url AS ref, page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages) WHERE k <= 15 AND contains(ref, 'en') AND page_id % 2 = 0""")
+@query("""SELECT query_id, ref FROM (SELECT page_id % 10 AS query_id, url AS ref, page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages) WHERE k <= 15 AND (contains(ref, 'en/1') OR page_id % 3 = 0) AND page_id % 2 = 0""")
 def post_filters(spark, sf_dir):
-    hits = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("query_id"), F.col("url").alias("ref"), F.col("page_id").alias("rank"), F.lit(None).cast("string").alias("file"), (F.col("page_id") % 2 == 0).alias("executable"))
-    return federate.post_filtered(hits, "en", True, 15).select("query_id", "ref")
+    hits = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("query_id"), F.col("url").alias("ref"), F.col("page_id").alias("rank"), F.lit(None).cast("string").alias("file"), F.when(F.col("page_id") % 3 == 0, F.lit("x.en.1y")).alias("title"), (F.col("page_id") % 2 == 0).alias("executable"))
+    return federate.post_filtered(hits, "/en/1/", True, 15).select("query_id", "ref")
 
 
 @query(f"""WITH {SQL_DOCUMENT_NODES}, c AS (SELECT source, count(*) FILTER (kind = 'module') AS modules, arg_min(summary, (length(qualname), qualname)) FILTER (kind = 'module' AND coalesce(summary, '') <> '') AS summary FROM dn GROUP BY 1)
@@ -294,8 +294,10 @@ def render_catalog(spark, sf_dir):
 
 # Cues of intents, fragments of roles and keywords of planes.
 CUES = [(0, "how", "explain"), (1, "code", "develop"), (2, "test", "verify"), (3, "the", "general"), (4, "run", "execute")]
-FRAGMENTS = [("large", "heavy"), ("brushed", "finish"), ("small", "light"), ("a", "any"), ("blue", "colour"), ("steel", "metal")]
-PLANES = [(0, "error", "diagnose"), (1, "data", "adopt"), (2, "code", "discover"), (3, "and", "discover"), (4, "to", "adopt")]
+FRAGMENTS = [(0, "large", "heavy"), (1, "brushed", "finish"), (2, "small", "light"), (3, "a", "any"), (4, "blue", "colour"), (5, "steel", "metal")]
+PLANES = [(0, "th", "diagnose", "words of failure"), (1, "der", "adopt", "data to take over"), (2, "que", "discover", "code to find"), (3, "ing", "discover", "things to do"), (4, "ich", "adopt", "a person"), (5, "tion", "draw", "a picture")]
+DEFAULT_PLANE, COMPANIONS = ("browse", "nothing else fits"), [("draw", "discover", "names before a picture")]
+EXTRA = [(0, "steel", "heavy"), (1, "steel", "metal"), (2, "e", "vowel")]
 
 
 def _tasks(spark, sf_dir):
@@ -312,15 +314,28 @@ def intent_tags(spark, sf_dir):
     return federate.intents(_tasks(spark, sf_dir), spark.createDataFrame(CUES, "ord int, cue string, role string"))
 
 
-@query(f"""WITH f(fragment, role) AS (VALUES {_sql_values(FRAGMENTS)}) SELECT name, coalesce(arg_max(role, (length(fragment), role)), 'other') AS role FROM (SELECT DISTINCT p_name AS name FROM part) LEFT JOIN f ON contains(lower(name), fragment) GROUP BY 1""")
+_ROLES = f"f(ord, fragment, role) AS (VALUES {_sql_values(FRAGMENTS)}), pn AS (SELECT DISTINCT p_name AS name FROM part), ro AS (SELECT name, coalesce(arg_min(role, (-length(fragment), ord)), 'other') AS role FROM pn LEFT JOIN f ON contains(lower(name), fragment) GROUP BY 1)"
+
+
+@query(f"WITH {_ROLES} SELECT name, role FROM ro")
 def role_map(spark, sf_dir):
-    return federate.roles(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), spark.createDataFrame(FRAGMENTS, "fragment string, role string"))
+    return federate.roles(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), spark.createDataFrame(FRAGMENTS, "ord int, fragment string, role string"))
+
+
+@query(f"""WITH {_ROLES}, x(ord, fragment, role) AS (VALUES {_sql_values(EXTRA)}), u AS (SELECT name, -1 AS ord, role FROM ro WHERE role <> 'other' UNION ALL SELECT name, ord, role FROM pn JOIN x ON contains(lower(name), fragment)),
+g AS (SELECT name, role, min(ord) AS ord FROM u GROUP BY ALL) SELECT name, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 AS ord, role FROM g""")
+def all_roles(spark, sf_dir):
+    kind = "ord int, fragment string, role string"
+    return federate.all_roles(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), spark.createDataFrame(FRAGMENTS, kind), spark.createDataFrame(EXTRA, kind))
 
 
-@query(f"""WITH t AS (SELECT conv_id || '/' || turn AS task_id, text FROM conversations), p(ord, keyword, plane) AS (VALUES {_sql_values(PLANES)})
-SELECT t.task_id, coalesce(arg_min(plane, ord), 'discover') AS plane FROM t LEFT JOIN p ON contains(lower(text), keyword) GROUP BY 1""")
+@query(f"""WITH t AS (SELECT conv_id || '/' || turn AS task_id, text FROM conversations), p(ord, keyword, plane, reason) AS (VALUES {_sql_values(PLANES)}),
+m AS (SELECT task_id, plane, min(ord) AS o, arg_min(reason, ord) AS reason FROM t JOIN p ON contains(lower(text), keyword) GROUP BY ALL),
+a AS (SELECT * FROM m UNION ALL SELECT task_id, '{DEFAULT_PLANE[0]}', 0, '{DEFAULT_PLANE[1]}' FROM t WHERE task_id NOT IN (SELECT task_id FROM m)
+  UNION ALL SELECT task_id, '{COMPANIONS[0][1]}', 99, '{COMPANIONS[0][2]}' FROM m WHERE plane = '{COMPANIONS[0][0]}' AND task_id NOT IN (SELECT task_id FROM m WHERE plane = '{COMPANIONS[0][1]}'))
+SELECT task_id, (row_number() OVER (PARTITION BY task_id ORDER BY o) - 1)::INT AS ord, plane, reason FROM a""")
 def task_route(spark, sf_dir):
-    return federate.routed(_tasks(spark, sf_dir), spark.createDataFrame(PLANES, "ord int, keyword string, plane string"), "discover")
+    return federate.routed(_tasks(spark, sf_dir), spark.createDataFrame(PLANES, "ord int, keyword string, plane string, reason string"), DEFAULT_PLANE, COMPANIONS)
 
 
 @query("""WITH inv AS (SELECT n_name AS name, n_nationkey AS ord FROM nation), al AS (SELECT r_name AS alias, min(n_name) AS target FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1),

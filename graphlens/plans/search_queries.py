@@ -176,7 +176,7 @@ concat_ws('; ', CASE WHEN status <> 'ok' THEN 'source is ' || status END, CASE W
 def package_catalog(spark, sf_dir):
     least = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("k"))
     sources = least.select("name", F.when(F.col("k") % 3 == 0, "failed").otherwise("ok").alias("status"), F.when(F.col("k") % 2 == 0, "fresh").alias("freshness")).union(spark.range(1).select(F.lit("unread"), F.lit("pending"), F.lit("fresh")))
-    roles = federate.roles(sources.select("name"), spark.createDataFrame([("src1", "first"), ("src", "any")], "fragment string, role string"))
+    roles = federate.roles(sources.select("name"), spark.createDataFrame([(0, "src1", "first"), (1, "src", "any")], "ord int, fragment string, role string"))
     return graph.package_catalog(graph.package_card(document_nodes(spark, sf_dir)), sources, roles)
 
 
