@@ -33,27 +33,36 @@ def _modules(spark, sf_dir):
     return orders.select(F.concat(F.lit("src/orders/o"), key, F.lit(".py")).alias("path"), content.alias("content"), F.concat(F.lit("orders.o"), key).alias("module"))
 
 
-_SYMBOLS_SQL = """g AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0), l AS (SELECT * FROM lineitem JOIN g ON o_orderkey = l_orderkey),
-l1 AS (SELECT DISTINCT l_orderkey, l_linenumber FROM l),
-r AS (
-SELECT o_orderkey AS k, 'node' AS rec_type, 'module' AS kind, 'o' || o_orderkey AS name, 'orders.o' || o_orderkey AS qualname, NULL AS signature, true AS is_exported FROM g
-UNION ALL SELECT o_orderkey, 'ref', 'imports', '..customers.c' || o_custkey, NULL, NULL, NULL FROM g
-UNION ALL SELECT o_orderkey, 'node', 'class', 'Order' || o_orderkey, 'orders.o' || o_orderkey || '.Order' || o_orderkey, NULL, true FROM g
-UNION ALL SELECT o_orderkey, 'ref', 'extends', 'c' || o_custkey || '.Base', NULL, NULL, NULL FROM g
-UNION ALL SELECT o_orderkey, 'node', 'field', 'status', 'orders.o' || o_orderkey || '.Order' || o_orderkey || '.status', NULL, false FROM g
-UNION ALL SELECT l_orderkey, 'node', 'method', 'line_' || l_linenumber, 'orders.o' || l_orderkey || '.Order' || l_orderkey || '.line_' || l_linenumber, 'line_' || l_linenumber || '(self) -> float', false FROM l
-UNION ALL SELECT l_orderkey, 'ref', 'calls', 'supplier_' || l_suppkey || '.price', NULL, NULL, NULL FROM l
-UNION ALL SELECT o_orderkey, 'error', NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 0)"""
+def _records(spark, sf_dir):
+    return extract.python_symbols(_modules(spark, sf_dir), 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-@query(f"WITH {_SYMBOLS_SQL} SELECT 'src/orders/o' || k || '.py' AS path, rec_type, kind, name, qualname, signature, is_exported FROM r")
+# Line 3 of a module begins its class, line 4 is the field; each method takes two lines from 5 on.
+_SYMBOLS_SQL = """g AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
+l AS (SELECT *, 3 + 2 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS top FROM lineitem JOIN g ON o_orderkey = l_orderkey),
+z AS (SELECT o_orderkey, 4 + 2 * count(l_orderkey) AS last FROM g LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+q AS (SELECT g.*, last, 'orders.o' || o_orderkey AS m, 'orders.o' || o_orderkey || '.Order' || o_orderkey AS c FROM g JOIN z USING (o_orderkey)),
+r AS (
+SELECT o_orderkey AS k, 'node' AS rec_type, 'module' AS kind, 'o' || o_orderkey AS name, m AS qualname, NULL AS parent, 1 AS line, last + 1 AS end_line, NULL AS signature, NULL AS bases, true AS is_exported FROM q
+UNION ALL SELECT o_orderkey, 'ref', 'imports', '..customers.c' || o_custkey, NULL, m, 1, NULL, NULL, NULL, NULL FROM q
+UNION ALL SELECT o_orderkey, 'node', 'class', 'Order' || o_orderkey, c, m, 3, last, NULL, ['c' || o_custkey || '.Base'], true FROM q
+UNION ALL SELECT o_orderkey, 'ref', 'extends', 'c' || o_custkey || '.Base', NULL, c, 3, NULL, NULL, NULL, NULL FROM q
+UNION ALL SELECT o_orderkey, 'node', 'field', 'status', c || '.status', c, 4, 4, NULL, NULL, false FROM q
+UNION ALL SELECT l_orderkey, 'node', 'method', 'line_' || l_linenumber, c || '.line_' || l_linenumber, c, top, top + 1, 'line_' || l_linenumber || '(self) -> float', NULL, false FROM l JOIN q ON q.o_orderkey = l_orderkey
+UNION ALL SELECT l_orderkey, 'ref', 'calls', 'supplier_' || l_suppkey || '.price', NULL, c || '.line_' || l_linenumber, top + 1, NULL, NULL, NULL, NULL FROM l JOIN q ON q.o_orderkey = l_orderkey
+UNION ALL SELECT o_orderkey, 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 0)"""
+
+
+@query(f"""WITH {_SYMBOLS_SQL} SELECT 'src/orders/o' || k || '.py' AS path, rec_type, kind, name, qualname, parent, line::INT AS line, end_line::INT AS end_line, signature, CASE WHEN rec_type = 'error' THEN 'SyntaxError' END AS docstring, bases,
+CASE WHEN rec_type = 'node' THEN 'public' END AS visibility, is_exported, CASE WHEN kind = 'method' THEN false END AS is_async, CASE WHEN kind IN ('class', 'method') AND rec_type = 'node' THEN false END AS is_abstract, NULL::VARCHAR AS method_type FROM r""")
 def py_symbols(spark, sf_dir):
-    return extract.python_symbols(_modules(spark, sf_dir)).select("path", "rec_type", "kind", "name", "qualname", "signature", "is_exported")
+    """All columns but the decorators, which no module has, and the order."""
+    return _records(spark, sf_dir).select("path", "rec_type", "kind", "name", "qualname", "parent", "line", "end_line", "signature", "docstring", "bases", "visibility", "is_exported", "is_async", "is_abstract", "method_type")
 
 
 @query(f"WITH {_SYMBOLS_SQL} SELECT 'src/orders/o' || k || '.py' AS path, count(*) FILTER (rec_type = 'node') AS nodes, count(*) FILTER (rec_type = 'ref') AS refs, count(*) FILTER (rec_type = 'error') AS errors FROM r GROUP BY 1")
 def extract_stats(spark, sf_dir):
-    return extract.extract_stats(extract.python_symbols(_modules(spark, sf_dir)))
+    return extract.extract_stats(_records(spark, sf_dir))
 
 
 # Whole documents as Markdown: what stands at the beginning of a line makes it a heading, a fenced line, a prompt or a line with inline code.
