@@ -17,7 +17,13 @@ def tokens(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, stripped; null without one."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.get(lines, F.lit(0))
+
+
+def first_prose_line(text: Column) -> Column:
+    """The first line of Markdown that isn't blank once marks of quotes, lists, emphasis and rules are stripped from its beginning; null without one."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[>*_\-\s]+", ""))), lambda x: x != "")
     return F.get(lines, F.lit(0))
 
 

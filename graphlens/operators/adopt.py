@@ -23,6 +23,33 @@ def ancestors(listing: DataFrame) -> DataFrame:
     return listing.select("path", "size", F.explode(prefixes(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).alias("dir"))
 
 
+def excluded_dir(path: Column, names: list[str]) -> Column:
+    """The topmost folder above a file whose name is excluded; null where there is none. It is found within the row."""
+    parts = F.split(path, "/")
+    above = prefixes(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    return F.get(F.filter(above, lambda d: F.substring_index(d, "/", -1).isin(names)), F.lit(0))
+
+
+def excluded_dirs(listing: DataFrame, names: list[str]) -> DataFrame:
+    """dir, files, bytes: each excluded folder once, whatever lies below it."""
+    rows = listing.select("size", excluded_dir(F.col("path"), names).alias("dir")).filter("dir is not null")
+    return rows.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def surveyed(listing: DataFrame, names: list[str]) -> DataFrame:
+    """The files that aren't below an excluded folder: nothing else of a survey counts the others."""
+    return listing.filter(excluded_dir(F.col("path"), names).isNull())
+
+
+def log_summary(runs: DataFrame, logs: DataFrame) -> DataFrame:
+    """what, n: logs by format, runs with a metrics buffer and runs without logs. ``runs``: run, has_buffer; ``logs``: run, format."""
+    own = logs.join(runs.select("run"), "run", "left_semi")
+    by_format = own.groupBy("format").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("format "), "format").alias("what"), "n")
+    counted = runs.join(own.select("run", F.lit(True).alias("_logged")).distinct(), "run", "left")
+    totals = counted.agg(F.count_if("has_buffer").alias("runs_with_buffer"), F.count_if(F.col("_logged").isNull()).alias("runs_without_logs"))
+    return by_format.union(totals.unpivot([], ["runs_with_buffer", "runs_without_logs"], "what", "n"))
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -108,14 +135,20 @@ def slug_conflicts(names: DataFrame) -> DataFrame:
     return names.withColumn("slug", slug(F.col("name"))).groupBy("scope", "slug").agg(F.countDistinct("name").alias("names")).filter("names > 1")
 
 
+def file_conflicts(owned: DataFrame) -> DataFrame:
+    """path, runs, first, last: files that several runs claim (``owned``: run, path), with the number of runs and the first and last of them."""
+    return owned.groupBy("path").agg(F.countDistinct("run").alias("runs"), F.min("run").alias("first"), F.max("run").alias("last")).filter("runs > 1")
+
+
 def plan_totals(plan: DataFrame) -> DataFrame:
     """projects, experiments, runs and files of a plan."""
     return plan.agg(F.countDistinct("project").alias("projects"), F.countDistinct("project", "experiment").alias("experiments"), F.countDistinct("project", "experiment", "run_id").alias("runs"), F.count("file").alias("files"))
 
 
 def ledger_plan(plan: DataFrame, want_ingest: bool = False, prior: DataFrame | None = None) -> DataFrame:
-    """kind, source, target, status, run_id, ord: of each run its entry, where asked for its ingestion, and its files rebased under artifacts/, in this order.
+    """kind, source, target, status, run_id, size, ord: of each run its entry, where asked for its ingestion, and its files rebased under artifacts/, in this order.
 
+    ``plan``: project, experiment, run_id, source, file and size (what a file held when it was listed; 0 where it couldn't be read).
     Runs that a ``prior`` ledger (kind, source, target, status, run_id) has finished keep their target and run id.
     """
     base = F.concat_ws("/", "project", "experiment", F.concat(F.lit("run-"), "run_id"))
@@ -123,14 +156,18 @@ def ledger_plan(plan: DataFrame, want_ingest: bool = False, prior: DataFrame | N
     if prior is not None:
         done = prior.filter((F.col("kind") == "run") & F.col("status").isin(TERMINAL)).groupBy("source").agg(F.min(F.struct("target", "run_id")).alias("old"))
         runs = runs.join(done, "source", "left").select("source", F.coalesce("old.target", "target").alias("target"), F.coalesce("old.run_id", "run_id").alias("run_id"))
-    entry = lambda rows, kind, status, source, target, ord_: rows.select(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), F.lit(status).alias("status"), "run_id", F.struct(F.col("source").alias("run"), F.lit(ord_).alias("place"), source.alias("path")).alias("ord"))
-    slots = runs.select("source", "target", "run_id")
-    files = plan.select("source", "file").join(slots, "source")
+    none = F.lit(0).cast("long")
+
+    def entry(rows: DataFrame, kind: str, status: str, source: Column, target: Column, place: int, size: Column = none) -> DataFrame:
+        order = F.struct(F.col("source").alias("run"), F.lit(place).alias("place"), source.alias("path"))
+        return rows.select(F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), F.lit(status).alias("status"), "run_id", size.alias("size"), order.alias("ord"))
+
+    files = plan.select("source", "file", F.coalesce("size", none).cast("long").alias("size")).join(runs.select("source", "target", "run_id"), "source")
     path = F.concat_ws("/", "source", "file")
     out = entry(runs, "run", "verified", F.col("source"), F.col("target"), 0)
     if want_ingest:
         out = out.union(entry(runs, "ingest", "pending", F.col("source"), F.col("target"), 1))
-    return out.union(entry(files, "file", "pending", path, F.concat_ws("/", "target", F.lit("artifacts"), "file"), 2))
+    return out.union(entry(files, "file", "pending", path, F.concat_ws("/", "target", F.lit("artifacts"), "file"), 2, F.col("size")))
 
 
 def incompatible(ledgers: DataFrame, asked: DataFrame) -> DataFrame:
@@ -170,11 +207,43 @@ def transfer_decision(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("path", decision.alias("decision"))
 
 
+def _first_failures(decisions: DataFrame) -> DataFrame:
+    """ledger, _stop: the place of each ledger's first refusal; one row a ledger that has one, summed up before any shuffle."""
+    return decisions.filter("decision = 'refuse'").groupBy("ledger").agg(F.min("ord").alias("_stop"))
+
+
 def until_failure(decisions: DataFrame) -> DataFrame:
     """Entries of each ledger before its first refusal, in order, and that one."""
-    before = W.partitionBy("ledger").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    failed = F.coalesce(F.max(F.when(F.col("decision") == "refuse", 1).otherwise(0)).over(before), F.lit(0))
-    return decisions.withColumn("_failed", failed).filter("_failed = 0").drop("_failed")
+    rows = decisions.join(_first_failures(decisions), "ledger", "left")
+    return rows.filter(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))).drop("_stop")
+
+
+def transfer_outcome(entries: DataFrame, mode: str) -> DataFrame:
+    """The entries (ledger, ord, target, size, decision, and what else they have) with ``status`` and ``detail`` after a transfer.
+
+    A file whose source is gone is skipped and the transfer goes on; one that is refused has failed and ends its ledger, of which the
+    rest stays pending. The others are ``moved`` or ``verified``.
+    """
+    rows = entries.join(_first_failures(entries), "ledger", "left")
+    reached = F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))
+    status = F.when(~reached, "pending").when(F.col("decision") == "skip", "skipped").when(F.col("decision") == "refuse", "failed").otherwise("moved" if mode == "move" else "verified")
+    detail = F.when(reached & (F.col("decision") == "skip"), "source vanished").when(reached & (F.col("decision") == "refuse"), "target holds another file")
+    return rows.withColumns({"status": status, "detail": detail}).drop("_stop")
+
+
+def outcome_report(outcome: DataFrame) -> DataFrame:
+    """ledger, transferred, reused, bytes, problems, outstanding, ok of a transfer."""
+    done = F.col("status").isin("moved", "verified")
+    fresh = done & (F.col("decision") == "transfer")
+    pending = F.count_if(~F.col("status").isin(TERMINAL))
+    return outcome.groupBy("ledger").agg(
+        F.count_if(fresh).alias("transferred"),
+        F.count_if(done & (F.col("decision") == "reuse")).alias("reused"),
+        F.coalesce(F.sum(F.when(fresh, F.col("size"))), F.lit(0)).alias("bytes"),
+        F.count("detail").alias("problems"),
+        pending.alias("outstanding"),
+        ((F.count("detail") == 0) & (pending == 0)).alias("ok"),
+    )
 
 
 def verify(ledger: DataFrame, there: DataFrame) -> DataFrame:
@@ -195,6 +264,40 @@ def wide_to_long(metrics: DataFrame, run: str, step: str, series: list[str]) ->
     return metrics.unpivot([run, step], series, "series", "value").filter("value is not null")
 
 
+#: A comma outside quotes, and quotes around a field.
+_COMMA, _QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)', r'^\s*"?|"?\s*$'
+
+
+def csv_series(files: DataFrame) -> DataFrame:
+    """run, path, step, series, value of CSV files, each by the columns of its own header.
+
+    ``files``: run, path, content, step (the name of its step column) and series (its value columns; null: all others whose cells are
+    numbers). Cells that aren't numbers, lines without a step and columns that the header lacks give none. Fields may be quoted, but
+    don't go over lines.
+    """
+    fields = lambda line: F.transform(F.split(line, _COMMA), lambda x: F.replace(F.regexp_replace(x, _QUOTES, ""), F.lit('""'), F.lit('"')))
+    lines = F.split("content", r"\r?\n")
+    rows = files.select("run", "path", "step", "series", fields(F.get(lines, F.lit(0))).alias("header"), F.explode(F.slice(lines, F.lit(2), F.size(lines))).alias("line")).filter("trim(line) <> ''")
+    rows = rows.withColumn("cells", fields(F.col("line")))
+    number = F.get("cells", (F.array_position("header", F.col("step")) - 1).cast("int")).try_cast("double")
+    told = rows.select("run", "path", number.alias("at"), "step", "series", F.explode(F.arrays_zip("header", "cells")).alias("x"))
+    wanted = (F.col("x.header") != F.col("step")) & (F.col("series").isNull() | F.array_contains("series", F.col("x.header")))
+    return told.filter(wanted & F.col("at").isNotNull()).select("run", "path", F.col("at").alias("step"), F.col("x.header").alias("series"), F.col("x.cells").try_cast("double").alias("value")).filter("value is not null")
+
+
+def ingest_fan_out(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """request, root, run: the runs at or below the root of each request (request, root), by equality joins on the folders above each run (``runs``: dir)."""
+    above = runs.select(F.col("dir").alias("run"), F.explode(prefixes(F.split("dir", "/"), "/")).alias("root"))
+    return requests.join(above, "root").select("request", "root", "run")
+
+
+def ingest_counts(plan: DataFrame) -> DataFrame:
+    """run, counts, skipped: what an ingestion plan takes in of each run, as format=number by format, and how many files it passes over."""
+    each = plan.groupBy("run", "format").agg(F.count_if(F.col("action") == "ingest").alias("n"), F.count_if(F.col("action") == "skip").alias("skipped"))
+    told = F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("format", "n")))), lambda x: F.concat(x["format"], F.lit("="), x["n"]))  # of the formats there are
+    return each.groupBy("run").agg(F.array_join(told, ", ").alias("counts"), F.sum("skipped").alias("skipped"))
+
+
 def preconditions(requests: DataFrame) -> DataFrame:
     """request, violation: unknown mode, source or target inside the other, unknown format."""
     nested = F.concat("source", F.lit("/")).startswith(F.concat("target", F.lit("/"))) | F.concat("target", F.lit("/")).startswith(F.concat("source", F.lit("/")))

@@ -139,13 +139,42 @@ def source_dedupe(bindings: DataFrame) -> DataFrame:
     return first.withColumn("_n", n).select("ord", "spec", F.when(F.col("_n") > 1, F.concat("name", F.lit("-"), "_n")).otherwise(F.col("name")).alias("name"))
 
 
+def source_set(bindings: DataFrame, named: DataFrame) -> DataFrame:
+    """name, spec, explicit: the sources of ``source_dedupe`` with those that a user names (name, spec) in place of any of the same name."""
+    found = source_dedupe(bindings).join(named.select("name").distinct(), "name", "left_anti")
+    own = named.groupBy("name").agg(F.max("spec").alias("spec"))
+    return found.select("name", "spec", F.lit(False).alias("explicit")).union(own.select("name", "spec", F.lit(True)))
+
+
+def normal_package(name: Column) -> Column:
+    """A package's name in lower case with single dashes."""
+    return F.lower(F.regexp_replace(name, r"[-_.]+", "-"))
+
+
+def source_name(package: Column) -> Column:
+    """A package's name as a source's: lower case, letters, digits, dots, dashes and underscores, from its first letter on; ``pkg`` and what there is where it has no letter."""
+    bare = F.regexp_replace(F.lower(package), r"[^a-z0-9._-]", "")
+    named = F.regexp_replace(bare, r"^[^a-z]+", "")
+    return F.when(named != "", named).otherwise(F.concat(F.lit("pkg"), bare))
+
+
+def top_level(package: Column, declared: Column, folders: Column) -> Column:
+    """The name that a package is imported by: the first line that it declares; else of its checkout's folders (an array, of the first
+    layout that decides) the one whose name is part of the package's, of several such the one that is its name, or, without any, the only folder; else its own name with underscores."""
+    line = F.get(F.filter(F.transform(F.split(declared, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+    inside = F.filter(folders, lambda x: F.contains(normal_package(package), normal_package(x)))
+    exact = F.filter(inside, lambda x: normal_package(x) == normal_package(package))
+    chosen = F.when(F.size(inside) == 1, F.get(inside, F.lit(0))).when(F.size(exact) == 1, F.get(exact, F.lit(0))).when((F.size(inside) == 0) & (F.size(folders) == 1), F.get(folders, F.lit(0)))
+    return F.coalesce(line, chosen, F.replace(package, F.lit("-"), F.lit("_")))
+
+
 def package_signals(packages: DataFrame, keywords: list[str], prefix: str, include: list[str], exclude: list[str]) -> DataFrame:
     """normal, identified_by, outcome of installed packages by entry points, keywords and editable installs; names compare after normalising.
 
     An excluded package that has a signal or is included is ``excluded``; one with neither is ``none``; the others are a
     ``source``, or ``skipped`` where no importable folder (``package_dir``) is known. An included one is identified by ``override`` too.
     """
-    bare = F.lower(F.regexp_replace("name", r"[-_.]+", "-"))
+    bare = normal_package(F.col("name"))
     included, excluded = bare.isin(include), bare.isin(exclude)
     signals = F.array_compact(F.array(F.when(F.exists("entry_point_groups", lambda g: g.startswith(prefix)), F.lit("entry_point")), F.when(F.arrays_overlap(F.split(F.lower("keywords"), r"[,\s]+"), F.array(*map(F.lit, keywords))), F.lit("keyword")), F.when(F.col("direct_url").isNotNull(), F.lit("editable"))))
     rows = packages.select("package_dir", bare.alias("normal"), signals.alias("signals"), included.alias("included"), excluded.alias("excluded"))

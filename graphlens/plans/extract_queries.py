@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphlens.functions.json import canonical_text
+from graphlens.functions.text import first_prose_line
 from graphlens.operators import extract
 from graphlens.plans.views import table
 
@@ -162,3 +163,12 @@ _P = "'{' || (SELECT string_agg('\"' || k || '\":' || json_extract(props, '$.\"'
 def canonical_json(spark, sf_dir):
     doc = F.concat(F.lit('{"z" : '), "props", F.lit(', "user": '), F.col("user_id").cast("string"), F.lit(', "list":[ '), "props", F.lit(', null, 1.50, {}, []], "a": "x|y"}'))
     return canonical_text(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '> ' || chr(10) || ' - *' || text WHEN 1 THEN text ELSE '---' || chr(10) || '**' END AS text FROM documents)
+SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[>*_\-\s]+', ''), ' ')), lambda x: x <> '')[1] AS summary FROM t""")
+def prose_summary(spark, sf_dir):
+    """Documents behind a quote and a list mark, as they are, and rules alone."""
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("> \n - *"), "text")).when(k == 1, F.col("text")).otherwise("---\n**")
+    return table(spark, sf_dir, "documents").select("doc_id", first_prose_line(text).alias("summary"))

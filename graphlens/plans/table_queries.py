@@ -70,6 +70,13 @@ def catalog_explode(spark, sf_dir):
     return files.catalog(entries)
 
 
+@query("SELECT p_brand || '-' || p_partkey AS id, p_type AS scope FROM part WHERE p_size % 4 <> 0 AND p_partkey % 5 <> 0")
+def catalog_strings(spark, sf_dir):
+    """Entries whose scope is one string; of some it is missing, or they have no id."""
+    name = F.when(F.col("p_partkey") % 5 != 0, F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")))
+    return files.catalog(table(spark, sf_dir, "part").select(name.alias("id"), F.when(F.col("p_size") % 4 != 0, F.col("p_type")).alias("scope")))
+
+
 def _jobs(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("cluster_name"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("submitted_at"))
 
@@ -290,6 +297,28 @@ def source_dedupe(spark, sf_dir):
     return maintain.source_dedupe(rows)
 
 
+@query("""WITH b AS (SELECT c_custkey AS ord, c_custkey // 2 AS spec, 'n' || (c_custkey % 40) AS name FROM customer), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY spec ORDER BY ord) = 1),
+d AS (SELECT spec, CASE WHEN row_number() OVER w > 1 THEN name || '-' || row_number() OVER w ELSE name END AS name FROM f WINDOW w AS (PARTITION BY name ORDER BY ord)), x AS (SELECT 'n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '-2' ELSE '' END AS name, -n_nationkey::BIGINT AS spec FROM nation)
+SELECT name, spec, false AS explicit FROM d WHERE name NOT IN (SELECT name FROM x) UNION ALL SELECT name, spec, true FROM x""")
+def source_set(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.floor(F.col("c_custkey") / 2).alias("spec"), F.concat(F.lit("n"), (F.col("c_custkey") % 40).cast("string")).alias("name"))
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "-2").otherwise(""))
+    return maintain.source_set(rows, table(spark, sf_dir, "nation").select(name.alias("name"), (-F.col("n_nationkey")).cast("long").alias("spec")))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '2.0' ELSE p_name || '-' || p_type END AS name, string_split(lower(p_name), ' ') AS fs FROM part)
+SELECT k, CASE WHEN k % 4 = 0 THEN 'pkg2.0' ELSE replace(lower(name), ' ', '') END AS source, CASE k % 5 WHEN 0 THEN 'mod' || k WHEN 1 THEN fs[1] WHEN 2 THEN 'lone' ELSE CASE WHEN k % 4 = 0 THEN '2.0' ELSE replace(name, '-', '_') END END AS top FROM p WHERE NOT (k % 5 = 1 AND k % 4 = 0)""")
+def package_names(spark, sf_dir):
+    """Source names and top levels: a fifth declare theirs, a fifth have one folder that fits, a fifth a lone one that doesn't, and the rest two that are as good as each other."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, "2.0").otherwise(F.concat_ws("-", "p_name", "p_type"))
+    words = F.split(F.lower("p_name"), " ")
+    folders = F.when(k % 5 == 1, F.array(words[0], F.replace(F.lower(F.replace(name, F.lit(" "), F.lit("-"))), F.lit("-"), F.lit("_")), F.lit("tests_of_it"))).when(k % 5 == 2, F.array(F.lit("lone"))).when(k % 5 > 2, F.array(F.lit("x1"), F.lit("x2")))
+    declared = F.when(k % 5 == 0, F.concat(F.lit("\n  mod"), k.cast("string"), F.lit("\nother")))
+    rows = table(spark, sf_dir, "part").filter("not (p_partkey % 5 = 1 and p_partkey % 4 = 0)").select(k.alias("k"), name.alias("name"), declared.alias("declared"), folders.alias("folders"))
+    return rows.select("k", maintain.source_name(F.col("name")).alias("source"), maintain.top_level(F.col("name"), F.col("declared"), F.col("folders")).alias("top"))
+
+
 @query(r"""WITH p AS (SELECT 'pkg-' || p_partkey AS normal, p_size % 3 = 0 AS e, list_contains(regexp_split_to_array(lower(p_name), '[,\s]+'), 'small') AS k, p_size % 5 = 0 AS d,
 p_partkey IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) AS inc, p_partkey IN (5, 6, 20, 30, 40) AS exc, p_partkey % 7 = 0 AS nowhere FROM part),
 o AS (SELECT *, CASE WHEN exc AND (e OR k OR d OR inc) THEN 'excluded' WHEN NOT (e OR k OR d OR inc) THEN 'none' WHEN nowhere THEN 'skipped' ELSE 'source' END AS outcome FROM p)
@@ -391,10 +420,11 @@ def skipped_files(spark, sf_dir):
 def _planned(spark, sf_dir):
     listing, runs, mapping = _plan(spark, sf_dir)
     owned = adopt.run_files(listing, runs)
-    return owned.join(mapping, owned["run"] == mapping["dir"]).select("project", "experiment", "run_id", F.col("run").alias("source"), F.expr("substring(path, length(run) + 2)").alias("file"))
+    sized = owned.join(mapping, owned["run"] == mapping["dir"]).join(listing.select("path", "size"), "path")
+    return sized.select("project", "experiment", "run_id", F.col("run").alias("source"), F.expr("substring(path, length(run) + 2)").alias("file"), "size")
 
 
-_PLANNED = _PLAN + ", pn AS (SELECT project, experiment, run_id, run AS source, substring(path, length(run) + 2) AS file FROM ow JOIN pl ON dir = run)"
+_PLANNED = _PLAN + ", pn AS (SELECT project, experiment, run_id, run AS source, substring(ow.path, length(run) + 2) AS file, size FROM ow JOIN pl ON dir = run JOIN ls ON ls.path = ow.path)"
 
 
 @query(_PLANNED + " SELECT count(DISTINCT project) AS projects, count(DISTINCT (project, experiment)) AS experiments, count(DISTINCT (project, experiment, run_id)) AS runs, count(file) AS files FROM pn")
@@ -405,12 +435,12 @@ def plan_totals(spark, sf_dir):
 _SLOTS = ", sl AS (SELECT DISTINCT source, CASE WHEN length(source) % 2 = 0 THEN 'old/' || source ELSE project || '/' || experiment || '/run-' || run_id END AS target, CASE WHEN length(source) % 2 = 0 THEN 'old' ELSE run_id END AS run_id FROM pn)"
 
 
-@query(_PLANNED + _SLOTS + """ SELECT 'run' AS kind, source, target, 'verified' AS status, run_id, 0 AS place FROM sl UNION ALL SELECT 'ingest', source, target, 'pending', run_id, 1 FROM sl
-UNION ALL SELECT 'file', source || '/' || file, target || '/artifacts/' || file, 'pending', sl.run_id, 2 FROM pn JOIN sl USING (source)""")
+@query(_PLANNED + _SLOTS + """ SELECT 'run' AS kind, source, target, 'verified' AS status, run_id, 0::BIGINT AS size, 0 AS place FROM sl UNION ALL SELECT 'ingest', source, target, 'pending', run_id, 0, 1 FROM sl
+UNION ALL SELECT 'file', source || '/' || file, target || '/artifacts/' || file, 'pending', sl.run_id, size, 2 FROM pn JOIN sl USING (source)""")
 def ledger_plan(spark, sf_dir):
     planned = _planned(spark, sf_dir)
     prior = planned.filter("length(source) % 2 = 0").select(F.lit("run").alias("kind"), "source", F.concat(F.lit("old/"), "source").alias("target"), F.lit("moved").alias("status"), F.lit("old").alias("run_id")).distinct()
-    return adopt.ledger_plan(planned, True, prior).select("kind", "source", "target", "status", "run_id", F.col("ord.place").alias("place"))
+    return adopt.ledger_plan(planned, True, prior).select("kind", "source", "target", "status", "run_id", "size", F.col("ord.place").alias("place"))
 
 
 @query("""WITH l AS (SELECT s_suppkey AS ledger, s_name AS source, s_nationkey AS t, CASE WHEN s_suppkey % 2 = 0 THEN 'copy' ELSE 'move' END AS mode, s_suppkey % 3 AS version FROM supplier)
@@ -487,6 +517,100 @@ def ledger_status(spark, sf_dir):
     return adopt.ledger_status(_ledger(spark, sf_dir))
 
 
+_OUTCOME = """x AS (SELECT l_suppkey AS ledger, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ord, l_quantity::BIGINT AS size, CASE WHEN l_quantity > 45 AND l_linenumber < 3 THEN 'refuse' WHEN l_linenumber = 4 THEN 'skip' WHEN l_linenumber = 5 THEN 'reuse' ELSE 'transfer' END AS decision FROM lineitem),
+s AS (SELECT ledger, min(ord) AS stop FROM x WHERE decision = 'refuse' GROUP BY 1),
+oc AS (SELECT x.*, CASE WHEN ord > stop THEN 'pending' WHEN decision = 'skip' THEN 'skipped' WHEN decision = 'refuse' THEN 'failed' ELSE 'moved' END AS status,
+  CASE WHEN ord > stop THEN NULL WHEN decision = 'skip' THEN 'source vanished' WHEN decision = 'refuse' THEN 'target holds another file' END AS detail FROM x LEFT JOIN s USING (ledger))"""
+
+
+def _outcome(spark, sf_dir):
+    n = F.col("l_linenumber")
+    decision = F.when((F.col("l_quantity") > 45) & (n < 3), "refuse").when(n == 4, "skip").when(n == 5, "reuse").otherwise("transfer")
+    order = F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + n
+    return adopt.transfer_outcome(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ledger"), order.alias("ord"), F.col("l_quantity").cast("long").alias("size"), decision.alias("decision")), "move")
+
+
+@query(f"WITH {_OUTCOME} SELECT ledger, ord, size, decision, status, detail FROM oc")
+def transfer_outcome(spark, sf_dir):
+    return _outcome(spark, sf_dir)
+
+
+@query(f"""WITH {_OUTCOME} SELECT ledger, count(*) FILTER (status = 'moved' AND decision = 'transfer') AS transferred, count(*) FILTER (status = 'moved' AND decision = 'reuse') AS reused,
+coalesce(sum(size) FILTER (status = 'moved' AND decision = 'transfer'), 0)::BIGINT AS bytes, count(detail) AS problems, count(*) FILTER (status IN ('pending', 'failed')) AS outstanding,
+count(detail) = 0 AND count(*) FILTER (status IN ('pending', 'failed')) = 0 AS ok FROM oc GROUP BY 1""")
+def outcome_report(spark, sf_dir):
+    return adopt.outcome_report(_outcome(spark, sf_dir))
+
+
+@query(f"""WITH {_OUTCOME} SELECT ledger || '/' || ord AS target, CASE WHEN status IN ('pending', 'failed') THEN 'outstanding' WHEN ord % 3 = 0 THEN 'missing' WHEN ord % 3 = 1 AND size > 0 THEN 'size drift' END AS problem FROM oc
+WHERE status IN ('pending', 'failed') OR ord % 3 = 0 OR (ord % 3 = 1 AND size > 0)""")
+def verify_outcome(spark, sf_dir):
+    """The statuses and sizes of a transfer against what is found there."""
+    ledger = _outcome(spark, sf_dir).withColumns({"target": F.concat_ws("/", "ledger", "ord"), "sha256": F.lit("h")})
+    there = ledger.filter("ord % 3 <> 0").select("target", F.when(F.col("ord") % 3 == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "sha256").dropDuplicates(["target"])
+    return adopt.verify(ledger, there)
+
+
+_EXCLUDED = ["en", "de", "1"]
+_TOP = f"tp AS (SELECT path, size, list_filter(list_transform(range(1, len(string_split(path, '/'))), lambda k: array_to_string(string_split(path, '/')[1:k], '/')), lambda d: string_split(d, '/')[-1] IN {tuple(_EXCLUDED)})[1] AS dir FROM ls)"
+
+
+@query(f"WITH {_LISTING}, {_TOP} SELECT dir, count(*) AS files, sum(size)::BIGINT AS bytes FROM tp WHERE dir IS NOT NULL GROUP BY 1")
+def excluded_dirs(spark, sf_dir):
+    return adopt.excluded_dirs(_listing(spark, sf_dir), _EXCLUDED)
+
+
+@query(f"""WITH {_LISTING}, {_TOP}, an AS (SELECT path, size, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda k: array_to_string(string_split(path, '/')[1:k], '/'))) AS d FROM tp WHERE dir IS NULL)
+SELECT d AS dir, len(string_split(d, '/'))::INT AS depth, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (regexp_extract(path, '^(.*)/[^/]*$', 1) = d) AS direct, len(string_split(d, '/')) > 6 AS too_deep FROM an GROUP BY 1""")
+def pruned_rollup(spark, sf_dir):
+    return adopt.dir_rollup(adopt.surveyed(_listing(spark, sf_dir), _EXCLUDED))
+
+
+@query(_PLAN + """, u AS (SELECT run, path FROM ow UNION ALL SELECT 'other/' || (length(path) % 3), path FROM ow WHERE length(path) % 2 = 0 UNION ALL SELECT 'more', path FROM ow WHERE length(path) % 4 = 0)
+SELECT path, count(DISTINCT run) AS runs, min(run) AS first, max(run) AS last FROM u GROUP BY 1 HAVING runs > 1""")
+def file_conflicts(spark, sf_dir):
+    listing, runs, _ = _plan(spark, sf_dir)
+    owned = adopt.run_files(listing, runs)
+    n = F.length("path")
+    other = owned.filter(n % 2 == 0).select(F.concat(F.lit("other/"), (n % 3).cast("string")).alias("run"), "path")
+    return adopt.file_conflicts(owned.union(other).union(owned.filter(n % 4 == 0).select(F.lit("more"), "path")))
+
+
+@query("""WITH r AS (SELECT c_custkey AS run, c_custkey % 7 = 0 AS b FROM customer), l AS (SELECT o_custkey AS run, CASE o_orderstatus WHEN 'F' THEN 'csv' WHEN 'O' THEN 'lammps' ELSE 'tensorboard' END AS format FROM orders WHERE o_custkey % 3 <> 0)
+SELECT 'format ' || format AS what, count(*) AS n FROM l GROUP BY format UNION ALL SELECT 'runs_with_buffer', count(*) FROM r WHERE b UNION ALL SELECT 'runs_without_logs', count(*) FROM r WHERE run NOT IN (SELECT run FROM l)""")
+def log_summary(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "csv").when(F.col("o_orderstatus") == "O", "lammps").otherwise("tensorboard")
+    logs = table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0").select(F.col("o_custkey").alias("run"), kind.alias("format"))
+    return adopt.log_summary(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"), (F.col("c_custkey") % 7 == 0).alias("has_buffer")), logs)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS run, l_linenumber::DOUBLE AS step, l_quantity, l_tax, l_discount FROM lineitem)
+SELECT run, run || '.csv' AS path, step, unnest(['l_quantity', 'l "tax"']) AS series, unnest([l_quantity, l_tax]) AS value FROM l WHERE run % 2 = 0
+UNION ALL SELECT run, run || '.csv', step, 'loss', l_discount FROM l WHERE run % 2 = 1""")
+def csv_series(spark, sf_dir):
+    """A CSV file for each order: even ones with a note and a quoted name, of which all numbers count; odd ones with other columns, of which one does."""
+    even = F.col("l_orderkey") % 2 == 0
+    cells = lambda *c: F.concat_ws(",", *[F.lit(x[1:]) if x[0] == "=" else F.col(x).cast("string") for x in c])
+    line = F.when(even, cells("l_quantity", "l_linenumber", '="a, b"', "l_tax")).otherwise(cells("l_linenumber", "l_discount", "l_tax"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))  # of one order
+    head = F.when(even, 'l_quantity,epoch,note,"l ""tax"""').otherwise("step,loss,l_tax")
+    files = rows.select(F.col("l_orderkey").alias("run"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(head, F.lit("\n"), "body", F.lit("\n")).alias("content"), F.when(even, "epoch").otherwise("step").alias("step"), F.when(~even, F.array(F.lit("loss"), F.lit("none"))).alias("series"))
+    return adopt.csv_series(files)
+
+
+@query(_PLAN + """, q AS (SELECT DISTINCT split_part(dir, '/', 1) AS root FROM pl UNION ALL SELECT dir FROM pl) SELECT root || '!' AS request, root, dir AS run FROM q JOIN pl ON dir = root OR starts_with(dir, root || '/')""")
+def ingest_fan_out(spark, sf_dir):
+    _, runs, _ = _plan(spark, sf_dir)
+    roots = runs.select(F.substring_index("dir", "/", 1).alias("root")).distinct().union(runs.select("dir"))
+    return adopt.ingest_fan_out(roots.select(F.concat("root", F.lit("!")).alias("request"), "root"), runs)
+
+
+@query("""WITH l AS (SELECT o_custkey AS run, CASE o_orderstatus WHEN 'F' THEN 'csv' ELSE 'log' END AS format, CASE WHEN o_custkey % 4 = 0 OR (o_orderstatus = 'F' AND o_orderkey % 2 = 1) THEN 'skip' ELSE 'ingest' END AS action FROM orders),
+e AS (SELECT run, format, count(*) FILTER (action = 'ingest') AS n, count(*) FILTER (action = 'skip') AS s FROM l GROUP BY ALL) SELECT run, coalesce(string_agg(format || '=' || n, ', ' ORDER BY format) FILTER (n > 0), '') AS counts, sum(s)::BIGINT AS skipped FROM e GROUP BY 1""")
+def ingest_counts(spark, sf_dir):
+    return adopt.ingest_counts(ingest_plan(spark, sf_dir))
+
+
 @query("UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME series VALUE value")
 def wide_to_long(spark, sf_dir):
     return adopt.wide_to_long(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ["l_quantity", "l_discount", "l_tax"])

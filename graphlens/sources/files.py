@@ -137,6 +137,8 @@ def edges_at(edges: DataFrame, ids: DataFrame, end: str, kinds: list[str] | None
 
 
 def catalog(entries: DataFrame) -> DataFrame:
-    """id, scope: a row for each scope of the entries that have an id and a scope."""
+    """id, scope: a row for each scope of the entries that have an id and a scope; a scope that is a string is the only one."""
+    if entries.schema["scope"].dataType.typeName() == "string":
+        entries = entries.withColumn("scope", F.when(F.col("scope").isNotNull(), F.array("scope")))
     good = entries.filter((F.coalesce("id", F.lit("")) != "") & (F.size("scope") > 0))
     return good.select("id", F.explode("scope").alias("scope"))
