@@ -54,13 +54,33 @@ def describe(refs: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataF
         rows = rows.join(part, "node", "left")
     rows = rows.join(_listed(rules, "conventions", "scope", "title", "rules").withColumnRenamed("node", "qualname"), "qualname", "left")
     if files is not None:
-        start = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1))
-        size = F.greatest(F.coalesce("end_line", start) - start + 1, F.lit(1))
-        lines = F.array_join(F.slice(F.split("text", "\n"), start, size), "\n")
-        rows = rows.join(files.select("file", "text"), "file", "left").withColumn("source_code", F.coalesce(capped(lines, SOURCE_CHARS), F.lit("<source unavailable>"))).drop("text")
+        start = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).cast("int")
+        size = F.greatest(F.coalesce("end_line", start) - start + 1, F.lit(1)).cast("int")
+        rows = rows.withColumns({"_start": start, "_size": size})
+        code = _spans(rows.select("file", "_start", "_size"), files)
+        rows = rows.join(code, ["file", "_start", "_size"], "left").withColumn("source_code", F.coalesce("source_code", F.lit("<source unavailable>"))).drop("_start", "_size")
     return rows
 
 
+def _spans(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """file, _start, _size, source_code of the asked spans; a file's text moves once, however many of its spans are asked for, and only clipped spans leave it."""
+    spans = asked.groupBy("file").agg(F.collect_set(F.struct("_start", "_size")).alias("_spans"))  # distinct spans of one file
+    whole = files.join(spans, "file").select("file", "_spans", F.split("text", "\n").alias("_lines"))
+    cut = F.transform("_spans", lambda s: F.struct(s["_start"].alias("_start"), s["_size"].alias("_size"), capped(F.array_join(F.slice("_lines", s["_start"], s["_size"]), "\n"), SOURCE_CHARS).alias("source_code")))
+    return whole.select("file", F.inline(cut))
+
+
+def describe_registry(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """The registry's items of the refs that begin with @ (each once), with their execution: an item that is ready can be executed under its own ref.
+
+    ``items``: id, kind, status, freshness, and what else an item tells.
+    """
+    rows = refs.filter(F.col("ref").startswith("@")).select("ref").distinct().join(items.withColumnRenamed("id", "ref"), "ref")
+    able = F.when(F.col("kind") != "executable", "none").otherwise(F.coalesce("status", F.lit("unavailable")))
+    ready = able == "ready"
+    return rows.withColumns({"execution_status": able, "executable": ready, "executable_capability_id": F.when(ready, F.col("ref")), "freshness": F.coalesce(F.nullif("freshness", F.lit("")), F.lit("unknown"))})
+
+
 def open_pages(refs: DataFrame, described: DataFrame) -> DataFrame:
     """ref, ok, code, markdown, examples, tests, has_signature, has_summary: a page for each asked ref; one that wasn't found says so."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))

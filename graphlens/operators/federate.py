@@ -54,6 +54,19 @@ def symbol_ref(source: Column, snapshot: Column, node: Column) -> Column:
     return F.concat(source, F.lit("@"), snapshot, F.lit(":"), node)
 
 
+def symbol_hits(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Nodes (source, and the columns of a node) in the shape of hits, of the sources (source, namespace, snapshot, freshness) that are known; no symbol is executable."""
+    given = lambda c: F.nullif(c, F.lit(""))
+    rows = nodes.join(sources, "source")
+    return rows.select(
+        symbol_ref(F.col("source"), F.col("snapshot"), F.col("id")).alias("ref"), F.coalesce("kind", F.lit("symbol")).alias("kind"), "namespace", "source", "snapshot",
+        F.coalesce(given("qualname"), given("name"), "id").alias("title"), "summary", "signature", F.lit(False).alias("executable"), F.lit(None).cast("string").alias("executable_capability_id"),
+        F.struct(F.lit("code_graph").alias("type"), F.col("id").alias("node_id"), F.coalesce("language", F.lit("unknown")).alias("language")).alias("provenance"),
+        F.coalesce("freshness", F.lit("unknown")).alias("freshness"),
+        F.struct(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", "start_line", F.lit(0)).alias("end_line")).alias("span"),
+    )
+
+
 def parsed_ref(ref: Column) -> Column:
     """source, snapshot and node of a symbol ref; null where it isn't one (a node has two # at least)."""
     shape = r"^([^@]+)@(.*):([^:]*#.*#.*)$"

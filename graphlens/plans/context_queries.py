@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from graphlens.functions.json import canonical
-from graphlens.operators import context, federate
-from graphlens.plans.views import SQL_STAR, star_edges, star_nodes, table
+from graphlens.operators import context, federate, pages
+from graphlens.plans.views import SQL_DOCUMENT_NODES, SQL_STAR, document_nodes, star_edges, star_nodes, table
 from graphlens.sources import files
 
 QUERIES, SQL = {}, {}
@@ -239,3 +239,90 @@ def pinned_sources(spark, sf_dir):
     requests = table(spark, sf_dir, "orders").select(key.alias("query_id"), named.alias("sources"))
     listed = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("source").distinct().union(spark.range(1).select(F.lit("SRC1")))
     return context.pinned_sources(requests, listed, ["family"]).select("query_id", F.array_join("sources", ",").alias("sources"))
+
+
+# Pages.
+
+_SEARCH_HITS = "row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank"
+
+
+@query(f"""WITH h AS (SELECT source, doc_id, lang, {_SEARCH_HITS}, CASE WHEN doc_id % 3 > 0 THEN left(text, 20) ELSE '' END AS summary, CASE WHEN doc_id % 4 > 0 THEN 'd' || doc_id END AS ref FROM documents),
+l AS (SELECT source, rank, '- `' || source || '.' || doc_id || '` (' || lang || ') source=`' || source || '` exec=`' || (CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END) || '`' || (CASE WHEN summary <> '' THEN chr(10) || '  ' || summary ELSE '' END) || coalesce(chr(10) || '  ref: `' || ref || '`', '') AS line FROM h WHERE rank < 30),
+q AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'nothing')
+SELECT q.source AS query_id, rtrim('# Search `about ' || q.source || '`' || chr(10) || chr(10) || '{pages.SEARCH_NOTE}' || chr(10) || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY rank), ''), chr(10) || ' ') || chr(10) AS markdown FROM q LEFT JOIN l USING (source) GROUP BY q.source""")
+def search_pages(spark, sf_dir):
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")) - 1
+    name = F.concat_ws(".", "source", k.cast("string"))
+    hits = docs.select(F.col("source").alias("query_id"), rank.alias("rank"), name.alias("title"), F.col("lang").alias("kind"), "source", (k % 2 == 0).alias("executable"), F.when(k % 3 > 0, F.left("text", F.lit(20))).otherwise("").alias("summary"), F.when(k % 4 > 0, F.concat(F.lit("d"), k.cast("string"))).alias("ref"))
+    asked = docs.select(F.col("source").alias("query_id")).distinct().union(spark.range(1).select(F.lit("nothing")))
+    return pages.search_pages(asked.withColumn("text", F.concat(F.lit("about "), "query_id")), hits)
+
+
+@query(f"""WITH {_GUIDE}, l AS (SELECT task_id, ord, '- **' || role || '**: ' || "when" || ' → prefer [' || (CASE WHEN prefer = '' THEN '' ELSE chr(39) || replace(prefer, ',', chr(39) || ', ' || chr(39)) || chr(39) END) || '] (available=' || (CASE WHEN available THEN 'True' ELSE 'False' END) || ')' AS line, '- warning: ' || warning AS warning FROM gd)
+SELECT task_id, '{pages.SUGGEST_HEAD}' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY ord) || coalesce(chr(10) || string_agg(warning, chr(10) ORDER BY ord), '') || chr(10) AS markdown FROM l GROUP BY 1""")
+def suggest_pages(spark, sf_dir):
+    return pages.suggest_pages(_guide(spark, sf_dir)[1])
+
+
+@query(f"""WITH {SQL_DOCUMENT_NODES}, m AS (SELECT source AS page, source, qualname, kind, CASE WHEN doc_id % 2 = 0 THEN left(docstring, 15) END AS summary, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM dn WHERE kind = 'module' QUALIFY ord < 9),
+s AS (SELECT source, '- `' || qualname || '` (' || kind || ') ' || (CASE WHEN doc_id % 2 = 0 THEN '(x)' ELSE '' END) || ' — s' || doc_id AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM dn WHERE kind = 'class' QUALIFY place < 15),
+t AS (SELECT source, string_agg(line, chr(10) ORDER BY place) AS tops FROM s GROUP BY 1),
+p AS (SELECT page, ord, '## `' || qualname || '` (module)' || chr(10) || coalesce(nullif(summary, ''), '{pages.NO_MODULE_SUMMARY}') || coalesce(chr(10) || chr(10) || '{pages.SYMBOLS_NOTE}' || chr(10) || CASE WHEN ord % 2 = 0 THEN tops END, '') || chr(10) AS part FROM m LEFT JOIN t USING (source)),
+o AS (SELECT DISTINCT source AS page FROM dn)
+SELECT o.page, regexp_replace('# Outline: ' || o.page || (CASE WHEN ends_with(o.page, '1') THEN ' / sub' ELSE '' END) || chr(10) || chr(10) || '{pages.OUTLINE_NOTE}' || chr(10) || chr(10) || coalesce(string_agg(part, chr(10) ORDER BY ord), ''), '\\s+$', '') || chr(10) AS markdown FROM o LEFT JOIN p USING (page) GROUP BY 1""")
+def outline_pages(spark, sf_dir):
+    """The first modules of each source, every second with the source's classes as its symbols."""
+    nodes, k = document_nodes(spark, sf_dir), F.col("doc_id")
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    modules = nodes.filter("kind = 'module'").withColumn("ord", place).filter("ord < 9").select(F.col("source").alias("page"), "ord", "qualname", "kind", F.when(k % 2 == 0, F.left("docstring", F.lit(15))).alias("summary"))
+    classes = nodes.filter("kind = 'class'").withColumn("place", place).select(F.col("source").alias("page"), "place", "qualname", "kind", F.when(k % 2 == 0, "(x)").alias("signature"), F.concat(F.lit("s"), k.cast("string")).alias("summary"))
+    symbols = classes.join(modules.filter("ord % 2 = 0").select("page", "ord"), "page")
+    outlines = nodes.select(F.col("source").alias("page"), "source", F.when(F.col("source").endswith("1"), "sub").alias("path")).distinct()
+    return pages.outline_pages(outlines, modules, symbols)
+
+
+@query(f"""SELECT 's' || s_suppkey AS name, '## s' || s_suppkey || '  `' || (CASE WHEN s_suppkey % 2 = 0 THEN 'ok' ELSE 'None' END) || '`' || (CASE WHEN s_suppkey % 3 = 0 THEN chr(10) || '- role_hint: `r`' ELSE '' END) || chr(10) || '- spec: `' || s_name || '`' || chr(10) || '- freshness: `fresh`' ||
+(CASE WHEN s_suppkey % 2 = 0 THEN chr(10) || '- modules indexed: ' || s_nationkey ELSE '' END) || (CASE WHEN s_suppkey % 5 = 0 THEN chr(10) || '- error: it broke' ELSE '' END) || chr(10) || chr(10) || (CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE '{pages.NO_PACKAGE_SUMMARY}' END) || chr(10) AS markdown FROM supplier""")
+def package_pages(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return pages.package_entries(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), F.when(k % 2 == 0, "ok").alias("status"), F.when(k % 3 == 0, "r").alias("role"), F.col("s_name").alias("spec"), F.lit("fresh").alias("freshness"), F.when(k % 2 == 0, F.col("s_nationkey")).alias("modules"), F.when(k % 5 == 0, "it broke").alias("error"), F.when(k % 4 == 0, F.col("s_name")).otherwise("").alias("summary")))
+
+
+@query("""SELECT 'd' || doc_id AS ref, '## `' || (CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE 'd' || doc_id END) || '`' || chr(10) || chr(10) || 'signature: `' || (CASE WHEN doc_id % 2 = 0 THEN 'f()' ELSE 'None' END) || '`' || chr(10) || chr(10) || (CASE doc_id % 5 WHEN 0 THEN 'short' WHEN 1 THEN text ELSE '' END) || chr(10) AS markdown FROM documents""")
+def detail_pages(spark, sf_dir):
+    k, text = F.col("doc_id"), F.lit(None).cast("string")
+    return pages.detail_pages(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), k.cast("string")).alias("ref"), F.when(k % 3 == 0, F.col("source")).alias("qualname"), F.when(k % 3 == 1, F.col("lang")).alias("title"), F.when(k % 2 == 0, "f()").alias("signature"), F.when(k % 5 == 0, "short").otherwise("").alias("summary"), F.when(k % 5 == 1, F.col("text")).otherwise(text).alias("docstring")))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, 'p' || p_partkey AS ref, p_name AS name, greatest(p_size % 8 - 1, 0) AS n FROM part)
+SELECT ref, '# Open `' || ref || '`' || chr(10) || chr(10) || '- qualname: `' || name || '`' || chr(10) || '- signature: `None`' || chr(10) || '- executable: `' || (CASE WHEN k % 2 = 0 THEN 'True' ELSE 'False' END) || '`' || chr(10) || '- coverage: examples=' || n || ' tests=' || (CASE WHEN k % 3 = 0 THEN 0 ELSE n END) || chr(10) || chr(10)
+|| '## Summary' || chr(10) || chr(10) || (CASE WHEN k % 2 = 0 THEN name ELSE '{pages.NO_SUMMARY}' END) || chr(10) || chr(10) || '## Examples' || chr(10) || chr(10) || (CASE WHEN n = 0 THEN '{pages.NO_EXAMPLES}' ELSE array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i: '- `e' || i || '`: '), chr(10)) END) || chr(10) || chr(10)
+|| '## Tests' || chr(10) || chr(10) || (CASE WHEN n = 0 OR k % 3 = 0 THEN '{pages.NO_TESTS}' ELSE array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i: '- `e' || i || '`'), chr(10)) END) || chr(10) AS markdown FROM p""")
+def symbol_pages(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = F.greatest(F.col("p_size") % 8 - 1, F.lit(0))
+    listed = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("qualname"), F.lit(None).cast("string").alias("summary")))
+    listed = F.slice(listed, F.lit(2), n)
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("ref"), F.col("p_name").alias("qualname"), F.lit(None).cast("string").alias("signature"), (k % 2 == 0).alias("executable"), F.when(k % 2 == 0, F.col("p_name")).alias("summary"), F.lit("").alias("docstring"), listed.alias("examples"), F.when(k % 3 != 0, listed).alias("tests"))
+    return pages.symbol_pages(rows)
+
+
+@query(f"""WITH {SQL_STAR} SELECT kind || '@s1:' || id AS ref, kind, 'ns' AS namespace, kind AS source, name AS title, CASE WHEN length(name) > 12 THEN name END AS summary, false AS executable, id AS node_id, 'unknown' AS language, 'unknown' AS freshness, coalesce(file, '') AS file, coalesce(start_line, 0) AS start_line, coalesce(start_line, 0) AS end_line FROM sn WHERE kind <> 'method'""")
+def symbol_hits(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    nodes = star_nodes(spark, sf_dir).withColumns({"source": F.col("kind"), "summary": F.when(F.length("name") > 12, F.col("name")), "signature": none, "language": none, "end_line": F.lit(None).cast("int")})
+    sources = nodes.select("source").distinct().filter("source <> 'method'").select("source", F.lit("ns").alias("namespace"), F.lit("s1").alias("snapshot"), none.alias("freshness"))
+    found = federate.symbol_hits(nodes, sources)
+    return found.select("ref", "kind", "namespace", "source", "title", "summary", "executable", "provenance.node_id", "provenance.language", "freshness", "span.file", "span.start_line", "span.end_line")
+
+
+@query("""SELECT '@p/' || p_partkey AS ref, p_size % 2 = 1 AND p_partkey % 3 = 0 AS executable, CASE WHEN p_size % 2 = 0 THEN 'none' WHEN p_partkey % 3 = 0 THEN 'ready' WHEN p_partkey % 3 = 1 THEN 'broken' ELSE 'unavailable' END AS execution_status, CASE WHEN p_size % 2 = 1 AND p_partkey % 3 = 0 THEN '@p/' || p_partkey END AS executable_capability_id,
+CASE WHEN p_size % 5 = 0 THEN 'fresh' ELSE 'unknown' END AS freshness, p_name AS title FROM part WHERE p_partkey % 4 <> 0""")
+def describe_registry(spark, sf_dir):
+    k = F.col("p_partkey")
+    part, ref = table(spark, sf_dir, "part"), F.concat(F.lit("@p/"), k.cast("string"))
+    items = part.select(ref.alias("id"), F.when(F.col("p_size") % 2 == 0, "document").otherwise("executable").alias("kind"), F.when(k % 3 == 0, "ready").when(k % 3 == 1, "broken").alias("status"), F.when(F.col("p_size") % 5 == 0, "fresh").alias("freshness"), F.col("p_name").alias("title"))
+    asked = part.filter("p_partkey % 4 <> 0").select(ref.alias("ref"))
+    asked = asked.union(asked).union(part.select(F.concat(F.lit("@q/"), k.cast("string")))).union(part.select("p_name"))
+    return context.describe_registry(asked, items).select("ref", "executable", "execution_status", "executable_capability_id", "freshness", "title")

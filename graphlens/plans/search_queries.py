@@ -236,7 +236,7 @@ def _lint_refs(spark, sf_dir):
 
 _LINT = f"""WITH {SQL_DOCUMENT_NODES},
 u AS (SELECT id, file, start_line FROM dn WHERE is_exported AND kind <> 'module' AND (doc_id % 3 = 0 OR (coalesce(docstring, '') = '' AND coalesce(summary, '') = ''))),
-t AS (SELECT id, file, start_line FROM dn WHERE kind IN ('class', 'function') AND id NOT IN (SELECT target FROM de WHERE kind = 'tests')),
+t AS (SELECT id, file, start_line FROM dn WHERE kind IN ('class', 'function') AND id NOT IN (SELECT target FROM de WHERE kind = 'tests' AND seq % 200 = 7)),
 r AS (SELECT (l_partkey % 50)::VARCHAR AS file, count(*) FILTER (l_returnflag <> 'N' OR l_linestatus = 'F') AS unresolved, count(*) FILTER (l_returnflag = 'N') AS resolved FROM lineitem GROUP BY 1),
 h AS (SELECT *, round(unresolved / (unresolved + resolved), 6) AS ratio FROM r WHERE unresolved + resolved >= 5 AND unresolved / (unresolved + resolved) > 0.5)"""
 
@@ -248,7 +248,7 @@ def lint_undocumented(spark, sf_dir):
 
 @query(_LINT + " SELECT * FROM t")
 def lint_untested(spark, sf_dir):
-    return lint.untested(_lint_nodes(spark, sf_dir), document_edges(spark, sf_dir))
+    return lint.untested(_lint_nodes(spark, sf_dir), document_edges(spark, sf_dir).filter("seq % 200 = 7"))
 
 
 @query(_LINT + " SELECT * FROM h")
@@ -259,6 +259,6 @@ def lint_unresolved(spark, sf_dir):
 @query(_LINT + " SELECT 'undocumented' AS \"check\", count(*) AS n FROM u UNION ALL SELECT 'untested', count(*) FROM t UNION ALL SELECT 'unresolved', count(*) FROM h")
 def lint_totals(spark, sf_dir):
     refs, resolved = _lint_refs(spark, sf_dir)
-    edges = document_edges(spark, sf_dir).filter("kind = 'tests'").select("target", "kind", F.lit(None).cast("string").alias("file"), F.lit("heuristic").alias("provenance"))
+    edges = document_edges(spark, sf_dir).filter("kind = 'tests' and seq % 200 = 7").select("target", "kind", F.lit(None).cast("string").alias("file"), F.lit("heuristic").alias("provenance"))
     edges = edges.unionByName(resolved.select(F.lit(None).cast("string").alias("target"), F.lit("calls").alias("kind"), "file", "provenance"))
     return lint.totals(_lint_nodes(spark, sf_dir), edges, refs)
