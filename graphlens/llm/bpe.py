@@ -167,23 +167,35 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], bpe: ByteBPE) -> Iterator[pa.RecordBatch]:
+    """The batches with ``text``, read from their ``ids``."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("ids"))
+        out = [None if not x.is_valid else bpe.decode(np.frombuffer(x.as_buffer(), dtype="<u4")).decode("utf-8", "replace") for x in ids]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``text``, decoded from ``ids``; bytes that aren't UTF-8 become U+FFFD."""
 
     def run(batches):
-        bpe = model(path)[0]
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            out = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4")).decode("utf-8", "replace") for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+        yield from _decoded(batches, model(path)[0])
 
     kept = encoded.drop("text")
     return kept.mapInArrow(run, with_fields(kept.schema, "text string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Round trip of every text: counts and hashes of its ids and of what they decode to."""
-    return decode(encode(docs, path), path).select(
+    """Round trip of every text: counts and hashes of its ids and of what they decode to.
+
+    One worker encodes a block of texts and decodes its ids, so that a task holds the model once and ids aren't sent twice.
+    """
+
+    def run(batches):
+        bpe, encoder = model(path)
+        yield from _decoded(id_batches(batches, encoder), bpe)
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
