@@ -22,7 +22,7 @@ NAVIGATIONAL = ["module", "package", "namespace"]
 #: Words of a query: as those of the index, but _ joins them.
 QUERY_TOKEN = r"[\p{L}\p{N}_]+"
 #: Rows of a stored table that are broadcast at most: words and phrases of queries.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 500_000
 #: Texts that ``contains`` broadcasts at once.
 ASKED = 10_000
 
@@ -40,17 +40,18 @@ def _tokens_of(field: str) -> Column:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """id, kind, dl (tokens of the node), term, tf (sum of the weights of the fields where it stands), first (1 in one row of each node).
+    """id, dl (tokens of the node), term, tf (sum of the weights of the fields where it stands), first (1 in one row of each node).
 
-    Stored, and so read as often as a search needs it; texts are split into tokens once.
+    Stored, and so read as often as a search needs it; texts are split into tokens once. The texts are dealt by id, which moves less than
+    their terms would, and the terms are then summed up where they are.
     """
     def of(field: str, weight: float) -> Column:
         return F.transform(_tokens_of(field), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
     words = F.concat(*[of(f, w) for f, w in FIELD_WEIGHTS.items()])
-    rows = nodes.select("id", "kind", words.alias("words"))
-    one = rows.select("id", "kind", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("at", "x"))
-    summed = one.groupBy("id", "kind", "dl", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.count_if(F.col("at") == 0).alias("first"))
+    dealt = nodes.select("id", *FIELD_WEIGHTS).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    one = dealt.select("id", words.alias("words")).select("id", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("at", "x"))
+    summed = one.groupBy("id", F.col("x.term").alias("term")).agg(F.max("dl").alias("dl"), F.sum("x.w").alias("tf"), F.count_if(F.col("at") == 0).alias("first"))
     return stored(summed, "postings")
 
 
@@ -67,7 +68,7 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def phrase_matches(nodes: DataFrame, phrases: DataFrame, completed: DataFrame) -> DataFrame:
-    """id, kind, dl, phrase, tf: nodes in one field of which the parts of a phrase stand side by side, the last as a beginning of a word.
+    """id, dl, phrase, tf: nodes in one field of which the parts of a phrase stand side by side, the last as a beginning of a word.
 
     Every token that is the k-th part of a phrase names the place where the phrase would begin; a place that all parts name holds it.
     """
@@ -78,10 +79,11 @@ def phrase_matches(nodes: DataFrame, phrases: DataFrame, completed: DataFrame) -
     wanted = small(stored(heads.union(tails), "phrase-parts"))
     fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("w"), _tokens_of(f).alias("tokens")) for k, (f, w) in enumerate(FIELD_WEIGHTS.items())])
     dl = F.aggregate(F.transform("fields", lambda x: F.size(x["tokens"])), F.lit(0), lambda a, x: a + x).cast("long")
-    rows = nodes.select("id", "kind", fields.alias("fields")).select("id", "kind", dl.alias("dl"), F.explode("fields").alias("f"))
-    placed = rows.select("id", "kind", "dl", "f.field", "f.w", F.posexplode("f.tokens").alias("pos", "term"))
-    named = placed.join(wanted, "term").groupBy("id", "kind", "dl", "phrase", "n", "field", "w", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("there"))
-    return named.filter("there = n").groupBy("id", "kind", "dl", "phrase").agg(F.sum("w").alias("tf"))
+    rows = nodes.select("id", fields.alias("fields")).select("id", dl.alias("dl"), F.explode("fields").alias("f"))
+    placed = rows.select("id", "dl", "f.field", "f.w", F.posexplode("f.tokens").alias("pos", "term"))
+    start = (F.col("pos") - F.col("k")).alias("start")
+    named = placed.join(wanted, "term").groupBy("id", "phrase", "n", "field", start).agg(F.count(F.lit(1)).alias("there"), F.max("dl").alias("dl"), F.max("w").alias("w"))
+    return named.filter("there = n").groupBy("id", "phrase").agg(F.max("dl").alias("dl"), F.sum("w").alias("tf"))
 
 
 def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -99,15 +101,15 @@ def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | No
     completed = stored(completions(index, last), "completions")
     words = phrases.filter(F.size("parts") == 1).select("phrase")
     mapped = completed.join(words, F.col("prefix") == F.col("phrase"), "left_semi")
-    matched = index.join(small(mapped), "term").groupBy("id", "kind", "dl", F.col("prefix").alias("phrase")).agg(F.sum("tf").alias("tf"))
+    matched = index.join(small(mapped), "term").groupBy("id", F.col("prefix").alias("phrase")).agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
     several = phrases.filter(F.size("parts") > 1)
     if not several.isEmpty():
         matched = matched.unionByName(phrase_matches(nodes, several, completed))
     found = stored(matched, "matches")
     totals = index.agg(F.sum("first").alias("docs"), (F.sum(F.col("first") * F.col("dl")) / F.sum("first")).alias("avgdl"))
     df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    able = F.lit(True) if kinds is None else F.col("kind").isin(kinds)
-    scored = found.filter(able).join(df, "phrase").crossJoin(F.broadcast(totals))  # one row
+    able = found if kinds is None else found.join(nodes.filter(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
+    scored = able.join(df, "phrase").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = scored.select("phrase", "id", part.alias("part")).join(asked.select("query_id", "phrase"), "phrase").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
