@@ -8,6 +8,7 @@ from graphlens.functions import text as fn
 from graphlens.operators import adopt, maintain
 from graphlens.plans.views import table
 from graphlens.sources import files, jobs
+from graphlens.storage import new_folder, stored
 from graphlens.streaming import journal
 
 QUERIES, SQL = {}, {}
@@ -658,3 +659,34 @@ def journal_page(spark, sf_dir):
 @query("SELECT user_id % 20 AS session_id, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS cursor FROM events WHERE event_type IN ('click', 'error')")
 def journal_subscribed(spark, sf_dir):
     return journal.with_cursors(journal.subscribed(_events(spark, sf_dir), ["click", "error"])).select("session_id", "event_id", "cursor")
+
+
+@query(f"WITH {_JOURNAL} SELECT session_id, event_id, cursor FROM r")
+def stream_retention(spark, sf_dir):
+    """The retained journal by a stream over all events in three micro-batches by time: what it has appended without what it has evicted."""
+    path = new_folder(spark, "journal")
+    events = _events(spark, sf_dir).select(F.col("session_id").cast("long").alias("session_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    events = stored(events, "events")
+    cuts = [c.timestamp() for c in events.agg(F.percentile_approx("ts", [0.33, 0.67])).first()[0]]
+    at = F.col("ts").cast("double")
+    for part in (at <= cuts[0], (at > cuts[0]) & (at <= cuts[1]), at > cuts[1]):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{path}/in")  # one file a micro-batch
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    with journal.keyed_state(spark):
+        out = journal.stream_retained(source, 30).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    gone = rows.filter("change = 'evicted'").select("session_id", "cursor")
+    return rows.filter("change = 'appended'").join(gone, ["session_id", "cursor"], "left_anti").select("session_id", "event_id", "cursor")
+
+
+@query("""SELECT 'a' AS snapshot_id, p_partkey AS id, p_name AS name FROM part WHERE p_size > 10 UNION ALL SELECT 'b', s_suppkey, s_name FROM supplier""")
+def published_reads(spark, sf_dir):
+    """Two snapshots, one of them published again; an attempt without a manifest row is never read."""
+    path = new_folder(spark, "published")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size")
+    files.publish({"nodes": parts.drop("p_size"), "files": parts.select("id")}, path, "a")
+    files.publish({"nodes": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))}, path, "b")
+    files.publish({"nodes": parts.filter("p_size > 10").drop("p_size"), "files": parts.select("id")}, path, "a")
+    parts.drop("p_size").write.parquet(f"{path}/nodes/snapshot_id=c/attempt=broken")
+    return files.published(spark, path, "nodes")

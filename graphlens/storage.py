@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and returns a scan of it, so that later steps neither recompute it nor
-    depend on its lineage. Only a local session may leave the folder unset."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path that nothing has been written to, under ``spark.checkpoint.dir``, which only a local session may leave unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{str(root).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{str(root).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to a new folder and returns a scan of it, so that later steps neither recompute it nor depend on its lineage."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,10 +25,8 @@ def test_stream_cursors_equal_the_batch(spark, tmp_path):
 
 @pytest.fixture
 def keyed_state(spark):
-    name, provider = journal.STATE_STORE
-    spark.conf.set(name, provider)
-    yield
-    spark.conf.unset(name)
+    with journal.keyed_state(spark):
+        yield
 
 
 @pytest.mark.parametrize("keep", [1, 7, 10_000])
