@@ -64,12 +64,15 @@ _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dia
 _NOISE_WORDS = frozenset(
     "sidebar sidebars aside comment comments commentlist commentform disqus respond reply replies related recommended recommendations breadcrumb breadcrumbs crumbs menu menus submenu nav navbar "
     "navigation footer masthead topbar bottombar pagination pager share sharing sharebar cookie cookies consent gdpr newsletter subscribe subscription signup login ad ads advert adverts advertisement "
-    "advertisements advertising adsense adslot adunit sponsor sponsored".split()
+    "advertisements advertising advertorial adsense adslot adunit adsbygoogle taboola outbrain sponsor sponsored toc".split()
 )
+#: Elements whose ids are names within an article (often made from its headings) and tell nothing of what they are.
+_NAMED = _HEADINGS | frozenset("article p li a span".split())
 _NOISE_ENDINGS = ("nav", "menu", "sidebar", "comments", "advert")
 _WRAPPER_WORDS = frozenset("promo promos promotion banner notice notices alert alerts widget widgets social popup modal overlay toolbar hidden teaser teasers".split())
 _NEGATED = frozenset("no has with without non".split())
 _GOOD_WORDS = frozenset("article post content entry story body text main blog page".split())
+_ARTICLE_WORDS = frozenset("article post content entry story".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: A tag with its attributes (groups 1 to 3), or the beginning of a comment, a declaration or a tag that doesn't end.
@@ -97,7 +100,7 @@ def _own_noise(tag: str, told: dict[str, str]) -> int:
         return 0
     if tag in _NOISE_TAGS or told.get("role", "").lower() in _NOISE_ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(told.get("style", "")):
         return 2 if tag == "form" else 1
-    words = _class_words(f"{told.get('class', '')} {told.get('id', '')}") if "class" in told or "id" in told else []
+    words = _class_words(told.get("class", "") if tag in _NAMED else f"{told.get('class', '')} {told.get('id', '')}")
     real = [w for k, w in enumerate(words) if not (k and words[k - 1] in _NEGATED)]
     if any(w in _NOISE_WORDS or w.endswith(_NOISE_ENDINGS) for w in real):
         return 1
@@ -107,19 +110,21 @@ def _own_noise(tag: str, told: dict[str, str]) -> int:
 
 
 @lru_cache(maxsize=10_000)
-def _told(tag: str, attributes: str) -> tuple[int, str, float]:
-    """Of a start tag: its kind of noise, its part of a path ("" if it is no container), and the factor of its score."""
+def _told(tag: str, attributes: str) -> tuple[int, str, float, bool]:
+    """Of a start tag: its kind of noise, its part of a path ("" if it is no container), the factor of its score, and whether it is an article by tag or name."""
     told: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         told.setdefault(name.lower(), html.unescape("".join(values)))
-    path, factor = "", _CONTAINERS.get(tag, 0.0)
+    path, factor, article = "", _CONTAINERS.get(tag, 0.0), tag in ("article", "main")
     if factor:
+        words = _class_words(f"{told.get('class', '')} {told.get('id', '')}")
+        article = article or any(w in _ARTICLE_WORDS for w in words)
         path = f"{tag}{_general(told.get('class', ''))[:150]}"
         if told.get("itemprop", "").lower() == "articlebody":
             factor *= 3
-        elif any(w in _GOOD_WORDS for w in _class_words(f"{told.get('class', '')} {told.get('id', '')}")):
+        elif any(w in _GOOD_WORDS for w in words):
             factor *= 1.5
-    return _own_noise(tag, told), path, factor
+    return _own_noise(tag, told), path, factor, article
 
 
 @lru_cache(maxsize=10_000)
@@ -134,7 +139,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.ends = ["html"], [-1], [0]
-        self.own, self.paths, self.factors = [0], ["html"], [0.4]
+        self.own, self.paths, self.factors, self.articles = [0], ["html"], [0.4], [False]
         self.pieces: list[tuple[int, str | None, bool]] = []  # element, text (None: a border), within a link
         self.stack, self.open = [0], defaultdict(int, html=1)
         self._read(source)
@@ -186,7 +191,7 @@ class Page:
             self.pieces.append((at, None, False))
         if tag in _VOID:
             return
-        own, part, factor = _told(tag, attributes if attributes and _TELLING.search(attributes) else "")
+        own, part, factor, article = _told(tag, attributes if attributes and _TELLING.search(attributes) else "")
         path = self.paths[parent]
         if part:
             if len(path) > 400:
@@ -198,6 +203,7 @@ class Page:
         self.own.append(own)
         self.paths.append(path)
         self.factors.append(factor)
+        self.articles.append(article)
         self.stack.append(at)
         self.open[tag] += 1
 
@@ -276,7 +282,7 @@ class Page:
                 self.noise[k], header[k] = True, False
             elif own == 3 and not self.noise[k] and not holds(bodies, k):
                 self.noise[k], header[k] = True, article[k]
-            article[k] = article[k] or self.tags[k] in ("article", "main")
+            article[k] = article[k] or self.articles[k]
         self.scores = [0.0] * n
         for k, text, link in self.pieces:
             if text is None or self.noise[k]:

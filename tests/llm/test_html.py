@@ -30,6 +30,8 @@ READ = "It rained all day, and the river rose over the old stones.\nBy night the
         f"<table><tr><td class=menu><a href=1>One</a> <a href=2>Two</a></td><td>{STORY}</td></tr></table>",
         f"<article>{STORY.replace('</p>', '')}</article>",
         f"<body><div class=ad>Buy<article>{STORY}</article></div>".replace("<div class=ad>Buy", "<div class=notice>"),
+        f"<div class=page><div class=header><h1>Our site</h1></div><div class=story id=s>{STORY}<ins class=adsbygoogle>Buy</ins></div><div class=footer>x</div></div>",
+        f"<article id=share-of-the-menu class=no-sidebar>{STORY}<ul class='toc'><li>One</ul></article>",
         f"<ARTICLE><P STYLE='display: none'>hidden</P>{STORY}<svg><text>no</text></svg><noscript>no</noscript></ARTICLE>",
     ],
 )
@@ -40,6 +42,7 @@ def test_layouts(source):
 def test_blocks_and_references():
     assert text("<article><h1> A &amp;\n\t B </h1>one<br>two&nbsp;&#8364;<p>x<b>y</b> z<ul><li>i<li>j</ul><pre>a\n  b</pre>c</article>") == "A & B\none two €\nxy z\ni\nj\na b\nc"
     assert text("<article><header><p>By N.</p><h2>Title</h2></header><p>Text</p></article>") == "Title\nText"
+    assert text("<div class=post-7><div class=entry-header><h1 id=related-comments>Title</h1><p>By N.</div><p>Text</p></div>") == "Title\nText"
     assert text("<p>a < b and c > d, 1<2 &lt;b&gt; &bogus; &#0; &#xD800;") == "a < b and c > d, 1<2 <b> &bogus; � �"
     assert text("<article><p>a<p>b</article") == "a\nb</article"
     assert text("<article><p title='x>y</p><p>z") == "y\nz"
