@@ -15,6 +15,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Text for comparisons without case: lower-cased, ß as ss and a final sigma as any other."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, stripped; null without one."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")

@@ -77,7 +77,7 @@ ln AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS line, l
 fl AS (SELECT *, starts_with(t, '```') AS fence, sum(starts_with(t, '```')::INT) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM ln),
 hd AS (SELECT doc_id, line, n_lines, length(regexp_extract(t, '^(#{{1,6}})\\s', 1)) AS level, trim(regexp_extract(t, '^ {{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$', 2)) AS title FROM fl
   WHERE NOT fence AND n % 2 = 0 AND regexp_matches(t, '^ {{0,3}}(#{{1,6}})\\s+(.+?)\\s*#*\\s*$')),
-sl AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\-]+', '-', 'g'), '-'), ''), 'section') AS s FROM hd)"""
+sl AS (SELECT *, coalesce(nullif(trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_\\-]+', '-', 'g'), '-'), ''), 'section') AS s FROM hd)"""
 
 
 def _markdown(spark, sf_dir):
