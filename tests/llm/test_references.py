@@ -1,6 +1,7 @@
 """Fingerprints, weak labels and trees against plain readings that share no code with them."""
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pytest
@@ -17,7 +18,8 @@ def signatures(text):
     spots = 0
     for k, w in enumerate(words):
         if w in COMMON:
-            after = [j for j in content if j > k][: spotsigs.CHAIN]
+            at = bisect(content, k)
+            after = content[at : at + spotsigs.CHAIN]
             if len(after) == spotsigs.CHAIN:
                 spots += 1
                 found.add((w, *(words[j] for j in after)))
