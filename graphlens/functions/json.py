@@ -65,20 +65,23 @@ def canonical_text(rows: DataFrame, key: str, text: str, ascii_only: bool = Fals
     """``key`` and ``canonical`` of JSON texts of any shape; null where a text isn't JSON.
 
     Values are exploded level by level, each with its place, until none holds others; then the levels are put together again from the
-    innermost out. ``key`` is unique. A level costs one join by place, so its rows spread over all tasks however large a text is.
+    innermost out. ``key`` is unique. A level costs one join by place, so its rows spread over all tasks however large a text is; the
+    join's kind is fixed, as the optimiser takes a level for a hundredth of its size once its variants are left out, and would broadcast it.
     """
-    level = stored(rows.select(F.col(key).alias("_key"), F.lit("").alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(0).alias("_pos"), F.try_parse_json(F.col(text)).alias("_v")), "json")
+    # Texts cost far more than their bytes tell, so they are dealt to all tasks; only containers go down to the next level.
+    shape = F.schema_of_variant("_v")
+    kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").alias("_kind")
+    dealt = rows.select(key, text).repartition(3 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    level = dealt.select(F.col(key).alias("_key"), F.lit("").alias("_at"), F.lit(None).cast("string").alias("_name"), F.lit(0).alias("_pos"), F.try_parse_json(F.col(text)).alias("_v"))
     levels = []
     while True:
-        shape = F.schema_of_variant("_v")
-        nested = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array")
-        level = stored(level.withColumn("_kind", nested), "json")
+        level = stored(level.select("*", kind), "json")
         levels.append(level)
         inner = level.filter("_kind is not null")
         if inner.isEmpty():
             break
         parts = inner.select("_key", F.concat("_at", F.lit("/"), "_pos").alias("_at"), "_v").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        level = stored(parts.select("_key", "_at", F.col("key").alias("_name"), F.col("pos").alias("_pos"), F.col("value").alias("_v")), "json")
+        level = parts.select("_key", "_at", F.col("key").alias("_name"), F.col("pos").alias("_pos"), F.col("value").alias("_v"))
     built = None
     for level in reversed(levels):
         shape = F.schema_of_variant("_v")
@@ -86,11 +89,12 @@ def canonical_text(rows: DataFrame, key: str, text: str, ascii_only: bool = Fals
         plain = F.when(F.is_variant_null("_v"), F.lit("null")).when(shape == "STRING", quoted(F.try_variant_get("_v", "$", "string"), ascii_only)).when(whole, F.try_variant_get("_v", "$", "string")).otherwise(number(F.try_variant_get("_v", "$", "double")))
         told = level.select("_key", "_at", "_name", "_pos", "_kind", F.when(F.col("_kind").isNull(), plain).alias("_plain"))
         if built is not None:
-            told = told.withColumn("_own", F.concat("_at", F.lit("/"), "_pos")).join(built.select("_key", F.col("_at").alias("_own"), "_inner"), ["_key", "_own"], "left").drop("_own")
+            told = told.withColumn("_own", F.concat("_at", F.lit("/"), "_pos")).join(built.select("_key", F.col("_at").alias("_own"), "_inner").hint("merge"), ["_key", "_own"], "left").drop("_own")
         else:
             told = told.withColumn("_inner", F.lit(None).cast("string"))
         inner = F.coalesce("_inner", F.lit(""))
         value = F.when(F.col("_kind") == "object", F.concat(F.lit("{"), inner, F.lit("}"))).when(F.col("_kind") == "array", F.concat(F.lit("["), inner, F.lit("]"))).otherwise(F.col("_plain"))
         item = F.struct(F.coalesce("_name", F.lit("")).alias("name"), "_pos", F.when(F.col("_name").isNull(), value).otherwise(F.concat(quoted(F.col("_name"), ascii_only), F.lit(":"), value)).alias("text"))
         built = told.groupBy("_key", "_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), ",").alias("_inner"))  # one text's parts
-    return built.select(F.col("_key").alias(key), F.col("_inner").alias("canonical")).join(rows.select(key), key, "right").withColumn("canonical", F.nullif("canonical", F.lit("")))
+    whole = built.select(F.col("_key").alias(key), F.col("_inner").alias("canonical")).hint("merge")
+    return whole.join(rows.select(key), key, "right").withColumn("canonical", F.nullif("canonical", F.lit("")))

@@ -31,3 +31,10 @@ def test_numbers(spark):
     values = [0.1, -0.0, 1e7, 12345678.9, 1e-3, 9.999e-4, 1.234e-5, 2.5e-300, 1.7976931348623157e308, 123456789012345680.0, 2.0**53, 3.0, -1e21]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(number(F.col("v"))).collect()]
     assert got == [json.dumps(v) for v in values]
+
+
+def test_levels_are_never_broadcast(spark):
+    """A level's size on disk, less its variants, is guessed at a hundredth of what its rows take."""
+    df = spark.range(2000).selectExpr("id", """'{"a": [' || id || ', {"b": "' || id || '"}]}' AS text""")
+    plan = canonical_text(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
