@@ -125,20 +125,23 @@ def best(rows: DataFrame, group: list[str], order: list[Column], limit: int) ->
 def contains(nodes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Fallback for queries without lexical hits: name, qualname or summary holds the text (% and _ are wildcards), by qualname.
 
-    Wildcards leave no key to join on, so the distinct texts are broadcast to the nodes, ``ASKED`` at a time; each block's hits are
-    written before the next, so that the plan doesn't grow with the texts.
+    Wildcards leave no key to join on, so the distinct texts are broadcast to the distinct names, ``ASKED`` at a time; each block's hits
+    are written before the next, so that the plan doesn't grow with the texts. Nodes of the same names are cut to the limit before and
+    the hits of a text after its names are compared, so that queries of one text share its first ``limit`` nodes.
     """
     texts = stored(queries.select("text").distinct().withColumn("number", F.monotonically_increasing_id()), "asked")
     order = F.row_number().over(W.partitionBy(F.shiftright("number", 33)).orderBy("number")) - 1  # within a partition
     texts = stored(texts.select("text", F.shiftright("number", 33).alias("part"), F.floor(order / ASKED).alias("block")), "asked")
     like = F.expr(" or ".join(f"coalesce({f} ilike concat('%', text, '%'), false)" for f in ("name", "qualname", "summary")))
-    rows = nodes.select("id", "name", "qualname", "summary")
+    names = ["name", "qualname", "summary"]
+    rows = stored(best(nodes.select("id", *names), names, [F.col("id")], limit).drop("rank"), "named")
     hits = rows.select("id", "qualname", F.lit("").alias("text")).limit(0)
     path = new_folder(nodes.sparkSession, "contains")
     blocks = texts.select("part", "block").distinct().collect()  # a row for every ASKED texts and partition
     for r in blocks:
         own = F.broadcast(texts.filter((F.col("part") == r.part) & (F.col("block") == r.block)).select("text"))
-        rows.join(own, like).select("id", "qualname", "text").write.mode("append").parquet(path)
+        found = rows.join(own, like).select("id", "qualname", "text")
+        best(found, ["text"], [F.col("qualname"), F.col("id")], limit).drop("rank").write.mode("append").parquet(path)
     hits = nodes.sparkSession.read.schema(hits.schema).parquet(path) if blocks else hits
     return best(hits.join(queries, "text").select("query_id", "id", "qualname"), ["query_id"], [F.col("qualname"), F.col("id")], limit)
 

@@ -69,3 +69,15 @@ def test_signals_overtake_a_lexical_lead(spark):
     out = search.search(df, links, spark.createDataFrame([(1, "read_frame"), (2, "zzz%"), (3, "e_zz")], "query_id int, text string"), 2).collect()
     first = {r.query_id: r.id for r in out if r.rank == 0}
     assert first == {1: "m.py#read_frame_zzz#function", 2: "m.py#read_frame_zzz#function", 3: "m.py#read_frame_zzz#function"}
+
+
+def test_queries_of_one_text_share_its_first_nodes(spark):
+    """Equal names and equal texts are cut to the limit before they meet, so that few rows are written however many there are."""
+    nodes = [(f"n{k:04}", "function", "read frame", "read frame", None, "other", False) for k in range(3000)] + [("a", "function", "x", "a read frames", None, None, False)]
+    df, asked = spark.createDataFrame(nodes, NODES), spark.range(500).selectExpr("id AS query_id", "'read%frame' AS text")
+    found = search.contains(df, asked, 3)
+    assert found.inputFiles() and spark.read.parquet(*[f for f in found.inputFiles() if "contains-" in f]).count() <= 6
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert len(got) == 500 and set(map(tuple, got.values())) == {("a", "n0000", "n0001")}
