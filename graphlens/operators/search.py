@@ -23,6 +23,8 @@ NAVIGATIONAL = ["module", "package", "namespace"]
 QUERY_TOKEN = r"[\p{L}\p{N}_]+"
 #: Rows of a stored table that are broadcast at most: words and phrases of queries.
 SMALL_ROWS = 500_000
+#: Lengths of beginnings up to this one are written out in the plan, which runs faster than a function over an array.
+UNROLLED = 32
 #: Texts that ``contains`` broadcasts at once.
 ASKED = 10_000
 
@@ -39,27 +41,28 @@ def _tokens_of(field: str) -> Column:
     return tokens(F.coalesce(F.col(field), F.lit("")))
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def summed_terms(nodes: DataFrame) -> DataFrame:
     """id, dl (tokens of the node), term, tf (sum of the weights of the fields where it stands), first (1 in one row of each node).
 
-    Stored, and so read as often as a search needs it; texts are split into tokens once. The texts are dealt by id, which moves less than
-    their terms would, and the terms are then summed up where they are.
+    The texts are dealt by id, which moves less than their terms would, and the terms are then summed up where they are.
     """
-    def of(field: str, weight: float) -> Column:
-        return F.transform(_tokens_of(field), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+    names = [f"_t{k}" for k in range(len(FIELD_WEIGHTS))]
+    split = _dealt(nodes, "id", *FIELD_WEIGHTS).select("id", *[_tokens_of(f).alias(n) for f, n in zip(FIELD_WEIGHTS, names)])
+    filled = F.coalesce(*[F.when(F.size(n) > 0, F.lit(k)) for k, n in enumerate(names)])
+    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(w).alias("w"), F.col(n).alias("tokens")) for k, (n, w) in enumerate(zip(names, FIELD_WEIGHTS.values()))]))
+    rows = split.select("id", sum((F.size(n) for n in names), F.lit(0)).cast("long").alias("dl"), filled.alias("filled"), fields.alias("f"))
+    one = rows.select("id", "dl", (F.col("f.at") == F.col("filled")).alias("filled"), "f.w", F.posexplode("f.tokens").alias("at", "term"))
+    return one.groupBy("id", "term").agg(F.max("dl").alias("dl"), F.sum("w").alias("tf"), F.count_if(F.col("filled") & (F.col("at") == 0)).alias("first"))
+
 
-    words = F.concat(*[of(f, w) for f, w in FIELD_WEIGHTS.items()])
-    dealt = nodes.select("id", *FIELD_WEIGHTS).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    one = dealt.select("id", words.alias("words")).select("id", F.size("words").cast("long").alias("dl"), F.posexplode("words").alias("at", "x"))
-    summed = one.groupBy("id", F.col("x.term").alias("term")).agg(F.max("dl").alias("dl"), F.sum("x.w").alias("tf"), F.count_if(F.col("at") == 0).alias("first"))
-    return stored(summed, "postings")
+def postings(nodes: DataFrame) -> DataFrame:
+    """``summed_terms``, stored, for nodes that several searches read."""
+    return stored(summed_terms(nodes), "postings")
 
 
-def completions(terms: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """term, prefix: which of ``prefixes`` each distinct term begins with; equality joins on the beginnings of the lengths that are asked for."""
-    lengths = F.broadcast(prefixes.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths")))  # one row, of as many numbers as the longest prefix has letters
-    starts = F.explode(F.transform(F.filter("lengths", lambda k: k <= F.length("term")), lambda k: F.left(F.col("term"), k)))
-    return terms.select("term").distinct().crossJoin(lengths).select("term", starts.alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, by id; with a fixed number of tasks, as texts cost more than their bytes tell."""
+    return rows.select(*columns).repartition(3 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -67,52 +70,75 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def phrase_matches(nodes: DataFrame, phrases: DataFrame, completed: DataFrame) -> DataFrame:
-    """id, dl, phrase, tf: nodes in one field of which the parts of a phrase stand side by side, the last as a beginning of a word.
+def _beginnings(rows: DataFrame, term: str, prefixes: DataFrame) -> DataFrame:
+    """Adds ``k`` and ``prefix``: the beginnings of each row's term of the lengths that ``prefixes`` have; one row with nulls without any."""
+    lengths = sorted(prefixes.agg(F.collect_set(F.length("prefix"))).first()[0])  # as many numbers as the longest prefix has letters, at most
+    starts = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.length(term) >= n, F.left(F.col(term), F.lit(n))) for n in lengths if n <= UNROLLED]))
+    longer = [n for n in lengths if n > UNROLLED]
+    if longer:
+        more = F.filter(F.array(*map(F.lit, longer)), lambda n: n <= F.length(term))
+        starts = F.concat(starts, F.transform(more, lambda n: F.left(F.col(term), n)))
+    return rows.select("*", F.posexplode_outer(starts).alias("k", "prefix"))
+
 
-    Every token that is the k-th part of a phrase names the place where the phrase would begin; a place that all parts name holds it.
+def word_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """id, dl, first, phrase, tf: the words that each term of a node begins with, and a row without a phrase for the first term of each.
+
+    The terms stay where they are: the words asked for are few beside the terms that they are completed to.
     """
-    n = F.size("parts")
-    parts = phrases.select("phrase", n.alias("n"), F.posexplode("parts").alias("k", "part"))
-    heads = parts.filter("k < n - 1").select(F.col("part").alias("term"), "phrase", "n", "k")
-    tails = parts.filter("k = n - 1").join(completed.withColumnRenamed("prefix", "part"), "part").select("term", "phrase", "n", "k")
-    wanted = small(stored(heads.union(tails), "phrase-parts"))
-    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("w"), _tokens_of(f).alias("tokens")) for k, (f, w) in enumerate(FIELD_WEIGHTS.items())])
-    dl = F.aggregate(F.transform("fields", lambda x: F.size(x["tokens"])), F.lit(0), lambda a, x: a + x).cast("long")
-    rows = nodes.select("id", fields.alias("fields")).select("id", dl.alias("dl"), F.explode("fields").alias("f"))
-    placed = rows.select("id", "dl", "f.field", "f.w", F.posexplode("f.tokens").alias("pos", "term"))
-    start = (F.col("pos") - F.col("k")).alias("start")
-    named = placed.join(wanted, "term").groupBy("id", "phrase", "n", "field", start).agg(F.count(F.lit(1)).alias("there"), F.max("dl").alias("dl"), F.max("w").alias("w"))
-    return named.filter("there = n").groupBy("id", "phrase").agg(F.max("dl").alias("dl"), F.sum("w").alias("tf"))
+    asked = small(stored(words.select("phrase", F.col("phrase").alias("prefix")), "words"))
+    rows = _beginnings(terms, "term", asked).join(asked, "prefix", "left").withColumn("first", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("first")).otherwise(0))
+    return rows.filter("phrase is not null or first > 0").select("id", "dl", "first", "phrase", "tf")
+
+
+def phrase_matches(nodes: DataFrame, phrases: DataFrame) -> DataFrame:
+    """id, phrase, tf: nodes in one field of which the parts of a phrase stand side by side, the last as a beginning of a word.
+
+    Every run of as many tokens as a phrase has parts is compared as a whole, its last token by its beginnings, so that frequent words
+    give no rows of their own.
+    """
+    last = F.element_at("parts", -1)
+    head = F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "_")
+    wanted = small(stored(phrases.select("phrase", F.size("parts").alias("n"), head.alias("head"), last.alias("prefix")), "phrase-parts"))
+    sizes = F.broadcast(wanted.agg(F.array_sort(F.collect_set("n")).alias("sizes")))  # one row, of as many numbers as the longest phrase has parts
+    fields = F.array(*[F.struct(F.lit(w).alias("w"), _tokens_of(f).alias("tokens")) for f, w in FIELD_WEIGHTS.items()])
+    rows = _dealt(nodes, "id", *FIELD_WEIGHTS).select("id", F.explode(fields).alias("f")).select("id", "f.w", "f.tokens").crossJoin(sizes)
+
+    def runs(n: Column) -> Column:
+        at = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - n + 1))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(n.alias("n"), F.array_join(F.slice("tokens", i, n - 1), "_").alias("head"), F.get("tokens", i + n - 2).alias("last")))
+
+    run = rows.select("id", "w", F.explode(F.flatten(F.transform("sizes", runs))).alias("r")).select("id", "w", "r.n", "r.head", "r.last")
+    run = run.join(F.broadcast(wanted.select("n", "head").distinct()) if wanted.count() <= SMALL_ROWS else wanted.select("n", "head").distinct(), ["n", "head"], "left_semi")
+    return _beginnings(run, "last", wanted).join(wanted, ["n", "head", "prefix"]).groupBy("id", "phrase").agg(F.sum("w").alias("tf"))
 
 
 def bm25(nodes: DataFrame, queries: DataFrame, limit: int, kinds: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank (from 0) of the best ``limit`` nodes of each query.
 
-    A query token matches the words that it begins; one with _ matches its parts side by side, the last as a beginning. Distinct words
-    are completed first, so that a word is compared once however often it stands; nodes are split into tokens again only where phrases
-    are asked for. ``index``: the ``postings`` of the nodes, if there are any. ``kinds`` filter before the scoring, and so before the
-    limit; frequencies are of all nodes.
+    A query token matches the words that it begins; one with _ matches its parts side by side, the last as a beginning. A node's matches
+    are one row, and its scores are summed up where that row is; nodes are split into tokens again only where phrases are asked for.
+    ``index``: the ``postings`` of the nodes, if there are any. ``kinds`` filter before the scoring, and so before the limit;
+    frequencies are of all nodes.
     """
-    index = postings(nodes) if index is None else index
+    terms = summed_terms(nodes) if index is None else index
     asked = stored(query_phrases(queries), "phrases")
     phrases = asked.select("phrase", "parts").distinct()
-    last = phrases.select(F.element_at("parts", -1).alias("prefix"))
-    completed = stored(completions(index, last), "completions")
     words = phrases.filter(F.size("parts") == 1).select("phrase")
-    mapped = completed.join(words, F.col("prefix") == F.col("phrase"), "left_semi")
-    matched = index.join(small(mapped), "term").groupBy("id", F.col("prefix").alias("phrase")).agg(F.max("dl").alias("dl"), F.sum("tf").alias("tf"))
+    matched = word_matches(terms, words).groupBy("id", "phrase").agg(F.max("dl").alias("dl"), F.sum("first").alias("first"), F.sum("tf").alias("tf"))
     several = phrases.filter(F.size("parts") > 1)
     if not several.isEmpty():
-        matched = matched.unionByName(phrase_matches(nodes, several, completed))
-    found = stored(matched, "matches")
-    totals = index.agg(F.sum("first").alias("docs"), (F.sum(F.col("first") * F.col("dl")) / F.sum("first")).alias("avgdl"))
-    df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    able = found if kinds is None else found.join(nodes.filter(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
-    scored = able.join(df, "phrase").crossJoin(F.broadcast(totals))  # one row
+        matched = matched.unionByName(phrase_matches(nodes, several), allowMissingColumns=True)
+    hit = F.when(F.col("phrase").isNotNull(), F.struct("phrase", "tf"))
+    found = stored(matched.groupBy("id").agg(F.max("dl").alias("dl"), F.sum("first").alias("first"), F.collect_list(hit).alias("hits")), "matches")  # a node's phrases
+    totals = found.agg(F.sum("first").alias("docs"), (F.sum(F.col("first") * F.col("dl")) / F.sum("first")).alias("avgdl"))
+    df = found.select(F.explode("hits.phrase").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.select("phrase", "id", part.alias("part")).join(asked.select("query_id", "phrase"), "phrase").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    weights = small(stored(asked.select("query_id", "phrase").join(df, "phrase").crossJoin(F.broadcast(totals)).select("query_id", "phrase", idf.alias("idf"), "avgdl"), "weights"))  # one row of totals
+    able = found if kinds is None else found.join(nodes.filter(F.col("kind").isin(kinds)).select("id"), "id", "left_semi")
+    each = _dealt(able.filter(F.size("hits") > 0), "id", "dl", "hits").select("id", "dl", F.explode("hits").alias("h")).select("id", "dl", "h.phrase", "h.tf")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = each.join(weights, "phrase").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return best(hits, ["query_id"], [F.desc("score"), F.col("id")], limit)
 
 

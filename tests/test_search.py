@@ -81,3 +81,20 @@ def test_queries_of_one_text_share_its_first_nodes(spark):
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert len(got) == 500 and set(map(tuple, got.values())) == {("a", "n0000", "n0001")}
+
+
+def test_words_and_phrases_store_no_row_for_each_completion(spark, monkeypatch):
+    """What is stored beside the matches is as many rows as were asked for, however many words of the nodes they begin."""
+    nodes = [node(f"n{k}", docstring=f"the r{k} the r{k}x the", summary="r") for k in range(60)]
+    kept, real = {}, search.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        kept[label] = out.count()
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    df = spark.createDataFrame(nodes, NODES)
+    got = search.bm25(df, spark.createDataFrame([(1, "the_r"), (2, "r1")], "query_id int, text string"), 60).collect()
+    assert {(r.query_id, r.id) for r in got} == {(q, i) for q, text in ((1, "the_r"), (2, "r1")) for i, _ in plain(nodes, text, 60)}
+    assert max(n for label, n in kept.items() if label != "matches") <= 2
