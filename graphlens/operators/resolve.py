@@ -45,9 +45,24 @@ def import_map(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("file", last_segment(F.col("absolute")).alias("segment"), "id", "kind", F.col("absolute").alias("qualname"), "seq")
 
 
+def imported_nodes(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """file, segment, id, kind, qualname, seq, times: ``import_map`` with one row for each file and node, its first ``seq`` and how often it is there.
+
+    A file's imports of a name are summed up before they meet the nodes of that name, so that rows don't grow with both.
+    """
+    imports = absolute_names(refs.filter("kind = 'imports'"), nodes).groupBy("file", "absolute").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("times"))
+    found = imports.join(nodes.select(F.col("qualname").alias("absolute"), "id", "kind"), "absolute")
+    return found.select("file", last_segment(F.col("absolute")).alias("segment"), "id", "kind", F.col("absolute").alias("qualname"), "seq", "times")
+
+
+def _times(candidates: DataFrame) -> Column:
+    """How many candidates some rows are: the sum of ``times`` where there is such a column."""
+    return F.sum("times") if "times" in candidates.columns else F.count(F.lit(1))
+
+
 def pools(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, first, second: the number of candidates of each key and the two smallest ids."""
-    ids = candidates.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n"))
+    ids = candidates.groupBy(*keys, "id").agg(_times(candidates).alias("n"))
     ranked = ids.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("id"))).filter("k <= 2")
     firsts = ranked.groupBy(*keys).agg(F.min("id").alias("first"), F.max(F.when(F.col("k") == 2, F.col("id"))).alias("second"))
     return ids.groupBy(*keys).agg(F.sum("n").alias("n")).join(firsts, keys)
@@ -55,7 +70,7 @@ def pools(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 def choose(refs: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The references with a candidate but themselves: adds ``n`` and ``target``, the smallest id."""
-    own = candidates.groupBy(*keys, F.col("id").alias("from_node")).agg(F.count(F.lit(1)).alias("own"))
+    own = candidates.groupBy(*keys, F.col("id").alias("from_node")).agg(_times(candidates).alias("own"))
     rows = refs.join(pools(candidates, keys), keys).join(own, [*keys, "from_node"], "left")
     rest = F.col("n") - F.coalesce("own", F.lit(0))
     target = F.when(F.col("first") == F.col("from_node"), F.col("second")).otherwise(F.col("first"))
@@ -71,10 +86,10 @@ def _one_or_more() -> Column:
 
 
 def import_scoped_calls(refs: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Calls through what the file imports (``known``, its import map): dotted names through the first imported module with such a callable, else by last segment."""
+    """Calls through what the file imports (``known``, its ``imported_nodes``): dotted names through the first imported module with such a callable, else by last segment."""
     calls = refs.filter("kind = 'calls'").withColumn("segment", last_segment(F.col("name")))
-    known = import_map(refs, nodes) if known is None else known
-    plain = choose(calls, known.filter(F.col("kind").isin(CALLABLE_KINDS)).select("file", "segment", "id"), ["file", "segment"])
+    known = imported_nodes(refs, nodes) if known is None else known
+    plain = choose(calls, known.filter(F.col("kind").isin(CALLABLE_KINDS)).select("file", "segment", "id", "times"), ["file", "segment"])
     dotted = calls.filter(F.instr("name", ".") > 0).withColumn("module", F.regexp_extract("name", r"([^.]*)\.[^.]*$", 1))
     modules = known.filter(F.col("kind").isin(MODULE_KINDS)).groupBy("file", F.col("segment").alias("module"), F.col("qualname").alias("owner")).agg(F.min("seq").alias("import_seq"))
     callables = nodes.filter(F.col("kind").isin(CALLABLE_KINDS)).select("id", F.concat_ws(".", F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1), "name").alias("whole"))
@@ -89,8 +104,8 @@ def instantiations(refs: DataFrame, nodes: DataFrame, known: DataFrame | None =
     """Calls of types: imported by last segment, else where the name is the snapshot's only type of that name."""
     calls = refs.filter("kind = 'calls'").withColumn("segment", last_segment(F.col("name")))
     types = nodes.filter(F.col("kind").isin(TYPE_KINDS))
-    known = import_map(refs, nodes) if known is None else known
-    imported = stored(choose(calls, known.filter(F.col("kind").isin(TYPE_KINDS)).select("file", "segment", "id"), ["file", "segment"]), "imported")
+    known = imported_nodes(refs, nodes) if known is None else known
+    imported = stored(choose(calls, known.filter(F.col("kind").isin(TYPE_KINDS)).select("file", "segment", "id", "times"), ["file", "segment"]), "imported")
     rest = calls.join(imported.select("seq"), "seq", "left_anti")
     single = choose(rest, types.select(F.col("name").alias("segment"), "id"), ["segment"]).filter("n = 1")
     return _edge(imported, _one_or_more(), "import").union(_edge(single, F.lit("resolved")))
@@ -133,7 +148,7 @@ def ladder(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each reference the edge of the first rule that gives one. Kinds without a rule are never resolved."""
     real = stored(refs.filter(~F.col("name").isin(IGNORED)), "refs")
     nodes = stored(nodes, "nodes")
-    known = stored(import_map(real, nodes), "imports")
+    known = stored(imported_nodes(real, nodes), "imports")
     rules = [import_scoped_calls(real, nodes, known), instantiations(real, nodes, known), callable_fallback(real, nodes), base_types(real, nodes), import_edges(real, nodes)]
     tried = None
     for place, edges in enumerate(rules):
