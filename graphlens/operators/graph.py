@@ -47,22 +47,32 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFr
     """seed, id, depth, via, kind: what reaches each seed over calls and extends, breadth first; the first ``limit`` ids of each seed.
 
     An id counts at the first edge that reaches it (``kind``, to ``via``): in the order of what was reached before, then calls before extends,
-    then edge order. Each hop is stored and reads the one before.
+    then edge order. Each hop but the last is stored. Edges are dealt by target and what they reach by seed, once a hop: there equal ids are
+    summed up, those of earlier hops told, and the rest numbered and cut to what the limit leaves.
     """
     place = F.when(F.col("kind") == "calls", 0).otherwise(1)
-    back = edges.filter(F.col("kind").isin("calls", "extends")).groupBy(F.col("target").alias("at"), F.col("source").alias("next"), "kind").agg(F.min("seq").alias("seq")).withColumn("place", place)
-    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("id"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("kind"))
-    seen = frontier
+    back = edges.filter(F.col("kind").isin("calls", "extends")).select(F.col("target").alias("at"), F.col("source").alias("next"), place.alias("place"), "seq").repartition("at")
+    starts = seeds.select(F.col("id").alias("at"))
+    own = W.partitionBy("seed")
+    order = F.row_number().over(own.orderBy("e.ord", "e.place", "e.seq", "next"))
+    hops: list[DataFrame] = []
     for hop in range(1, max(1, depth) + 1):
-        edge = F.min(F.struct("ord", "place", "seq", F.col("id").alias("via"), back["kind"])).alias("e")
-        reached = frontier.select("seed", "id", "ord").join(back, F.col("id") == F.col("at")).groupBy("seed", "next").agg(edge)
-        new = reached.join(seen.select("seed", F.col("id").alias("next")), ["seed", "next"], "left_anti")
-        order = F.row_number().over(W.partitionBy("seed").orderBy("e.ord", "e.place", "e.seq", "next"))
-        ranked = new.withColumn("k", order).filter(F.col("k") <= limit)
-        frontier = stored(ranked.select("seed", F.col("next").alias("id"), F.lit(hop).alias("depth"), F.col("k").alias("ord"), "e.via", "e.kind"), "frontier")
-        seen = seen.union(frontier)
-    first = F.row_number().over(W.partitionBy("seed").orderBy("depth", "ord"))
-    return seen.filter("depth > 0").withColumn("k", first).filter(F.col("k") <= limit).select("seed", "id", "depth", "via", "kind")
+        if not hops:  # a seed's own edges are where it is
+            rows = back.join(starts, "at", "left_semi").filter("next <> at").select(F.col("at").alias("seed"), "next", F.struct(F.lit(0).alias("ord"), "place", "seq", F.col("at").alias("via")).alias("e"))
+            new = rows.groupBy("seed", "next").agg(F.min("e").alias("e")).withColumn("before", F.lit(0))
+        else:
+            rows = hops[-1].join(back, F.col("id") == F.col("at")).filter("next <> seed").select("seed", "next", F.struct("ord", "place", "seq", F.col("id").alias("via")).alias("e"))
+            for seen in hops:
+                rows = rows.union(seen.select("seed", "id", F.lit(None).cast(rows.schema["e"].dataType)))
+            told = rows.repartition("seed").groupBy("seed", "next").agg(F.min("e").alias("e"), F.count_if(F.col("e").isNull()).alias("seen"))
+            new = told.withColumn("before", F.sum("seen").over(own)).filter("seen = 0")
+        ranked = new.withColumn("k", order).filter(F.col("before") + F.col("k") <= limit)
+        found = ranked.select("seed", F.col("next").alias("id"), F.lit(hop).alias("depth"), F.col("k").alias("ord"), "e.via", F.when(F.col("e.place") == 0, "calls").otherwise("extends").alias("kind"))
+        hops.append(stored(found, "frontier") if hop < depth else found)
+    whole = hops[0]
+    for more in hops[1:]:
+        whole = whole.union(more)
+    return whole.select("seed", "id", "depth", "via", "kind")
 
 
 def package_card(nodes: DataFrame) -> DataFrame:
