@@ -295,34 +295,34 @@ def _classified(docs: DataFrame, width: int, percent: int, keep: Scratch) -> Dat
     sets = keep(sets.select(*_SET, F.monotonically_increasing_id().alias("id"), "least.doc_id", "least.th", "sig"), "sets")
     signed = sets.select("id", "sig", F.col("id").alias("class"), F.col("n_shingles").alias("size"))
 
-    def bodies(ids: DataFrame) -> DataFrame:
-        """id and text of sets, each by its first row."""
-        wanted = sets.select("id", "doc_id", "th").join(ids.hint("merge"), "id", "left_semi").withColumnRenamed("doc_id", "own").withColumnRenamed("th", "own_th")
+    def bodies(ids: DataFrame, how: str = "left_semi", *more: str) -> DataFrame:
+        """id and text of sets, each by its first row, and ``more`` columns of ``ids``."""
+        wanted = sets.select("id", "doc_id", "th").join(ids.hint("merge"), "id", how).withColumnRenamed("doc_id", "own").withColumnRenamed("th", "own_th")
         found = texts(docs).select("doc_id", text_key(), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
-        return keep(found.select("id", "text").dropDuplicates(["id"]), "bodies")
+        return keep(found.select("id", "text", *more).dropDuplicates(["id"]), "bodies")
 
     def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        """The ids of pairs, repeated: for semi and anti joins."""
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     pairs = keep(_likely(candidates(signed, False, percent, keep)[0], signed, percent / 100), "likely")
-    wanted = keep(ends(pairs), "wanted")
-    known = bodies(wanted)
-    links = keep(confirmed(pairs, known, width, percent).distinct(), "confirmed")
+    known = bodies(ends(pairs))
+    links = keep(confirmed(pairs, known, width, percent), "confirmed")
 
     joined = components(links, keep)
     again = keep(signed.drop("class").join(joined, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("class"), "size"), "classed")
     found, large = candidates(again, True, percent, keep)
     rest = keep(_likely(found, signed, percent / 100), "rest")
-    known = known.union(bodies(ends(rest).join(wanted, "id", "left_anti")))
-    links = keep(links.union(confirmed(rest, known, width, percent)).distinct(), "all-links")
+    known = known.union(bodies(ends(rest).join(ends(pairs), "id", "left_anti")))
+    links = links.union(keep(confirmed(rest, known, width, percent), "more-links"))  # of other classes than before, so none twice
     final = components(links, keep)
 
     classes = keep(signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class")), "classes")
     crowd = keep(crowded(keep(large, "large"), classes), "crowded")
     if not crowd.isEmpty():
-        own = keep(bodies(crowd).join(classes, "id"), "crowd")
+        own = bodies(crowd.join(classes, "id"), "inner", "class")
         last = keep(crowded_pairs(own, width, percent, keep), "crowded-pairs")
-        more = keep(confirmed(last, own.select("id", "text"), width, percent).distinct(), "crowd-links")
+        more = keep(confirmed(last, own.select("id", "text"), width, percent), "crowd-links")
         if not more.isEmpty():
             final = components(links.union(more), keep)
             classes = signed.select("id").join(final, "id", "left").select("id", F.coalesce("component", "id").alias("class"))
