@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from graphlens.functions.text import capped
 from graphlens.operators import federate, graph
+from graphlens.operators.search import best
 
 # How many of each relation a description holds, characters of its texts, and what a clipped text ends with.
 EXAMPLES, TESTS, CONVENTIONS, RELATIONS = 3, 5, 3, 6
@@ -17,15 +20,37 @@ CLIPPED = "\n... (truncated)"
 SOURCE_KEY, SPARE = 12, 24
 
 
+def _plain(found: Column, fields: Sequence[str]) -> Column:
+    """Structs of the ``fields`` in the order of ``rank``."""
+    return F.transform(F.array_sort(found), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+
 def _listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
     """node and an array ``name`` of structs in the order of ``rank``: rows that a limit has bounded."""
-    item = F.struct("rank", *fields)
-    plain = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return rows.groupBy(F.col("ref").alias("node")).agg(plain.alias(name))
+    return rows.groupBy(F.col("ref").alias("node")).agg(_plain(F.collect_list(F.struct("rank", *fields)), fields).alias(name))
+
 
+def _related(edges: DataFrame, nodes: DataFrame, asked: DataFrame, limits: dict[str, int], incoming: bool) -> DataFrame:
+    """ref, kind, id, provenance, rank: as ``graph.walk`` over each kind of ``limits`` by itself, for the nodes of ``asked`` (node) alone.
+
+    Edges are dealt by their far end, where unknown ones fall out, and then by the near one for all that is left to do.
+    """
+    near, far = ("target", "source") if incoming else ("source", "target")
+    rows = edges.filter(F.col("kind").isin(*limits)).select(F.col(near).alias("ref"), F.col(far).alias("id"), "kind", "seq", "provenance")
+    rows = rows.join(nodes.select("id"), "id", "left_semi").join(asked.select(F.col("node").alias("ref")), "ref", "left_semi")
+    first = rows.groupBy("ref", "kind", "id").agg(F.min(F.struct("seq", "provenance")).alias("e")).select("ref", "kind", "id", "e.seq", "e.provenance")
+    within = F.coalesce(*[F.when(F.col("kind") == kind, limit) for kind, limit in limits.items()])
+    return best(first, ["ref", "kind"], [F.col("seq"), F.col("id")], max(limits.values())).filter(F.col("rank") < within).drop("seq")  # ranks are from 0
 
-def _neighbours(edges: DataFrame, nodes: DataFrame, kind: str, limit: int, incoming: bool = True) -> DataFrame:
-    return graph.walk(edges, nodes, [kind], limit, incoming)
+
+def _lists(related: DataFrame, **names: tuple) -> DataFrame:
+    """node and an array of each name (kind, fields, condition or None) of its structs by ``rank``: rows that limits have bounded; null where there are none."""
+    lists = []
+    for name, (kind, fields, condition) in names.items():
+        held = F.col("kind") == kind if condition is None else (F.col("kind") == kind) & condition
+        found = F.collect_list(F.when(held, F.struct("rank", *fields)))
+        lists.append(F.when(F.size(found) > 0, _plain(found, fields)).alias(name))
+    return related.groupBy(F.col("ref").alias("node")).agg(*lists)
 
 
 def describe(refs: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataFrame, conventions: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -37,29 +62,25 @@ def describe(refs: DataFrame, sources: DataFrame, nodes: DataFrame, edges: DataF
     asked = refs.select("ref").distinct().withColumn("p", federate.parsed_ref(F.col("ref")))
     asked = asked.select("ref", "p.source", "p.snapshot", F.col("p.node").alias("node")).join(sources, ["source", "snapshot"])
     rows = asked.join(nodes.withColumnRenamed("id", "node"), "node")
-    wanted = rows.select("node").distinct()
-    inward = edges.join(wanted.withColumnRenamed("node", "target"), "target", "left_semi")
-    outward = edges.join(wanted.withColumnRenamed("node", "source"), "source", "left_semi")
-    names = nodes.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("qualname").alias("name")).distinct()
-    rules = graph.scope_match(names, conventions, CONVENTIONS).join(conventions, "scope")
+    rules = graph.scope_match(rows.select(F.col("qualname").alias("name")).distinct(), conventions, CONVENTIONS).join(conventions, "scope")
     rules = rules.select(F.col("name").alias("ref"), "rank", "scope", "title", F.transform("rules", lambda r: capped(r, RULE_CHARS)).alias("rules"))
     reliable = F.col("provenance").isin(federate.RELIABLE)  # after the limit
-    parts = [
-        _listed(_neighbours(inward, nodes, "exemplifies", EXAMPLES), "examples", "id"),
-        _listed(_neighbours(inward, nodes, "tests", TESTS), "tests", "id"),
-        _listed(_neighbours(inward, nodes, "calls", RELATIONS).filter(reliable), "callers", "id", "provenance"),
-        _listed(_neighbours(outward, nodes, "calls", RELATIONS, incoming=False).filter(reliable), "callees", "id", "provenance"),
-    ]
-    for part in parts:
-        rows = rows.join(part, "node", "left")
+    inward = _lists(
+        _related(edges, nodes, asked, {"exemplifies": EXAMPLES, "tests": TESTS, "calls": RELATIONS}, True),
+        examples=("exemplifies", ["id"], None),
+        tests=("tests", ["id"], None),
+        callers=("calls", ["id", "provenance"], reliable),
+    )
+    outward = _lists(_related(edges, nodes, asked, {"calls": RELATIONS}, False), callees=("calls", ["id", "provenance"], reliable))
+    own = rows  # texts and rules are joined before the lists, which so aren't dealt again
     rows = rows.join(_listed(rules, "conventions", "scope", "title", "rules").withColumnRenamed("node", "qualname"), "qualname", "left")
     if files is not None:
         start = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).cast("int")
         size = F.greatest(F.coalesce("end_line", start) - start + 1, F.lit(1)).cast("int")
-        rows = rows.withColumns({"_start": start, "_size": size})
-        code = _spans(rows.select("file", "_start", "_size"), files)
-        rows = rows.join(code, ["file", "_start", "_size"], "left").withColumn("source_code", F.coalesce("source_code", F.lit("<source unavailable>"))).drop("_start", "_size")
-    return rows
+        span = {"_start": start, "_size": size}
+        code = _spans(own.withColumns(span).select("file", "_start", "_size"), files)
+        rows = rows.withColumns(span).join(code, ["file", "_start", "_size"], "left").withColumn("source_code", F.coalesce("source_code", F.lit("<source unavailable>"))).drop("_start", "_size")
+    return rows.join(inward, "node", "left").join(outward, "node", "left")
 
 
 def _spans(asked: DataFrame, files: DataFrame) -> DataFrame:
